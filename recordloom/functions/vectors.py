@@ -34,6 +34,12 @@ def vector_norm(v) -> Column:
     )
 
 
+def scaled_to_unit(v, norm=None) -> Column:
+    """The vector divided by its length; a zero vector gives NULL elements."""
+    norm = vector_norm(v) if norm is None else col(norm)
+    return F.transform(col(v), lambda x: F.try_divide(x.cast("double"), norm))
+
+
 def cosine_similarity(a, b, norm_a=None, norm_b=None) -> Column:
     """Cosine of two vectors; NULL for a zero vector.
 
@@ -58,14 +64,10 @@ def vector_sum(*vectors) -> Column:
 def letter_counts(text) -> Column:
     """26 counts of the letters a-z, ignoring case."""
     lowered = F.lower(col(text))
-    return F.when(
-        lowered.isNotNull(),
-        F.array(
-            *[
-                (F.length(lowered) - F.length(F.replace(lowered, F.lit(c), F.lit("")))).cast("float")
-                for c in ascii_lowercase
-            ]
-        ),
+    letters = F.array(*[F.lit(c) for c in ascii_lowercase])
+    return F.transform(
+        F.when(lowered.isNotNull(), letters),
+        lambda c: (F.length(lowered) - F.length(F.replace(lowered, c, F.lit("")))).cast("float"),
     )
 
 

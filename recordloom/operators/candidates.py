@@ -10,6 +10,7 @@ one row.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -17,70 +18,58 @@ from ..functions import text
 from ..functions.vectors import Embedder
 from ..schemas import RECORD_VECTORS
 from . import rules
-from .pairs import block_sizes, self_pairs
+from .pairs import block_sizes, self_pairs, suffixed_pairs
 
 # Two texts at most two edits apart always share a key of `edit_keys`.
 _MAX_EDITS = 2
 _SHORT = 16
 
 
-def _without_one(s: Column) -> Column:
-    """The text with each single character left out."""
-    n = F.length(s)
-    return F.when(n == 0, F.array().cast("array<string>")).otherwise(
-        F.transform(
-            F.sequence(F.lit(1), F.greatest(n, F.lit(1))),
-            lambda i: F.concat(F.substring(s, F.lit(1), i - 1), F.substring(s, i + 1, n)),
-        )
+def _without_one(s: str) -> str:
+    """The text with each single character left out, as a SQL array."""
+    return (
+        f"transform(sequence(1, greatest(length({s}), 1)),"
+        f" i -> concat(left({s}, i - 1), substr({s}, i + 1)))"
     )
 
 
-def _deletion_keys(s: Column) -> Column:
+def _deletion_keys(s: str) -> str:
     once = _without_one(s)
-    twice = F.flatten(F.transform(once, _without_one))
-    return F.transform(
-        F.array_distinct(F.concat(F.array(s), once, twice)), lambda v: F.concat(F.lit("d"), v)
-    )
+    twice = f"flatten(transform({once}, v -> {_without_one('v')}))"
+    return f"transform(array_distinct(concat(array({s}), {once}, {twice})), v -> concat('d', v))"
 
 
-def _segment_keys(s: Column) -> Column:
+def _segment_keys(s: str) -> str:
     """Three even segments of the text, and where they can lie in a longer neighbour.
 
     Two edits cannot touch all three segments of the shorter text, so one of them is found
-    unchanged in the longer text, shifted by at most two.
+    unchanged in the longer text, shifted by at most two. For every length ``n`` the
+    shorter text may have, segment ``k`` takes ``n div 3`` characters, the last ``n % 3``
+    segments one more.
     """
-    n = F.length(s)
-
-    def piece(length: Column, k: int, shift: int) -> Column:
-        base, extra = F.floor(length / 3), length % 3
-        long_before = F.greatest(F.lit(k) - (F.lit(3) - extra), F.lit(0))
-        size = base + F.when(F.lit(k) >= F.lit(3) - extra, 1).otherwise(0)
-        start = base * k + long_before + shift
-        inside = (start >= 0) & (start + size <= n)
-        found = F.substring(s, (start + 1).cast("int"), size.cast("int"))
-        return F.when(inside, F.concat_ws(":", F.lit(f"s{k}"), length.cast("string"), found))
-
-    pieces = [
-        piece(n - shorter, k, shift)
-        for shorter in range(_MAX_EDITS + 1)
-        for k in range(3)
-        for shift in range(-_MAX_EDITS, _MAX_EDITS + 1)
-    ]
-    return F.array_distinct(F.array_compact(F.array(*pieces)))
-
-
-def edit_keys(s) -> Column:
+    start = "n div 3 * k + greatest(k - 3 + n % 3, 0) + shift"
+    size = "n div 3 + int(k >= 3 - n % 3)"
+    piece = (
+        f"if({start} >= 0 AND {start} + {size} <= length({s}),"
+        f" concat_ws(':', 's', k, n, substr({s}, int({start} + 1), int({size}))), NULL)"
+    )
+    edits = _MAX_EDITS
+    return (
+        f"array_distinct(array_compact(flatten(transform(sequence(length({s}) - {edits}, length({s})),"
+        f" n -> flatten(transform(sequence(0, 2), k ->"
+        f" transform(sequence(-{edits}, {edits}), shift -> {piece})))))))"
+    )
+
+
+def edit_keys(column: str) -> Column:
     """Keys such that texts at most two edits apart have one in common.
 
     Short texts are keyed by what remains after up to two deletions, long ones by
     segments; lengths near the border get both, so either pair of lengths meets.
     """
-    s = text.col(s)
-    n = F.length(s)
-    none = F.array().cast("array<string>")
-    return F.concat(
-        F.when(n <= _SHORT + _MAX_EDITS, _deletion_keys(s)).otherwise(none),
-        F.when(n > _SHORT, _segment_keys(s)).otherwise(none),
+    return F.expr(
+        f"concat(if(length({column}) <= {_SHORT + _MAX_EDITS}, {_deletion_keys(column)}, array()),"
+        f" if(length({column}) > {_SHORT}, {_segment_keys(column)}, array()))"
     )
 
 
@@ -111,22 +100,16 @@ def profiles(records: DataFrame, block: Sequence[str]) -> DataFrame:
     )
 
 
-def _strong_pairs(rows: DataFrame, block, limits, condition=None, **tiling) -> DataFrame:
-    """Pairs labelled by one of the first three rules; only equal birth dates meet."""
+STRONG = (rules.EXACT, rules.HIGH, rules.ADDRESS)
+
+
+def _same_birth_pairs(rows: DataFrame, block, limits, condition=None, **tiling) -> DataFrame:
+    """Labelled pairs of equal birth date, the only ones the first three rules can take."""
     rows = rows.withColumn("dob", text.known_dob("dob"))
-    pairs = self_pairs(rules.with_norms(rows), [*block, "dob"], "id", condition, **tiling)
-    kept = ["copies"] if "copies" in rows.columns else []
-    scored = pairs.select(
-        *[F.col(f"a.{c}").alias(c) for c in block],
-        *[
-            F.col(f"{s}.{c}").alias(f"{c}_{s}")
-            for c in ("id", "dob", "gender", "firstname", "lastname", *kept)
-            for s in "ab"
-        ],
-        *[c.alias(name) for name, c in rules.score_columns().items()],
-    )
-    return rules.label_pairs(scored, limits).filter(
-        F.col("match_type").isin(rules.EXACT, rules.HIGH, rules.ADDRESS)
+    pairs = suffixed_pairs(rules.with_norms(rows), [*block, "dob"], "id", condition, **tiling)
+    pairs = pairs.withColumns({"dob_a": F.col("dob"), "dob_b": F.col("dob")})
+    return pairs.withColumns(rules.score_columns()).withColumn(
+        "match_type", rules.match_label(limits)
     )
 
 
@@ -150,18 +133,15 @@ def match_type_counts(
     block = list(block)
     records = records.filter(_known(block))
     folded = embed(profiles(records, block), RECORD_VECTORS)
-    strong = _strong_pairs(
-        folded, block, limits, F.col("a.id") <= F.col("b.id"), **tiling
+    labelled = _same_birth_pairs(
+        folded, block, limits, F.col("id_a") <= F.col("id_b"), **tiling
     )
     weight = _weight(F.col("id_a") == F.col("id_b"), F.col("copies_a"), F.col("copies_b"))
     near = text.within_edits("lastname_a", "lastname_b", _MAX_EDITS)
-    strong = strong.select(
-        "match_type",
-        weight.alias("pairs"),
-        F.when(near, weight).otherwise(F.lit(0)).alias("near"),
-    )
-    strong_counts = strong.groupBy("match_type").agg(
-        F.sum("pairs").alias("pairs"), F.sum("near").alias("near")
+    label = F.col("match_type")
+    strong = labelled.agg(
+        *[_total(weight, label == name).alias(f"c{i}") for i, name in enumerate(STRONG)],
+        _total(weight, label.isin(*STRONG) & near).alias("strong_near"),
     )
 
     named = records.filter(F.col("lastname").isNotNull())
@@ -172,34 +152,30 @@ def match_type_counts(
             sizes.withColumnsRenamed({"lastname": f"lastname_{side}", "n": f"n_{side}"}),
             [*block, f"lastname_{side}"],
         )
-    near_count = names.agg(
-        F.sum(
-            _weight(F.col("lastname_a") == F.col("lastname_b"), F.col("n_a"), F.col("n_b"))
-        ).alias("pairs")
-    )
-    total = block_sizes(records, block).agg(F.sum("pairs").alias("pairs"))
-
-    # From here on there are at most three rows of counts.
-    parts = (
-        strong_counts.unionByName(near_count.select(F.lit("near").alias("match_type"), "pairs", F.lit(0).alias("near")))
-        .unionByName(total.select(F.lit("total").alias("match_type"), "pairs", F.lit(0).alias("near")))
-    )
-
-    def of(label: str) -> Column:
-        return F.coalesce(F.sum(F.when(F.col("match_type") == label, F.col("pairs"))), F.lit(0))
-
-    sums = parts.agg(
-        *[of(label).alias(f"c{i}") for i, label in enumerate(rules.RULE_LABELS[:3])],
-        (of("near") - F.coalesce(F.sum("near"), F.lit(0))).alias("c3"),
-        of("total").alias("total"),
-    ).withColumn("c4", F.col("total") - F.col("c0") - F.col("c1") - F.col("c2") - F.col("c3"))
+    same_name = F.col("lastname_a") == F.col("lastname_b")
+    near_pairs = names.agg(_total(_weight(same_name, F.col("n_a"), F.col("n_b"))).alias("near"))
+    all_pairs = block_sizes(records, block).agg(_total(F.col("pairs")).alias("total"))
+
+    # Three single rows of sums, brought together into one.
+    sums = reduce(
+        lambda x, y: x.unionByName(y, allowMissingColumns=True), (strong, near_pairs, all_pairs)
+    )
+    sums = sums.agg(*[F.max(c).alias(c) for c in sums.columns])
+    fuzzy = F.col("near") - F.col("strong_near")
+    rest = F.col("total") - F.col("c0") - F.col("c1") - F.col("c2") - fuzzy
+    counts = [F.col("c0"), F.col("c1"), F.col("c2"), fuzzy, rest]
     rows = F.array(
         *[
-            F.struct(F.lit(label).alias("match_type"), F.col(f"c{i}").cast("bigint").alias("pairs"))
-            for i, label in enumerate(rules.RULE_LABELS)
+            F.struct(F.lit(name).alias("match_type"), count.alias("pairs"))
+            for name, count in zip(rules.RULE_LABELS, counts)
         ]
     )
-    return sums.select(F.inline(rows)).filter(F.col("pairs") > 0)
+    return sums.select(F.inline(F.filter(rows, lambda r: r["pairs"] > 0)))
+
+
+def _total(value: Column, condition: Column | None = None) -> Column:
+    value = value if condition is None else F.when(condition, value)
+    return F.coalesce(F.sum(value), F.lit(0)).cast("bigint")
 
 
 def matched_pairs(
@@ -216,21 +192,18 @@ def matched_pairs(
     _check_edits(limits)
     block = list(block)
     records = records.filter(_known(block))
-    strong = _strong_pairs(
-        records.select(*block, "id", "firstname", "lastname", "dob", "gender", *RECORD_VECTORS.values()),
-        block,
-        limits,
-        **tiling,
-    ).select(*block, "id_a", "id_b")
+    compared = ["firstname", "lastname", "dob", "gender", *RECORD_VECTORS.values()]
+    labelled = _same_birth_pairs(
+        records.select(*block, "id", *compared), block, limits, **tiling
+    )
+    strong = labelled.filter(F.col("match_type").isin(*STRONG)).select(*block, "id_a", "id_b")
 
     ids = records.select(*block, "id", "lastname")
     near = near_names(ids, block)
     # Each unordered pair of names is taken in both directions, a name with itself once.
-    both = near.unionByName(
-        near.filter("lastname_a <> lastname_b").withColumnsRenamed(
-            {"lastname_a": "lastname_b", "lastname_b": "lastname_a"}
-        )
-    )
+    there = F.struct("lastname_a", "lastname_b")
+    back = F.struct(F.col("lastname_b").alias("lastname_a"), F.col("lastname_a").alias("lastname_b"))
+    both = near.select(*block, F.inline(F.array_distinct(F.array(there, back))))
     for side in "ab":
         both = both.join(
             ids.withColumnsRenamed({"lastname": f"lastname_{side}", "id": f"id_{side}"}),
@@ -240,35 +213,12 @@ def matched_pairs(
         both.filter("id_a < id_b").select(*block, "id_a", "id_b")
     ).distinct()
 
-    sided = rules.with_norms(records)
-    pairs = (
-        found.alias("p")
-        .join(sided.alias("a"), _on(block, "a"))
-        .join(sided.alias("b"), _on(block, "b"))
-    )
-    scored = pairs.select(
-        *[F.col(f"p.{c}").alias(c) for c in block],
-        F.col("p.id_a"),
-        F.col("p.id_b"),
-        *[
-            F.col(f"{s}.{c}").alias(f"{c}_{s}")
-            for c in ("dob", "gender", "firstname", "lastname")
-            for s in "ab"
-        ],
-        rules.record_text("a.").alias("first_record"),
-        rules.record_text("b.").alias("second_record"),
-        *[c.alias(name) for name, c in rules.score_columns().items()],
-    )
-    labelled = rules.label_pairs(scored, limits)
-    lead = [c for c in labelled.columns if c not in (*rules.SCORES, "match_type")]
-    return labelled.select(*lead, "match_type", *rules.SCORES)
-
-
-def _on(block: Sequence[str], side: str) -> Column:
-    same = F.col(f"p.id_{side}") == F.col(f"{side}.id")
-    for c in block:
-        same = same & (F.col(f"p.{c}") == F.col(f"{side}.{c}"))
-    return same
+    pairs = found
+    sided = rules.with_norms(records.select(*block, "id", "country", *compared))
+    for side in "ab":
+        names = {c: f"{c}_{side}" for c in sided.columns if c not in block}
+        pairs = pairs.join(sided.withColumnsRenamed(names), [*block, f"id_{side}"])
+    return rules.label_pairs(rules.score(pairs, block), limits)
 
 
 def _known(block: Sequence[str]) -> Column:

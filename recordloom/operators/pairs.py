@@ -9,6 +9,7 @@ of them, are wanted, ``operators.candidates`` reaches them without forming all p
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -45,8 +46,45 @@ def self_pairs(
     condition defaults to ``a.id < b.id``. Rows with a NULL block key form no pair. An
     empty ``block`` pairs all records.
     """
+    a, b, keys = _sides(records, list(block), id_column, tile_rows)
     condition = ordered(id_column) if condition is None else condition
-    block = list(block)
+    return a.alias("a").join(b.alias("b").hint("merge"), _same(keys) & condition)
+
+
+def suffixed_pairs(
+    records: DataFrame,
+    block: Sequence[str] = ("task_id",),
+    id_column: str = "id",
+    condition: Column | None = None,
+    tile_rows: int = TILE_ROWS,
+) -> DataFrame:
+    """As ``self_pairs``, with the block columns once and all others as ``_a`` and ``_b``.
+
+    The columns get their names below the join. Renaming them above it makes the
+    optimizer weigh every mix of old and new names in a condition that uses many of them.
+    """
+    a, b, keys = _sides(records, list(block), id_column, tile_rows)
+    if condition is None:
+        condition = F.col(f"{id_column}_a") < F.col(f"{id_column}_b")
+    a, b = (
+        side.withColumnsRenamed({c: f"{c}_{s}" for c in records.columns if c not in block}).alias(s)
+        for s, side in (("a", a), ("b", b))
+    )
+    joined = a.join(b.hint("merge"), _same(keys) & condition)
+    others = [c for c in records.columns if c not in block]
+    return joined.select(
+        *[F.col(f"a.{c}") for c in block], *[f"{c}_{s}" for c in others for s in "ab"]
+    )
+
+
+def _same(keys: Sequence[str], a: str = "a", b: str = "b") -> Column:
+    return reduce(lambda x, y: x & y, [F.col(f"{a}.{k}") == F.col(f"{b}.{k}") for k in keys])
+
+
+def _sides(
+    records: DataFrame, block: list[str], id_column: str, tile_rows: int
+) -> tuple[DataFrame, DataFrame, list[str]]:
+    """Both sides of the join, spread over the cluster, and the columns they meet on."""
     width = shuffle_width(records)
     sizes = block_sizes(records, block)
     largest = sizes.agg(F.max("records")).first()[0] or 0
@@ -55,29 +93,22 @@ def self_pairs(
         # The same shuffle serves both sides; its width is set by hand because the
         # work grows with the pairs and not with the bytes Spark would coalesce by.
         side = records.repartition(width, *block)
-        a, b, keys = side.alias("a"), side.alias("b"), block
+        return side, side, block
+    if block:
+        large = sizes.filter(F.col("records") > tile_rows).select(
+            *block, F.ceil(F.col("records") / tile_rows).alias(_TILES)
+        )
+        sized = records.join(large, block, "left").withColumn(
+            _TILES, F.coalesce(_TILES, F.lit(1))
+        )
     else:
-        if block:
-            large = sizes.filter(F.col("records") > tile_rows).select(
-                *block, F.ceil(F.col("records") / tile_rows).alias(_TILES)
-            )
-            sized = records.join(large, block, "left").withColumn(
-                _TILES, F.coalesce(_TILES, F.lit(1))
-            )
-        else:
-            sized = records.withColumn(_TILES, F.lit(-(-largest // tile_rows) or 1))
-        cell = F.pmod(F.xxhash64(id_column), F.col(_TILES))
-        every = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(_TILES) - 1))
-        keys = [*block, _ROW, _COLUMN]
-        a = sized.withColumn(_ROW, cell).withColumn(_COLUMN, every)
-        b = sized.withColumn(_COLUMN, cell).withColumn(_ROW, every)
-        a = a.drop(_TILES).repartition(width, *keys).alias("a")
-        b = b.drop(_TILES).repartition(width, *keys).alias("b")
-
-    same_block = F.lit(True)
-    for key in keys:
-        same_block = same_block & (F.col(f"a.{key}") == F.col(f"b.{key}"))
-    return a.join(b.hint("merge"), same_block & condition)
+        sized = records.withColumn(_TILES, F.lit(-(-largest // tile_rows) or 1))
+    cell = F.pmod(F.xxhash64(id_column), F.col(_TILES))
+    every = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(_TILES) - 1))
+    keys = [*block, _ROW, _COLUMN]
+    a = sized.withColumn(_ROW, cell).withColumn(_COLUMN, every)
+    b = sized.withColumn(_COLUMN, cell).withColumn(_ROW, every)
+    return tuple(side.drop(_TILES).repartition(width, *keys) for side in (a, b)) + (keys,)
 
 
 def all_pairs(

@@ -10,7 +10,7 @@ from pyspark.sql.utils import AnalysisException, ParseException
 
 from ..functions import text, vectors
 from ..schemas import DISPLAY_NAMES, RECORD_VECTORS
-from .pairs import self_pairs
+from .pairs import self_pairs, suffixed_pairs
 
 # The labels, in rule order. The double space in ADDRESS is meant.
 EXACT = "Exact firstname+lastname+dob+gender"
@@ -41,10 +41,11 @@ def with_norms(records: DataFrame) -> DataFrame:
     return records.withColumns({n: vectors.vector_norm(v) for v, n in _NORMS.items()})
 
 
-def score_columns(a: str = "a.", b: str = "b.") -> dict[str, Column]:
+def score_columns() -> dict[str, Column]:
+    """The three scores over a pair row with ``_a``/``_b`` vectors and norms."""
     return {
         score: vectors.cosine_similarity(
-            f"{a}{vector}", f"{b}{vector}", f"{a}{_NORMS[vector]}", f"{b}{_NORMS[vector]}"
+            f"{vector}_a", f"{vector}_b", f"{_NORMS[vector]}_a", f"{_NORMS[vector]}_b"
         )
         for score, vector in zip(SCORES, RECORD_VECTORS.values())
     }
@@ -93,34 +94,36 @@ def scored_pairs(
     carried = [*block, "id", *_PAIR_COLUMNS, *RECORD_VECTORS.values()]
     if with_text:
         carried.append("country")
-    pairs = self_pairs(with_norms(records.select(*carried)), block, **tiling)
-    columns = [F.col(f"a.{c}").alias(c) for c in block]
-    columns += [F.col("a.id").alias("id_a"), F.col("b.id").alias("id_b")]
-    columns += [F.col(f"{s}.{c}").alias(f"{c}_{s}") for c in _PAIR_COLUMNS for s in "ab"]
+    pairs = suffixed_pairs(with_norms(records.select(*carried)), block, **tiling)
+    return score(pairs, block, with_text)
+
+
+def score(pairs: DataFrame, block, with_text: bool = True) -> DataFrame:
+    """Compared columns, display texts and scores of joined pairs."""
+    columns = [*block, "id_a", "id_b", *[f"{c}_{s}" for c in _PAIR_COLUMNS for s in "ab"]]
     if with_text:
-        columns += [record_text("a.").alias("first_record"), record_text("b.").alias("second_record")]
-    columns += [c.alias(name) for name, c in score_columns().items()]
-    return pairs.select(*columns)
+        columns += [record_text("_a").alias("first_record"), record_text("_b").alias("second_record")]
+    return pairs.select(*columns, *[c.alias(name) for name, c in score_columns().items()])
 
 
 def record_text(side: str = "") -> Column:
     """One line showing a record; NULL if any part is."""
     return text.joined_text(
-        *[f"{side}{c}" for c in ("firstname", "lastname", "dob", "gender", "country")]
+        *[f"{c}{side}" for c in ("firstname", "lastname", "dob", "gender", "country")]
     )
 
 
 def label_pairs(pairs: DataFrame, limits: Thresholds = Thresholds()) -> DataFrame:
-    return pairs.withColumn("match_type", match_label(limits))
+    """Add the label, before the scores."""
+    lead = [c for c in pairs.columns if c not in SCORES]
+    return pairs.select(*lead, match_label(limits).alias("match_type"), *SCORES)
 
 
 def match_pairs(
     records: DataFrame, block=("task_id",), limits: Thresholds = Thresholds(), **tiling
 ) -> DataFrame:
     """The labelled pair relation, ``No Match`` pairs included."""
-    labelled = label_pairs(scored_pairs(records, block, **tiling), limits)
-    lead = [c for c in labelled.columns if c not in (*SCORES, "match_type")]
-    return labelled.select(*lead, "match_type", *SCORES)
+    return label_pairs(scored_pairs(records, block, **tiling), limits)
 
 
 def with_display_names(pairs: DataFrame) -> DataFrame:

@@ -89,10 +89,7 @@ def name_similarity(
     sized = embedded.withColumns(
         {f"{v}_norm": vectors.vector_norm(v) for v in RECORD_VECTORS.values()}
     )
-    units = [
-        F.transform(v, lambda x, v=v: F.try_divide(x.cast("double"), F.col(f"{v}_norm")))
-        for v in RECORD_VECTORS.values()
-    ]
+    units = [vectors.scaled_to_unit(v, f"{v}_norm") for v in RECORD_VECTORS.values()]
     summed = sized.withColumn("full_vector", vectors.vector_sum(*units))
     names = summed.groupBy("firstname", "full_vector").agg(F.sum("copies").alias("copies"))
     names = names.withColumn("norm", vectors.vector_norm("full_vector"))
