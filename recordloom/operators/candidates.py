@@ -1,10 +1,10 @@
 """Matches without all pairs: candidates from equality joins, every one verified.
 
-The first three rules need equal birth dates, and the fourth needs last names at most two
-edits apart. Both conditions can be met by equality joins, so a pair that meets neither
-is never formed; it is known to be ``No Match``. Records that agree in everything the
-rules look at are first folded into one profile, so a group of copies of any size costs
-one row.
+The first three rules need similar first names, similar last names and equal birth dates;
+the fourth needs last names at most two edits apart. Which names are similar is found
+among the distinct names of a block, and everything else is an equality join. A pair that
+is never formed is known to be ``No Match``. Records that agree in everything the rules
+look at are first folded into one profile, so a group of copies of any size costs one row.
 """
 
 from __future__ import annotations
@@ -14,11 +14,13 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions import text
+from ..functions import text, vectors
 from ..functions.vectors import Embedder
 from ..schemas import RECORD_VECTORS
+from ..session import durable
 from . import rules
-from .pairs import block_sizes, self_pairs, suffixed_pairs
+from .pairs import block_sizes, known, self_pairs
+from .tiles import similar_pairs
 
 # Two texts at most two edits apart always share a key of `edit_keys`.
 _MAX_EDITS = 2
@@ -103,14 +105,71 @@ def profiles(records: DataFrame, block: Sequence[str]) -> DataFrame:
 STRONG = (rules.EXACT, rules.HIGH, rules.ADDRESS)
 
 
-def _same_birth_pairs(rows: DataFrame, block, limits, condition=None, **tiling) -> DataFrame:
-    """Labelled pairs of equal birth date, the only ones the first three rules can take."""
+def similar_texts(
+    rows: DataFrame,
+    block: Sequence[str],
+    column: str,
+    score: str,
+    above: float,
+    embed: Embedder | None = None,
+) -> DataFrame:
+    """``<column>_a, <column>_b, score`` for the distinct texts of a block, both ways round.
+
+    Holds every text with itself, and two texts whose vectors' cosine lies above the limit.
+    The vectors are the rows' own, or are made here, once per distinct text.
+    """
+    vector = RECORD_VECTORS[column]
+    rows = rows.filter(F.col(column).isNotNull())
+    if embed is None:
+        texts = rows.groupBy(*block, column).agg(F.any_value(vector).alias(vector))
+    else:
+        texts = embed(rows.select(*block, column).distinct(), {column: vector})
+    near = similar_pairs(texts, block, column, {score: vector}, above)
+    a, b = F.col(f"{column}_a"), F.col(f"{column}_b")
+    turned = F.inline(
+        F.array(F.struct(a, b, score), F.struct(b.alias(f"{column}_a"), a.alias(f"{column}_b"), score))
+    )
+    own = F.when(vectors.vector_norm(vector) > 0, F.lit(1.0))
+    same = texts.select(
+        *block, F.col(column).alias(f"{column}_a"), F.col(column).alias(f"{column}_b"), own.alias(score)
+    )
+    return same.unionByName(near.select(*block, turned))
+
+
+def _similar_name_pairs(
+    rows: DataFrame,
+    block,
+    limits,
+    embed: Embedder | None = None,
+    condition: Column | None = None,
+) -> DataFrame:
+    """Labelled pairs of equal birth date and similar names.
+
+    They include every pair that one of the first three rules takes.
+    """
+    condition = F.col("id_a") < F.col("id_b") if condition is None else condition
     rows = rows.withColumn("dob", text.known_dob("dob"))
-    pairs = suffixed_pairs(rules.with_norms(rows), [*block, "dob"], "id", condition, **tiling)
-    pairs = pairs.withColumns({"dob_a": F.col("dob"), "dob_b": F.col("dob")})
-    return pairs.withColumns(rules.score_columns()).withColumn(
-        "match_type", rules.match_label(limits)
+    floors = (min(limits.high, limits.address),) * 2 + (limits.address,)
+    first, last, address = (
+        similar_texts(rows, block, column, score, floor, embed)
+        for column, score, floor in zip(RECORD_VECTORS, rules.SCORES, floors)
+    )
+    compared = rows.drop(*RECORD_VECTORS.values())
+    a, b = (
+        compared.withColumnsRenamed(
+            {c: f"{c}_{side}" for c in compared.columns if c not in (*block, "dob")}
+        )
+        for side in "ab"
+    )
+    pairs = (
+        a.join(first, [*block, "firstname_a"])
+        .join(last, [*block, "lastname_a"])
+        .join(b, [*block, "dob", "firstname_b", "lastname_b"])
+        .filter(condition)
+        .join(address, [*block, "address_a", "address_b"], "left")
     )
+    pairs = pairs.withColumns({"dob_a": F.col("dob"), "dob_b": F.col("dob")})
+    return pairs.withColumn("match_type", rules.match_label(limits))
 
 
 def _weight(same: Column, n_a: Column, n_b: Column) -> Column:
@@ -122,7 +181,6 @@ def match_type_counts(
     embed: Embedder,
     block: Sequence[str] = ("task_id",),
     limits: rules.Thresholds = rules.Thresholds(),
-    **tiling,
 ) -> DataFrame:
     """Number of pairs under each label, equal to counting the labelled pair relation.
 
@@ -131,10 +189,11 @@ def match_type_counts(
     """
     _check_edits(limits)
     block = list(block)
-    records = records.filter(_known(block))
-    folded = embed(profiles(records, block), RECORD_VECTORS)
-    labelled = _same_birth_pairs(
-        folded, block, limits, F.col("id_a") <= F.col("id_b"), **tiling
+    records = records.filter(known(block))
+    # Read for each kind of text and for both sides of the join.
+    folded = durable(profiles(records, block))
+    labelled = _similar_name_pairs(
+        folded, block, limits, embed, F.col("id_a") <= F.col("id_b")
     )
     weight = _weight(F.col("id_a") == F.col("id_b"), F.col("copies_a"), F.col("copies_b"))
     near = text.within_edits("lastname_a", "lastname_b", _MAX_EDITS)
@@ -182,7 +241,6 @@ def matched_pairs(
     records: DataFrame,
     block: Sequence[str] = ("task_id",),
     limits: rules.Thresholds = rules.Thresholds(),
-    **tiling,
 ) -> DataFrame:
     """The labelled pairs other than ``No Match``, with their scores.
 
@@ -191,11 +249,9 @@ def matched_pairs(
     """
     _check_edits(limits)
     block = list(block)
-    records = records.filter(_known(block))
-    compared = ["firstname", "lastname", "dob", "gender", *RECORD_VECTORS.values()]
-    labelled = _same_birth_pairs(
-        records.select(*block, "id", *compared), block, limits, **tiling
-    )
+    records = records.filter(known(block))
+    compared = [*RECORD_VECTORS, "dob", "gender", *RECORD_VECTORS.values()]
+    labelled = _similar_name_pairs(records.select(*block, "id", *compared), block, limits)
     strong = labelled.filter(F.col("match_type").isin(*STRONG)).select(*block, "id_a", "id_b")
 
     ids = records.select(*block, "id", "lastname")
@@ -214,18 +270,15 @@ def matched_pairs(
     ).distinct()
 
     pairs = found
-    sided = rules.with_norms(records.select(*block, "id", "country", *compared))
     for side in "ab":
-        names = {c: f"{c}_{side}" for c in sided.columns if c not in block}
-        pairs = pairs.join(sided.withColumnsRenamed(names), [*block, f"id_{side}"])
-    return rules.label_pairs(rules.score(pairs, block), limits)
-
-
-def _known(block: Sequence[str]) -> Column:
-    known = F.lit(True)
-    for c in block:
-        known = known & F.col(c).isNotNull()
-    return known
+        names = {c: f"{c}_{side}" for c in ("id", "country", *compared)}
+        sided = records.select(*block, *names).withColumnsRenamed(names)
+        pairs = pairs.join(sided, [*block, f"id_{side}"])
+    scores = {
+        score: vectors.cosine_similarity(f"{vector}_a", f"{vector}_b")
+        for score, vector in rules.SCORED_VECTORS.items()
+    }
+    return rules.label_pairs(rules.pair_columns(pairs.withColumns(scores), block), limits)
 
 
 def _check_edits(limits: rules.Thresholds) -> None:

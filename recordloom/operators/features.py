@@ -7,9 +7,9 @@ from itertools import product
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions import text, vectors
+from ..functions import text
 from ..functions.vectors import Embedder
-from .pairs import self_pairs
+from .tiles import similar_pairs
 
 LABEL = "response_final"
 
@@ -42,25 +42,29 @@ def pair_features(keys: DataFrame, **tiling) -> DataFrame:
     """Comparison of all pairs of a task, ``mcid_a < mcid_b`` as text."""
     sided = keys.select(
         "task_id", "mcid", "fn_ln_mi", "fn_ln_mi_vector", "fn_ln_mi_sprsd_vwl", "dob"
-    ).withColumn("norm", vectors.vector_norm("fn_ln_mi_vector"))
+    )
+    pairs = similar_pairs(
+        sided, ["task_id"], "mcid", {"fn_ln_mi_smlrty_score": "fn_ln_mi_vector"}, **tiling
+    )
     flags = {
-        f"{part}_match": text.date_part_agreement(part, "a.dob", "b.dob")
+        f"{part}_match": text.date_part_agreement(part, "dob_a", "dob_b")
         for part in ("month", "year", "day")
     }
-    name, bare = ("a.fn_ln_mi", "b.fn_ln_mi"), ("a.fn_ln_mi_sprsd_vwl", "b.fn_ln_mi_sprsd_vwl")
-    return self_pairs(sided, ["task_id"], "mcid", **tiling).select(
-        F.col("a.task_id").alias("task_id"),
-        *[F.col(f"{s}.mcid").alias(f"mcid_{s}") for s in "ab"],
-        *[F.col(f"{s}.fn_ln_mi").alias(f"fn_ln_mi_{s}") for s in "ab"],
-        vectors.cosine_similarity(
-            "a.fn_ln_mi_vector", "b.fn_ln_mi_vector", "a.norm", "b.norm"
-        ).alias("fn_ln_mi_smlrty_score"),
+    name = ("fn_ln_mi_a", "fn_ln_mi_b")
+    bare = ("fn_ln_mi_sprsd_vwl_a", "fn_ln_mi_sprsd_vwl_b")
+    return pairs.select(
+        "task_id",
+        "mcid_a",
+        "mcid_b",
+        *name,
+        "fn_ln_mi_smlrty_score",
         text.jaro_winkler_similarity(*name).alias("fn_ln_mi_jw"),
         text.jaccard_distance(*name).alias("fn_ln_mi_jd"),
         text.edit_distance(*name).alias("fn_ln_mi_ed"),
         text.edit_distance(*bare).alias("fn_ln_mi_sprs_vwl_ed"),
         text.jaro_winkler_similarity(*bare).alias("fn_ln_mi_sprs_vwl_jw"),
-        *[F.col(f"{s}.dob").alias(f"dob_{s}") for s in "ab"],
+        "dob_a",
+        "dob_b",
         *[flag.alias(n) for n, flag in flags.items()],
         sum(flags.values(), F.lit(0)).alias("total_match_score"),
     )
@@ -154,18 +158,16 @@ def feature_grid(
     fields = sorted({c for pair in comparisons.values() for c in pair})
     rows = members.withColumn("fn_ln_mi", key).select("task_id", "mcid", *fields).distinct()
     rows = embed(rows, {c: f"{c}_vector" for c in fields})
-    rows = rows.withColumns({f"{c}_norm": vectors.vector_norm(f"{c}_vector") for c in fields})
-    measured = {}
+    cosines = {n: (f"{left}_vector", f"{right}_vector") for n, (left, right) in comparisons.items()}
+    pairs = similar_pairs(rows, ["task_id"], "mcid", cosines, **tiling)
     for name, (left, right) in comparisons.items():
-        a, b = f"a.{left}", f"b.{right}"
-        measured[name] = vectors.cosine_similarity(
-            f"{a}_vector", f"{b}_vector", f"{a}_norm", f"{b}_norm"
+        a, b = f"{left}_a", f"{right}_b"
+        pairs = pairs.withColumns(
+            {
+                f"{name}_jd": text.jaccard_distance(a, b),
+                f"{name}_jw": text.jaro_winkler_similarity(a, b),
+            }
         )
-        measured[f"{name}_jd"] = text.jaccard_distance(a, b)
-        measured[f"{name}_jw"] = text.jaro_winkler_similarity(a, b)
-    pairs = self_pairs(rows, ["task_id"], "mcid", **tiling).select(
-        F.col("a.task_id").alias("task_id"), *[m.alias(n) for n, m in measured.items()]
-    )
     order = [f"{c}{m}" for m, c in product(("", "_jd", "_jw"), comparisons)]
     return pairs.groupBy("task_id").agg(
         *[

@@ -25,6 +25,11 @@ def ordered(id_column: str) -> Column:
     return F.col(f"a.{id_column}") < F.col(f"b.{id_column}")
 
 
+def known(columns: Sequence[str]) -> Column:
+    """True for rows with none of the columns NULL."""
+    return reduce(lambda x, c: x & F.col(c).isNotNull(), columns, F.lit(True))
+
+
 def block_sizes(records: DataFrame, block: Sequence[str]) -> DataFrame:
     """Records and pairs per block, known before any pair is formed."""
     n = F.count("*")
@@ -51,32 +56,6 @@ def self_pairs(
     return a.alias("a").join(b.alias("b").hint("merge"), _same(keys) & condition)
 
 
-def suffixed_pairs(
-    records: DataFrame,
-    block: Sequence[str] = ("task_id",),
-    id_column: str = "id",
-    condition: Column | None = None,
-    tile_rows: int = TILE_ROWS,
-) -> DataFrame:
-    """As ``self_pairs``, with the block columns once and all others as ``_a`` and ``_b``.
-
-    The columns get their names below the join. Renaming them above it makes the
-    optimizer weigh every mix of old and new names in a condition that uses many of them.
-    """
-    a, b, keys = _sides(records, list(block), id_column, tile_rows)
-    if condition is None:
-        condition = F.col(f"{id_column}_a") < F.col(f"{id_column}_b")
-    a, b = (
-        side.withColumnsRenamed({c: f"{c}_{s}" for c in records.columns if c not in block}).alias(s)
-        for s, side in (("a", a), ("b", b))
-    )
-    joined = a.join(b.hint("merge"), _same(keys) & condition)
-    others = [c for c in records.columns if c not in block]
-    return joined.select(
-        *[F.col(f"a.{c}") for c in block], *[f"{c}_{s}" for c in others for s in "ab"]
-    )
-
-
 def _same(keys: Sequence[str], a: str = "a", b: str = "b") -> Column:
     return reduce(lambda x, y: x & y, [F.col(f"{a}.{k}") == F.col(f"{b}.{k}") for k in keys])
 
@@ -103,7 +82,8 @@ def _sides(
         )
     else:
         sized = records.withColumn(_TILES, F.lit(-(-largest // tile_rows) or 1))
-    cell = F.pmod(F.xxhash64(id_column), F.col(_TILES))
+    # Never NULL, so that no test for it is derived and moved down to the scan.
+    cell = F.coalesce(F.pmod(F.xxhash64(id_column), F.col(_TILES)), F.lit(0))
     every = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(_TILES) - 1))
     keys = [*block, _ROW, _COLUMN]
     a = sized.withColumn(_ROW, cell).withColumn(_COLUMN, every)

@@ -10,7 +10,8 @@ from pyspark.sql.utils import AnalysisException, ParseException
 
 from ..functions import text, vectors
 from ..schemas import DISPLAY_NAMES, RECORD_VECTORS
-from .pairs import self_pairs, suffixed_pairs
+from .pairs import self_pairs
+from .tiles import similar_pairs
 
 # The labels, in rule order. The double space in ADDRESS is meant.
 EXACT = "Exact firstname+lastname+dob+gender"
@@ -24,7 +25,7 @@ HIGH_EARLIER = "hc-firstname+lc-lastname | Exact DOB+gender"
 SINGLETON = "Singleton"
 
 SCORES = ("fn_similarity_score", "ln_similarity_score", "adrs_similarity_score")
-_NORMS = {vector: f"{vector}_norm" for vector in RECORD_VECTORS.values()}
+SCORED_VECTORS = dict(zip(SCORES, RECORD_VECTORS.values()))
 
 
 @dataclass(frozen=True)
@@ -36,21 +37,6 @@ class Thresholds:
     max_edits: int = 3
 
 
-def with_norms(records: DataFrame) -> DataFrame:
-    """Vector lengths, computed once per record instead of once per pair."""
-    return records.withColumns({n: vectors.vector_norm(v) for v, n in _NORMS.items()})
-
-
-def score_columns() -> dict[str, Column]:
-    """The three scores over a pair row with ``_a``/``_b`` vectors and norms."""
-    return {
-        score: vectors.cosine_similarity(
-            f"{vector}_a", f"{vector}_b", f"{_NORMS[vector]}_a", f"{_NORMS[vector]}_b"
-        )
-        for score, vector in zip(SCORES, RECORD_VECTORS.values())
-    }
-
-
 def _equal_known_dob(a: str, b: str) -> Column:
     return text.known_dob(a) == text.known_dob(b)
 
@@ -94,16 +80,16 @@ def scored_pairs(
     carried = [*block, "id", *_PAIR_COLUMNS, *RECORD_VECTORS.values()]
     if with_text:
         carried.append("country")
-    pairs = suffixed_pairs(with_norms(records.select(*carried)), block, **tiling)
-    return score(pairs, block, with_text)
+    pairs = similar_pairs(records.select(*carried), block, "id", SCORED_VECTORS, **tiling)
+    return pair_columns(pairs, block, with_text)
 
 
-def score(pairs: DataFrame, block, with_text: bool = True) -> DataFrame:
-    """Compared columns, display texts and scores of joined pairs."""
+def pair_columns(pairs: DataFrame, block, with_text: bool = True) -> DataFrame:
+    """The pair relation's columns, with both records as one line of text each."""
     columns = [*block, "id_a", "id_b", *[f"{c}_{s}" for c in _PAIR_COLUMNS for s in "ab"]]
     if with_text:
         columns += [record_text("_a").alias("first_record"), record_text("_b").alias("second_record")]
-    return pairs.select(*columns, *[c.alias(name) for name, c in score_columns().items()])
+    return pairs.select(*columns, *SCORES)
 
 
 def record_text(side: str = "") -> Column:

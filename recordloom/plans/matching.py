@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import vectors
 from ..functions.vectors import Embedder, hashed_ngrams
-from ..operators import candidates, features, groups, model, pairs, rules
+from ..operators import candidates, features, groups, model, rules
+from ..operators.tiles import similar_pairs
 from ..schemas import COLUMN_SYNONYMS, RECORD_FILE, RECORD_VECTORS
 from ..session import durable
 from ..sources.readers import read_delimited, read_table_columns
@@ -84,32 +85,33 @@ def name_similarity(
     Records alike in first name and vector are one row before they are compared, and
     every result row carries the number of record pairs it stands for.
     """
-    folded = records.groupBy(*RECORD_VECTORS).agg(F.count("*").alias("copies"))
+    fold = {"copies": F.count("*"), "id": F.min("id")}
+    folded = records.groupBy(*RECORD_VECTORS).agg(*[c.alias(n) for n, c in fold.items()])
     embedded = embed(folded, RECORD_VECTORS)
     sized = embedded.withColumns(
         {f"{v}_norm": vectors.vector_norm(v) for v in RECORD_VECTORS.values()}
     )
     units = [vectors.scaled_to_unit(v, f"{v}_norm") for v in RECORD_VECTORS.values()]
     summed = sized.withColumn("full_vector", vectors.vector_sum(*units))
-    names = summed.groupBy("firstname", "full_vector").agg(F.sum("copies").alias("copies"))
-    names = names.withColumn("norm", vectors.vector_norm("full_vector"))
-    compared = pairs.self_pairs(
-        names, (), "full_vector", F.col("a.firstname") != F.col("b.firstname")
-    ).select(
-        F.col("a.firstname").alias("first_record"),
-        F.col("b.firstname").alias("second_record"),
-        F.round(
-            vectors.cosine_similarity("a.full_vector", "b.full_vector", "a.norm", "b.norm"),
-            digits,
-        ).alias("similarity_score"),
-        (F.col("a.copies") * F.col("b.copies")).alias("pairs"),
+    names = summed.groupBy("firstname", "full_vector").agg(
+        F.sum("copies").alias("copies"), F.min("id").alias("id")
+    )
+    # The limit is meant for rounded scores, so pairs just below it are still let through.
+    near = similar_pairs(names, (), "id", {"score": "full_vector"}, above - 10**-digits)
+    score = F.round("score", digits)
+    a, b = F.col("firstname_a"), F.col("firstname_b")
+    both = F.inline(
+        F.array(
+            F.struct(a.alias("first_record"), b.alias("second_record")),
+            F.struct(b.alias("first_record"), a.alias("second_record")),
+        )
     )
-    score = F.col("similarity_score")
     return (
-        compared.filter(score > above)
+        near.filter((a != b) & (score > above))
+        .select(both, score.alias("similarity_score"), (F.col("copies_a") * F.col("copies_b")).alias("pairs"))
         .groupBy("first_record", "second_record", "similarity_score")
         .agg(F.sum("pairs").alias("pairs"))
-        .withColumn("pattern_group", rules.score_band(score, high))
+        .withColumn("pattern_group", rules.score_band("similarity_score", high))
     )
 
 
