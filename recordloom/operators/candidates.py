@@ -19,7 +19,7 @@ from ..functions.vectors import Embedder
 from ..schemas import RECORD_VECTORS
 from ..session import durable
 from . import rules
-from .pairs import block_sizes, known, self_pairs
+from .pairs import Measure, block_sizes, known, measure, self_pairs
 from .tiles import similar_pairs
 
 # Two texts at most two edits apart always share a key of `edit_keys`.
@@ -75,13 +75,22 @@ def edit_keys(column: str) -> Column:
     )
 
 
-def near_names(names: DataFrame, block: Sequence[str], column: str = "lastname") -> DataFrame:
+def near_names(
+    names: DataFrame,
+    block: Sequence[str],
+    column: str = "lastname",
+    bound: Measure | None = None,
+) -> DataFrame:
     """Ordered pairs ``(<column>_a <= <column>_b)`` of distinct texts within two edits."""
     distinct = names.select(*block, column).filter(F.col(column).isNotNull()).distinct()
     keyed = distinct.withColumn("__key", F.explode(edit_keys(column)))
     # Many keys, few texts behind each: names sharing a key are nearly always near.
     pairs = self_pairs(
-        keyed, [*block, "__key"], column, F.col(f"a.{column}") <= F.col(f"b.{column}")
+        keyed,
+        [*block, "__key"],
+        column,
+        F.col(f"a.{column}") <= F.col(f"b.{column}"),
+        bound=bound,
     ).select(
         *[F.col(f"a.{c}").alias(c) for c in block],
         F.col(f"a.{column}").alias(f"{column}_a"),
@@ -112,6 +121,7 @@ def similar_texts(
     score: str,
     above: float,
     embed: Embedder | None = None,
+    bound: Measure | None = None,
 ) -> DataFrame:
     """``<column>_a, <column>_b, score`` for the distinct texts of a block, both ways round.
 
@@ -124,7 +134,7 @@ def similar_texts(
         texts = rows.groupBy(*block, column).agg(F.any_value(vector).alias(vector))
     else:
         texts = embed(rows.select(*block, column).distinct(), {column: vector})
-    near = similar_pairs(texts, block, column, {score: vector}, above)
+    near = similar_pairs(texts, block, column, {score: vector}, above, bound=bound)
     a, b = F.col(f"{column}_a"), F.col(f"{column}_b")
     turned = F.inline(
         F.array(F.struct(a, b, score), F.struct(b.alias(f"{column}_a"), a.alias(f"{column}_b"), score))
@@ -142,6 +152,7 @@ def _similar_name_pairs(
     limits,
     embed: Embedder | None = None,
     condition: Column | None = None,
+    bound: Measure | None = None,
 ) -> DataFrame:
     """Labelled pairs of equal birth date and similar names.
 
@@ -151,7 +162,7 @@ def _similar_name_pairs(
     rows = rows.withColumn("dob", text.known_dob("dob"))
     floors = (min(limits.high, limits.address),) * 2 + (limits.address,)
     first, last, address = (
-        similar_texts(rows, block, column, score, floor, embed)
+        similar_texts(rows, block, column, score, floor, embed, bound)
         for column, score, floor in zip(RECORD_VECTORS, rules.SCORES, floors)
     )
     compared = rows.drop(*RECORD_VECTORS.values())
@@ -192,8 +203,9 @@ def match_type_counts(
     records = records.filter(known(block))
     # Read for each kind of text and for both sides of the join.
     folded = durable(profiles(records, block))
+    bound = measure(folded, block)
     labelled = _similar_name_pairs(
-        folded, block, limits, embed, F.col("id_a") <= F.col("id_b")
+        folded, block, limits, embed, F.col("id_a") <= F.col("id_b"), bound
     )
     weight = _weight(F.col("id_a") == F.col("id_b"), F.col("copies_a"), F.col("copies_b"))
     near = text.within_edits("lastname_a", "lastname_b", _MAX_EDITS)
@@ -205,7 +217,7 @@ def match_type_counts(
 
     named = records.filter(F.col("lastname").isNotNull())
     sizes = named.groupBy(*block, "lastname").agg(F.count("*").alias("n"))
-    names = near_names(sizes, block)
+    names = near_names(sizes, block, bound=bound)
     for side in "ab":
         names = names.join(
             sizes.withColumnsRenamed({"lastname": f"lastname_{side}", "n": f"n_{side}"}),
@@ -251,11 +263,14 @@ def matched_pairs(
     block = list(block)
     records = records.filter(known(block))
     compared = [*RECORD_VECTORS, "dob", "gender", *RECORD_VECTORS.values()]
-    labelled = _similar_name_pairs(records.select(*block, "id", *compared), block, limits)
+    bound = measure(records, block)
+    labelled = _similar_name_pairs(
+        records.select(*block, "id", *compared), block, limits, bound=bound
+    )
     strong = labelled.filter(F.col("match_type").isin(*STRONG)).select(*block, "id_a", "id_b")
 
     ids = records.select(*block, "id", "lastname")
-    near = near_names(ids, block)
+    near = near_names(ids, block, bound=bound)
     # Each unordered pair of names is taken in both directions, a name with itself once.
     there = F.struct("lastname_a", "lastname_b")
     back = F.struct(F.col("lastname_b").alias("lastname_a"), F.col("lastname_a").alias("lastname_b"))

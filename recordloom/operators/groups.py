@@ -418,7 +418,7 @@ def partner_table(pairs: DataFrame, ids: Sequence[int]) -> DataFrame:
     """The partner lists of a few named records, one column each, one row per label."""
     sided = both_sides(pairs, "match_type").filter(F.col("id").isin(*ids))
     lists = paged_lists(sided, ["match_type", "id"], "partner", "partners")
-    return lists.groupBy("match_type", "page").pivot("id", list(ids)).agg(F.any_value("partners"))
+    return lists.groupBy("match_type", "page").pivot("id", list(ids)).agg(F.any_value("partners", True))
 
 
 def pair_lists(pairs: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ of them, are wanted, ``operators.candidates`` reaches them without forming all p
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -38,35 +39,64 @@ def block_sizes(records: DataFrame, block: Sequence[str]) -> DataFrame:
     )
 
 
+@dataclass(frozen=True)
+class Measure:
+    """Rows of a relation, in all and in its largest block."""
+
+    total: int
+    largest: int
+
+
+def measure(records: DataFrame, block: Sequence[str]) -> Measure:
+    """One pass over the block columns. Bounds every relation with a subset of the rows."""
+    sizes = block_sizes(records, block)
+    total, largest = sizes.agg(F.sum("records"), F.max("records")).first()
+    return Measure(total or 0, largest or 0)
+
+
 def self_pairs(
     records: DataFrame,
     block: Sequence[str] = ("task_id",),
     id_column: str = "id",
     condition: Column | None = None,
     tile_rows: int = TILE_ROWS,
+    bound: Measure | None = None,
 ) -> DataFrame:
     """Join ``records`` to itself inside each block.
 
     Columns of the two sides are reached as ``a.<column>`` and ``b.<column>``. The
     condition defaults to ``a.id < b.id``. Rows with a NULL block key form no pair. An
-    empty ``block`` pairs all records.
+    empty ``block`` pairs all records. A ``bound`` on the sizes saves measuring them when
+    it shows that no block is large.
     """
-    a, b, keys = _sides(records, list(block), id_column, tile_rows)
+    a, b, keys = _sides(records, list(block), id_column, tile_rows, bound)
     condition = ordered(id_column) if condition is None else condition
     return a.alias("a").join(b.alias("b").hint("merge"), _same(keys) & condition)
 
 
+def large_blocks(
+    records: DataFrame, block: Sequence[str], tile_rows: int, name: str
+) -> DataFrame:
+    """Blocks over ``tile_rows`` rows and the number of tiles each is cut into."""
+    sizes = block_sizes(records, block).filter(F.col("records") > tile_rows)
+    return sizes.select(*block, F.ceil(F.col("records") / tile_rows).alias(name))
+
+
 def _same(keys: Sequence[str], a: str = "a", b: str = "b") -> Column:
     return reduce(lambda x, y: x & y, [F.col(f"{a}.{k}") == F.col(f"{b}.{k}") for k in keys])
 
 
 def _sides(
-    records: DataFrame, block: list[str], id_column: str, tile_rows: int
+    records: DataFrame,
+    block: list[str],
+    id_column: str,
+    tile_rows: int,
+    bound: Measure | None,
 ) -> tuple[DataFrame, DataFrame, list[str]]:
     """Both sides of the join, spread over the cluster, and the columns they meet on."""
     width = shuffle_width(records)
-    sizes = block_sizes(records, block)
-    largest = sizes.agg(F.max("records")).first()[0] or 0
+    small = bound is not None and bound.largest <= tile_rows
+    largest = bound.largest if small else measure(records, block).largest
 
     if block and largest <= tile_rows:
         # The same shuffle serves both sides; its width is set by hand because the
@@ -74,12 +104,8 @@ def _sides(
         side = records.repartition(width, *block)
         return side, side, block
     if block:
-        large = sizes.filter(F.col("records") > tile_rows).select(
-            *block, F.ceil(F.col("records") / tile_rows).alias(_TILES)
-        )
-        sized = records.join(large, block, "left").withColumn(
-            _TILES, F.coalesce(_TILES, F.lit(1))
-        )
+        sized = records.join(large_blocks(records, block, tile_rows, _TILES), block, "left")
+        sized = sized.withColumn(_TILES, F.coalesce(_TILES, F.lit(1)))
     else:
         sized = records.withColumn(_TILES, F.lit(-(-largest // tile_rows) or 1))
     # Never NULL, so that no test for it is derived and moved down to the scan.

@@ -16,7 +16,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from ..session import shuffle_width
-from .pairs import block_sizes, known
+from .pairs import Measure, known, large_blocks, measure
 
 TILE_ROWS = 1024
 _STRIP = 64
@@ -32,6 +32,7 @@ def similar_pairs(
     similarities: Mapping[str, str | tuple[str, str]],
     above: float | None = None,
     tile_rows: int = TILE_ROWS,
+    bound: Measure | None = None,
 ) -> DataFrame:
     """Pairs ``id_a < id_b`` of each block with the cosine of every named vector column.
 
@@ -48,7 +49,7 @@ def similar_pairs(
     vectors = list(dict.fromkeys(v for sides in similarities.values() for v in sides))
     carried = [c for c in records.columns if c not in (*block, id_column, *vectors)]
     rows = records.filter(known(block))
-    placed = _placed(rows, block, id_column, tile_rows)
+    placed = _placed(rows, block, id_column, tile_rows, bound)
 
     fields = [records.schema[c] for c in block]
     for c in (id_column, *carried):
@@ -65,22 +66,22 @@ def similar_pairs(
     return placed.groupBy(_GROUP).applyInArrow(pair_up, T.StructType(fields))
 
 
-def _placed(rows: DataFrame, block: list[str], id_column: str, tile_rows: int) -> DataFrame:
+def _placed(
+    rows: DataFrame, block: list[str], id_column: str, tile_rows: int, bound: Measure | None
+) -> DataFrame:
     """Rows with their tile, the cell they go to, and the group that handles the cell."""
-    sizes = block_sizes(rows, block)
-    total, largest = sizes.agg(F.sum("records"), F.max("records")).first()
-    groups = max(shuffle_width(rows), -(-(total or 0) // tile_rows))
+    small = bound is not None and bound.largest <= tile_rows
+    found = bound if small else measure(rows, block)
+    groups = max(shuffle_width(rows), -(-found.total // tile_rows))
     shared = F.pmod(F.xxhash64(*block, F.lit(0)), F.lit(groups))
-    if (largest or 0) <= tile_rows:
+    if found.largest <= tile_rows:
         zero = F.lit(0).cast("bigint")
         return rows.withColumns({_TILE: zero, _LOW: zero, _HIGH: zero, _GROUP: shared})
     if block:
-        large = sizes.filter(F.col("records") > tile_rows).select(
-            *block, F.ceil(F.col("records") / tile_rows).alias(_TILES)
-        )
-        rows = rows.join(large, block, "left").withColumn(_TILES, F.coalesce(_TILES, F.lit(1)))
+        rows = rows.join(large_blocks(rows, block, tile_rows, _TILES), block, "left")
+        rows = rows.withColumn(_TILES, F.coalesce(_TILES, F.lit(1)))
     else:
-        rows = rows.withColumn(_TILES, F.lit(-(-largest // tile_rows)))
+        rows = rows.withColumn(_TILES, F.lit(-(-found.largest // tile_rows)))
     tile = F.coalesce(F.pmod(F.xxhash64(id_column), F.col(_TILES)), F.lit(0))
     other = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(_TILES) - 1)).alias("__other")
     rows = rows.withColumn(_TILE, tile).select("*", other)
