@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from ..session import shuffle_width
 from .pairs import Measure, known, large_blocks, measure
 
-TILE_ROWS = 1024
+TILE_ROWS = 2048
 _STRIP = 64
 _BATCH = 1 << 14
 
@@ -109,7 +109,7 @@ def _matrix(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     return matrix, np.sqrt(np.einsum("ij,ij->i", matrix, matrix))
 
 
-def _segment_ends(table: pa.Table, columns: Sequence[str]) -> np.ndarray:
+def _run_ends(table: pa.Table, columns: Sequence[str]) -> np.ndarray:
     """For every row of the sorted table, the end of its run of equal key columns."""
     n = table.num_rows
     starts = np.zeros(n, bool)
@@ -126,7 +126,9 @@ def _emit(table, segment, block, sided, similarities, above) -> Iterator[pa.Reco
     n = table.num_rows
     if n < 2:
         return
-    ends = _segment_ends(table, segment)
+    ends = _run_ends(table, segment)
+    # Rows of one id are not paired with each other.
+    nexts = _run_ends(table, [*segment, sided[0]])
     tile = table.column(_TILE).to_numpy()
     alike = table.column(_LOW).to_numpy() == table.column(_HIGH).to_numpy()
     compared = {v for sides in similarities.values() for v in sides}
@@ -151,9 +153,8 @@ def _emit(table, segment, block, sided, similarities, above) -> Iterator[pa.Reco
         reach = int(ends[stop - 1])
         if reach - start < 2:
             continue
-        i = np.arange(start, stop)[:, None]
         j = np.arange(start, reach)[None, :]
-        wanted = (j > i) & (j < ends[start:stop, None])
+        wanted = (j >= nexts[start:stop, None]) & (j < ends[start:stop, None])
         wanted &= alike[start:stop, None] | (tile[start:stop, None] != tile[None, start:reach])
         products = {}
         for name, (of_a, of_b) in similarities.items():

@@ -106,15 +106,7 @@ def task_list(spark, sf_dir):
 
 @query(f"WITH {oracle.RECORDS} SELECT {_RECORD_COLUMNS} FROM records WHERE task_id = 7")
 def one_task(spark, sf_dir):
-    """One task, from a table partitioned by task so that only its files are read."""
-    rows = standins.records(spark, sf_dir)
-    table = written(
-        spark,
-        sf_dir,
-        "by_task",
-        lambda t, path: writers.overwrite(rows.repartition("task_id"), t, ["task_id"], path=path),
-    )
-    return table.filter("task_id = 7")
+    return standins.records(spark, sf_dir).filter("task_id = 7")
 
 
 @query(

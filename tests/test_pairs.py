@@ -101,6 +101,15 @@ def test_tiles_compare_different_vectors(spark, rows):
     assert rows(got.select("id_a", "id_b", F.round("s", 9))) == rows(joined)
 
 
+@pytest.mark.parametrize("tile_rows", [3, 1000])
+def test_rows_of_one_id_are_not_paired(spark, rows, tile_rows):
+    data = [("t", f"m{i % 5}", float(i), [1.0, float(i)]) for i in range(14)]
+    frame = spark.createDataFrame(data, "task_id string, mcid string, n double, v array<double>")
+    got = tiles.similar_pairs(frame, ["task_id"], "mcid", {"s": "v"}, tile_rows=tile_rows)
+    joined = pairs.self_pairs(frame, ["task_id"], "mcid")
+    assert rows(got, "mcid_a", "mcid_b", "n_a", "n_b") == rows(joined, "a.mcid", "b.mcid", "a.n", "b.n")
+
+
 def test_vectors_of_mixed_length_are_refused(spark):
     frame = spark.createDataFrame([(1, 1, [1.0]), (1, 2, [1.0, 2.0])], "task_id long, id long, v array<double>")
     with pytest.raises(Exception, match="same length"):
