@@ -65,10 +65,14 @@ def letter_counts(text) -> Column:
     """26 counts of the letters a-z, ignoring case."""
     lowered = F.lower(col(text))
     letters = F.array(*[F.lit(c) for c in ascii_lowercase])
-    return F.transform(
-        F.when(lowered.isNotNull(), letters),
-        lambda c: (F.length(lowered) - F.length(F.replace(lowered, c, F.lit("")))).cast("float"),
-    )
+
+    def counts(s: Column) -> Column:
+        return F.transform(
+            letters, lambda c: (F.length(s) - F.length(F.replace(s, c, F.lit("")))).cast("float")
+        )
+
+    # The outer array holds the one lowered text, so that it is made once and not per letter.
+    return F.when(lowered.isNotNull(), F.transform(F.array(lowered), counts)[0])
 
 
 def embed_letters(df: DataFrame, columns: Mapping[str, str]) -> DataFrame:

@@ -17,9 +17,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions import text, vectors
 from ..functions.vectors import Embedder
 from ..schemas import RECORD_VECTORS
-from ..session import durable
+from ..session import durable, shuffle_width
 from . import rules
-from .pairs import Measure, block_sizes, known, measure, self_pairs
+from .pairs import TILE_ROWS, Measure, block_sizes, known, measure, self_pairs
 from .tiles import similar_pairs
 
 # Two texts at most two edits apart always share a key of `edit_keys`.
@@ -27,18 +27,15 @@ _MAX_EDITS = 2
 _SHORT = 16
 
 
-def _without_one(s: str) -> str:
-    """The text with each single character left out, as a SQL array."""
-    return (
-        f"transform(sequence(1, greatest(length({s}), 1)),"
-        f" i -> concat(left({s}, i - 1), substr({s}, i + 1)))"
-    )
-
-
 def _deletion_keys(s: str) -> str:
-    once = _without_one(s)
-    twice = f"flatten(transform({once}, v -> {_without_one('v')}))"
-    return f"transform(array_distinct(concat(array({s}), {once}, {twice})), v -> concat('d', v))"
+    """What is left of the text without up to two of its characters, as a SQL array."""
+    one = f"transform(sequence(1, greatest(length({s}), 1)), i -> concat(left({s}, i - 1), substr({s}, i + 1)))"
+    two = (
+        f"flatten(transform(sequence(1, greatest(length({s}) - 1, 1)), i ->"
+        f" transform(sequence(i, greatest(length({s}) - 1, 1)), j ->"
+        f" concat(left({s}, i - 1), substr({s}, i + 1, j - i), substr({s}, j + 2)))))"
+    )
+    return f"concat(array({s}), {one}, {two})"
 
 
 def _segment_keys(s: str) -> str:
@@ -57,9 +54,9 @@ def _segment_keys(s: str) -> str:
     )
     edits = _MAX_EDITS
     return (
-        f"array_distinct(array_compact(flatten(transform(sequence(length({s}) - {edits}, length({s})),"
+        f"array_compact(flatten(transform(sequence(length({s}) - {edits}, length({s})),"
         f" n -> flatten(transform(sequence(0, 2), k ->"
-        f" transform(sequence(-{edits}, {edits}), shift -> {piece})))))))"
+        f" transform(sequence(-{edits}, {edits}), shift -> {piece}))))))"
     )
 
 
@@ -67,11 +64,12 @@ def edit_keys(column: str) -> Column:
     """Keys such that texts at most two edits apart have one in common.
 
     Short texts are keyed by what remains after up to two deletions, long ones by
-    segments; lengths near the border get both, so either pair of lengths meets.
+    segments; lengths near the border get both, so either pair of lengths meets. Keys are
+    hashed: equal hashes of different keys only add a pair to verify.
     """
     return F.expr(
-        f"concat(if(length({column}) <= {_SHORT + _MAX_EDITS}, {_deletion_keys(column)}, array()),"
-        f" if(length({column}) > {_SHORT}, {_segment_keys(column)}, array()))"
+        f"array_distinct(transform(concat(if(length({column}) <= {_SHORT + _MAX_EDITS}, {_deletion_keys(column)}, array()),"
+        f" if(length({column}) > {_SHORT}, {_segment_keys(column)}, array())), key -> xxhash64(key)))"
     )
 
 
@@ -83,21 +81,22 @@ def near_names(
 ) -> DataFrame:
     """Ordered pairs ``(<column>_a <= <column>_b)`` of distinct texts within two edits."""
     distinct = names.select(*block, column).filter(F.col(column).isNotNull()).distinct()
-    keyed = distinct.withColumn("__key", F.explode(edit_keys(column)))
-    # Many keys, few texts behind each: names sharing a key are nearly always near.
+    # Spread by hand: a name of few bytes makes many keys.
+    spread = distinct.repartition(shuffle_width(names), F.xxhash64(*block, column))
+    keyed = spread.withColumn("__key", F.explode(edit_keys(column)))
+    if bound is None or bound.largest > TILE_ROWS:
+        keyed = durable(keyed)  # measured and joined
     pairs = self_pairs(
-        keyed,
-        [*block, "__key"],
-        column,
-        F.col(f"a.{column}") <= F.col(f"b.{column}"),
-        bound=bound,
+        keyed, [*block, "__key"], column, F.col(f"a.{column}") < F.col(f"b.{column}"), bound=bound
     ).select(
         *[F.col(f"a.{c}").alias(c) for c in block],
-        F.col(f"a.{column}").alias(f"{column}_a"),
-        F.col(f"b.{column}").alias(f"{column}_b"),
+        *[F.col(f"{side}.{column}").alias(f"{column}_{side}") for side in "ab"],
     )
     near = text.within_edits(f"{column}_a", f"{column}_b", _MAX_EDITS)
-    return pairs.filter(near).distinct()
+    itself = distinct.select(
+        *block, *[F.col(column).alias(f"{column}_{side}") for side in "ab"]
+    )
+    return itself.unionByName(pairs.filter(near).distinct())
 
 
 def profiles(records: DataFrame, block: Sequence[str]) -> DataFrame:

@@ -63,7 +63,9 @@ def similar_pairs(
         table = table.take(order).combine_chunks()
         return _emit(table, segment, block, [id_column, *carried], similarities, above)
 
-    return placed.groupBy(_GROUP).applyInArrow(pair_up, T.StructType(fields))
+    # Spread by hand: the work grows with the pairs, and few bytes can make many pairs.
+    spread = placed.repartition(shuffle_width(records), _GROUP)
+    return spread.groupBy(_GROUP).applyInArrow(pair_up, T.StructType(fields))
 
 
 def _placed(

@@ -8,6 +8,7 @@ from ..functions import text
 from ..functions.vectors import embed_letters
 from ..operators import features, model, prepare
 from ..operators.pairs import self_pairs
+from ..session import durable
 from . import oracle, standins
 from .matching import supervised_matching
 from .registry import query
@@ -199,7 +200,8 @@ def predictions(spark, sf_dir):
 
 
 def task_table(spark, sf_dir):
-    return features.task_features(compared(spark, sf_dir), standins.members(spark, sf_dir))
+    members = standins.members(spark, sf_dir)
+    return durable(features.task_features(compared(spark, sf_dir), members))
 
 
 @query()
