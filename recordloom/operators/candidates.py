@@ -152,22 +152,23 @@ def _similar_name_pairs(
     embed: Embedder | None = None,
     condition: Column | None = None,
     bound: Measure | None = None,
+    source: DataFrame | None = None,
 ) -> DataFrame:
     """Labelled pairs of equal birth date and similar names.
 
-    They include every pair that one of the first three rules takes.
+    They include every pair that one of the first three rules takes. Vectors are those of
+    ``source``, or made by ``embed``.
     """
     condition = F.col("id_a") < F.col("id_b") if condition is None else condition
     rows = rows.withColumn("dob", text.known_dob("dob"))
     floors = (min(limits.high, limits.address),) * 2 + (limits.address,)
     first, last, address = (
-        similar_texts(rows, block, column, score, floor, embed, bound)
+        similar_texts(rows if source is None else source, block, column, score, floor, embed, bound)
         for column, score, floor in zip(RECORD_VECTORS, rules.SCORES, floors)
     )
-    compared = rows.drop(*RECORD_VECTORS.values())
     a, b = (
-        compared.withColumnsRenamed(
-            {c: f"{c}_{side}" for c in compared.columns if c not in (*block, "dob")}
+        rows.withColumnsRenamed(
+            {c: f"{c}_{side}" for c in rows.columns if c not in (*block, "dob")}
         )
         for side in "ab"
     )
@@ -256,43 +257,105 @@ def matched_pairs(
     """The labelled pairs other than ``No Match``, with their scores.
 
     Equals ``rules.match_pairs`` filtered, without forming the pairs that fail all rules.
-    Only id pairs are exchanged until a pair is known to match.
+    Records alike in all text columns are matched and scored as one profile, named by its
+    lowest id, and only the matches of profiles are spelled out as pairs of records.
     """
     _check_edits(limits)
     block = list(block)
     records = records.filter(known(block))
-    compared = [*RECORD_VECTORS, "dob", "gender", *RECORD_VECTORS.values()]
-    bound = measure(records, block)
-    labelled = _similar_name_pairs(
-        records.select(*block, "id", *compared), block, limits, bound=bound
+    folded = durable(
+        records.groupBy(*block, *_SHOWN).agg(F.count("*").alias("copies"), F.min("id").alias("id"))
+    )
+    bound = measure(folded, block)
+    worthwhile = (F.col("id_a") < F.col("id_b")) | (
+        (F.col("id_a") == F.col("id_b")) & (F.col("copies_a") > 1)
     )
-    strong = labelled.filter(F.col("match_type").isin(*STRONG)).select(*block, "id_a", "id_b")
+    found_columns = [*block, "id_a", "id_b", "copies_b"]
+    strong = _similar_name_pairs(
+        folded, block, limits, condition=worthwhile, bound=bound, source=records
+    ).filter(F.col("match_type").isin(*STRONG))
 
-    ids = records.select(*block, "id", "lastname")
-    near = near_names(ids, block, bound=bound)
+    named = folded.select(*block, "id", "copies", "lastname")
+    near = near_names(named, block, bound=bound)
     # Each unordered pair of names is taken in both directions, a name with itself once.
     there = F.struct("lastname_a", "lastname_b")
     back = F.struct(F.col("lastname_b").alias("lastname_a"), F.col("lastname_a").alias("lastname_b"))
-    both = near.select(*block, F.inline(F.array_distinct(F.array(there, back))))
+    fuzzy = near.select(*block, F.inline(F.array_distinct(F.array(there, back))))
     for side in "ab":
-        both = both.join(
-            ids.withColumnsRenamed({"lastname": f"lastname_{side}", "id": f"id_{side}"}),
-            [*block, f"lastname_{side}"],
-        )
-    found = strong.unionByName(
-        both.filter("id_a < id_b").select(*block, "id_a", "id_b")
-    ).distinct()
+        names = {c: f"{c}_{side}" for c in ("lastname", "id", "copies")}
+        fuzzy = fuzzy.join(named.withColumnsRenamed(names), [*block, f"lastname_{side}"])
+    fuzzy = fuzzy.filter(worthwhile)
+    found = strong.select(*found_columns).unionByName(fuzzy.select(*found_columns)).distinct()
 
-    pairs = found
+    compared = [*_SHOWN, *RECORD_VECTORS.values()]
+    pairs = found.withColumn("tiles", F.ceil(F.col("copies_b") / TILE_ROWS))
     for side in "ab":
-        names = {c: f"{c}_{side}" for c in ("id", "country", *compared)}
+        names = {c: f"{c}_{side}" for c in ("id", *compared)}
         sided = records.select(*block, *names).withColumnsRenamed(names)
         pairs = pairs.join(sided, [*block, f"id_{side}"])
     scores = {
         score: vectors.cosine_similarity(f"{vector}_a", f"{vector}_b")
         for score, vector in rules.SCORED_VECTORS.items()
     }
-    return rules.label_pairs(rules.pair_columns(pairs.withColumns(scores), block), limits)
+    scored = rules.pair_columns(pairs.withColumns(scores), block, True, "tiles")
+    return _spelled_out(rules.label_pairs(scored, limits), _members(records, folded, block), block)
+
+
+_SHOWN = (*RECORD_VECTORS, "dob", "gender", "country")
+
+
+def _members(records: DataFrame, folded: DataFrame, block: Sequence[str]) -> DataFrame:
+    """``profile, id`` and the profile's number of copies, for every record."""
+    same = [F.col(f"r.{c}").eqNullSafe(F.col(f"f.{c}")) for c in (*block, *_SHOWN)]
+    joined = records.select(*block, "id", *_SHOWN).alias("r").join(
+        folded.alias("f"), reduce(lambda x, y: x & y, same)
+    )
+    return joined.select(
+        *[F.col(f"r.{c}").alias(c) for c in block], F.col("f.id").alias("profile"), "r.id", "copies"
+    )
+
+
+def _spelled_out(pairs: DataFrame, members: DataFrame, block: Sequence[str]) -> DataFrame:
+    """Pairs of profiles as pairs of records, the lower id first.
+
+    The records of a large profile are dealt to tiles, so that its pairs are not all made
+    in one place.
+    """
+    a = members.select(*block, F.col("profile").alias("id_a"), F.col("id").alias("__x"))
+    tile = F.coalesce(
+        F.pmod(F.xxhash64("id"), F.ceil(F.col("copies") / TILE_ROWS)), F.lit(0)
+    )
+    b = members.select(
+        *block, F.col("profile").alias("id_b"), F.col("id").alias("__y"), tile.alias("__tile")
+    )
+    every = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("tiles") - 1))
+    spelled = (
+        pairs.withColumn("__tile", every)
+        .join(a, [*block, "id_a"])
+        .join(b, [*block, "id_b", "__tile"])
+        .filter((F.col("id_a") != F.col("id_b")) | (F.col("__x") < F.col("__y")))
+    )
+    forward = F.col("__x") < F.col("__y")
+
+    def turned(column: str) -> Column:
+        if column == "id_a":
+            return F.least("__x", "__y")
+        if column == "id_b":
+            return F.greatest("__x", "__y")
+        other = _OTHER_SIDE.get(column)
+        if other is None:
+            return F.col(column)
+        return F.when(forward, F.col(column)).otherwise(F.col(other))
+
+    kept = [c for c in pairs.columns if c != "tiles"]
+    return spelled.select(*[turned(c).alias(c) for c in kept])
+
+
+_OTHER_SIDE = {
+    f"{c}_{x}": f"{c}_{y}"
+    for c in ("dob", "gender", "firstname", "lastname")
+    for x, y in ("ab", "ba")
+} | {"first_record": "second_record", "second_record": "first_record"}
 
 
 def _check_edits(limits: rules.Thresholds) -> None:

@@ -84,9 +84,9 @@ def scored_pairs(
     return pair_columns(pairs, block, with_text)
 
 
-def pair_columns(pairs: DataFrame, block, with_text: bool = True) -> DataFrame:
+def pair_columns(pairs: DataFrame, block, with_text: bool = True, *carried: str) -> DataFrame:
     """The pair relation's columns, with both records as one line of text each."""
-    columns = [*block, "id_a", "id_b", *[f"{c}_{s}" for c in _PAIR_COLUMNS for s in "ab"]]
+    columns = [*block, *carried, "id_a", "id_b", *[f"{c}_{s}" for c in _PAIR_COLUMNS for s in "ab"]]
     if with_text:
         columns += [record_text("_a").alias("first_record"), record_text("_b").alias("second_record")]
     return pairs.select(*columns, *SCORES)

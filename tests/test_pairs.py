@@ -179,10 +179,20 @@ def test_matches_equal_the_labelled_pairs(spark, rows, block):
     assert rows(candidates.match_type_counts(records, vectors.embed_letters, block)) == rows(counts)
     found = candidates.matched_pairs(embedded, block)
     assert found.columns == everything.columns
-    columns = ["id_a", "id_b", "match_type", *[F.round(s, 9) for s in rules.SCORES]]
+    columns = [c for c in found.columns if c not in rules.SCORES]
+    columns += [F.round(s, 9) for s in rules.SCORES]
     assert rows(found, *columns) == rows(everything.filter("match_type <> 'No Match'"), *columns)
 
 
+def test_matches_of_large_profiles_are_dealt_to_tiles(spark, rows, monkeypatch):
+    embedded = vectors.embed_letters(people(spark, 60).withColumn("lastname", F.lit("same")), RECORD_VECTORS)
+    want = rules.match_pairs(embedded).filter("match_type <> 'No Match'")
+    monkeypatch.setattr(candidates, "TILE_ROWS", 2)
+    found = candidates.matched_pairs(embedded)
+    columns = [c for c in found.columns if c not in rules.SCORES]
+    assert rows(found, *columns) == rows(want, *columns) != []
+
+
 def test_limits_beyond_the_keys_are_refused(spark):
     with pytest.raises(ValueError, match="two edits"):
         candidates.matched_pairs(people(spark), limits=rules.Thresholds(max_edits=4))
