@@ -19,7 +19,7 @@ from ..functions.vectors import Embedder
 from ..schemas import RECORD_VECTORS
 from ..session import durable, shuffle_width
 from . import rules
-from .pairs import TILE_ROWS, Measure, block_sizes, known, measure, self_pairs
+from .pairs import TILE_ROWS, Measure, block_sizes, known, measure, pairs_among, self_pairs
 from .tiles import similar_pairs
 
 # Two texts at most two edits apart always share a key of `edit_keys`.
@@ -184,7 +184,7 @@ def _similar_name_pairs(
 
 
 def _weight(same: Column, n_a: Column, n_b: Column) -> Column:
-    return F.when(same, F.shiftright(n_a * (n_a - 1), 1)).otherwise(n_a * n_b)
+    return F.when(same, pairs_among(n_a)).otherwise(n_a * n_b)
 
 
 def match_type_counts(

@@ -33,25 +33,30 @@ def known(columns: Sequence[str]) -> Column:
 
 def block_sizes(records: DataFrame, block: Sequence[str]) -> DataFrame:
     """Records and pairs per block, known before any pair is formed."""
-    n = F.count("*")
-    return records.groupBy(*block).agg(
-        n.alias("records"), F.expr("count(*) * (count(*) - 1) div 2").alias("pairs")
-    )
+    sizes = records.groupBy(*block).agg(F.count("*").alias("records"))
+    return sizes.withColumn("pairs", pairs_among(F.col("records")))
+
+
+def pairs_among(n: Column) -> Column:
+    """n(n-1)/2, halving the even factor first so that the product stays small."""
+    return F.when(n % 2 == 0, F.shiftright(n, 1) * (n - 1)).otherwise(n * F.shiftright(n - 1, 1))
 
 
 @dataclass(frozen=True)
 class Measure:
-    """Rows of a relation, in all and in its largest block."""
+    """Rows of a relation, in all and in its largest block, and its pairs."""
 
     total: int
     largest: int
+    pairs: int
 
 
 def measure(records: DataFrame, block: Sequence[str]) -> Measure:
     """One pass over the block columns. Bounds every relation with a subset of the rows."""
     sizes = block_sizes(records, block)
-    total, largest = sizes.agg(F.sum("records"), F.max("records")).first()
-    return Measure(total or 0, largest or 0)
+    pairs = F.sum(F.col("pairs").cast("double"))
+    row = sizes.agg(F.sum("records"), F.max("records"), pairs).first()
+    return Measure(*(int(value or 0) for value in row))
 
 
 def self_pairs(
@@ -94,9 +99,11 @@ def _sides(
     bound: Measure | None,
 ) -> tuple[DataFrame, DataFrame, list[str]]:
     """Both sides of the join, spread over the cluster, and the columns they meet on."""
-    width = shuffle_width(records)
-    small = bound is not None and bound.largest <= tile_rows
-    largest = bound.largest if small else measure(records, block).largest
+    if bound is not None and bound.largest <= tile_rows:
+        largest, width = bound.largest, shuffle_width(records)
+    else:
+        found = measure(records, block)
+        largest, width = found.largest, shuffle_width(records, found.pairs)
 
     if block and largest <= tile_rows:
         # The same shuffle serves both sides; its width is set by hand because the

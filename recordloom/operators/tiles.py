@@ -49,7 +49,10 @@ def similar_pairs(
     vectors = list(dict.fromkeys(v for sides in similarities.values() for v in sides))
     carried = [c for c in records.columns if c not in (*block, id_column, *vectors)]
     rows = records.filter(known(block))
-    placed = _placed(rows, block, id_column, tile_rows, bound)
+    small = bound is not None and bound.largest <= tile_rows
+    found = bound if small else measure(rows, block)
+    width = shuffle_width(records, found.pairs)
+    placed = _placed(rows, block, id_column, tile_rows, found, width)
 
     fields = [records.schema[c] for c in block]
     for c in (id_column, *carried):
@@ -64,17 +67,15 @@ def similar_pairs(
         return _emit(table, segment, block, [id_column, *carried], similarities, above)
 
     # Spread by hand: the work grows with the pairs, and few bytes can make many pairs.
-    spread = placed.repartition(shuffle_width(records), _GROUP)
+    spread = placed.repartition(width, _GROUP)
     return spread.groupBy(_GROUP).applyInArrow(pair_up, T.StructType(fields))
 
 
 def _placed(
-    rows: DataFrame, block: list[str], id_column: str, tile_rows: int, bound: Measure | None
+    rows: DataFrame, block: list[str], id_column: str, tile_rows: int, found: Measure, width: int
 ) -> DataFrame:
     """Rows with their tile, the cell they go to, and the group that handles the cell."""
-    small = bound is not None and bound.largest <= tile_rows
-    found = bound if small else measure(rows, block)
-    groups = max(shuffle_width(rows), -(-found.total // tile_rows))
+    groups = max(width, -(-found.total // tile_rows))
     shared = F.pmod(F.xxhash64(*block, F.lit(0)), F.lit(groups))
     if found.largest <= tile_rows:
         zero = F.lit(0).cast("bigint")

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -30,7 +29,6 @@ def load_records(spark: SparkSession, path: str, table: str) -> DataFrame:
 def match_and_group(
     records: DataFrame,
     embed: Embedder | None = None,
-    block: Sequence[str] = ("task_id",),
     limits: rules.Thresholds = rules.Thresholds(),
     exclude_no_match: bool = False,
     keep_unpaired: bool = False,
@@ -43,9 +41,9 @@ def match_and_group(
     """
     embedded = records if embed is None else embed_columns(records, embed)
     if exclude_no_match:
-        labelled = candidates.matched_pairs(embedded, block, limits)
+        labelled = candidates.matched_pairs(embedded, limits=limits)
     else:
-        scored = rules.scored_pairs(embedded, block, with_text=False)
+        scored = rules.scored_pairs(embedded, with_text=False)
         labelled = rules.label_pairs(scored, limits)
     return groups.grouped_records(
         labelled, records.select(*ORIGINAL_COLUMNS), keep_unpaired=keep_unpaired

@@ -52,5 +52,12 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def shuffle_width(df: DataFrame) -> int:
-    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+def shuffle_width(df: DataFrame, work: int | None = None) -> int:
+    """Partitions for a shuffle set by hand: the session's number, or fewer for little work.
+
+    ``work`` counts what the shuffled rows will be turned into, such as pairs.
+    """
+    width = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    if work is None:
+        return width
+    return min(width, max(df.sparkSession.sparkContext.defaultParallelism, work // 20_000))
