@@ -25,6 +25,8 @@ from .tiles import similar_pairs
 # Two texts at most two edits apart always share a key of `edit_keys`.
 _MAX_EDITS = 2
 _SHORT = 16
+# About what a last name makes; only used to judge how far to spread the names.
+_KEYS_PER_NAME = 60
 
 
 def _deletion_keys(s: str) -> str:
@@ -82,7 +84,8 @@ def near_names(
     """Ordered pairs ``(<column>_a <= <column>_b)`` of distinct texts within two edits."""
     distinct = names.select(*block, column).filter(F.col(column).isNotNull()).distinct()
     # Spread by hand: a name of few bytes makes many keys.
-    spread = distinct.repartition(shuffle_width(names), F.xxhash64(*block, column))
+    width = shuffle_width(names, bound and bound.total * _KEYS_PER_NAME)
+    spread = distinct.repartition(width, F.xxhash64(*block, column))
     keyed = spread.withColumn("__key", F.explode(edit_keys(column)))
     if bound is None or bound.largest > TILE_ROWS:
         keyed = durable(keyed)  # measured and joined

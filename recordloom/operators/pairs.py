@@ -100,7 +100,7 @@ def _sides(
 ) -> tuple[DataFrame, DataFrame, list[str]]:
     """Both sides of the join, spread over the cluster, and the columns they meet on."""
     if bound is not None and bound.largest <= tile_rows:
-        largest, width = bound.largest, shuffle_width(records)
+        largest, width = bound.largest, shuffle_width(records, bound.pairs)
     else:
         found = measure(records, block)
         largest, width = found.largest, shuffle_width(records, found.pairs)
