@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -42,14 +43,33 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """Write ``df`` once to the shared folder and continue from the written rows.
+def stored(df: DataFrame) -> DataFrame:
+    """Write ``df`` once as Parquet to the shared folder and read it back.
 
     Used where a result is read several times, or where it depends on how rows were
     laid out in partitions and must not be computed again after an executor is lost.
+    Parquet keeps column pruning, pushed filters and sizes for the planner.
+    ``remove_stored`` deletes the files when the results are no longer needed.
     """
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    spark = df.sparkSession
+    path = f"{stored_folder(spark)}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def stored_folder(spark: SparkSession) -> str:
+    return f"{shared_folder(spark)}/recordloom-{spark.sparkContext.applicationId}"
+
+
+def remove_stored(spark: SparkSession) -> None:
+    """Delete what ``stored`` wrote in this application."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(stored_folder(spark))
+    hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
+
+
+def durable(df: DataFrame) -> DataFrame:
+    """``df``, written once and read from the written rows."""
+    return stored(df)
 
 
 def shuffle_width(df: DataFrame, work: int | None = None) -> int:
