@@ -65,79 +65,108 @@ def transform(strings: list[bytes]) -> Transform:
 
 @dataclass
 class Merged:
-    """The shard of each suffix in merged order, and where intervals begin whose suffixes
-    share their first ``depth`` symbols."""
+    """Suffixes in merged order, as numbers that count through the shards, and where intervals
+    begin whose suffixes share their first ``depth`` symbols."""
 
-    shard: np.ndarray
+    suffix: np.ndarray
     begins: np.ndarray
 
-    def intervals(self) -> np.ndarray:
-        return np.flatnonzero(self.begins)
-
 
 def merge(shards: list[Transform], depth: int) -> Merged:
     """Interleave the transforms until suffixes are in order of their first ``depth`` symbols.
 
-    At first the shards follow each other. A round writes the symbol before each suffix in
-    the present order; taking the suffixes stably by that symbol orders them by one symbol
-    more. Two neighbours then differ if their symbols do or if the suffixes after them were
-    apart already: so the common prefixes grow along, and nothing is compared or sorted
-    again. Ends of strings differ from each other and stay at the front.
+    At first the shards follow each other. A round takes the suffixes in the present order,
+    stably by the symbol before them: so the suffixes that begin with these symbols are in
+    order of one symbol more. Two neighbours of an interval then part if the suffixes after
+    their first symbols were apart already: so the common prefixes grow along, and nothing is
+    compared or sorted again. A suffix that is alone in its interval has its final place, so
+    a round is only about the others. Ends of strings differ from each other and stay first.
+    When two symbols are in order, no suffix that is left has its end among them, and a round
+    takes the two symbols before each suffix at once.
     """
     symbols = np.concatenate([s.symbols for s in shards])
-    kind = np.uint8 if len(shards) < 256 else np.uint16 if len(shards) < 65536 else np.int64
-    shard = np.repeat(np.arange(len(shards)).astype(kind), [len(s.symbols) for s in shards])
-    ends = np.repeat(np.arange(len(shards)).astype(kind), [s.strings for s in shards])
-    n, r = len(symbols), len(ends)
-    begins = np.zeros(n, bool)
-    begins[:1] = True
-    now = np.empty(n, np.uint8)
-    for _ in range(depth):
-        now[np.argsort(shard, kind="stable")] = symbols
-        order = np.argsort(now, kind="stable")[r:]
-        block = np.cumsum(begins, dtype=np.int32)[order]
-        first = now[order]
-        fresh = np.ones(n, bool)
-        fresh[r + 1 :] = (first[1:] != first[:-1]) | (block[1:] != block[:-1])
-        moved = np.concatenate((ends, shard[order]))
-        if np.array_equal(fresh, begins) and np.array_equal(moved, shard):
-            break
-        shard, begins = moved, fresh
-    return Merged(shard, begins)
+    n = len(symbols)
+    lengths = np.array([len(s.symbols) for s in shards])
+    base = np.concatenate(([0], np.cumsum(lengths)))
+    is_end = np.zeros(n, bool)
+    for s, first in zip(shards, base[:-1], strict=True):
+        is_end[first : first + s.strings] = True
+    # the suffix after the first symbol of each, and the other way round
+    after, longer = np.zeros(n, np.int32), np.zeros(n, np.int32)
+    for s, first in zip(shards, base[:-1], strict=True):
+        order = np.argsort(s.symbols, kind="stable")[s.strings :] + first
+        places = np.arange(first + s.strings, first + len(s.symbols))
+        after[places], longer[order] = order, places
+    order = np.argsort(symbols, kind="stable")
+    ends = np.flatnonzero(is_end)
+    order = order[len(ends) :]
+    suffix = np.concatenate((ends, longer[order])).astype(np.int32)
+    place = np.empty(n, np.int32)
+    place[suffix] = np.arange(n, dtype=np.int32)
+    begins = np.ones(n + 1, bool)
+    first = symbols[order]
+    begins[len(ends) + 1 : n] = first[1:] != first[:-1]
+    head = np.maximum.accumulate(np.where(begins[:n], np.arange(n), 0)).astype(np.int32)
+    taken = np.zeros(n, bool)
+    open_places = np.flatnonzero(~(begins[:n] & begins[1:])).astype(np.int32)
+    # by the number of symbols of a round: what follows, what precedes, and these symbols
+    steps = {1: (after, longer, symbols)}
+    if depth > 3 and len(open_places):
+        pair = (symbols[longer].astype(np.uint16) << 8) | symbols
+        steps[2] = (after[after], longer[longer], pair)
+    known = 1
+    while known < depth and len(open_places):
+        step = 2 if known > 1 and depth - known > 1 else 1
+        behind, ahead, codes = steps[step]
+        known += step
+        old = suffix[open_places]
+        following = place[behind[old]]
+        taken[following] = True
+        following = np.flatnonzero(taken)
+        taken[following] = False
+        now = suffix[following]
+        order = np.argsort(codes[now], kind="stable")
+        new, heads = ahead[now[order]], head[following[order]]
+        fresh = begins[open_places]
+        apart = fresh.copy()
+        apart[1:] |= heads[1:] != heads[:-1]
+        suffix[open_places] = new
+        place[new] = open_places
+        begins[open_places] = apart
+        start = np.maximum.accumulate(np.where(apart, np.arange(len(apart)), 0))
+        head[open_places] = open_places[start]
+        alone = apart & begins[open_places + 1]
+        open_places = open_places[~alone]
+    return Merged(suffix, begins[:n])
 
 
 def least_owners(
-    strings: list[bytes], owners: np.ndarray, depth: int, shard_strings: int
-) -> list[np.ndarray]:
+    strings: list[bytes], owners: np.ndarray, depth: int, shard_sizes: list[int]
+) -> tuple[np.ndarray, np.ndarray]:
     """For each string and each of its substrings of ``depth`` bytes, the least owner of any
-    string that has the substring.
+    string that has the substring: all in one array, and where each string's begin.
 
-    The strings are cut into shards, each is transformed alone, and the transforms are
-    merged; the intervals of the merged order are the repeated substrings.
+    ``shard_sizes`` says how many strings, in order, make a shard. Each shard is transformed
+    alone, and the transforms are merged; the intervals of the merged order are the repeated
+    substrings.
     """
-    starts = []
-    shards = []
-    base = []
-    for first in range(0, len(strings), shard_strings):
-        part = strings[first : first + shard_strings]
-        shards.append(transform(part))
-        lengths = np.fromiter(map(len, part), np.int64, len(part))
-        starts.append(np.concatenate(([0], np.cumsum(lengths + 1)))[:-1])
-        base.append(first)
-    merged = merge(shards, depth)
     lengths = np.fromiter(map(len, strings), np.int64, len(strings))
-    string = np.empty(len(merged.shard), np.int64)
-    offset = np.empty(len(merged.shard), np.int64)
-    for s, one in enumerate(shards):
-        own = merged.shard == s
-        inside = np.searchsorted(starts[s], one.places, "right") - 1
-        string[own] = inside + base[s]
-        offset[own] = one.places - starts[s][inside]
-    least = np.minimum.reduceat(owners[string], merged.intervals())
+    ends = np.concatenate(([0], np.cumsum(np.maximum(0, lengths - depth + 1))))
+    shards, string, offset = [], [], []
+    cuts = np.concatenate(([0], np.cumsum(shard_sizes))).tolist()
+    for first, last in zip(cuts[:-1], cuts[1:], strict=True):
+        one = transform(strings[first:last])
+        starts = np.concatenate(([0], np.cumsum(lengths[first:last] + 1)))[:-1]
+        inside = np.searchsorted(starts, one.places, "right") - 1
+        shards.append(one)
+        string.append(inside + first)
+        offset.append(one.places - starts[inside])
+    merged = merge(shards, depth)
+    string = np.concatenate(string)[merged.suffix]
+    offset = np.concatenate(offset)[merged.suffix]
+    least = np.minimum.reduceat(owners[string], np.flatnonzero(merged.begins))
     each = least[np.cumsum(merged.begins) - 1]
     full = lengths[string] - offset >= depth
-    sizes = np.maximum(0, lengths - depth + 1)
-    ends = np.concatenate(([0], np.cumsum(sizes)))
     out = np.empty(ends[-1], owners.dtype)
     out[ends[string[full]] + offset[full]] = each[full]
-    return np.split(out, ends[1:-1])
+    return out, ends

@@ -1,26 +1,30 @@
-"""Repeated passages: bytes covered by strings that an earlier document has too."""
+"""Repeated passages: bytes covered by strings that an earlier document has too.
 
-from __future__ import annotations
+Documents are dealt to shards, and the anchors of their strings to buckets. Shards ask the
+buckets three times, each time about less: which anchors do several documents have; do all
+runs with such an anchor look alike; and where they differ, which document has each string
+first. Only the last question needs the strings themselves: the buckets transform them shard
+by shard and merge the transforms.
+"""
 
-from collections.abc import Iterator
+from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .bwt import least_owners
 from .names import free_names
 from .words import BYTE_VALUES, U64, mix, powers, text_bytes
 
 #: Bytes of a repeated string, and of the anchors by which equal strings meet.
-LENGTH, ANCHOR = 50, 20
+LENGTH, ANCHOR = 50, 24
 #: Bytes of text that are hashed together; a longer text is cut, the pieces overlap.
-BLOCK = 1 << 21
-#: Bytes of text for each bucket of anchors, so that a bucket has half a million.
-BUCKET_BYTES = 8 << 20
-#: Strings of one shard of a bucket.
-SHARD_STRINGS = 1 << 13
+BLOCK = 1 << 17
+#: Bytes of text in a shard of documents, and for each bucket of anchors.
+SHARD_BYTES, BUCKET_BYTES = 4 << 20, 4 << 20
 
 
 class Runs:
@@ -100,237 +104,384 @@ def _runs(data: np.ndarray, pieces: list, length: int, anchor: int, low: int):
     return starts + low, rows[piece], counts, least[starts], content
 
 
-def _short(anchors: np.ndarray) -> np.ndarray:
-    """40 bits of an anchor, which tell anchors of one bucket apart well enough to find
-    those that may repeat."""
-    return (anchors >> U64(24)).astype(np.int64)
+def _names(schema: str) -> list[str]:
+    return [c.split()[0] for c in schema.split(", ")]
 
 
-def _packed(values: np.ndarray) -> bytes:
-    return values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5].tobytes()
+def _array(packed: list, kind: str) -> np.ndarray:
+    return np.frombuffer(b"".join(packed), kind)
 
 
-def _unpacked(packed: bytes) -> np.ndarray:
-    out = np.zeros((len(packed) // 5, 8), np.uint8)
-    out[:, :5] = np.frombuffer(packed, np.uint8).reshape(-1, 5)
-    return out.reshape(-1).view("<u8").astype(np.int64)
+class Shard:
+    """The runs of one shard's documents. A run's key has its bucket in the high half and 32
+    bits of its anchor in the low half. Rows with a NULL id have no runs."""
 
+    def __init__(self, table: pa.Table, buckets: int, how: tuple[str, str, int, int]):
+        id_column, text_column, length, anchor = how
+        ids = table.column(id_column).cast(pa.int64()).combine_chunks()
+        self.data, self.offsets = text_bytes(table.column(text_column))
+        self.runs = runs = Runs(self.data, self.offsets, length, anchor)
+        self.ids = ids.fill_null(0).to_numpy(zero_copy_only=False)
+        known = ids.is_valid().to_numpy(zero_copy_only=False)
+        bucket = runs.anchor % U64(buckets)
+        self.key = ((bucket << U64(32)) | (runs.anchor >> U64(32))).astype(np.int64)
+        self.usable = np.flatnonzero(known[runs.row])
 
-ANCHORS = "bucket long, ids binary, marks binary, rows binary, anchors binary"
-FLAGS = "id long, mark long, anchors binary"
-STRINGS = "bucket long, anchor long, content long, string binary, id long"
-OCCURRENCES = "anchor long, content long, id long, mark long, start long, count int"
-LEAST = "anchor long, content long, least long, each binary"
-SPANS = "id long, mark long, span long"
 
+def _keys(table: pa.Table, columns: str = "keys") -> np.ndarray:
+    """The keys of all packed rows."""
+    buckets = table.column("bucket").to_numpy()
+    packed = table.column(columns).to_pylist()
+    sizes = [len(p) // 4 for p in packed]
+    return (np.repeat(buckets, sizes) << 32) | _array(packed, "<u4").astype(np.int64)
 
-def _names(schema: str) -> list[str]:
-    return [c.split()[0] for c in schema.split(", ")]
 
+def _found(wanted: np.ndarray, sorted_keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which of ``wanted`` are in ``sorted_keys``, and where."""
+    place = np.searchsorted(sorted_keys, wanted)
+    place[place == len(sorted_keys)] = 0
+    hit = sorted_keys[place] == wanted if len(sorted_keys) else np.zeros(len(wanted), bool)
+    return np.flatnonzero(hit), place[hit]
 
-def anchors_of(texts: DataFrame, buckets: int, length: int, anchor: int) -> DataFrame:
-    """The anchors of all texts by bucket, those of one batch of texts packed together."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            runs = Runs(*text_bytes(batch.column(2)), length, anchor)
-            if not len(runs.row):
-                continue
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
-            marks = batch.column(1).to_numpy(zero_copy_only=False)
-            bucket = (runs.anchor % U64(buckets)).astype(np.int64)
-            order = np.argsort(bucket, kind="stable")
-            found, begins = np.unique(bucket[order], return_index=True)
-            out = []
-            for b, own in zip(found.tolist(), np.split(order, begins[1:]), strict=True):
-                rows, place = np.unique(runs.row[own], return_inverse=True)
-                packed = _packed(_short(runs.anchor[own]))
-                place = place.astype("<u4").tobytes()
-                out.append((b, ids[rows].tobytes(), marks[rows].tobytes(), place, packed))
-            columns = [pa.array(c) for c in zip(*out, strict=True)]
-            yield pa.RecordBatch.from_arrays(columns, _names(ANCHORS))
-
-    return texts.mapInArrow(run, ANCHORS)
-
-
-def flagged(anchors: DataFrame) -> DataFrame:
-    """For each document the anchors that another document has too."""
-
-    def run(table: pa.Table) -> pa.Table:
-        rows = table.to_pylist()
-        ids = [np.frombuffer(r["ids"], np.int64) for r in rows]
-        marks = np.concatenate([np.frombuffer(r["marks"], np.int64) for r in rows])
-        base = np.cumsum([0] + [len(x) for x in ids])
-        ids = np.concatenate(ids)
-        owner = np.concatenate(
-            [np.frombuffer(r["rows"], "<u4").astype(np.int64) + b for r, b in zip(rows, base, strict=False)]
-        )
-        value = np.concatenate([_unpacked(r["anchors"]) for r in rows])
-        order = np.argsort(value)
-        value, owner = value[order], owner[order]
-        begins = np.flatnonzero(np.concatenate(([True], value[1:] != value[:-1])))
-        own = ids[owner]
-        several = np.minimum.reduceat(own, begins) != np.maximum.reduceat(own, begins)
-        keep = np.repeat(several, np.diff(np.concatenate((begins, [len(value)]))))
-        value, owner = value[keep], owner[keep]
-        order = np.argsort(owner, kind="stable")
-        value, owner = value[order], owner[order]
-        found, begins = np.unique(owner, return_index=True)
-        packed = [_packed(v) for v in np.split(value, begins[1:])] if len(found) else []
-        return pa.table(
-            {"id": ids[found], "mark": marks[found], "anchors": pa.array(packed, pa.binary())}
-        )
 
-    return anchors.groupBy("bucket").applyInArrow(run, FLAGS)
-
-
-def _flagged_runs(batch: pa.RecordBatch, length: int, anchor: int):
-    """The runs of a batch (id, mark, text, flags) whose anchor is flagged in their row."""
-    data, offsets = text_bytes(batch.column(2))
-    runs = Runs(data, offsets, length, anchor)
-    flags = [
-        np.concatenate([_unpacked(p) for p in x]) if x else np.zeros(0, np.int64)
-        for x in batch.column(3).to_pylist()
-    ]
-    row = np.repeat(np.arange(len(flags)), [len(f) for f in flags])
-    wanted = np.unique((row << 40) | np.concatenate([*flags, np.zeros(0, np.int64)]))
-    have = (runs.row << 40) | _short(runs.anchor)
-    place = np.searchsorted(wanted, have)
-    place[place == len(wanted)] = 0
-    keep = np.flatnonzero(wanted[place] == have) if len(wanted) else np.zeros(0, np.int64)
-    return data, runs, keep
-
-
-def _signed(values: np.ndarray) -> pa.Array:
-    return pa.array(values.view(np.int64))
-
-
-#: Rows of one batch of which runs are sought together.
-ROWS = 1024
-
-
-def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for first in range(0, batch.num_rows, ROWS):
-            yield batch.slice(first, ROWS)
-
-
-def strings_of(texts: DataFrame, buckets: int, length: int, anchor: int) -> DataFrame:
-    """The bytes of flagged runs; of equal ones in a batch only that of the least id."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _slices(batches):
-            data, runs, keep = _flagged_runs(batch, length, anchor)
-            ids = batch.column(0).to_numpy(zero_copy_only=False)[runs.row[keep]]
-            order = np.lexsort((ids, runs.content[keep], runs.anchor[keep]))
-            keep, ids = keep[order], ids[order]
-            a, c = runs.anchor[keep], runs.content[keep]
-            new = np.ones(len(keep), bool)
-            new[1:] = (a[1:] != a[:-1]) | (c[1:] != c[:-1])
-            keep, ids, a, c = keep[new], ids[new], a[new], c[new]
-            begins = runs.begin[keep]
-            sizes = runs.count[keep] + length - 1
-            ends = np.concatenate(([0], np.cumsum(sizes)))
-            flat = data[np.repeat(begins - ends[:-1], sizes) + np.arange(ends[-1])]
-            strings = pa.LargeBinaryArray.from_buffers(
-                pa.large_binary(), len(sizes), [None, pa.py_buffer(ends), pa.py_buffer(flat)]
-            ).cast(pa.binary())
-            bucket = pa.array((a % U64(buckets)).astype(np.int64))
-            yield pa.RecordBatch.from_arrays(
-                [bucket, _signed(a), _signed(c), strings, pa.array(ids)], _names(STRINGS)
-            )
+def _groups(*columns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Order by the columns, the first one first, and where a new combination begins."""
+    order = np.lexsort(columns[::-1])
+    new = np.zeros(len(order), bool)
+    new[:1] = True
+    for c in columns:
+        new[1:] |= c[order][1:] != c[order][:-1]
+    return order, np.flatnonzero(new)
 
-    return texts.mapInArrow(run, STRINGS)
-
-
-def occurrences_of(texts: DataFrame, length: int, anchor: int) -> DataFrame:
-    """Where flagged runs lie."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _slices(batches):
-            _, runs, keep = _flagged_runs(batch, length, anchor)
-            rows = pa.array(runs.row[keep])
-            yield pa.RecordBatch.from_arrays(
-                [
-                    _signed(runs.anchor[keep]),
-                    _signed(runs.content[keep]),
-                    batch.column(0).take(rows),
-                    batch.column(1).take(rows),
-                    pa.array(runs.start[keep]),
-                    pa.array(runs.count[keep].astype(np.int32)),
-                ],
-                _names(OCCURRENCES),
-            )
 
-    return texts.mapInArrow(run, OCCURRENCES)
+def _split(values: np.ndarray, begins: np.ndarray) -> list[bytes]:
+    return [x.tobytes() for x in np.split(values, begins[1:])] if len(begins) else []
 
 
-def least_of(strings: DataFrame, length: int, shard_strings: int) -> DataFrame:
-    """For each different run the least id that has it, and if its strings have different
-    least ids, these one by one.
+ASKED = "bucket long, shard long, keys binary, several binary"
 
-    Runs of one anchor meet in its bucket. Where an anchor has a single run there is nothing
-    to merge; all others of the bucket go through the merged transforms.
-    """
 
-    def run(table: pa.Table) -> pa.Table:
-        a, c, ids = (table.column(k).to_numpy() for k in ("anchor", "content", "id"))
-        order = np.lexsort((ids, c, a))
-        a, c = a[order], c[order]
-        new = np.ones(len(a), bool)
-        new[1:] = (a[1:] != a[:-1]) | (c[1:] != c[:-1])
-        order, a, c = order[new], a[new], c[new]
-        least = ids[order].copy()
-        alone = np.ones(len(a), bool)
-        alone[1:] &= a[1:] != a[:-1]
-        alone[:-1] &= a[1:] != a[:-1]
-        each: list[bytes | None] = [None] * len(a)
-        several = np.flatnonzero(~alone)
-        if len(several):
-            strings = table.column("string").take(pa.array(order[several])).to_pylist()
-            found = least_owners(strings, least[several], length, shard_strings)
-            for place, values in zip(several.tolist(), found, strict=True):
-                if values[0] == values[-1] and (values == values[0]).all():
-                    least[place] = values[0]
-                else:
-                    each[place] = values.astype("<i8").tobytes()
-        return pa.table(
-            {"anchor": a, "content": c, "least": least, "each": pa.array(each, pa.binary())}
-        )
+def _ask(table: pa.Table, buckets: int, how: tuple) -> pa.Table:
+    """The different anchors of a shard by bucket, and whether two of its documents have one."""
+    shard = Shard(table, buckets, how)
+    key, own = shard.key[shard.usable], shard.ids[shard.runs.row[shard.usable]]
+    order, begins = _groups(key)
+    key, own = key[order], own[order]
+    if len(begins):
+        several = np.minimum.reduceat(own, begins) != np.maximum.reduceat(own, begins)
+    else:
+        several = np.zeros(0, bool)
+    key = key[begins]
+    buckets_of, cuts = np.unique(key >> 32, return_index=True)
+    return pa.table(
+        {
+            "bucket": buckets_of,
+            "shard": np.full(len(cuts), table.column("shard")[0].as_py()),
+            "keys": pa.array(_split(key.astype("<u4"), cuts), pa.binary()),
+            "several": pa.array(_split(several.astype("u1"), cuts), pa.binary()),
+        }
+    )
+
 
-    return strings.groupBy("bucket").applyInArrow(run, LEAST)
+FLAGGED = "shard long, bucket long, keys binary"
+
+
+def _flag(table: pa.Table) -> pa.Table:
+    """To each shard the anchors of a bucket that several documents have."""
+    shards = table.column("shard").to_numpy()
+    packed = table.column("keys").to_pylist()
+    key = _array(packed, "<u4")
+    shard = np.repeat(shards, [len(p) // 4 for p in packed])
+    several = _array(table.column("several").to_pylist(), "u1")
+    order, begins = _groups(key)
+    sizes = np.diff(np.concatenate((begins, [len(key)])))
+    repeated = (sizes > 1) | (np.maximum.reduceat(several[order], begins) > 0)
+    keep = order[np.repeat(repeated, sizes)]
+    keep = keep[np.argsort(shard[keep], kind="stable")]
+    found, cuts = np.unique(shard[keep], return_index=True)
+    return pa.table(
+        {
+            "shard": found,
+            "bucket": np.full(len(found), table.column("bucket")[0].as_py()),
+            "keys": pa.array(_split(key[keep], cuts), pa.binary()),
+        }
+    )
 
 
-def covered(occurrences: DataFrame, least: DataFrame, length: int) -> DataFrame:
-    """Stretches of documents that strings of smaller ids cover, begin and end in one number."""
+SEEN = "bucket long, shard long, keys binary, contents binary, ids binary, more binary"
+
+
+def _see(table: pa.Table, flags: pa.Table, buckets: int, how: tuple) -> pa.Table:
+    """The different runs of a shard with a flagged anchor, the least id that has each, and
+    whether a larger id has it too."""
+    if not table.num_rows or not flags.num_rows:
+        return pa.table({n: [] for n in _names(SEEN)}).cast(_arrow(SEEN))
+    shard = Shard(table, buckets, how)
+    hit, _ = _found(shard.key[shard.usable], np.sort(_keys(flags)))
+    use = shard.usable[hit]
+    key, content = shard.key[use], shard.runs.content[use]
+    own = shard.ids[shard.runs.row[use]]
+    order, begins = _groups(key, content)
+    own = own[order]
+    if len(begins):
+        least, most = np.minimum.reduceat(own, begins), np.maximum.reduceat(own, begins)
+    else:
+        least = most = own
+    key, content = key[order][begins], content[order][begins]
+    found, cuts = np.unique(key >> 32, return_index=True)
+    return pa.table(
+        {
+            "bucket": found,
+            "shard": np.full(len(found), table.column("shard")[0].as_py()),
+            "keys": pa.array(_split(key.astype("<u4"), cuts), pa.binary()),
+            "contents": pa.array(_split(content, cuts), pa.binary()),
+            "ids": pa.array(_split(least, cuts), pa.binary()),
+            "more": pa.array(_split((most > least).astype("u1"), cuts), pa.binary()),
+        }
+    )
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids, starts, counts = (
-                batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 2, 3)
-            )
-            first = batch.column(4).to_numpy(zero_copy_only=False)
-            mixed = batch.column(5)
-            whole = np.flatnonzero((first < ids) & mixed.is_null().to_numpy(zero_copy_only=False))
-            rows = [whole]
-            begin, end = [starts[whole]], [starts[whole] + counts[whole] + length - 1]
-            for i in np.flatnonzero(mixed.is_valid().to_numpy(zero_copy_only=False)).tolist():
-                hit = np.frombuffer(mixed[i].as_py(), "<i8") < ids[i]
-                edges = np.flatnonzero(np.diff(np.concatenate(([0], hit.view(np.int8), [0]))))
-                rows.append(np.full(len(edges) // 2, i))
-                begin.append(starts[i] + edges[::2])
-                end.append(starts[i] + edges[1::2] + length - 1)
-            at = pa.array(np.concatenate(rows))
-            span = (np.concatenate(begin) << 32) | np.concatenate(end)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(at), batch.column(1).take(at), pa.array(span)],
-                _names(SPANS),
+
+class Seen:
+    """What all shards have seen of one bucket, in order of anchor and content."""
+
+    def __init__(self, table: pa.Table):
+        packed = table.column("keys").to_pylist()
+        key = _array(packed, "<u4")
+        content = _array(table.column("contents").to_pylist(), "<u8")
+        shard = np.repeat(table.column("shard").to_numpy(), [len(p) // 4 for p in packed])
+        ids = _array(table.column("ids").to_pylist(), "<i8")
+        more = _array(table.column("more").to_pylist(), "u1")
+        order = np.lexsort((ids, content, key))
+        self.key, self.content, self.shard = key[order], content[order], shard[order]
+        self.ids, self.more = ids[order], more[order] > 0
+        n = len(order)
+        anchor_begins = np.ones(n, bool)
+        anchor_begins[1:] = self.key[1:] != self.key[:-1]
+        run_begins = anchor_begins.copy()
+        run_begins[1:] |= self.content[1:] != self.content[:-1]
+        self.run = np.cumsum(run_begins) - 1
+        self.first = np.flatnonzero(run_begins)  # with the least id of each run
+        anchor = np.cumsum(anchor_begins) - 1
+        runs_of_anchor = np.bincount(anchor[self.first], minlength=anchor[-1] + 1 if n else 0)
+        self.mixed = runs_of_anchor[anchor] > 1
+
+
+TOLD = "shard long, bucket long, keys binary, least binary, wanted binary, contents binary"
+
+
+def _tell(table: pa.Table) -> pa.Table:
+    """To each shard the least ids of runs that are alike wherever their anchor is, and the
+    runs whose strings it has to send, as it has their least id."""
+    seen = Seen(table)
+    least = seen.ids[seen.first][seen.run]
+    alike = np.flatnonzero(~seen.mixed & ((least < seen.ids) | seen.more))
+    send = seen.first[seen.mixed[seen.first]]
+    rows: dict[int, list] = {}
+    for k, chosen in enumerate((alike, send)):
+        chosen = chosen[np.argsort(seen.shard[chosen], kind="stable")]
+        found, cuts = np.unique(seen.shard[chosen], return_index=True)
+        for s, own in zip(found.tolist(), np.split(chosen, cuts[1:]), strict=True) if len(found) else ():
+            rows.setdefault(s, [b"", b"", b"", b""])[2 * k : 2 * k + 2] = (
+                seen.key[own].tobytes(),
+                (seen.content[own] if k else least[own]).tobytes(),
             )
+    columns = list(zip(*rows.values(), strict=True)) if rows else [()] * 4
+    return pa.table(
+        {
+            "shard": pa.array(list(rows), pa.int64()),
+            "bucket": pa.array([table.column("bucket")[0].as_py()] * len(rows), pa.int64()),
+            **{n: pa.array(c, pa.binary()) for n, c in zip(_names(TOLD)[2:], columns, strict=True)},
+        }
+    )
 
-    met = occurrences.join(least, ["anchor", "content"]).where(
-        F.col("each").isNotNull() | (F.col("least") < F.col("id"))
+
+STRINGS = "bucket long, shard long, keys binary, contents binary, sizes binary, strings binary"
+
+
+def _send(table: pa.Table, told: pa.Table, buckets: int, how: tuple) -> pa.Table:
+    """The strings of the runs that a shard has been asked for."""
+    if not table.num_rows or not told.num_rows:
+        return pa.table({n: [] for n in _names(STRINGS)}).cast(_arrow(STRINGS))
+    length = how[2]
+    shard = Shard(table, buckets, how)
+    wanted = _keys(told, "wanted")
+    contents = _array(told.column("contents").to_pylist(), "<u8")
+    order = np.lexsort((contents, wanted))
+    wanted, contents = wanted[order], contents[order]
+    use = shard.usable[np.isin(shard.key[shard.usable], wanted)]
+    order, begins = _groups(shard.key[use], shard.runs.content[use])
+    use = use[order[begins]]  # one of each, in the order of those that are wanted
+    both = np.concatenate((shard.key[use], wanted))
+    inner = np.concatenate((shard.runs.content[use], contents))
+    asked = np.concatenate((np.zeros(len(use), bool), np.ones(len(wanted), bool)))
+    order = np.lexsort((asked, inner, both))
+    pair = np.flatnonzero(
+        (both[order][1:] == both[order][:-1]) & (inner[order][1:] == inner[order][:-1])
+    )
+    use = use[order[pair]]
+    key = shard.key[use]
+    sizes = shard.runs.count[use] + length - 1
+    begin = shard.runs.begin[use]
+    ends = np.concatenate(([0], np.cumsum(sizes)))
+    flat = shard.data[np.repeat(begin - ends[:-1], sizes) + np.arange(ends[-1])]
+    found, cuts = np.unique(key >> 32, return_index=True)
+    return pa.table(
+        {
+            "bucket": found,
+            "shard": np.full(len(found), table.column("shard")[0].as_py()),
+            "keys": pa.array(_split(key.astype("<u4"), cuts), pa.binary()),
+            "contents": pa.array(_split(shard.runs.content[use], cuts), pa.binary()),
+            "sizes": pa.array(_split(sizes.astype("<u4"), cuts), pa.binary()),
+            "strings": pa.array(_split(flat, ends[cuts]), pa.binary()),
+        }
+    )
+
+
+ANSWERS = "shard long, bucket long, keys binary, contents binary, parts binary, sizes binary, values binary"
+
+
+def _answer(strings: pa.Table, table: pa.Table, length: int) -> pa.Table:
+    """To each shard, for the runs that differ, the least id of each of their strings, as
+    stretches of equal ids.
+
+    The strings that one shard has sent are transformed together, then the transforms of all
+    shards are merged.
+    """
+    if not strings.num_rows:
+        return pa.table({n: [] for n in _names(ANSWERS)}).cast(_arrow(ANSWERS))
+    seen = Seen(table)
+    rows = strings.sort_by("shard").to_pylist()
+    key = _array([r["keys"] for r in rows], "<u4")
+    content = _array([r["contents"] for r in rows], "<u8")
+    sizes = _array([r["sizes"] for r in rows], "<u4").astype(np.int64)
+    ends = np.concatenate(([0], np.cumsum(sizes)))
+    flat = b"".join(r["strings"] for r in rows)
+    bodies = [flat[a:b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
+    sent = np.lexsort((content, key))  # the mixed runs of seen are in this order too
+    mixed = seen.first[seen.mixed[seen.first]]
+    owner = np.empty(len(bodies), np.int64)
+    owner[sent] = seen.ids[mixed]
+    flat, ends = least_owners(bodies, owner, length, [len(r["keys"]) // 4 for r in rows])
+    many = np.diff(ends)[sent]
+    stop = np.cumsum(many)
+    starts = stop - many
+    values = flat[np.arange(stop[-1]) + np.repeat(ends[sent] - starts, many)]
+    lowest = np.minimum.reduceat(values, starts)
+    new = np.ones(len(values), bool)
+    new[1:] = values[1:] != values[:-1]
+    new[starts] = True
+    cuts = np.flatnonzero(new)
+    value, size = values[cuts], np.diff(np.concatenate((cuts, [len(values)])))
+    parts = np.add.reduceat(new.astype(np.int64), starts)
+    part_ends = np.concatenate(([0], np.cumsum(parts)))
+    number = np.full(seen.run[-1] + 1, -1)
+    number[seen.run[mixed]] = np.arange(len(mixed))
+    use = np.flatnonzero(seen.mixed)
+    run = number[seen.run[use]]
+    useful = (lowest[run] < seen.ids[use]) | seen.more[use]
+    use, run = use[useful], run[useful]
+    order = np.argsort(seen.shard[use], kind="stable")
+    use, run = use[order], run[order]
+    found, cuts = np.unique(seen.shard[use], return_index=True)
+    ends = np.concatenate(([0], np.cumsum(parts[run])))
+    at = np.repeat(part_ends[run] - ends[:-1], parts[run]) + np.arange(ends[-1])
+    return pa.table(
+        {
+            "shard": found,
+            "bucket": np.full(len(found), table.column("bucket")[0].as_py()),
+            "keys": pa.array(_split(seen.key[use], cuts), pa.binary()),
+            "contents": pa.array(_split(seen.content[use], cuts), pa.binary()),
+            "parts": pa.array(_split(parts[run].astype("<u4"), cuts), pa.binary()),
+            "sizes": pa.array(_split(size[at].astype("<u4"), ends[cuts]), pa.binary()),
+            "values": pa.array(_split(value[at], ends[cuts]), pa.binary()),
+        }
     )
-    return met.select("id", "mark", "start", "count", "least", "each").mapInArrow(run, SPANS)
+
+
+def _arrow(schema: str) -> pa.Schema:
+    kinds = {"long": pa.int64(), "binary": pa.binary()}
+    return pa.schema([(c.split()[0], kinds[c.split()[1]]) for c in schema.split(", ")])
+
+
+def _spans(table: pa.Table, news: pa.Table, buckets: int, how: tuple) -> tuple[Shard, np.ndarray, np.ndarray]:
+    """Covered stretches of a shard's documents: row, and begin and end in one number."""
+    length = how[2]
+    shard = Shard(table, buckets, how)
+    runs = shard.runs
+    told = news.filter(pa.compute.is_null(news.column("parts")))
+    answers = news.filter(pa.compute.is_valid(news.column("parts")))
+    key, least = _keys(told), _array(told.column("least").to_pylist(), "<i8")
+    order = np.argsort(key)
+    hit, place = _found(shard.key[shard.usable], key[order])
+    use, low = shard.usable[hit], least[order][place]
+    alike = low < shard.ids[runs.row[use]]
+    use = use[alike]
+    rows, begin = [runs.row[use]], [runs.start[use]]
+    end = [runs.start[use] + runs.count[use] + length - 1]
+
+    key = _keys(answers)
+    content = _array(answers.column("contents").to_pylist(), "<u8")
+    parts = _array(answers.column("parts").to_pylist(), "<u4").astype(np.int64)
+    size = _array(answers.column("sizes").to_pylist(), "<u4").astype(np.int64)
+    value = _array(answers.column("values").to_pylist(), "<i8")
+    if len(key):
+        ends = np.concatenate(([0], np.cumsum(parts)))
+        before = np.concatenate(([0], np.cumsum(size)))
+        within = before[:-1] - np.repeat(before[ends[:-1]], parts)
+        # number the (key, content) pairs of runs and answers alike
+        use = shard.usable[np.isin(shard.key[shard.usable], key)]
+        both = np.concatenate((key, shard.key[use]))
+        inner = np.concatenate((content, runs.content[use]))
+        order, begins = _groups(both, inner)
+        number = np.empty(len(both), np.int64)
+        number[order] = np.repeat(
+            np.arange(len(begins)), np.diff(np.concatenate((begins, [len(both)])))
+        )
+        entry = np.full(len(begins), -1)
+        entry[number[: len(key)]] = np.arange(len(key))
+        mine = entry[number[len(key) :]]
+        use, mine = use[mine >= 0], mine[mine >= 0]
+        many = parts[mine]
+        run = np.repeat(use, many)
+        stop = np.cumsum(many)
+        at = np.arange(stop[-1] if len(stop) else 0) + np.repeat(ends[mine] - (stop - many), many)
+        cover = value[at] < shard.ids[runs.row[run]]
+        run, at = run[cover], at[cover]
+        rows.append(runs.row[run])
+        begin.append(runs.start[run] + within[at])
+        end.append(runs.start[run] + within[at] + size[at] + length - 1)
+    return shard, np.concatenate(rows), (np.concatenate(begin) << 32) | np.concatenate(end)
+
+
+def _cut(table: pa.Table, news: pa.Table, buckets: int, how: tuple) -> pa.Table:
+    """The shard's rows, and what is left of their texts."""
+    shard, rows, spans = _spans(table, news, buckets, how)
+    order = np.argsort(rows, kind="stable")
+    rows, spans = rows[order], spans[order]
+    cuts = np.searchsorted(rows, np.arange(table.num_rows + 1))
+    body = shard.data.tobytes()
+    kept, bytes_in, removed, found = [], [], [], []
+    for i, (low, high) in enumerate(zip(shard.offsets[:-1].tolist(), shard.offsets[1:].tolist(), strict=True)):
+        gone = merged_spans(spans[cuts[i] : cuts[i + 1]])
+        at, pieces = low, []
+        for begin, end in gone.tolist():
+            pieces.append(body[at : low + begin])
+            at = low + end
+        pieces.append(body[at:high])
+        kept.append(b"".join(pieces))
+        bytes_in.append(high - low)
+        removed.append(high - low - len(kept[-1]))
+        found.append([{"begin": b, "end": e} for b, e in gone.tolist()])
+    span = pa.struct([("begin", pa.int64()), ("end", pa.int64())])
+    out = table.drop_columns(["shard"])
+    for name, values, kind in (
+        ("kept", kept, pa.binary()),
+        ("n_bytes", bytes_in, pa.int64()),
+        ("n_removed", removed, pa.int64()),
+        ("spans", found, pa.list_(span)),
+    ):
+        out = out.append_column(name, pa.array(values, kind))
+    return out
 
 
 def merged_spans(spans: np.ndarray) -> np.ndarray:
@@ -350,7 +501,8 @@ def without_repeats(
     text_column: str = "text",
     length: int = LENGTH,
     anchor: int = ANCHOR,
-    shard_strings: int = SHARD_STRINGS,
+    shard_bytes: int = SHARD_BYTES,
+    bucket_bytes: int = BUCKET_BYTES,
 ) -> DataFrame:
     """``df`` with the columns kept (bytes that are left, as binary), n_bytes, n_removed and
     spans (removed stretches, begin and end in bytes).
@@ -358,69 +510,40 @@ def without_repeats(
     A byte goes if a string of ``length`` bytes covers it that also starts in a document with
     a smaller id. Strings are judged on the input, and overlap.
 
-    Strings meet by their anchors. First only short hashes of anchors are dealt out, to find
-    those that more than one document has; only runs of strings around these are looked at
-    further. Each task passes on one row for each different run, so a passage that many
-    documents share is no hot group; where documents meet the results again, Spark splits
-    what is skewed. All steps are one plan, which shuffles the texts once.
+    A shard passes on one entry for each different anchor or run, so a passage that many
+    documents share is no hot group: it is one entry a shard. All steps are one plan, and the
+    texts are shuffled once, by shard.
 
     NULL text counts as empty. Texts shorter than ``length`` stay. Rows with the same id never
     remove from each other. A row with a NULL id stays whole and removes nothing. An empty
-    table gives no rows. Columns of ``df`` with the names of the new ones are replaced.
+    table gives no rows. Columns of ``df`` named like the new ones, or shard, are replaced.
     """
-    new = ("kept", "n_bytes", "n_removed", "spans")
-    names = [c for c in df.columns if c.lower() not in new]
-    text = F.coalesce(F.col(text_column).cast("string"), F.lit(""))
-    given = df.where(F.col(id_column).isNotNull()).select(
-        F.col(id_column).cast("long").alias("id"), F.xxhash64(text).alias("mark"), text.alias("text")
-    )
-    total = given.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    buckets = max(1, total // BUCKET_BYTES)
-    flags = (
-        flagged(anchors_of(given, buckets, length, anchor))
-        .groupBy("id", "mark")
-        .agg(F.collect_list("anchors").alias("flags"))
-    )
-    marked = given.join(flags, ["id", "mark"]).select("id", "mark", "text", "flags")
-    least = least_of(strings_of(marked, buckets, length, anchor), length, shard_strings)
-    spans = (
-        covered(occurrences_of(marked, length, anchor), least, length)
-        .groupBy("id", "mark")
-        .agg(F.collect_list("span").alias("found"))
-    )
-
-    result = "kept binary, n_bytes long, n_removed long, spans array<struct<begin:long,end:long>>"
-
-    @F.arrow_udf(result)
-    def cut(texts: pa.Array, found: pa.Array) -> pa.Array:
-        rows = []
-        for body, spans in zip(texts.cast(pa.binary()).to_pylist(), found, strict=True):
-            gone = merged_spans(np.array(spans.as_py() or (), np.int64))
-            kept, at = [], 0
-            for begin, end in gone.tolist():
-                kept.append(body[at:begin])
-                at = end
-            kept.append(body[at:])
-            left = b"".join(kept)
-            rows.append(
-                {
-                    "kept": left,
-                    "n_bytes": len(body),
-                    "n_removed": len(body) - len(left),
-                    "spans": [{"begin": b, "end": e} for b, e in gone.tolist()],
-                }
-            )
-        return pa.array(rows, arrow_type)
-
-    span = pa.struct([("begin", pa.int64()), ("end", pa.int64())])
-    arrow_type = pa.struct(
-        [("kept", pa.binary()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("spans", pa.list_(span))]
+    new = "kept binary, n_bytes long, n_removed long, spans array<struct<begin:long,end:long>>"
+    names = [c for c in df.columns if c.lower() not in {*_names(new), "shard"}]
+    total = df.agg(F.sum(F.octet_length(F.col(text_column).cast("string")))).first()[0] or 0
+    shards, buckets = max(1, total // shard_bytes), max(1, total // bucket_bytes)
+    how = (id_column, text_column, length, anchor)
+    dealt = F.pmod(F.xxhash64(id_column, text_column), F.lit(shards).cast("long"))
+    texts = df.select(*names, dealt.alias("shard"))
+
+    def on_shard(other: DataFrame, step, schema) -> DataFrame:
+        grouped = texts.groupBy("shard").cogroup(other.groupBy("shard"))
+        return grouped.applyInArrow(lambda a, b: step(a, b, buckets, how), schema)
+
+    asked = texts.groupBy("shard").applyInArrow(lambda t: _ask(t, buckets, how), ASKED)
+    flags = asked.groupBy("bucket").applyInArrow(_flag, FLAGGED)
+    seen = on_shard(flags, _see, SEEN)
+    told = seen.groupBy("bucket").applyInArrow(_tell, TOLD)
+    strings = on_shard(told, _send, STRINGS)
+    answers = (
+        strings.groupBy("bucket")
+        .cogroup(seen.groupBy("bucket"))
+        .applyInArrow(lambda a, b: _answer(a, b, length), ANSWERS)
     )
-    own_id, own_mark, found, out = free_names(df, "own_id", "own_mark", "found", "out")
-    keyed = spans.select(
-        F.col("id").alias(own_id), F.col("mark").alias(own_mark), F.col("found").alias(found)
+    news = told.select("shard", "bucket", "keys", "least").unionByName(
+        answers, allowMissingColumns=True
     )
-    same = (F.col(id_column).cast("long") == F.col(own_id)) & (F.xxhash64(text) == F.col(own_mark))
-    joined = df.join(keyed, same, "left")
-    done = joined.select(*(F.col(c) for c in names), cut(text, F.col(found)).alias(out))
-    return done.select(*names, *(F.col(f"{out}.{c}").alias(c) for c in new))
+    schema = T.StructType([f for f in texts.schema if f.name != "shard"])
+    for field in T._parse_datatype_string(new):
+        schema.add(field)
+    return on_shard(news, _cut, schema)

@@ -15,7 +15,7 @@ import pyarrow as pa
 U64 = np.uint64
 BASE = U64(0x9E3779B97F4A7C15 | 1)
 #: Bytes of text hashed together. A longer text is hashed alone.
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES = 1 << 19
 
 _random = np.random.default_rng(20_240_611)
 BYTE_VALUES = _random.integers(1, 1 << 63, 256, dtype=np.uint64) | U64(1)
