@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import stored
@@ -22,7 +22,11 @@ SIMILARITY = 85
 #: fewer than 15 of 32 agree once in 10 million.
 COORDINATES, MATCHES = 32, 15
 #: Members of a list that are paired with one another in one place.
-TILE = 256
+TILE = 1024
+#: Classes of shingles by which unlike documents are told.
+CLASSES = 64
+#: Shingles of a bucket in which those of a single document are counted.
+BUCKET_SHINGLES = 1 << 20
 
 _random = np.random.default_rng(7)
 FACTORS = _random.integers(1, 1 << 63, 64, dtype=np.uint64) * U64(2) + U64(1)
@@ -110,20 +114,71 @@ def postings(sets: DataFrame, coordinates: int, matches: int) -> DataFrame:
     )
 
 
-def agreeing(
-    pairs: DataFrame, sets: DataFrame, matches: int, similarity: int
-) -> DataFrame:
-    """Pairs (a, b) whose sizes allow the similarity and whose signatures agree enough."""
+LONE = "node long, lone long"
+
+
+def lone_shingles(texts: DataFrame, shingles: int, width: int) -> DataFrame:
+    """How many shingles of each node no other node has: node, lone.
+
+    32 bits of a shingle tell it apart from others of its bucket; two that are taken for one
+    only make the count too small.
+    """
+    buckets = max(1, shingles // BUCKET_SHINGLES)
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            nodes = batch.column(0).to_numpy(zero_copy_only=False)
+            at = 0
+            for flat, starts in shingle_sets(batch.column(1), width):
+                owner = np.repeat(nodes[at : at + len(starts) - 1], np.diff(starts))
+                at += len(starts) - 1
+                bucket = (flat % U64(buckets)).astype(np.int64)
+                order = np.argsort(bucket, kind="stable")
+                found, cuts = np.unique(bucket[order], return_index=True)
+                part = (flat[order] >> U64(32)).astype("<u4")
+                packed = [
+                    [x.tobytes() for x in np.split(values, cuts[1:])] if len(found) else []
+                    for values in (owner[order], part)
+                ]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(found), *(pa.array(p, pa.binary()) for p in packed)],
+                    ["bucket", "nodes", "parts"],
+                )
+
+    def count(table: pa.Table) -> pa.Table:
+        nodes = np.frombuffer(b"".join(table.column("nodes").to_pylist()), np.int64)
+        parts = np.frombuffer(b"".join(table.column("parts").to_pylist()), "<u4")
+        order = np.argsort(parts, kind="stable")
+        sorted_parts = parts[order]
+        same = np.zeros(len(order) + 1, bool)
+        same[1:-1] = sorted_parts[1:] == sorted_parts[:-1]
+        found, n = np.unique(nodes[order[~(same[1:] | same[:-1])]], return_counts=True)
+        return pa.table({"node": found, "lone": n.astype(np.int64)})
+
+    dealt = texts.select("node", "text").mapInArrow(deal, "bucket long, nodes binary, parts binary")
+    counted = dealt.groupBy("bucket").applyInArrow(count, LONE)
+    return counted.groupBy("node").agg(F.sum("lone").alias("lone"))
+
+
+def may_link(similarity: int) -> Column:
+    """Whether sizes and lone shingles of a and b allow the similarity.
+
+    Lone shingles of one are not in the other: so the shared ones are no more than either has
+    besides them, and all together are at least the one's shingles and the other's lone ones.
+    """
+    shared = F.least(F.expr("n_a - lone_a"), F.expr("n_b - lone_b"))
+    whole = F.greatest(F.expr("n_a + lone_b"), F.expr("n_b + lone_a"))
+    return shared * 100 >= whole * similarity
+
+
+def agreeing(pairs: DataFrame, sets: DataFrame, matches: int) -> DataFrame:
+    """Pairs (a, b) whose whole signatures agree enough."""
     side = lambda c: sets.select(
-        F.col("node").alias(c),
-        F.col("n_shingles").alias(f"n_{c}"),
-        F.col("tokens").alias(f"tokens_{c}"),
+        F.col("node").alias(c), F.col("tokens").alias(f"tokens_{c}")
     )
-    small, large = F.least("n_a", "n_b"), F.greatest("n_a", "n_b")
     return (
         pairs.join(side("a"), "a")
         .join(side("b"), "b")
-        .where(small * 100 >= large * similarity)
         .where(F.size(F.array_intersect("tokens_a", "tokens_b")) >= matches)
         .select("a", "b")
         .distinct()
@@ -160,10 +215,40 @@ def confirmed(pairs: DataFrame, texts: DataFrame, width: int, similarity: int) -
     return met.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
 
 
+def profiles(texts: DataFrame, width: int) -> DataFrame:
+    """How many shingles of each node fall into each of ``CLASSES`` classes: node, profile."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = 0
+            for flat, starts in shingle_sets(batch.column(1), width):
+                n = len(starts) - 1
+                owner = np.repeat(np.arange(n), np.diff(starts))
+                place = owner * CLASSES + (flat % U64(CLASSES)).astype(np.int64)
+                counts = np.bincount(place, minlength=n * CLASSES).astype(np.int32)
+                ends = pa.array(np.arange(n + 1) * CLASSES, pa.int32())
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).slice(at, n), pa.ListArray.from_arrays(ends, counts)],
+                    ["node", "profile"],
+                )
+                at += n
+
+    return texts.select("node", "text").mapInArrow(run, "node long, profile array<int>")
+
+
+def profiles_allow(similarity: int) -> Column:
+    """Whether the profiles of a and b allow the similarity: of each class they share no more
+    shingles than either has."""
+    smaller = F.zip_with("profile_a", "profile_b", lambda x, y: F.least(x, y).cast("long"))
+    shared = F.aggregate(smaller, F.lit(0).cast("long"), lambda total, x: total + x)
+    return shared * 100 >= (F.expr("n_a + n_b") - shared) * similarity
+
+
 def cross_pairs(members: DataFrame, similarity: int) -> DataFrame:
-    """Pairs of one list that are in different components.
+    """Pairs of one list that are in different components and may be similar.
 
-    A long list is cut into tiles, and each pair of tiles is joined in its own place.
+    A long list is cut into tiles, and each pair of tiles is joined in its own place. A pair
+    is formed in the first list that has both.
     """
     tiles = F.ceil(F.col("length") / TILE).cast("long")
     dealt = members.withColumns(
@@ -179,15 +264,18 @@ def cross_pairs(members: DataFrame, similarity: int) -> DataFrame:
                 F.col("other").alias(other),
                 F.col("node").alias(side),
                 F.col("n_shingles").alias(f"n_{side}"),
+                F.col("lone").alias(f"lone_{side}"),
+                F.col("profile").alias(f"profile_{side}"),
+                F.col("posted").alias(f"posted_{side}"),
                 F.col("component").alias(f"component_{side}"),
             )
         )
-    small, large = F.least("n_a", "n_b"), F.greatest("n_a", "n_b")
+    different = F.expr("a < b AND component_a <> component_b")
+    once = F.col("token") == F.array_min(F.array_intersect("posted_a", "posted_b"))
     return (
         cells[0]
         .join(cells[1], ["token", "row", "col"])
-        .where("a < b AND component_a <> component_b")
-        .where(small * 100 >= large * similarity)
+        .where(different & may_link(similarity) & once & profiles_allow(similarity))
         .select("a", "b")
         .distinct()
     )
@@ -206,10 +294,12 @@ def near_duplicates(
 
     Documents are linked if 100 * shared shingles >= similarity * all their shingles, checked
     on the full sets; a component is what links reach, named by its smallest id, which is
-    kept. Equal sets are one node. First every list pairs its members with its smallest one;
-    then only members of one list that are still in different components are paired, so a
-    group of near copies takes as many pairs as it has members, and no link between
-    components is left out.
+    kept. Equal sets are one node. First every list pairs its members with the one that has
+    fewest shingles of its own; then only members of one list that are still in different
+    components are paired, so a group of near copies takes about as many pairs as it has
+    members, and no link between components is left out. Most pairs are told to be too
+    unlike, before they are formed, by the shingles that one document has alone and by the
+    numbers of shingles in classes.
 
     Texts without words (NULL, empty) have no shingles and are linked with nothing. Rows with
     the same id count as linked. A row with a NULL id joins the component of equal sets, else
@@ -226,46 +316,60 @@ def near_duplicates(
             F.first("tokens").alias("tokens"),
         )
     )
-    lists = stored(postings(sets, coordinates, matches))
-    centres = lists.groupBy("token").agg(F.min("node").alias("centre"))
-    by_centre = (
-        lists.join(centres, "token")
-        .where("node <> centre")
-        .select(F.col("node").alias("a"), F.col("centre").alias("b"))
-        .distinct()
-    )
+    posted = stored(postings(sets, coordinates, matches))
+    met = sets.join(posted.select("node").distinct(), "node", "left_semi")
     texts = stored(
         df.select(F.col(id_column).cast("long").alias("node"), F.col(text_column).alias("text"))
-        .join(sets.join(lists.select("node").distinct(), "node", "left_semi"), "node", "left_semi")
+        .join(met, "node", "left_semi")
+    )
+    shingles = met.agg(F.sum("n_shingles")).first()[0] or 0
+    lone = stored(lone_shingles(texts, shingles, width))
+    members = (
+        posted.join(lone, "node", "left")
+        .withColumn("lone", F.coalesce("lone", F.lit(0)))
+        .where((F.col("n_shingles") - F.col("lone")) * 100 >= F.col("n_shingles") * similarity)
+        .drop("length")
+    )
+    # the member with fewest shingles of its own is most like the others
+    lengths = members.groupBy("token").agg(
+        F.count("*").alias("length"), F.min(F.struct("lone", "node"))["node"].alias("centre")
     )
-    links = stored(
-        confirmed(
-            agreeing(by_centre, sets, matches, similarity), texts, width, similarity
+    lists = stored(members.join(lengths.where("length > 1"), "token"))
+    of_centre = lists.where("node = centre").select(
+        F.col("token"),
+        F.col("node").alias("b"),
+        F.col("n_shingles").alias("n_b"),
+        F.col("lone").alias("lone_b"),
+    )
+    by_centre = (
+        lists.where("node <> centre")
+        .select(
+            "token",
+            F.col("node").alias("a"),
+            F.col("n_shingles").alias("n_a"),
+            F.col("lone").alias("lone_a"),
         )
+        .join(of_centre, "token")
+        .where(may_link(similarity))
+        .select("a", "b")
+        .distinct()
     )
+    links = stored(confirmed(agreeing(by_centre, sets, matches), texts, width, similarity))
     first = components(links)
     labelled = lists.join(first, "node", "left").withColumn(
         "component", F.coalesce("component", "node")
     )
     split = (
         labelled.groupBy("token")
-        .agg(
-            F.min("component").alias("low"),
-            F.max("component").alias("high"),
-            F.min("node").alias("centre"),
-        )
+        .agg(F.min("component").alias("low"), F.max("component").alias("high"))
         .where("low <> high")
-        .select("token", "centre")
+        .select("token")
     )
     rest = stored(labelled.join(split, "token").where("node <> centre").drop("centre"))
-    more = stored(
-        confirmed(
-            agreeing(cross_pairs(rest, similarity), sets, matches, similarity),
-            texts,
-            width,
-            similarity,
-        )
-    )
+    posted = rest.groupBy("node").agg(F.collect_list("token").alias("posted"))
+    described = rest.join(posted, "node").join(profiles(texts, width), "node")
+    candidates = cross_pairs(described, similarity)
+    more = stored(confirmed(agreeing(candidates, sets, matches), texts, width, similarity))
     if more.isEmpty():
         labels = first
     else:  # components of what the first round has found, joined by the new links
