@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import heapq
 import json
+import os
 import re
 import sys
 from array import array
@@ -21,7 +22,9 @@ PART = 1 << 15
 #: Symbols of a word that are merged at once; longer words are halved.
 LEAF = 128
 #: Distinct pieces of text whose ids a Python worker remembers.
-CACHE = 400_000
+CACHE = 500_000
+#: Texts whose ids are held and passed on together.
+ROWS = 512
 
 
 class Merges:
@@ -112,6 +115,7 @@ class Codec:
     """Encodes and decodes as the tokenizer does, without its added special tokens."""
 
     def __init__(self, definition: str, leaf: int = LEAF, cache: int = CACHE):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(definition)
@@ -122,11 +126,14 @@ class Codec:
         self.merges = Merges(model["merges"])
         self.leaf, self.limit = leaf, cache
         self.ids: dict[bytes, bytes] = {}
-        self.texts: dict[bytes, bytes] = {}
-        self.blank = False
         if '"Lowercase"' not in definition or any("<|" not in t for t in added_tokens(definition)):
             raise ValueError("the tokenizer has to drop white space and lower-case words")
-        self.tokens = {i: t.encode() for t, i in self.tokenizer.get_vocab().items()}
+        if json.loads(definition).get("decoder"):
+            raise ValueError("the tokenizer has a decoder of its own")
+        names = sorted(self.tokenizer.get_vocab().items(), key=lambda x: x[1])
+        self.tokens = [t.encode() for t, _ in names]
+        if [i for _, i in names] != list(range(len(names))):
+            raise ValueError("ids have gaps")
         if sys.byteorder != "little" or array("I").itemsize != 4:
             raise RuntimeError("ids are packed as the machine has them")
         added = added_tokens(definition)
@@ -161,33 +168,29 @@ class Codec:
         return out
 
     def learn(self, pieces: set[bytes]) -> None:
-        """Remember the ids of pieces of text without white space, and their decoded text."""
+        """Remember the ids of pieces of text without white space."""
         new = pieces.difference(self.ids)
         if len(self.ids) + len(new) > self.limit:
             self.ids.clear()
-            self.texts.clear()
             new = pieces
         short = [p for p in new if len(p) <= self.leaf]
         found = self.tokenizer.encode_batch_fast(
             list(map(bytes.decode, short)), add_special_tokens=False
         )
-        rows = [e.ids for e in found]
+        self.ids.update(zip(short, [array("I", e.ids).tobytes() for e in found], strict=True))
         if len(short) < len(new):
-            long = [p for p in new if len(p) > self.leaf]
-            rows += [self.unsplit(p.decode()) for p in long]
-            short += long
-        token = self.tokens.__getitem__
-        self.ids.update(zip(short, [array("I", r).tobytes() for r in rows], strict=True))
-        self.texts.update(
-            zip(short, [b" ".join([token(i) for i in r]) for r in rows], strict=True)
-        )
-        self.blank = self.blank or not all(rows)
+            for piece in new:
+                if len(piece) > self.leaf:
+                    self.ids[piece] = array("I", self.unsplit(piece.decode())).tobytes()
+
+    def decode(self, ids: bytes) -> bytes:
+        """The text of ids: their tokens with spaces between, as the tokenizer has no decoder."""
+        return b" ".join(map(self.tokens.__getitem__, array("I", ids)))
 
     def encode(self, pieces: list[bytes]) -> tuple[bytes, bytes]:
         """Ids, 32 bits each, and the decoded text of learnt pieces."""
-        texts = map(self.texts.__getitem__, pieces)
-        decoded = b" ".join(filter(None, texts) if self.blank else texts)
-        return b"".join(map(self.ids.__getitem__, pieces)), decoded
+        ids = b"".join(map(self.ids.__getitem__, pieces))
+        return ids, self.decode(ids)
 
     def encode_texts(self, texts: list[bytes]) -> Iterator[tuple[bytes, bytes]]:
         """Whole texts. No token crosses white space, so each piece between is looked up; the
@@ -307,7 +310,9 @@ def encoded(
     def whole(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         own = codec(sent.value, leaf)
         for batch in batches:
-            yield _coded(list(own.encode_texts(batch.cast(pa.binary()).to_pylist())))
+            for first in range(0, len(batch), ROWS):
+                texts = batch.slice(first, ROWS).cast(pa.binary()).to_pylist()
+                yield _coded(list(own.encode_texts(texts)))
 
     def in_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(sent.value, leaf)
