@@ -24,6 +24,8 @@ def _small_star(edges: DataFrame) -> DataFrame:
 def components(links: DataFrame) -> DataFrame:
     """node, component (the smallest node it is linked to) for the nodes of links (a, b).
 
+    The smallest node of a component has no row of its own.
+
     Each round lets every node point to the smallest of its neighbours; when nothing changes,
     each points to the smallest node of its component. Only aggregations and joins by node;
     minima are taken before the shuffle, so a node with many links is no hot key. Rounds grow
