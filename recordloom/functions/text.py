@@ -52,7 +52,7 @@ def hamming_distance(a, b, strict: bool = True) -> Column:
     differs = F.zip_with(F.split(a, ""), F.split(b, ""), lambda x, y: (x != y).cast("int"))
     total = F.aggregate(differs, F.lit(0), lambda acc, x: acc + x)
     unequal = (
-        F.raise_error(F.lit("Strings must be of the same length")).cast("int")
+        F.raise_error(F.lit("the two texts differ in length")).cast("int")
         if strict
         else F.lit(None).cast("int")
     )
@@ -100,9 +100,11 @@ def days_between(start, end) -> Column:
 
 
 def is_recent(date, today, days: int = 90) -> Column:
-    """Date lies within the last ``days`` days before ``today``."""
-    age = days_between(date, today)
-    return (age >= 0) & (age < days)
+    """Date lies within the last ``days`` days before ``today``, this day included.
+
+    A range on the column itself, which reaches the scan.
+    """
+    return (col(date) >= F.date_sub(col(today), days - 1)) & (col(date) < F.date_add(col(today), 1))
 
 
 def parse_ids(text) -> Column:

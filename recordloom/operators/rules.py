@@ -165,7 +165,7 @@ _FUNCTIONS = {
         CASE WHEN length(a) = length(b) THEN
           aggregate(zip_with(split(a, ''), split(b, ''), (x, y) -> int(x <> y)), 0, (s, x) -> s + x)
         WHEN length(a) <> length(b)
-          THEN CAST(raise_error('Strings must be of the same length') AS INT) END"""),
+          THEN CAST(raise_error('the two texts differ in length') AS INT) END"""),
     "suppress_vowels": ("s STRING", "STRING", f"translate(s, '{text.VOWELS}', '')"),
 }
 

@@ -39,6 +39,7 @@ def similar_pairs(
     ``similarities`` maps result columns to a vector column, or to two of them when ``a``
     and ``b`` are compared by different ones. All other columns come back as ``<column>_a``
     and ``<column>_b``. A similarity is NULL when a vector is NULL or zero.
+    Rows with a NULL id or block have no pairs.
     With ``above``, only pairs whose similarities all lie above it are returned.
 
     Blocks over ``tile_rows`` rows are cut into tiles and every two tiles meet in a cell
@@ -48,7 +49,7 @@ def similar_pairs(
     similarities = {n: (v, v) if isinstance(v, str) else v for n, v in similarities.items()}
     vectors = list(dict.fromkeys(v for sides in similarities.values() for v in sides))
     carried = [c for c in records.columns if c not in (*block, id_column, *vectors)]
-    rows = records.filter(known(block))
+    rows = records.filter(known([*block, id_column]))
     small = bound is not None and bound.largest <= tile_rows
     found = bound if small else measure(rows, block)
     width = shuffle_width(records, found.pairs)

@@ -153,10 +153,9 @@ def row_objects(spark, sf_dir):
     " WHERE DATE '2024-03-31' - CAST(ts AS DATE) BETWEEN 0 AND 89"
 )
 def recent_rows(spark, sf_dir):
-    events = standins.table(spark, sf_dir, "events").select(
-        "event_id", F.col("ts").cast("date").alias("day")
-    )
-    return events.filter(text.is_recent("day", F.lit("2024-03-31").cast("date")))
+    events = standins.table(spark, sf_dir, "events")
+    recent = events.filter(text.is_recent("ts", F.lit("2024-03-31").cast("date")))
+    return recent.select("event_id", F.col("ts").cast("date").alias("day"))
 
 
 @query(

@@ -18,11 +18,12 @@ def read_delimited(
 ) -> DataFrame:
     """File with a header line; columns are found by name, in any order and case.
 
+    Quoted values may hold separators, doubled quotes and line breaks.
     A byte order mark and an unnamed leading index column are dropped. Text is kept as
     written (no trimming). With a schema, values that do not fit their type become NULL
     and columns the file lacks are left out.
     """
-    df = spark.read.option("header", True).option("sep", separator).csv(path)
+    df = spark.read.options(header=True, sep=separator, escape='"', multiLine=True).csv(path)
     names = [c.lstrip("\ufeff") for c in df.columns]
     df = df.toDF(*names)
     if names and names[0] in ("", "_c0"):

@@ -34,35 +34,32 @@ def random_pairs(seed, tasks=12, size=7):
     return out
 
 
-def hand_made():
-    """Three tasks with known groups: one label bridges records that another would pair."""
+def bridged():
+    """A star whose weakest pair has the label of a far pair, a tie, and a pair without score."""
     rows = [
-        (1, 1, 2, ADDRESS, 2.90), (1, 1, 3, FUZZY, 2.89), (1, 1, 4, FUZZY, 2.87),
-        (1, 2, 3, HIGH, 2.97), (1, 2, 4, ADDRESS, 2.95), (1, 3, 4, HIGH, 2.96),
-        (2, 5, 6, HIGH, 2.97), (2, 5, 7, FUZZY, 2.89), (2, 6, 7, FUZZY, 2.86),
-        (3, 8, 9, ADDRESS, 2.84),
+        (70, 201, 205, EXACT, 1.5), (70, 201, 209, NO_MATCH, 0.25), (70, 205, 213, NO_MATCH, 1.75),
+        (70, 209, 213, EXACT, 1.5), (70, 213, 217, FUZZY, None),
+        (82, 301, 304, NO_MATCH, 0.5), (82, 304, 307, EXACT, 0.5), (82, 310, 313, EXACT, 0.125),
     ]
     return [dict(zip(("task", "a", "b", "label", "score"), r)) for r in rows]
 
 
-def test_hand_made_groups(spark, rows):
-    pairs = frame_of(spark, hand_made())
-    assert rows(groups.group_numbers(pairs)) == [
-        (1, FUZZY, 2), (1, HIGH, 3), (1, ADDRESS, 1),
-        (2, FUZZY, 5), (2, HIGH, 4), (3, ADDRESS, 6),
-    ]
-    got = groups.selected_groups(pairs)
-    assert rows(got, "task_id", "id", "match_type", "total_score", "group_id") == sorted(
-        [(1, i, HIGH, 2.97, 3) for i in (2, 3, 4)]
-        + [(1, 1, SINGLETON, 0.0, -1)]
-        + [(2, i, HIGH, 2.97, 4) for i in (5, 6)]
-        + [(2, 7, SINGLETON, 0.0, -1)]
-        + [(3, i, ADDRESS, 2.84, 6) for i in (8, 9)],
-        key=repr,
+def test_bridged_groups(spark, rows):
+    pairs = bridged()
+    frame = frame_of(spark, pairs)
+    numbered = brute.numbers(pairs)
+    assert rows(groups.group_numbers(frame)) == sorted(
+        ((t, label, n) for (t, label), n in numbered.items()), key=repr
     )
-    lists = groups.group_lists(got)
-    assert rows(lists, "task_id", "group") == sorted(
-        [(1, [2, 3, 4]), (1, [1]), (2, [5, 6]), (2, [7]), (3, [8, 9])], key=repr
+    got = groups.selected_groups(frame)
+    want = brute.grouped(pairs)
+    assert rows(got, "task_id", "id", "match_type", "total_score") == sorted(want, key=repr)
+    members = {}
+    for task, record, label, score in want:
+        key = (task, label, score) if label != SINGLETON else (task, record)
+        members.setdefault((task, key), []).append(record)
+    assert rows(groups.group_lists(got), "task_id", "group") == sorted(
+        ((task, sorted(ids)) for (task, _), ids in members.items()), key=repr
     )
 
 
@@ -93,19 +90,21 @@ def test_unknown_labels_are_refused_unless_named(spark):
 
 
 def test_grouped_records_keep_both_key_sets(spark, rows):
+    members = sorted({(p["task"], p[side]) for p in bridged() for side in "ab"})
+    chosen = sorted(i for _, i, _, _ in brute.grouped(bridged()))
     originals = spark.createDataFrame(
-        [(t, i, f"n{i}") for t, i in [(1, 1), (1, 2), (1, 3), (1, 4), (2, 5), (2, 6), (2, 7), (3, 8), (3, 9), (4, 10)]],
+        [(t, i, f"n{i}") for t, i in [*members, (93, 400)]],
         "task_id long, id long, firstname string",
     )
-    pairs = frame_of(spark, hand_made())
+    pairs = frame_of(spark, bridged())
     got = groups.grouped_records(pairs, originals)
     assert got.columns[-3:] == ["task_id_original", "id_original", "firstname"]
-    assert sorted(r.id for r in got.collect()) == list(range(1, 10))
+    assert sorted(r.id for r in got.collect()) == chosen
     assert all(r.id == r.id_original and r.firstname == f"n{r.id}" for r in got.collect())
     kept = groups.grouped_records(pairs, originals, keep_unpaired=True)
-    assert rows(kept.filter("task_id = 4"), "id", "match_type") == [(10, SINGLETON)]
+    assert rows(kept.filter("task_id = 93"), "id", "match_type") == [(400, SINGLETON)]
     upper = originals.toDF("TASK_ID", "ID", "FIRSTNAME")
-    assert groups.grouped_records(pairs, upper).count() == 9
+    assert groups.grouped_records(pairs, upper).count() == len(chosen)
 
 
 def test_text_lists_are_read(spark, rows):
@@ -153,9 +152,9 @@ def test_merged_sets(spark, rows):
 
 
 def test_lists_by_first_id(spark, rows):
-    pairs = frame_of(spark, hand_made())
+    pairs = frame_of(spark, bridged())
     got = {r.id_a: (r.partners, r.match_types) for r in groups.lists_by_first_id(pairs).collect()}
-    assert got[1] == ([2, 3, 4], sorted([ADDRESS, FUZZY])) and got[8] == ([9], [ADDRESS])
+    assert got[201] == ([205, 209], sorted([EXACT, NO_MATCH])) and got[213] == ([217], [FUZZY])
 
 
 # -- numbering -------------------------------------------------------------------------

@@ -46,7 +46,7 @@ def test_other_separators(spark, tmp_path):
     path = tmp_path / "scores.txt"
     path.write_text(
         "FNI_FILE_ID|TASK_ID|RESPONSE_FINAL|PROBABILITY|CONFIDENCE_SCORE\n"
-        "7|1|1|0.654|LOW\n7|2|0|0.158|MEDIUM\n7|3|0|0.0099|HIGH\n7|4|1|0.97|HIGH\n"
+        "31|90|0|0.5|LOW\n31|91|1|0.8|MEDIUM\n32|92|0|0.0|HIGH\n32|93|1|1.0|HIGH\n"
     )
     got = readers.read_delimited(spark, str(path), SCORED_TASKS, "|")
     assert got.schema == SCORED_TASKS
