@@ -1,9 +1,10 @@
 """Cases that once went wrong: quoted text in files, pushed filters, NULL ids."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from recordloom.functions import text
-from recordloom.operators import tiles
+from recordloom.operators import rules, tiles
 from recordloom.sources import readers
 
 
@@ -27,3 +28,31 @@ def test_null_ids_have_no_pairs(spark):
     frame = spark.createDataFrame(rows, "task long, id long, v array<double>")
     got = tiles.similar_pairs(frame, ["task"], "id", {"score": "v"})
     assert [(r.id_a, r.id_b) for r in got.collect()] == [(1, 2)]
+
+
+@pytest.mark.parametrize(
+    "predicate",
+    [
+        r"a.name = r'\\' OR reflect('java.util.UUID', 'randomUUID') = r'\\'",
+        "a.id IN (TABLE secret)",
+        "a.id IN (FROM secret)",
+        "a.id IN (FROM secret |> WHERE true)",
+        "EXISTS (VALUES 1)",
+        "a.id = (SELECT 1)",
+        "java_method('java.lang.System', 'exit', 1) = 1",
+        "rand() < 0.5",
+    ],
+)
+def test_unsafe_rules_are_refused(spark, predicate):
+    frame = spark.createDataFrame([(1, 1, "x"), (1, 2, "x")], "task_id long, id long, name string")
+    valid, why = rules.validate_rule(frame, predicate)
+    assert not valid and why
+    with pytest.raises(Exception):
+        rules.rule_pairs(frame, predicate)
+
+
+def test_plain_rules_are_run(spark):
+    frame = spark.createDataFrame([(1, 1, "x"), (1, 2, "X")], "task_id long, id long, name string")
+    rule = "lower(a.name) = lower(b.name) AND a.name NOT IN ('select', ';');"
+    assert rules.validate_rule(frame, rule) == (True, None)
+    assert rules.rule_pairs(frame, rule).count() == 1
