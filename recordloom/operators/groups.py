@@ -20,6 +20,8 @@ from .rules import HIGH_EARLIER, RULE_LABELS, SCORES, SINGLETON
 
 GROUP_LABELS = (*RULE_LABELS, HIGH_EARLIER)
 PAGE_WIDTH = 10_000
+#: Labels are bits of a 32-bit number.
+MAX_LABELS = 31
 
 
 def total_score(pairs: DataFrame) -> DataFrame:
@@ -71,6 +73,8 @@ def with_group_id(pairs: DataFrame, numbers: DataFrame | None = None) -> DataFra
 
 
 def _bit(match_type: Column, labels: Sequence[str]) -> Column:
+    if len(labels) > MAX_LABELS:
+        raise ValueError(f"{len(labels)} labels; at most {MAX_LABELS} can be told apart")
     position = F.array_position(F.array(*[F.lit(x) for x in labels]), match_type)
     unknown = F.raise_error(F.concat(F.lit("unknown match type: "), match_type))
     return F.when(position > 0, (position - 1).cast("int")).otherwise(unknown.cast("int"))

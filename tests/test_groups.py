@@ -63,6 +63,11 @@ def test_bridged_groups(spark, rows):
     )
 
 
+def test_too_many_labels_are_refused(spark):
+    with pytest.raises(ValueError, match="40 labels"):
+        groups.selected_groups(frame_of(spark, bridged()), labels=[f"l{i}" for i in range(40)])
+
+
 @pytest.mark.parametrize("seed", range(4))
 def test_selection_equals_the_walk(spark, seed):
     pairs = random_pairs(seed)
