@@ -1,4 +1,4 @@
-"""Benchmark passages in documents: SimHash windows, Hamming blocks, exact verification."""
+"""Benchmark passages in documents: SimHash windows, Hamming blocks, rare shingles, exact verification."""
 
 from __future__ import annotations
 
@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .names import free_names
-from .words import ALNUM, U64, blocks, hash_words, mix, text_bytes
+from .words import ALNUM, U64, Words, blocks, hash_words, mix, text_bytes
 
 WIDTH = 5
 SIMILARITY = 0.8
@@ -24,6 +24,9 @@ MAX_WORDS = 1_000_000
 #: Longest window: eight bits count its words.
 LONGEST = 250
 
+#: Low bits of shingles by which most of a document's are told to be in no item.
+HINT = U64((1 << 22) - 1)
+
 HIGH = U64(0x8080808080808080)
 GATHER = U64(0x0102040810204080)
 
@@ -69,6 +72,44 @@ def window_words(n: int, width: int, similarity: float, stride: int) -> tuple[in
     return min(run - stride + 1, LONGEST), stride
 
 
+def runs(words: Words, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """A hash for every run of exactly ``size`` words, and the first of each text."""
+    found, starts = words.shingles(size)
+    short = np.repeat(words.counts < size, np.diff(starts))
+    kept = np.concatenate(([0], np.cumsum(~short)))
+    return found[~short], kept[starts]
+
+
+def best_window(found: np.ndarray, keys: np.ndarray, counts: np.ndarray) -> tuple[int, float]:
+    """First word and weighted similarity of the best of all windows of an item's size.
+
+    ``found`` are the shingles of a text, ``keys`` the item's in order and ``counts`` how often
+    each is in the item. Windows that reach beyond the text are cut at its ends. Of the
+    occurrences of a shingle in a window the last ones count, as many as the item has: so an
+    occurrence counts for the windows that hold it, but not that many later ones.
+    """
+    size = int(counts.sum())
+    slot = np.minimum(np.searchsorted(keys, found), len(keys) - 1)
+    hit = np.flatnonzero(keys[slot] == found)
+    if not len(hit):
+        return 0, 0.0
+    order = np.argsort(slot[hit], kind="stable")
+    place, of = hit[order], slot[hit][order]
+    later = np.arange(len(place)) + counts[of]
+    inside = np.minimum(later, len(place) - 1)
+    stays = (later < len(place)) & (of[inside] == of)
+    last = np.where(stays, np.minimum(place, place[inside] - size), place)
+    # windows begin at 1 - size and later; ``both`` is what they share with the item
+    steps = np.bincount(place, minlength=len(found) + size)
+    steps[: len(found) + size] -= np.bincount(last + size, minlength=len(found) + size)
+    both = np.cumsum(steps)[: len(found) + size - 1]
+    begin = np.arange(1 - size, len(found))
+    held = np.minimum(begin + size, len(found)) - np.maximum(begin, 0)
+    got = both / (size + held - both)
+    best = int(np.argmax(got))
+    return max(0, int(begin[best])), float(got[best])
+
+
 @dataclass
 class Size:
     """Fingerprints of all item windows of one size, with a table for each block of bits."""
@@ -93,17 +134,16 @@ class Index:
         data, offsets = text_bytes(pa.array(texts, pa.string()))
         words = hash_words(data, offsets, ALNUM, lower_latin=True)
         self.counts = words.counts
-        self.weights = []
         groups: dict[tuple[int, int], list] = {}
         sums = lanes(words.hashes)
         for i, n in enumerate(self.counts):
             start = words.starts[i]
-            self.weights.append(_weights(words.hashes[start : start + n], width))
             if n:
                 size = window_words(int(n), width, similarity, stride)
                 places = np.arange(n - size[0] + 1)
                 found = fingerprints(sums, start + places, size[0])
                 groups.setdefault(size, []).append((found, np.full(len(places), i), places))
+        self._post(words)
         self.sizes = []
         cuts = np.linspace(0, 64, radius + 2).astype(int)
         for (words_in, step), parts in sorted(groups.items()):
@@ -116,9 +156,41 @@ class Index:
                 tables.append((int(low), int(high), starts.astype(np.int32), order))
             self.sizes.append(Size(words_in, step, prints, item, place, tables))
 
+    def _post(self, words: Words) -> None:
+        """Shingles of the items, and the items listed under their rarest shingles.
+
+        A window of the similarity shares at least that part of the item's shingles, so one
+        of any ``size - least + 1`` of them is in the window.
+        """
+        self.shingles: list[tuple[int, np.ndarray, np.ndarray] | None] = [None] * len(self.counts)
+        self.posted = {}
+        for size in sorted({min(int(n), self.width) for n in self.counts if n}):
+            flat, starts = runs(words, size)
+            members = np.flatnonzero(np.minimum(self.counts, self.width) == size)
+            for i in members:
+                keys, n = np.unique(flat[starts[i] : starts[i + 1]], return_counts=True)
+                self.shingles[i] = (size, keys, n)
+            every, spread = np.unique(
+                np.concatenate([self.shingles[i][1] for i in members]), return_counts=True
+            )
+            keys, items = [], []
+            for i in members:
+                _, own, n = self.shingles[i]
+                order = np.argsort(spread[np.searchsorted(every, own)], kind="stable")
+                least = int(np.ceil(n.sum() * self.similarity - 1e-9))
+                before = np.cumsum(n[order]) - n[order]
+                rare = own[order[before <= n.sum() - least]]
+                keys.append(rare)
+                items.append(np.full(len(rare), i))
+            keys, items = np.concatenate(keys), np.concatenate(items)
+            order = np.argsort(keys, kind="stable")
+            keys, begins = np.unique(keys[order], return_index=True)
+            hint = np.zeros(int(HINT) + 1, bool)
+            hint[(keys & HINT).astype(np.int64)] = True
+            self.posted[size] = (keys, np.append(begins, len(items)), items[order], hint)
+
     def candidates(self, sums: np.ndarray, counts: np.ndarray, starts: np.ndarray):
-        """(text, item, first word of the item's copy in the text) for all windows near one of
-        an item's."""
+        """(text, item, first word of the item's copy in the text) for windows near an item's run."""
         for size in self.sizes:
             fits = np.maximum(0, (counts - size.width) // size.stride + 1)
             ends = np.cumsum(fits)
@@ -145,6 +217,23 @@ class Index:
                 window, entry = (np.concatenate(x) for x in zip(*hits, strict=True))
                 yield text[window], size.item[entry], place[window] - size.place[entry]
 
+    def sharing(self, parts: dict[int, tuple[np.ndarray, np.ndarray]]):
+        """(text, item) where the text has one of the item's posted shingles.
+
+        Every text with a window of the wanted similarity is among them, however the item's
+        parts are ordered there.
+        """
+        for size, (keys, begins, items, hint) in self.posted.items():
+            found, starts = parts[size]
+            some = np.flatnonzero(hint[(found & HINT).astype(np.int64)])
+            slot = np.minimum(np.searchsorted(keys, found[some]), len(keys) - 1)
+            same = keys[slot] == found[some]
+            some, slot = some[same], slot[same]
+            n = begins[slot + 1] - begins[slot]
+            entry = np.repeat(begins[slot], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            text = np.searchsorted(starts, np.repeat(some, n), "right") - 1
+            yield text, items[entry]
+
     def matches(self, column: pa.Array) -> Iterator[tuple[int, int, int, float]]:
         """(text, item, first word, similarity) of the best window of each matching item."""
         data, offsets = text_bytes(column)
@@ -153,44 +242,24 @@ class Index:
             words = hash_words(
                 data[base : offsets[last]], offsets[first : last + 1] - base, ALNUM, True
             )
-            best: dict[tuple[int, int], tuple[float, int]] = {}
-            found = list(self.candidates(lanes(words.hashes), words.counts, words.starts[:-1]))
+            parts = {size: runs(words, size) for size in self.posted}
+            found = [x[:2] for x in self.candidates(lanes(words.hashes), words.counts, words.starts[:-1])]
+            found += self.sharing(parts)
             if not found:
                 continue
             tested = np.unique(np.stack([np.concatenate(x) for x in zip(*found, strict=True)]), axis=1)
-            for text, item, place in tested.T.tolist():
-                begin, end = words.starts[text], words.starts[text + 1]
-                low = max(begin, begin + place)
-                high = min(end, begin + place + self.counts[item])
-                got = similarity(_weights(words.hashes[low:high], self.width), self.weights[item])
+            for text, item in tested.T.tolist():
+                size, keys, n = self.shingles[item]
+                flat, starts = parts[size]
+                place, got = best_window(flat[starts[text] : starts[text + 1]], keys, n)
                 if got >= self.similarity:
-                    key = (text, item)
-                    best[key] = max(best.get(key, (0.0, 0)), (got, -max(0, place)))
-            for (text, item), (got, place) in sorted(best.items()):
-                yield first + text, item, -place, got
+                    yield first + text, item, place, got
 
 
 def _block(prints: np.ndarray, low: int, high: int) -> np.ndarray:
     return ((prints >> U64(low)) & U64((1 << (high - low)) - 1)).astype(np.int64)
 
 
-def _weights(words: np.ndarray, width: int) -> dict[tuple[int, ...], int]:
-    """How often each shingle of a window occurs; few words are one shingle."""
-    out: dict[tuple[int, ...], int] = {}
-    found = words.tolist()
-    for i in range(max(1, len(found) - width + 1) if found else 0):
-        key = tuple(found[i : i + width])
-        out[key] = out.get(key, 0) + 1
-    return out
-
-
-def similarity(a: dict, b: dict) -> float:
-    """Weighted Jaccard: sum of the smaller counts over the sum of the larger ones."""
-    both = sum(min(n, b[k]) for k, n in a.items() if k in b)
-    total = sum(a.values()) + sum(b.values()) - both
-    return both / total if total else 0.0
-
-
 def item_blocks(benchmark: DataFrame, item_column: str, text_column: str, max_words: int):
     """Lists of (item id, text) of at most ``max_words`` words, one item at least.
 
@@ -229,6 +298,10 @@ def contaminated(
     window of each document row and item is returned, the first if several are equal. A
     document shorter than the item is compared as it is.
 
+    SimHash windows of runs name documents and items, and so do the rarest shingles of an
+    item, of which every matching window has one; then every window of the item's size is
+    compared, whatever the order of its parts.
+
     Items and documents without words (NULL, empty) match nothing. Repeated rows give
     repeated results; NULL ids are carried along. Empty tables give no rows. Texts are not
     shuffled: every block of items is sent to the tasks that read documents.

@@ -5,6 +5,7 @@ import random
 import re
 import struct
 import zlib
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -240,6 +241,53 @@ def test_benchmark_passages(spark):
     assert decontamination.contaminated(docs_of(spark, rows), bench.where("false")).count() == 0
 
 
+def brute_passages(rows, items, width=5, least=0.8):
+    """Best similarity of all windows of an item's size, also those cut at a text's ends."""
+    split = lambda t: re.findall(r"[^\W_]+", (t or "").lower())
+
+    def weights(w):
+        return Counter(tuple(w[k : k + width]) for k in range(max(1, len(w) - width + 1)) if w)
+
+    out = {}
+    for d, t in rows:
+        words = split(t)
+        for i, item in items:
+            own = split(item)
+            want = weights(own)
+            for at in range(1 - len(own), len(words)):
+                have = weights(words[max(0, at) : at + len(own)])
+                got = (have & want).total() / (have | want).total()
+                if got >= least and got > out.get((d, i), (0.0, 0))[0]:
+                    out[d, i] = (got, max(0, at))
+    return sorted((d, i, place, round(got, 9)) for (d, i), (got, place) in out.items())
+
+
+def test_every_window_of_an_item_is_compared(spark):
+    rng = random.Random(12)
+    words = [f"{a}{b}{c}" for a in "bdfg" for b in "aeiou" for c in "lmnr"]
+    pick = lambda n: rng.choices(words, k=n)
+    items = [(k, pick(n)) for k, n in enumerate([2, 4, 5, 7, 30, 60, 100, 200])]
+    items += [(20, pick(3) * 20), (21, items[6][1][:40] + pick(60))]
+    rows = []
+    for _, item in items:
+        n = len(item)
+        halves = item[n // 2 :] + item[: n // 2]
+        thirds = item[2 * n // 3 :] + item[n // 3 : 2 * n // 3] + item[: n // 3]
+        cut, changed = item[n // 12 :], list(item)
+        for _ in range(n // 50):
+            changed[rng.randrange(n)] = "zzz"
+        for text in (halves, thirds, cut, changed, changed + pick(3) + halves):
+            rows.append((len(rows), " ".join(pick(rng.randrange(40)) + text + pick(rng.randrange(40)))))
+            rows.append((len(rows), " ".join(text)))
+    items = [(k, " ".join(x)) for k, x in items]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = decontamination.contaminated(docs_of(spark, rows), bench).collect()
+    have = sorted((r.doc_id, r.item_id, r.first_word, round(r.similarity, 9)) for r in got)
+    assert have == brute_passages(rows, items)
+    swapped = {rows[10 * k][0] for k in (6, 7)}  # halves of the items of 100 and 200 words
+    assert swapped <= {d for d, _, _, _ in have}
+
+
 # --- repeated passages
 
 
