@@ -4,7 +4,8 @@ Documents are dealt to shards, and the anchors of their strings to buckets. Shar
 buckets three times, each time about less: which anchors do several documents have; do all
 runs with such an anchor look alike; and where they differ, which document has each string
 first. Only the last question needs the strings themselves: the buckets transform them shard
-by shard and merge the transforms.
+by shard and merge the transforms. Where an anchor has many different runs, as a phrase that
+many documents use, the strings themselves are dealt by their hashes, so no task has them all.
 """
 
 from __future__ import annotations
@@ -25,6 +26,11 @@ LENGTH, ANCHOR = 50, 24
 BLOCK = 1 << 17
 #: Bytes of text in a shard of documents, and for each bucket of anchors.
 SHARD_BYTES, BUCKET_BYTES = 4 << 20, 4 << 20
+#: Different runs with one anchor, in all shards, beyond which the anchor's strings are dealt by
+#: hash; a shard with more than ``SHARD_CROWD`` of them says so instead of listing them.
+CROWD, SHARD_CROWD = 4096, 64
+#: Strings that are hashed together.
+HASHED = 1 << 16
 
 
 class Runs:
@@ -117,7 +123,7 @@ class Shard:
     bits of its anchor in the low half. Rows with a NULL id have no runs."""
 
     def __init__(self, table: pa.Table, buckets: int, how: tuple[str, str, int, int]):
-        id_column, text_column, length, anchor = how
+        id_column, text_column, length, anchor = how[:4]
         ids = table.column(id_column).cast(pa.int64()).combine_chunks()
         self.data, self.offsets = text_bytes(table.column(text_column))
         self.runs = runs = Runs(self.data, self.offsets, length, anchor)
@@ -208,12 +214,13 @@ def _flag(table: pa.Table) -> pa.Table:
     )
 
 
-SEEN = "bucket long, shard long, keys binary, contents binary, ids binary, more binary"
+SEEN = "bucket long, shard long, keys binary, contents binary, ids binary, more binary, strings binary"
 
 
 def _see(table: pa.Table, flags: pa.Table, buckets: int, how: tuple) -> pa.Table:
     """The different runs of a shard with a flagged anchor, the least id that has each, and
-    whether a larger id has it too."""
+    whether a larger id has it too. An anchor with a crowd of runs is one entry, with the number
+    of its strings; that of the others is 0."""
     if not table.num_rows or not flags.num_rows:
         return pa.table({n: [] for n in _names(SEEN)}).cast(_arrow(SEEN))
     shard = Shard(table, buckets, how)
@@ -227,7 +234,17 @@ def _see(table: pa.Table, flags: pa.Table, buckets: int, how: tuple) -> pa.Table
         least, most = np.minimum.reduceat(own, begins), np.maximum.reduceat(own, begins)
     else:
         least = most = own
+    count = shard.runs.count[use][order]
+    strings = np.add.reduceat(count, begins) if len(begins) else count
     key, content = key[order][begins], content[order][begins]
+    first = np.flatnonzero(np.concatenate((key[:1] == key[:1], key[1:] != key[:-1])))
+    many = np.diff(np.append(first, len(key)))
+    crowded = many > how[4]
+    if len(first):
+        strings = np.repeat(np.where(crowded, np.add.reduceat(strings, first), 0), many)
+    keep = ~np.repeat(crowded, many)
+    keep[first] = True
+    key, content, least, most, strings = (x[keep] for x in (key, content, least, most, strings))
     found, cuts = np.unique(key >> 32, return_index=True)
     return pa.table(
         {
@@ -237,14 +254,19 @@ def _see(table: pa.Table, flags: pa.Table, buckets: int, how: tuple) -> pa.Table
             "contents": pa.array(_split(content, cuts), pa.binary()),
             "ids": pa.array(_split(least, cuts), pa.binary()),
             "more": pa.array(_split((most > least).astype("u1"), cuts), pa.binary()),
+            "strings": pa.array(_split(strings.astype("<i8"), cuts), pa.binary()),
         }
     )
 
 
 class Seen:
-    """What all shards have seen of one bucket, in order of anchor and content."""
+    """What all shards have seen of one bucket, in order of anchor and content.
 
-    def __init__(self, table: pa.Table):
+    ``dealt`` are entries of anchors whose strings are dealt by hash, and ``strings`` is no less
+    than the number of strings of the entry's anchor.
+    """
+
+    def __init__(self, table: pa.Table, how: tuple):
         packed = table.column("keys").to_pylist()
         key = _array(packed, "<u4")
         content = _array(table.column("contents").to_pylist(), "<u8")
@@ -263,29 +285,44 @@ class Seen:
         self.first = np.flatnonzero(run_begins)  # with the least id of each run
         anchor = np.cumsum(anchor_begins) - 1
         runs_of_anchor = np.bincount(anchor[self.first], minlength=anchor[-1] + 1 if n else 0)
-        self.mixed = runs_of_anchor[anchor] > 1
+        strings = _array(table.column("strings").to_pylist(), "<i8")[order]
+        places = how[2] - how[3] + 1  # the most strings of a run
+        total = np.bincount(anchor, np.maximum(strings, places)).astype(np.int64)
+        crowded = (runs_of_anchor > how[5]) | (np.bincount(anchor, strings > 0) > 0)
+        self.dealt, self.strings = crowded[anchor], total[anchor]
+        self.mixed = (runs_of_anchor[anchor] > 1) & ~self.dealt
 
 
-TOLD = "shard long, bucket long, keys binary, least binary, wanted binary, contents binary"
+TOLD = (
+    "shard long, bucket long, keys binary, least binary, wanted binary, contents binary,"
+    " dealt binary, folds binary"
+)
 
 
-def _tell(table: pa.Table) -> pa.Table:
-    """To each shard the least ids of runs that are alike wherever their anchor is, and the
-    runs whose strings it has to send, as it has their least id."""
-    seen = Seen(table)
+def _tell(table: pa.Table, how: tuple, part_strings: int) -> pa.Table:
+    """To each shard the least ids of runs that are alike wherever their anchor is, the runs
+    whose strings it has to send, as it has their least id, and the anchors whose strings it has
+    to deal, with the number of parts."""
+    seen = Seen(table, how)
     least = seen.ids[seen.first][seen.run]
-    alike = np.flatnonzero(~seen.mixed & ((least < seen.ids) | seen.more))
+    alike = np.flatnonzero(~seen.mixed & ~seen.dealt & ((least < seen.ids) | seen.more))
     send = seen.first[seen.mixed[seen.first]]
+    new = np.ones(len(seen.key), bool)  # one entry for each shard and anchor
+    by_shard = np.lexsort((seen.shard, seen.key))
+    new[by_shard[1:]] = (seen.key[by_shard][1:] != seen.key[by_shard][:-1]) | (
+        seen.shard[by_shard][1:] != seen.shard[by_shard][:-1]
+    )
+    folds = -(-seen.strings // part_strings)
     rows: dict[int, list] = {}
-    for k, chosen in enumerate((alike, send)):
+    for k, chosen in enumerate((alike, send, np.flatnonzero(seen.dealt & new))):
         chosen = chosen[np.argsort(seen.shard[chosen], kind="stable")]
         found, cuts = np.unique(seen.shard[chosen], return_index=True)
         for s, own in zip(found.tolist(), np.split(chosen, cuts[1:]), strict=True) if len(found) else ():
-            rows.setdefault(s, [b"", b"", b"", b""])[2 * k : 2 * k + 2] = (
+            rows.setdefault(s, [b""] * 6)[2 * k : 2 * k + 2] = (
                 seen.key[own].tobytes(),
-                (seen.content[own] if k else least[own]).tobytes(),
+                (least, seen.content, folds)[k][own].tobytes(),
             )
-    columns = list(zip(*rows.values(), strict=True)) if rows else [()] * 4
+    columns = list(zip(*rows.values(), strict=True)) if rows else [()] * 6
     return pa.table(
         {
             "shard": pa.array(list(rows), pa.int64()),
@@ -340,7 +377,7 @@ def _send(table: pa.Table, told: pa.Table, buckets: int, how: tuple) -> pa.Table
 ANSWERS = "shard long, bucket long, keys binary, contents binary, parts binary, sizes binary, values binary"
 
 
-def _answer(strings: pa.Table, table: pa.Table, length: int) -> pa.Table:
+def _answer(strings: pa.Table, table: pa.Table, how: tuple) -> pa.Table:
     """To each shard, for the runs that differ, the least id of each of their strings, as
     stretches of equal ids.
 
@@ -349,7 +386,7 @@ def _answer(strings: pa.Table, table: pa.Table, length: int) -> pa.Table:
     """
     if not strings.num_rows:
         return pa.table({n: [] for n in _names(ANSWERS)}).cast(_arrow(ANSWERS))
-    seen = Seen(table)
+    length, seen = how[2], Seen(table, how)
     rows = strings.sort_by("shard").to_pylist()
     key = _array([r["keys"] for r in rows], "<u4")
     content = _array([r["contents"] for r in rows], "<u8")
@@ -398,6 +435,89 @@ def _answer(strings: pa.Table, table: pa.Table, length: int) -> pa.Table:
     )
 
 
+PIECES = "anchor long, part long, shard long, hashes binary, ids binary, more binary, strings binary"
+
+
+def _strings(shard: Shard, use: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Run, first byte and hash of every string of the runs ``use``."""
+    count = shard.runs.count[use]
+    run = np.repeat(use, count)
+    within = np.arange(len(run)) - np.repeat(np.cumsum(count) - count, count)
+    begin = shard.runs.begin[run] + within
+    factors = np.random.default_rng(length).integers(1, 1 << 63, length, dtype=np.uint64) | U64(1)
+    hashes = np.zeros(len(run), U64)
+    for low in range(0, len(run), HASHED):
+        part = begin[low : low + HASHED]
+        for j in range(length):
+            hashes[low : low + HASHED] += BYTE_VALUES[shard.data[part + j]] * factors[j]
+    return run, begin, mix(hashes)
+
+
+def _deal(table: pa.Table, told: pa.Table, buckets: int, how: tuple) -> pa.Table:
+    """The different strings of a shard whose anchor has a crowd of runs, in parts by hash, with
+    the least id that has each and whether a larger id has it too."""
+    keys = _keys(told, "dealt") if told.num_rows else np.zeros(0, np.int64)
+    if not table.num_rows or not len(keys):
+        return pa.table({n: [] for n in _names(PIECES)}).cast(_arrow(PIECES))
+    order = np.argsort(keys)
+    folds = _array(told.column("folds").to_pylist(), "<i8")[order]
+    shard = Shard(table, buckets, how)
+    hit, place = _found(shard.key[shard.usable], keys[order])
+    use = shard.usable[hit]
+    run, begin, hashes = _strings(shard, use, how[2])
+    part = (hashes % np.repeat(folds[place], shard.runs.count[use]).astype(U64)).astype(np.int64)
+    own = shard.ids[shard.runs.row[run]]
+    order, begins = _groups(shard.key[run], part, hashes)
+    least, most = (f.reduceat(own[order], begins) for f in (np.minimum, np.maximum))
+    one = order[begins]
+    key, part, hashes = shard.key[run][one], part[one], hashes[one]
+    body = np.lib.stride_tricks.sliding_window_view(shard.data, how[2])[begin[one]]
+    new = np.ones(len(key), bool)
+    new[1:] = (key[1:] != key[:-1]) | (part[1:] != part[:-1])
+    cuts = np.flatnonzero(new)
+    return pa.table(
+        {
+            "anchor": key[cuts],
+            "part": part[cuts],
+            "shard": np.full(len(cuts), table.column("shard")[0].as_py()),
+            "hashes": pa.array(_split(hashes, cuts), pa.binary()),
+            "ids": pa.array(_split(least, cuts), pa.binary()),
+            "more": pa.array(_split((most > least).astype("u1"), cuts), pa.binary()),
+            "strings": pa.array(_split(body, cuts), pa.binary()),
+        }
+    )
+
+
+SETTLED = "shard long, anchor long, hashes binary, values binary"
+
+
+def _settle(table: pa.Table, length: int, part_strings: int) -> pa.Table:
+    """To each shard the least ids of the strings of one part that it does not know.
+
+    Strings of shards are transformed together as far as they are few.
+    """
+    rows = table.sort_by("shard").to_pylist()
+    sizes = [len(r["hashes"]) // 8 for r in rows]
+    flat = b"".join(r["strings"] for r in rows)
+    bodies = [flat[i : i + length] for i in range(0, len(flat), length)]
+    ids = _array([r["ids"] for r in rows], "<i8")
+    step = max(1, part_strings // 4)
+    together = [min(step, len(bodies) - i) for i in range(0, len(bodies), step)]
+    least, _ = least_owners(bodies, ids, length, together)
+    news = (least < ids) | (_array([r["more"] for r in rows], "u1") > 0)
+    hashes = _array([r["hashes"] for r in rows], "<u8")
+    cuts = np.concatenate(([0], np.cumsum(sizes)))
+    out = []
+    for r, low, high in zip(rows, cuts[:-1], cuts[1:], strict=True):
+        some = low + np.flatnonzero(news[low:high])
+        if len(some):
+            out.append((r["shard"], r["anchor"], hashes[some].tobytes(), least[some].tobytes()))
+    columns = zip(*out, strict=True) if out else [()] * 4
+    return pa.table(
+        {f.name: pa.array(c, f.type) for f, c in zip(_arrow(SETTLED), columns, strict=True)}
+    )
+
+
 def _arrow(schema: str) -> pa.Schema:
     kinds = {"long": pa.int64(), "binary": pa.binary()}
     return pa.schema([(c.split()[0], kinds[c.split()[1]]) for c in schema.split(", ")])
@@ -408,7 +528,8 @@ def _spans(table: pa.Table, news: pa.Table, buckets: int, how: tuple) -> tuple[S
     length = how[2]
     shard = Shard(table, buckets, how)
     runs = shard.runs
-    told = news.filter(pa.compute.is_null(news.column("parts")))
+    settled = news.filter(pa.compute.is_valid(news.column("hashes")))
+    told = news.filter(pa.compute.is_valid(news.column("least")))
     answers = news.filter(pa.compute.is_valid(news.column("parts")))
     key, least = _keys(told), _array(told.column("least").to_pylist(), "<i8")
     order = np.argsort(key)
@@ -450,6 +571,17 @@ def _spans(table: pa.Table, news: pa.Table, buckets: int, how: tuple) -> tuple[S
         rows.append(runs.row[run])
         begin.append(runs.start[run] + within[at])
         end.append(runs.start[run] + within[at] + size[at] + length - 1)
+    if settled.num_rows:
+        hashes = _array(settled.column("hashes").to_pylist(), "<u8")
+        value = _array(settled.column("values").to_pylist(), "<i8")
+        order = np.argsort(hashes)
+        use = shard.usable[np.isin(shard.key[shard.usable], settled.column("anchor").to_numpy())]
+        run, first, own = _strings(shard, use, length)
+        hit, place = _found(own, hashes[order])
+        hit = hit[value[order][place] < shard.ids[runs.row[run[hit]]]]
+        rows.append(runs.row[run[hit]])
+        begin.append(first[hit] - shard.offsets[rows[-1]])
+        end.append(begin[-1] + length)
     return shard, np.concatenate(rows), (np.concatenate(begin) << 32) | np.concatenate(end)
 
 
@@ -503,6 +635,8 @@ def without_repeats(
     anchor: int = ANCHOR,
     shard_bytes: int = SHARD_BYTES,
     bucket_bytes: int = BUCKET_BYTES,
+    crowd: int = CROWD,
+    shard_crowd: int = SHARD_CROWD,
 ) -> DataFrame:
     """``df`` with the columns kept (bytes that are left, as binary), n_bytes, n_removed and
     spans (removed stretches, begin and end in bytes).
@@ -511,8 +645,11 @@ def without_repeats(
     a smaller id. Strings are judged on the input, and overlap.
 
     A shard passes on one entry for each different anchor or run, so a passage that many
-    documents share is no hot group: it is one entry a shard. All steps are one plan, and the
-    texts are shuffled once, by shard.
+    documents share is one entry a shard. Its edges have other surroundings in each document, as
+    has a frequent phrase: an anchor with more than ``crowd`` different runs, or ``shard_crowd``
+    in one shard, is one entry a shard too, and its strings are dealt by their hashes to parts
+    of about ``bucket_bytes``, after each shard has reduced them to one of each. All steps are
+    one plan, and the texts are shuffled once, by shard.
 
     NULL text counts as empty. Texts shorter than ``length`` stay. Rows with the same id never
     remove from each other. A row with a NULL id stays whole and removes nothing. An empty
@@ -522,7 +659,8 @@ def without_repeats(
     names = [c for c in df.columns if c.lower() not in {*_names(new), "shard"}]
     total = df.agg(F.sum(F.octet_length(F.col(text_column).cast("string")))).first()[0] or 0
     shards, buckets = max(1, total // shard_bytes), max(1, total // bucket_bytes)
-    how = (id_column, text_column, length, anchor)
+    how = (id_column, text_column, length, anchor, shard_crowd, crowd)
+    part_strings = max(1, bucket_bytes // (length + 1))
     dealt = F.pmod(F.xxhash64(id_column, text_column), F.lit(shards).cast("long"))
     texts = df.select(*names, dealt.alias("shard"))
 
@@ -533,15 +671,23 @@ def without_repeats(
     asked = texts.groupBy("shard").applyInArrow(lambda t: _ask(t, buckets, how), ASKED)
     flags = asked.groupBy("bucket").applyInArrow(_flag, FLAGGED)
     seen = on_shard(flags, _see, SEEN)
-    told = seen.groupBy("bucket").applyInArrow(_tell, TOLD)
+    told = seen.groupBy("bucket").applyInArrow(
+        lambda t: _tell(t, how, part_strings), TOLD
+    )
     strings = on_shard(told, _send, STRINGS)
     answers = (
         strings.groupBy("bucket")
         .cogroup(seen.groupBy("bucket"))
-        .applyInArrow(lambda a, b: _answer(a, b, length), ANSWERS)
+        .applyInArrow(lambda a, b: _answer(a, b, how), ANSWERS)
+    )
+    pieces = on_shard(told, _deal, PIECES)
+    settled = pieces.groupBy("anchor", "part").applyInArrow(
+        lambda t: _settle(t, length, part_strings), SETTLED
     )
-    news = told.select("shard", "bucket", "keys", "least").unionByName(
-        answers, allowMissingColumns=True
+    news = (
+        told.select("shard", "bucket", "keys", "least")
+        .unionByName(answers, allowMissingColumns=True)
+        .unionByName(settled, allowMissingColumns=True)
     )
     schema = T.StructType([f for f in texts.schema if f.name != "shard"])
     for field in T._parse_datatype_string(new):

@@ -7,6 +7,9 @@ import struct
 import zlib
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 from pyspark.sql import functions as F
 
@@ -327,6 +330,48 @@ def test_repeated_passages(spark, letters, length, anchor):
     assert repeats.without_repeats(docs_of(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize("shard_crowd, crowd", [(2, 10_000), (10_000, 3), (4, 8)])
+def test_a_phrase_with_many_surroundings_is_dealt(spark, shard_crowd, crowd):
+    rng = random.Random(crowd)
+    own = lambda n: "".join(rng.choices("abcdefghé ", k=n))
+    phrase, again = own(30), [own(60) for _ in range(6)]
+    rows = [*odd_rows()]
+    for _ in range(120):
+        near = rng.choice(again)
+        rows.append((rng.randint(8, 90), own(40) + phrase + rng.choice([near, own(50)])))
+        rows.append((rng.randint(8, 90), near + phrase + near))
+    got = repeats.without_repeats(
+        docs_of(spark, rows), shard_bytes=4000, bucket_bytes=1500,
+        shard_crowd=shard_crowd, crowd=crowd,
+    ).collect()
+    have = sorted(((r.doc_id, r.n_bytes, r.n_removed, bytes(r.kept)) for r in got), key=repr)
+    assert have == brute_repeats(rows, 50)
+
+
+def test_a_crowd_of_runs_is_one_entry_and_its_parts_are_bounded():
+    rng = random.Random(5)
+    own = lambda: "".join(rng.choices("abcdefgh", k=40))
+    phrase, how = "the same phrase in every document of all", ("doc_id", "text", 50, 24, 64, 4096)
+    ids = list(range(1000))
+    texts = [own() + phrase + own() for _ in ids]
+    table = pa.table({"doc_id": ids, "text": texts, "shard": [0] * len(ids)})
+    two = table.set_column(0, "doc_id", pa.array([i + 1000 for i in ids])).set_column(
+        2, "shard", pa.array([1] * len(ids))
+    )
+    asked = pa.concat_tables([repeats._ask(t, 1, how) for t in (table, two)])
+    flags = repeats._flag(asked)
+    seen = pa.concat_tables(
+        [repeats._see(t, flags.filter(pc.equal(flags["shard"], k)), 1, how) for k, t in enumerate((table, two))]
+    )
+    told = repeats._tell(seen, how, 500)
+    first = told.filter(pc.equal(told["shard"], 0))
+    pieces = repeats._deal(table, first, 1, how)
+    sizes = [len(x) // 8 for x in pieces["hashes"].to_pylist()]
+    assert sum(sizes) > 10_000 and max(sizes) < 500
+    listed = repeats.Seen(seen, how)
+    assert np.bincount(np.unique(listed.key, return_inverse=True)[1]).max() <= 2 * 64
+
+
 # --- urls and pages
 
 
