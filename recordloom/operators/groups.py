@@ -379,12 +379,14 @@ def paged_lists(
 ) -> DataFrame:
     """Sorted list of the distinct values per key, as ``<name>`` with a ``page`` number.
 
-    A key with up to ``page_width`` values has the single page 0. A larger one is cut by
-    ranges of its ids, so that no list outgrows a row however many rows a key has.
-    ``pages`` names other page columns, each range holding at most ``page_width`` values.
+    Page p holds the values from place ``p * page_width`` of the key's sorted values, so no list
+    outgrows a row however many rows a key has. Values of any sortable type will do.
+    ``pages`` names other page columns instead, ranges that hold at most ``page_width`` values
+    each and are used for keys with more values than that; others have the single page 0.
     """
-    pages = pages or {"page": F.floor(F.col(value) / page_width)}
     keys = list(keys)
+    if pages is None:
+        return _paged_by_place(rows, keys, value, name, page_width)
     cut = rows.groupBy(*keys, *[p.alias(n) for n, p in pages.items()]).agg(
         F.collect_set(value).alias("__part")
     )
@@ -406,6 +408,24 @@ def paged_lists(
     )
 
 
+def _paged_by_place(
+    rows: DataFrame, keys: list[str], value: str, name: str, page_width: int
+) -> DataFrame:
+    distinct = rows.select(*keys, F.col(value).alias("__value")).distinct()
+    order = [*keys, F.col("__value").asc_nulls_last()]
+    placed = dense_numbers(distinct, *order, name="__place")
+    first = placed.groupBy(*keys).agg(F.min("__place").alias("__first"))
+    same = reduce(lambda x, y: x & y, [F.col(f"p.{k}").eqNullSafe(F.col(f"f.{k}")) for k in keys])
+    page = F.floor((F.col("__place") - F.col("__first")) / page_width)
+    paged = placed.alias("p").join(first.alias("f"), same).select(
+        *[F.col(f"p.{k}") for k in keys],
+        # a NULL is in no list, and is last
+        F.when(F.col("__value").isNull(), 0).otherwise(page).alias("page"),
+        "__value",
+    )
+    return paged.groupBy(*keys, "page").agg(F.sort_array(F.collect_list("__value")).alias(name))
+
+
 def id_lists_by_match_type(pairs: DataFrame, *by: str) -> DataFrame:
     """Distinct ids per label (and ``by``) as lists."""
     return paged_lists(ids_by_match_type(pairs, *by), ["match_type", *by], "id", "distinct_ids")

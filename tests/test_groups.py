@@ -141,6 +141,21 @@ def test_lists_of_large_keys_are_paged(spark):
     assert sorted(sum((v for (k, _), v in got.items() if k == "x"), [])) == list(range(50))
 
 
+def test_pages_go_by_place_for_every_size_and_type(spark):
+    rows = [("sparse", 10**15 * i) for i in range(45)] + [("few", -(10**17)), ("few", 5), ("few", 5), ("none", None)]
+    rows += [("full", i) for i in range(20)] + [("full", None), (None, 7)]
+    frame = spark.createDataFrame(rows, "k string, v long")
+    for shown in (frame, frame.where("v IS NOT NULL").withColumn("v", F.format_string("%020d", "v"))):
+        got = {(r.k, r.page): r.l for r in groups.paged_lists(shown, ["k"], "v", "l", page_width=20).collect()}
+        assert [len(got[("sparse", p)]) for p in range(3)] == [20, 20, 5]
+        values = sum((got[("sparse", p)] for p in range(3)), [])
+        assert [int(v) for v in values] == [10**15 * i for i in range(45)]
+        assert len(got[("few", 0)]) == 2 and len(got[("full", 0)]) == 20 and len(got[(None, 0)]) == 1
+        assert not {("full", 1), ("few", 1), ("sparse", 3)} & set(got)
+    got = groups.paged_lists(frame, ["k"], "v", "l", page_width=20).where("k = 'none'").collect()
+    assert [(r.page, r.l) for r in got] == [(0, [])]
+
+
 def test_partner_table(spark):
     cycle = [(1, 3, HIGH), (2, 4, HIGH), (5, 6, ADDRESS)]
     other = [(a, b, NO_MATCH) for a in range(1, 7) for b in range(a + 1, 7) if (a, b) not in {(1, 3), (2, 4), (5, 6)}]
