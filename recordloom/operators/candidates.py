@@ -10,6 +10,7 @@ look at are first folded into one profile, so a group of copies of any size cost
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import replace
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -116,6 +117,24 @@ def profiles(records: DataFrame, block: Sequence[str]) -> DataFrame:
 STRONG = (rules.EXACT, rules.HIGH, rules.ADDRESS)
 
 
+_VECTOR_KEYS = {c: f"__{c}_key" for c in RECORD_VECTORS}
+#: Cosines of the same vectors, summed in another order, differ by less.
+_MARGIN = 1e-6
+
+
+def with_vector_keys(records: DataFrame) -> DataFrame:
+    """Add 128 bits of each vector by which equal vectors are known; NULL for a NULL."""
+    return records.withColumns(
+        {
+            key: F.when(
+                F.col(vector).isNotNull(),
+                F.concat_ws(".", F.xxhash64(vector), F.xxhash64(F.lit(1), F.col(vector))),
+            )
+            for vector, key in zip(RECORD_VECTORS.values(), _VECTOR_KEYS.values())
+        }
+    )
+
+
 def similar_texts(
     rows: DataFrame,
     block: Sequence[str],
@@ -128,9 +147,12 @@ def similar_texts(
     """``<column>_a, <column>_b, score`` for the distinct texts of a block, both ways round.
 
     Holds every text with itself, and two texts whose vectors' cosine lies above the limit.
-    The vectors are the rows' own, or are made here, once per distinct text.
+    The vectors are made here, once per distinct text. Without ``embed`` they are the rows' own,
+    and keys of vectors (see ``with_vector_keys``) take the place of texts.
     """
     vector = RECORD_VECTORS[column]
+    if embed is None:
+        column = _VECTOR_KEYS[column]
     rows = rows.filter(F.col(column).isNotNull())
     if embed is None:
         texts = rows.groupBy(*block, column).agg(F.any_value(vector).alias(vector))
@@ -159,8 +181,9 @@ def _similar_name_pairs(
 ) -> DataFrame:
     """Labelled pairs of equal birth date and similar names.
 
-    They include every pair that one of the first three rules takes. Vectors are those of
-    ``source``, or made by ``embed``.
+    They include every pair that one of the first three rules takes, if vectors are made by
+    ``embed``. Those of ``source`` may differ where texts are equal: then the pairs of the second
+    and third rule are included.
     """
     condition = F.col("id_a") < F.col("id_b") if condition is None else condition
     rows = rows.withColumn("dob", text.known_dob("dob"))
@@ -169,6 +192,7 @@ def _similar_name_pairs(
         similar_texts(rows if source is None else source, block, column, score, floor, embed, bound)
         for column, score, floor in zip(RECORD_VECTORS, rules.SCORES, floors)
     )
+    on = _VECTOR_KEYS if embed is None else {c: c for c in RECORD_VECTORS}
     a, b = (
         rows.withColumnsRenamed(
             {c: f"{c}_{side}" for c in rows.columns if c not in (*block, "dob")}
@@ -176,11 +200,11 @@ def _similar_name_pairs(
         for side in "ab"
     )
     pairs = (
-        a.join(first, [*block, "firstname_a"])
-        .join(last, [*block, "lastname_a"])
-        .join(b, [*block, "dob", "firstname_b", "lastname_b"])
+        a.join(first, [*block, f"{on['firstname']}_a"])
+        .join(last, [*block, f"{on['lastname']}_a"])
+        .join(b, [*block, "dob", f"{on['firstname']}_b", f"{on['lastname']}_b"])
         .filter(condition)
-        .join(address, [*block, "address_a", "address_b"], "left")
+        .join(address, [*block, f"{on['address']}_a", f"{on['address']}_b"], "left")
     )
     pairs = pairs.withColumns({"dob_a": F.col("dob"), "dob_b": F.col("dob")})
     return pairs.withColumn("match_type", rules.match_label(limits))
@@ -260,12 +284,13 @@ def matched_pairs(
     """The labelled pairs other than ``No Match``, with their scores.
 
     Equals ``rules.match_pairs`` filtered, without forming the pairs that fail all rules.
-    Records alike in all text columns are matched and scored as one profile, named by its
-    lowest id, and only the matches of profiles are spelled out as pairs of records.
+    Records alike in all text columns and vectors are matched and scored as one profile, named
+    by its lowest id, and only the matches of profiles are spelled out as pairs of records.
+    Candidates are taken with a margin below the limits; the scores of the result decide.
     """
     _check_edits(limits)
     block = list(block)
-    records = records.filter(known(block))
+    records = with_vector_keys(records.filter(known(block)))
     folded = durable(
         records.groupBy(*block, *_SHOWN).agg(F.count("*").alias("copies"), F.min("id").alias("id"))
     )
@@ -274,8 +299,10 @@ def matched_pairs(
         (F.col("id_a") == F.col("id_b")) & (F.col("copies_a") > 1)
     )
     found_columns = [*block, "id_a", "id_b", "copies_b"]
+    # Equal names, the first rule, are among the near last names below.
+    loose = replace(limits, high=limits.high - _MARGIN, address=limits.address - _MARGIN)
     strong = _similar_name_pairs(
-        folded, block, limits, condition=worthwhile, bound=bound, source=records
+        folded, block, loose, condition=worthwhile, bound=bound, source=records
     ).filter(F.col("match_type").isin(*STRONG))
 
     named = folded.select(*block, "id", "copies", "lastname")
@@ -290,7 +317,7 @@ def matched_pairs(
     fuzzy = fuzzy.filter(worthwhile)
     found = strong.select(*found_columns).unionByName(fuzzy.select(*found_columns)).distinct()
 
-    compared = [*_SHOWN, *RECORD_VECTORS.values()]
+    compared = [*_TEXTS, *RECORD_VECTORS.values()]
     pairs = found.withColumn("tiles", F.ceil(F.col("copies_b") / TILE_ROWS))
     for side in "ab":
         names = {c: f"{c}_{side}" for c in ("id", *compared)}
@@ -301,10 +328,12 @@ def matched_pairs(
         for score, vector in rules.SCORED_VECTORS.items()
     }
     scored = rules.pair_columns(pairs.withColumns(scores), block, True, "tiles")
-    return _spelled_out(rules.label_pairs(scored, limits), _members(records, folded, block), block)
+    labelled = rules.label_pairs(scored, limits).filter(F.col("match_type") != rules.NO_MATCH)
+    return _spelled_out(labelled, _members(records, folded, block), block)
 
 
-_SHOWN = (*RECORD_VECTORS, "dob", "gender", "country")
+_TEXTS = (*RECORD_VECTORS, "dob", "gender", "country")
+_SHOWN = (*_TEXTS, *_VECTOR_KEYS.values())
 
 
 def _members(records: DataFrame, folded: DataFrame, block: Sequence[str]) -> DataFrame:

@@ -184,6 +184,28 @@ def test_matches_equal_the_labelled_pairs(spark, rows, block):
     assert rows(found, *columns) == rows(everything.filter("match_type <> 'No Match'"), *columns)
 
 
+@pytest.mark.parametrize("seed", [3, 4])
+def test_matches_by_vectors_that_differ_where_texts_are_equal(spark, rows, seed):
+    rng = random.Random(seed)
+    bases = [[rng.gauss(0, 1) for _ in range(6)] for _ in range(3)]
+
+    def vector():
+        kind = rng.random()
+        near = [x + rng.gauss(0, 0.2) for x in rng.choice(bases)]
+        return None if kind < 0.05 else [0.0] * 6 if kind < 0.1 else rng.choice(bases) if kind < 0.3 else near
+
+    made = [(r.id, *(vector() for _ in RECORD_VECTORS)) for r in people(spark, 150).collect()]
+    schema = "id long, " + ", ".join(f"{v} array<double>" for v in RECORD_VECTORS.values())
+    embedded = people(spark, 150).join(spark.createDataFrame(made, schema), "id")
+    embedded = spark.createDataFrame(embedded.collect(), embedded.schema)
+    want = rules.match_pairs(embedded).filter("match_type <> 'No Match'")
+    found = candidates.matched_pairs(embedded)
+    columns = [c for c in found.columns if c not in rules.SCORES]
+    columns += [F.round(s, 9) for s in rules.SCORES]
+    assert rows(found, *columns) == rows(want, *columns) != []
+    assert {rules.HIGH, rules.ADDRESS} <= {r.match_type for r in found.collect()}
+
+
 def test_matches_of_large_profiles_are_dealt_to_tiles(spark, rows, monkeypatch):
     embedded = vectors.embed_letters(people(spark, 60).withColumn("lastname", F.lit("same")), RECORD_VECTORS)
     want = rules.match_pairs(embedded).filter("match_type <> 'No Match'")
