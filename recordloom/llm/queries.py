@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from . import (
     bpe,
+    collocations,
     decontamination,
     exact_dedup,
     html_extract,
@@ -99,6 +100,10 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_copies(table(spark, sf_dir, "documents"))
 
 
+def op11_phrase_collocation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -112,6 +117,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_url_filters,
         op9_html_extraction,
         op10_exact_dedup,
+        op11_phrase_collocation,
     )
 }
 
@@ -121,4 +127,5 @@ SQL = {
     "op5_line_dedup": line_dedup.SQL,
     "op8_url_filters": url_filters.oracle(),
     "op10_exact_dedup": exact_dedup.SQL,
+    "op11_phrase_collocation": collocations.oracle(),
 }
