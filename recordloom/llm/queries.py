@@ -11,10 +11,12 @@ from pyspark.sql import functions as F
 from . import (
     bpe,
     collocations,
+    conversations,
     decontamination,
     exact_dedup,
     html_extract,
     line_dedup,
+    metric_join,
     minhash,
     repeats,
     sharding,
@@ -104,6 +106,14 @@ def op11_phrase_collocation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(table(spark, sf_dir, "documents"))
 
 
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.damage_and_repair(table(spark, sf_dir, "conversations"))
+
+
+def op13_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metric_join.similar_documents(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -118,6 +128,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op9_html_extraction,
         op10_exact_dedup,
         op11_phrase_collocation,
+        op12_conversation_repair,
+        op13_jaccard_join,
     )
 }
 
