@@ -44,6 +44,22 @@ PHRASES = f"{OCCURRENCES}, lefts binary, rights binary, counts binary"
 FOUND = "block long, locals binary, ids binary, id long, f long"
 
 
+def pack(values: np.ndarray) -> bytes:
+    """Whole numbers as compressed planes of bytes; runs and small numbers take little room."""
+    planes = np.ascontiguousarray(values.view(np.uint8).reshape(len(values), -1).T)
+    return len(values).to_bytes(8, "little") + pa.compress(planes.tobytes(), "zstd", asbytes=True)
+
+
+def unpack(data: bytes, dtype: str) -> np.ndarray:
+    n, size = int.from_bytes(data[:8], "little"), np.dtype(dtype).itemsize
+    planes = np.frombuffer(pa.decompress(data[8:], n * size, "zstd", asbytes=True), np.uint8)
+    return np.ascontiguousarray(planes.reshape(size, n).T).view(dtype).reshape(-1)
+
+
+def _unpacked(column: pa.ChunkedArray, dtype: str) -> list[np.ndarray]:
+    return [unpack(x, dtype) for x in column.to_pylist()]
+
+
 def slices(data: np.ndarray, limit: int) -> Iterator[np.ndarray]:
     """Parts of about ``limit`` bytes that end at the end of a piece."""
     breaks = np.flatnonzero(BREAK[data]) + 1
@@ -110,17 +126,17 @@ def word_occurrences(df: DataFrame, text_column: str, lang_column: str, block: i
                     coded = words.dictionary_encode()
                     codes = coded.indices.to_numpy(zero_copy_only=False).astype("<i4")
                     distinct = coded.dictionary.to_pylist()
-                    counts = np.bincount(codes, minlength=len(distinct)).astype("<i8")
+                    counts = np.bincount(codes, minlength=len(distinct)).astype("<i4")
                     yield _row(
                         [
                             number,
                             len(words),
-                            steps.astype("<i4").tobytes(),
-                            codes.tobytes(),
+                            pack(steps),
+                            pack(codes),
                             len(distinct),
                             lang,
                             distinct,
-                            counts.tobytes(),
+                            pack(counts),
                         ],
                         _WORDS,
                     )
@@ -143,8 +159,13 @@ def _parts(bucket: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
     yield from zip(found.tolist(), np.split(order, cuts[1:]), strict=True)
 
 
-def _frequent(codes: np.ndarray, counts: np.ndarray, sizes: list, blocks: list, locals_: list, bucket: int, least: int):
-    """Sums by code, the codes that are frequent, and for each block its frequent entries."""
+def _frequent(
+    codes: np.ndarray, counts: np.ndarray, blocks: list, gaps: list, bucket: int, least: int
+):
+    """Sums by code, the codes that are frequent, and for each block its frequent entries.
+
+    ``gaps`` are the distances between the places of a block's entries.
+    """
     sums = np.zeros(int(codes.max()) + 1, np.int64)
     np.add.at(sums, codes, counts)
     often = np.flatnonzero(sums >= least)
@@ -153,14 +174,15 @@ def _frequent(codes: np.ndarray, counts: np.ndarray, sizes: list, blocks: list,
     of_entry = ids[codes]
     back = {"block": [], "locals": [], "ids": []}
     at = 0
-    for block, size, own in zip(blocks, sizes, locals_, strict=True):
-        mine = of_entry[at : at + size]
-        at += size
+    for block, gap in zip(blocks, gaps, strict=True):
+        mine = of_entry[at : at + len(gap)]
+        at += len(gap)
+        own = np.cumsum(gap, dtype="<i4")
         hit = mine >= 0
         if hit.any():
             back["block"].append(block)
-            back["locals"].append(np.frombuffer(own, "<i4")[hit].tobytes())
-            back["ids"].append(mine[hit].tobytes())
+            back["locals"].append(pack(own[hit]))
+            back["ids"].append(pack(mine[hit]))
     return sums[often], often, ids[often], back
 
 
@@ -194,7 +216,7 @@ def frequent_words(blocks: DataFrame, least: int) -> DataFrame:
         for batch in batches:
             for row in range(batch.num_rows):
                 words = batch.column("words").slice(row, 1).flatten().cast(pa.large_binary())
-                counts = np.frombuffer(batch.column("counts")[row].as_buffer(), "<i8")
+                counts = unpack(batch.column("counts")[row].as_py(), "<i4")
                 offsets = np.frombuffer(words.buffers()[1], np.int64)[
                     words.offset : words.offset + len(words) + 1
                 ]
@@ -204,8 +226,8 @@ def frequent_words(blocks: DataFrame, least: int) -> DataFrame:
                 for bucket, places in _parts((hashes % U64(buckets)).astype(np.int64)):
                     out["bucket"].append(bucket)
                     out["words"].append(words.take(pa.array(places)).cast(pa.binary()))
-                    out["counts"].append(counts[places].tobytes())
-                    out["locals"].append(places.astype("<i4").tobytes())
+                    out["counts"].append(pack(counts[places]))
+                    out["locals"].append(pack(np.diff(places, prepend=0).astype("<i4")))
                 ends = np.concatenate(([0], np.cumsum([len(w) for w in out["words"]])))
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -230,13 +252,11 @@ def frequent_words(blocks: DataFrame, least: int) -> DataFrame:
         # a word has no space in it, so the first space ends it
         keys = pc.binary_join_element_wise(flat, lang.take(owner), pa.scalar(b" ", pa.large_binary()))
         coded = keys.dictionary_encode()
-        counts = np.frombuffer(b"".join(table.column("counts").to_pylist()), "<i8")
         sums, often, ids, back = _frequent(
             coded.indices.to_numpy(zero_copy_only=False),
-            counts,
-            sizes,
+            np.concatenate(_unpacked(table.column("counts"), "<i4")),
             table.column("block").to_pylist(),
-            table.column("locals").to_pylist(),
+            _unpacked(table.column("locals"), "<i4"),
             table.column("bucket")[0].as_py(),
             least,
         )
@@ -263,16 +283,16 @@ def frequent_phrases(blocks: DataFrame, least: int) -> DataFrame:
         for batch in batches:
             for row in range(batch.num_rows):
                 lefts, rights, counts = (
-                    np.frombuffer(batch.column(c)[row].as_buffer(), "<i8")
-                    for c in ("lefts", "rights", "counts")
+                    unpack(batch.column(c)[row].as_py(), t)
+                    for c, t in (("lefts", "<i8"), ("rights", "<i8"), ("counts", "<i4"))
                 )
                 hashes = mix(mix(lefts.astype(U64)) + rights.astype(U64))
                 out = {n: [] for n in ("bucket", "lefts", "rights", "counts", "locals")}
                 for bucket, places in _parts((hashes % U64(buckets)).astype(np.int64)):
                     out["bucket"].append(bucket)
                     for name, values in (("lefts", lefts), ("rights", rights), ("counts", counts)):
-                        out[name].append(values[places].tobytes())
-                    out["locals"].append(places.astype("<i4").tobytes())
+                        out[name].append(pack(values[places]))
+                    out["locals"].append(pack(np.diff(places, prepend=0).astype("<i4")))
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(out["bucket"], pa.int64()),
@@ -287,8 +307,8 @@ def frequent_phrases(blocks: DataFrame, least: int) -> DataFrame:
 
     def count(table: pa.Table) -> pa.Table:
         lefts, rights, counts = (
-            np.frombuffer(b"".join(table.column(c).to_pylist()), "<i8")
-            for c in ("lefts", "rights", "counts")
+            np.concatenate(_unpacked(table.column(c), t))
+            for c, t in (("lefts", "<i8"), ("rights", "<i8"), ("counts", "<i4"))
         )
         order = np.lexsort((rights, lefts))
         new = np.ones(len(order), bool)
@@ -296,13 +316,11 @@ def frequent_phrases(blocks: DataFrame, least: int) -> DataFrame:
         codes = np.empty(len(order), np.int64)
         codes[order] = np.cumsum(new) - 1
         first = order[new]
-        sizes = [len(x) // 8 for x in table.column("lefts").to_pylist()]
         sums, often, ids, back = _frequent(
             codes,
             counts,
-            sizes,
             table.column("block").to_pylist(),
-            table.column("locals").to_pylist(),
+            _unpacked(table.column("locals"), "<i4"),
             table.column("bucket")[0].as_py(),
             least,
         )
@@ -322,12 +340,12 @@ def extended(blocks: DataFrame, found: DataFrame) -> DataFrame:
         if not block.num_rows or not often.num_rows:
             return pa.schema(_PHRASES).empty_table()
         row = block.to_pylist()[0]
-        codes = np.frombuffer(row["codes"], "<i4")
+        codes = unpack(row["codes"], "<i4")
         ids = np.full(row["n_keys"], -1, np.int64)
-        mine = np.frombuffer(b"".join(often.column("locals").to_pylist()), "<i4")
-        ids[mine] = np.frombuffer(b"".join(often.column("ids").to_pylist()), "<i8")
+        mine = np.concatenate(_unpacked(often.column("locals"), "<i4"))
+        ids[mine] = np.concatenate(_unpacked(often.column("ids"), "<i8"))
         kept = np.flatnonzero(ids[codes] >= 0)
-        places = np.cumsum(np.frombuffer(row["steps"], "<i4"), dtype=np.int64)[kept]
+        places = np.cumsum(unpack(row["steps"], "<i4"), dtype=np.int64)[kept]
         met = np.flatnonzero(np.diff(places) == 1)
         if not len(met):
             return pa.schema(_PHRASES).empty_table()
@@ -338,12 +356,12 @@ def extended(blocks: DataFrame, found: DataFrame) -> DataFrame:
         values = [
             row["block"],
             len(met),
-            np.diff(places[met], prepend=0).astype("<i4").tobytes(),
-            inverse.astype("<i4").tobytes(),
+            pack(np.diff(places[met], prepend=0).astype("<i4")),
+            pack(inverse.astype("<i4")),
             len(keys),
-            ids[keys // row["n_keys"]].tobytes(),
-            ids[keys % row["n_keys"]].tobytes(),
-            counts.astype("<i8").tobytes(),
+            pack(ids[keys // row["n_keys"]]),
+            pack(ids[keys % row["n_keys"]]),
+            pack(counts.astype("<i4")),
         ]
         return pa.Table.from_batches([_row(values, _PHRASES)])
 
