@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping
+from collections.abc import Callable, Iterator, Mapping
 from string import ascii_lowercase
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.feature import HashingTF, Normalizer
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import ArrayType, FloatType, StructField, StructType
 
 from .text import col
 
@@ -80,6 +84,73 @@ def embed_letters(df: DataFrame, columns: Mapping[str, str]) -> DataFrame:
     return df.withColumns({vector: letter_counts(text) for text, vector in columns.items()})
 
 
+def ngram_buckets(text, n: int = 3, size: int = EMBEDDING_SIZE) -> Column:
+    """The bucket of every character n-gram of a text, by the gram's MD5: other engines, and
+    later versions of Spark, give the same. Words are framed by spaces, so short texts have
+    n-grams too; empty text has none, NULL gives NULL."""
+    framed = F.concat(F.lit(" "), F.lower(F.trim(col(text))), F.lit(" "))
+    last = F.greatest(F.length(framed) - (n - 1), F.lit(1))
+    grams = F.transform(F.sequence(F.lit(1), last), lambda i: F.substring(framed, i, F.lit(n)))
+    bucket = lambda g: (F.conv(F.substring(F.md5(g), 1, 8), 16, 10).cast("long") % size).cast("int")
+    return F.when(col(text).isNotNull(), F.when(F.length(framed) > 2, F.transform(grams, bucket)).otherwise(F.array()))
+
+
+def sparse_vector(buckets) -> Column:
+    """Buckets as a vector of unit length without its zeros: ``indices`` (rising) and
+    ``values``."""
+    indices = F.array_sort(F.array_distinct(col(buckets)))
+    counts = F.transform(
+        indices, lambda i: F.size(F.filter(col(buckets), lambda b: b == i)).cast("double")
+    )
+    length = F.sqrt(F.aggregate(counts, F.lit(0.0), lambda acc, x: acc + x * x))
+    return F.when(
+        col(buckets).isNotNull(),
+        F.struct(
+            indices.alias("indices"), F.transform(counts, lambda x: x / length).alias("values")
+        ),
+    )
+
+
+def sparse_dot_product(a, b) -> Column:
+    """Dot product of two sparse vectors; for unit vectors, their cosine."""
+    a, b = col(a), col(b)
+    common = F.array_intersect(a["indices"], b["indices"])
+    value = lambda v, i: v["values"][F.array_position(v["indices"], i).cast("int") - 1]
+    return F.aggregate(common, F.lit(0.0), lambda acc, i: acc + value(a, i) * value(b, i))
+
+
+def portable_ngrams(n: int = 3, size: int = EMBEDDING_SIZE) -> Embedder:
+    """Embedder like ``hashed_ngrams`` whose vectors any engine can compute again."""
+
+    def dense(sparse: pa.Array) -> pa.Array:
+        known = sparse.is_valid().to_numpy(zero_copy_only=False)
+        indices, values = (pc.struct_field(sparse, c).drop_null() for c in ("indices", "values"))
+        out = np.zeros((int(known.sum()), size), np.float32)
+        row = np.repeat(np.arange(len(out)), indices.value_lengths().to_numpy(zero_copy_only=False))
+        out[row, indices.flatten().to_numpy()] = values.flatten().to_numpy()
+        ends = np.concatenate(([0], np.cumsum(known * size)))
+        mask = pa.array(~known)
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(out.reshape(-1)), mask=mask)
+
+    def embed(df: DataFrame, columns: Mapping[str, str]) -> DataFrame:
+        kept = [c for c in df.columns if c not in columns.values()]
+        fields = [*(df.schema[c] for c in kept)]
+        fields += [StructField(v, ArrayType(FloatType())) for v in columns.values()]
+
+        def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                vectors = [dense(batch.column(i)) for i in range(len(kept), batch.num_columns)]
+                yield pa.RecordBatch.from_arrays(
+                    [*batch.columns[: len(kept)], *vectors], [*kept, *columns.values()]
+                )
+
+        sparse = [sparse_vector(ngram_buckets(t, n, size)).alias(f"__{v}") for t, v in columns.items()]
+        filled = df.select(*(F.col(f"`{c}`") for c in kept), *sparse).mapInArrow(fill, StructType(fields))
+        return filled.select(*df.columns, *(v for v in columns.values() if v not in df.columns))
+
+    return embed
+
+
 def hashed_ngrams(n: int = 3, size: int = EMBEDDING_SIZE) -> Embedder:
     """Embedder giving unit-length counts of hashed character n-grams.
 

@@ -20,8 +20,8 @@ from ..functions.vectors import Embedder
 from ..schemas import RECORD_VECTORS
 from ..session import durable, shuffle_width
 from . import rules
+from .cosine import near_vectors
 from .pairs import TILE_ROWS, Measure, block_sizes, known, measure, pairs_among, self_pairs
-from .tiles import similar_pairs
 
 # Two texts at most two edits apart always share a key of `edit_keys`.
 _MAX_EDITS = 2
@@ -158,7 +158,7 @@ def similar_texts(
         texts = rows.groupBy(*block, column).agg(F.any_value(vector).alias(vector))
     else:
         texts = embed(rows.select(*block, column).distinct(), {column: vector})
-    near = similar_pairs(texts, block, column, {score: vector}, above, bound=bound)
+    near = near_vectors(texts, block, column, vector, score, above)
     a, b = F.col(f"{column}_a"), F.col(f"{column}_b")
     turned = F.inline(
         F.array(F.struct(a, b, score), F.struct(b.alias(f"{column}_a"), a.alias(f"{column}_b"), score))

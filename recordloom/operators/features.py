@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import text
 from ..functions.vectors import Embedder
+from ..session import durable
+from .medians import exact_medians
 from .tiles import similar_pairs
 
 LABEL = "response_final"
@@ -70,14 +72,10 @@ def pair_features(keys: DataFrame, **tiling) -> DataFrame:
     )
 
 
-def statistics(metric: str, approximate_median: bool = False) -> dict[str, Column]:
-    """The five statistics of a metric; the deviation of a single row is 0."""
-    median = (
-        F.percentile_approx(metric, 0.5, 10_000) if approximate_median else F.median(metric)
-    )
+def statistics(metric: str) -> dict[str, Column]:
+    """Statistics of a metric that partial aggregation sums up; a single row deviates by 0."""
     return {
         "avg": F.avg(metric),
-        "median": median,
         "max": F.max(metric),
         "min": F.min(metric),
         "stddev": F.coalesce(F.stddev_samp(metric), F.lit(0.0)),
@@ -95,16 +93,19 @@ def task_statistics(
 ) -> DataFrame:
     """One row per task with five statistics of every metric.
 
-    The exact median keeps the distinct values of a metric per task; for tasks with very
-    many pairs of different scores, ``approximate_median`` keeps a fixed-size sketch.
+    Medians are exact, and no task of the cluster holds the values of a task_id (see
+    ``medians``). ``approximate_median`` keeps a sketch of fixed size instead, in one pass.
     """
-    return pairs.groupBy("task_id").agg(
-        *[
-            c.alias(f"{statistic}_{metric}")
-            for metric in metrics
-            for statistic, c in statistics(metric, approximate_median).items()
-        ]
-    )
+    found = {f"{s}_{m}": c for m in metrics for s, c in statistics(m).items()}
+    names = [f"{s}_{m}" for m in metrics for s in ("avg", "median", "max", "min", "stddev")]
+    if approximate_median:
+        found |= {f"median_{m}": F.percentile_approx(m, 0.5, 10_000) for m in metrics}
+        return pairs.groupBy("task_id").agg(*[found[n].alias(n) for n in names])
+    pairs = durable(pairs.select("task_id", *metrics))  # summed up, and sorted by value
+    summed = pairs.groupBy("task_id").agg(*[c.alias(n) for n, c in found.items()])
+    middle = exact_medians(pairs, ["task_id"], metrics)
+    middle = middle.withColumnsRenamed({m: f"median_{m}" for m in metrics})
+    return summed.join(middle, "task_id", "left").select("task_id", *names)
 
 
 def task_features(pairs: DataFrame, members: DataFrame, **options) -> DataFrame:

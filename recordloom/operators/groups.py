@@ -8,14 +8,18 @@ results are cut into pages, see ``paged_lists``.
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
 from ..functions.text import parse_ids
-from ..session import durable
+from ..session import durable, shuffle_width
 from .numbering import dense_numbers
+from .pairs import measure
 from .rules import HIGH_EARLIER, RULE_LABELS, SCORES, SINGLETON
 
 GROUP_LABELS = (*RULE_LABELS, HIGH_EARLIER)
@@ -185,75 +189,177 @@ def group_lists(members: DataFrame, page_width: int = PAGE_WIDTH) -> DataFrame:
 # -- one-to-one selection --------------------------------------------------------------
 
 
-def matched_couples(pairs: DataFrame, walk_limit: int = 10_000) -> DataFrame:
+#: Pairs of a task that are settled in one place.
+CELL_PAIRS = 100_000
+
+
+def matched_couples(pairs: DataFrame, cell_pairs: int = CELL_PAIRS) -> DataFrame:
     """Greedy one-to-one matching: pairs by total score, each record used once per task.
 
-    Small tasks are walked in one pass. In larger ones, every pair that is the best of
-    both its records is taken at once and their records leave; this repeats until no pair
-    is left and gives the same pairs as the walk, since the order of pairs is total.
+    Every round settles what can be told locally, then what hangs together in chains. The
+    records of a task are dealt to cells, one for every ``cell_pairs`` pairs, and a cell walks
+    its pairs, best first; a pair that leads to another cell leaves its record in doubt, and
+    with it every worse pair of that record. Of the pairs left, one that is the best of both
+    its records is taken. One that is the best of one record and the second of the other is
+    taken exactly if the pair before it is not: such chains, however long, are followed by
+    doubling steps. The result is that of the walk, since the order of pairs is total.
     """
-    pairs = durable(
+    result, round_ = None, 0
+    remaining = durable(
         total_score(pairs).select("task_id", "id_a", "id_b", "match_type", "total_score")
     )
-    sizes = pairs.groupBy("task_id").agg(F.count("*").alias("n"))
-    large = sizes.filter(F.col("n") > walk_limit).select("task_id")
-    result = _walked_couples(pairs.join(large, "task_id", "left_anti"))
-    remaining = pairs.join(large, "task_id", "left_semi")
-    while not remaining.isEmpty():
-        taken, remaining = _mutual_best(remaining)
+    while True:
+        settled = durable(_settled(remaining, max(1, cell_pairs), round_))
+        taken = settled.where("taken").drop("taken")
+        result = taken if result is None else result.unionByName(taken)
+        remaining = durable(_without(settled.where("NOT taken").drop("taken"), taken))
+        if remaining.isEmpty():
+            return result
+        taken = durable(_chained(remaining))
         result = result.unionByName(taken)
-    return result
-
-
-def _walked_couples(pairs: DataFrame) -> DataFrame:
-    walk = pairs.groupBy("task_id").agg(
-        F.array_sort(
-            F.collect_list(F.struct(best_first("total_score").alias("place"), "match_type", "total_score"))
-        ).alias("walk")
-    )
-    kind = "struct<id_a:bigint,id_b:bigint,match_type:string,total_score:double>"
-    nothing = F.struct(
-        F.array().cast("array<bigint>").alias("used"),
-        F.array().cast(f"array<{kind}>").alias("taken"),
-    )
-
-    def step(state: Column, pair: Column) -> Column:
-        ids = F.array(pair["place"]["id_a"], pair["place"]["id_b"])
-        row = F.struct(
-            pair["place"]["id_a"].alias("id_a"),
-            pair["place"]["id_b"].alias("id_b"),
-            pair["match_type"].alias("match_type"),
-            pair["total_score"].alias("total_score"),
+        remaining = durable(_without(remaining, taken))
+        if remaining.isEmpty():
+            return result
+        round_ += 1
+
+
+def _settled(pairs: DataFrame, cell_pairs: int, round_: int) -> DataFrame:
+    """Pairs with ``taken``; pairs that a cell knows to be lost are left out."""
+    bound = measure(pairs, ["task_id"])
+    cells = F.lit(1)
+    if bound.largest > cell_pairs:
+        sizes = pairs.groupBy("task_id").agg(F.count("*").alias("__n"))
+        large = durable(
+            sizes.where(F.col("__n") > cell_pairs).select(
+                "task_id", F.ceil(F.col("__n") / cell_pairs).alias("__cells")
+            )
         )
-        grown = F.struct(
-            F.concat(state["used"], ids).alias("used"),
-            F.concat(state["taken"], F.array(row)).alias("taken"),
+        pairs = pairs.join(large, "task_id", "left")
+        cells = F.coalesce(F.col("__cells"), F.lit(1))
+    cell = lambda c: F.pmod(F.xxhash64(F.lit(round_), F.col(c)), cells)
+    placed = pairs.withColumns({"__a": cell("id_a"), "__b": cell("id_b")})
+    both = F.array_distinct(F.array("__a", "__b"))
+    # many small tasks, or some cells of a large one, share a place
+    width = max(1, -(-bound.total // cell_pairs), min(shuffle_width(pairs), bound.total // 1000))
+    walked = placed.withColumn("__cell", F.explode(both)).withColumn(
+        "__group", F.pmod(F.xxhash64("task_id", "__cell"), F.lit(width))
+    )
+    order = best_first("total_score")
+    walked = walked.withColumns({"__unscored": order["unscored"], "__cost": order["cost"]})
+    names = ["task_id", "id_a", "id_b", "match_type", "total_score"]
+
+    def walk(table: pa.Table) -> pa.Table:
+        keys = ("__unscored", "__cost", "id_a", "id_b")
+        table = table.take(pc.sort_indices(table, [(k, "ascending") for k in keys]))
+        place = _codes([table.column("task_id"), table.column("__cell")])
+        ids = pa.chunked_array([*table.column("id_a").chunks, *table.column("id_b").chunks])
+        records = _codes([pa.chunked_array([pa.array(np.tile(place, 2))]), ids])
+        n = table.num_rows
+        cell = table.column("__cell").to_numpy()
+        here = [table.column(c).to_numpy() == cell for c in ("__a", "__b")]
+        free, used, doubtful = 0, 1, 2
+        state = bytearray(int(records.max()) + 1)
+        kept, taken = [], []
+        rows = zip(records[:n].tolist(), records[n:].tolist(), here[0].tolist(), here[1].tolist(), strict=True)
+        for k, (a, b, a_here, b_here) in enumerate(rows):
+            if a_here and state[a] == used or b_here and state[b] == used:
+                continue
+            if a_here and b_here and state[a] == free and state[b] == free:
+                state[a] = state[b] = used
+                kept.append(k)
+                taken.append(True)
+                continue
+            if a_here:
+                state[a] = doubtful
+                kept.append(k)  # the cell of a speaks for the pair
+                taken.append(False)
+            if b_here:
+                state[b] = doubtful
+        out = table.select(names).take(pa.array(kept, pa.int64()))
+        return out.append_column("taken", pa.array(taken, pa.bool_()))
+
+    schema = T.StructType([*(pairs.schema[c] for c in names), T.StructField("taken", T.BooleanType())])
+    return walked.select(*names, "__a", "__b", "__cell", "__group", "__unscored", "__cost").groupBy(
+        "__group"
+    ).applyInArrow(walk, schema)
+
+
+def _codes(columns: Sequence[pa.ChunkedArray]) -> np.ndarray:
+    """A number for every different row of the columns."""
+    codes = np.zeros(len(columns[0]), np.int64)
+    for column in columns:
+        own = column.combine_chunks()
+        own = own.chunk(0) if isinstance(own, pa.ChunkedArray) else own
+        own = own.dictionary_encode("encode").indices.to_numpy(zero_copy_only=False)
+        codes = np.unique(codes * (int(own.max(initial=0)) + 1) + own, return_inverse=True)[1]
+    return codes
+
+
+def _without(pairs: DataFrame, taken: DataFrame) -> DataFrame:
+    """Pairs none of whose records is in a taken pair."""
+    gone = taken.select("task_id", F.explode(F.array("id_a", "id_b")).alias("id"))
+    for side in "ab":
+        pairs = pairs.join(
+            gone.withColumnRenamed("id", f"id_{side}"), ["task_id", f"id_{side}"], "left_anti"
         )
-        return F.when(F.arrays_overlap(state["used"], ids), state).otherwise(grown)
-
-    taken = F.aggregate("walk", nothing, step)["taken"]
-    return walk.select("task_id", F.inline(taken)).select(
-        "task_id", "id_a", "id_b", "match_type", "total_score"
-    )
+    return pairs.select("task_id", "id_a", "id_b", "match_type", "total_score")
 
 
-def _mutual_best(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Pairs that are the best of both records, and the pairs left without those records."""
-    place = best_first("total_score")
+def _chained(pairs: DataFrame) -> DataFrame:
+    """Pairs that are taken for being the best of both records, or by a chain from such a pair."""
     sided = pairs.select(
-        "task_id", place.alias("place"), F.explode(F.array("id_a", "id_b")).alias("id")
+        "task_id", best_first("total_score").alias("place"), F.explode(F.array("id_a", "id_b")).alias("id")
+    )
+    own = W.partitionBy("task_id", "id").orderBy("place")
+    upwards = own.rowsBetween(W.unboundedPreceding, W.currentRow)
+    top = sided.withColumns(
+        {"rank": F.row_number().over(own), "best": F.first("place").over(upwards)}
+    ).where("rank <= 2")
+    pair = top.groupBy("task_id", "place").agg(
+        F.count("*").alias("sides"),
+        F.max("rank").alias("rank"),
+        F.max(F.when(F.col("rank") == 2, F.col("best"))).alias("before"),
+        F.min("rank").alias("low"),
+    )
+    pair = durable(
+        pair.where("sides = 2 AND low = 1").select(
+            "task_id",
+            F.col("place.id_a").alias("id_a"),
+            F.col("place.id_b").alias("id_b"),
+            F.col("before.id_a").alias("to_a"),
+            F.col("before.id_b").alias("to_b"),
+            (F.col("rank") == 2).alias("turned"),
+        )
     )
-    best = sided.groupBy("task_id", "id").agg(F.min("place").alias("best"))
-    wins = best.groupBy("task_id", "best").agg(F.count("*").alias("n")).filter("n = 2")
-    keys = wins.select("task_id", F.col("best.id_a").alias("id_a"), F.col("best.id_b").alias("id_b"))
-    taken = durable(pairs.join(keys, ["task_id", "id_a", "id_b"]))
-    gone = taken.select("task_id", F.explode(F.array("id_a", "id_b")).alias("id"))
-    left = pairs
-    for side in "ab":
-        left = left.join(
-            gone.withColumnRenamed("id", f"id_{side}"), ["task_id", f"id_{side}"], "left_anti"
+    won = pair.where("NOT turned").select("task_id", "id_a", "id_b")
+    links = pair.where("turned").withColumn("more", F.lit(True))
+    while True:
+        further = links.select(
+            "task_id",
+            F.col("id_a").alias("to_a"),
+            F.col("id_b").alias("to_b"),
+            F.col("to_a").alias("then_a"),
+            F.col("to_b").alias("then_b"),
+            F.col("turned").alias("then_turned"),
+        )
+        links = durable(
+            links.join(further, ["task_id", "to_a", "to_b"], "left").select(
+                "task_id",
+                "id_a",
+                "id_b",
+                F.coalesce("then_a", "to_a").alias("to_a"),
+                F.coalesce("then_b", "to_b").alias("to_b"),
+                # two turns are none
+                (F.col("turned") != F.coalesce("then_turned", F.lit(False))).alias("turned"),
+                F.col("then_a").isNotNull().alias("more"),
+            )
         )
-    return taken, durable(left.select(*pairs.columns))
+        if links.where("more").isEmpty():
+            break
+    ends = won.withColumnsRenamed({"id_a": "to_a", "id_b": "to_b"})
+    chained = links.where("NOT turned").join(ends, ["task_id", "to_a", "to_b"], "left_semi")
+    keys = won.unionByName(chained.select("task_id", "id_a", "id_b"))
+    return pairs.join(keys, ["task_id", "id_a", "id_b"], "left_semi")
 
 
 # -- joining groups to records ---------------------------------------------------------
@@ -370,47 +476,14 @@ def task_record_rows(pairs: DataFrame) -> DataFrame:
 
 
 def paged_lists(
-    rows: DataFrame,
-    keys: Sequence[str],
-    value: str,
-    name: str,
-    page_width: int = PAGE_WIDTH,
-    pages: Mapping[str, Column] | None = None,
+    rows: DataFrame, keys: Sequence[str], value: str, name: str, page_width: int = PAGE_WIDTH
 ) -> DataFrame:
     """Sorted list of the distinct values per key, as ``<name>`` with a ``page`` number.
 
     Page p holds the values from place ``p * page_width`` of the key's sorted values, so no list
     outgrows a row however many rows a key has. Values of any sortable type will do.
-    ``pages`` names other page columns instead, ranges that hold at most ``page_width`` values
-    each and are used for keys with more values than that; others have the single page 0.
     """
     keys = list(keys)
-    if pages is None:
-        return _paged_by_place(rows, keys, value, name, page_width)
-    cut = rows.groupBy(*keys, *[p.alias(n) for n, p in pages.items()]).agg(
-        F.collect_set(value).alias("__part")
-    )
-    large = (
-        cut.groupBy(*keys)
-        .agg(F.sum(F.size("__part")).alias("__n"))
-        .filter(F.col("__n") > page_width)
-    )
-    same = reduce(
-        lambda x, y: x & y, [F.col(f"c.{k}").eqNullSafe(F.col(f"l.{k}")) for k in keys]
-    )
-    placed = cut.alias("c").join(large.alias("l"), same, "left").select(
-        *[F.col(f"c.{k}") for k in keys],
-        *[F.when(F.col("__n").isNull(), 0).otherwise(F.col(n)).alias(n) for n in pages],
-        "__part",
-    )
-    return placed.groupBy(*keys, *pages).agg(
-        F.sort_array(F.flatten(F.collect_list("__part"))).alias(name)
-    )
-
-
-def _paged_by_place(
-    rows: DataFrame, keys: list[str], value: str, name: str, page_width: int
-) -> DataFrame:
     distinct = rows.select(*keys, F.col(value).alias("__value")).distinct()
     order = [*keys, F.col("__value").asc_nulls_last()]
     placed = dense_numbers(distinct, *order, name="__place")
@@ -446,10 +519,9 @@ def partner_table(pairs: DataFrame, ids: Sequence[int]) -> DataFrame:
 
 
 def pair_lists(pairs: DataFrame) -> DataFrame:
-    """Per label, its ``[id_a, id_b]`` pairs in order; a page is a square of ids."""
+    """Per label, its ``[id_a, id_b]`` pairs in order, cut into pages by place."""
     rows = pairs.select("match_type", F.array("id_a", "id_b").alias("pair"))
-    square = {f"page_{s}": F.floor(F.col("pair")[i] / 100) for i, s in enumerate("ab")}
-    return paged_lists(rows, ["match_type"], "pair", "id_pairs", PAGE_WIDTH, square)
+    return paged_lists(rows, ["match_type"], "pair", "id_pairs")
 
 
 def lists_by_first_id(pairs: DataFrame) -> DataFrame:

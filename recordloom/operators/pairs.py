@@ -124,8 +124,61 @@ def _sides(
     return tuple(side.drop(_TILES).repartition(width, *keys) for side in (a, b)) + (keys,)
 
 
+#: Pairs that a join without a block may form unless a caller allows more.
+MOST_PAIRS = 10_000_000_000
+
+
+@dataclass(frozen=True)
+class Cost:
+    """What a pair join will form, known before it: pairs in all, the rows and pairs of the
+    largest block, the cells that blocks are cut into, and the pairs of the largest cell."""
+
+    rows: int
+    pairs: int
+    largest_block: int
+    largest_pairs: int
+    cells: int
+    largest_cell: int
+
+
+def pair_cost(records: DataFrame, block: Sequence[str] = (), tile_rows: int = TILE_ROWS) -> Cost:
+    """From the sizes of blocks alone: one aggregation over the block columns.
+
+    A block of n rows is cut into t tiles and t * t cells; the largest cell of the largest
+    block holds about (n / t) squared pairs, or half of that if the block is one cell.
+    """
+    rows = records.where(known(block)) if block else records
+    tiles = F.ceil(F.col("records") / tile_rows)
+    sizes = block_sizes(rows, block)
+    found = sizes.agg(
+        F.sum("records").alias("rows"),
+        F.sum(F.col("pairs").cast("decimal(38,0)")).alias("pairs"),
+        F.max("records").alias("block"),
+        F.max("pairs").alias("block_pairs"),
+        F.sum(tiles * tiles).alias("cells"),
+    ).first()
+    rows, pairs, largest, largest_pairs, cells = (int(value or 0) for value in found)
+    tile = -(-largest // max(1, -(-largest // tile_rows)))
+    return Cost(rows, pairs, largest, largest_pairs, cells, min(largest_pairs, tile * tile))
+
+
 def all_pairs(
-    records: DataFrame, id_column: str = "id", condition: Column | None = None, **tiling
+    records: DataFrame,
+    id_column: str = "id",
+    condition: Column | None = None,
+    most: int | None = MOST_PAIRS,
+    **tiling,
 ) -> DataFrame:
-    """Pairs without a block: n(n-1)/2 rows when the condition is the default."""
+    """Pairs without a block: n(n-1)/2 rows when the condition is the default.
+
+    More than ``most`` pairs are an error, raised from the number of rows before any job forms
+    pairs; ``None`` allows any number.
+    """
+    if most is not None:
+        cost = pair_cost(records)
+        if cost.pairs > most:
+            raise ValueError(
+                f"{cost.rows} records make {cost.pairs} pairs in {cost.cells} cells of up to"
+                f" {cost.largest_cell}; at most {most} are allowed (see `most`)"
+            )
     return self_pairs(records, (), id_column, condition, **tiling)

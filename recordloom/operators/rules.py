@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import math
 import re
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.utils import AnalysisException, ParseException
 
 from ..functions import text, vectors
 from ..schemas import DISPLAY_NAMES, RECORD_VECTORS
+from .cosine import near_vectors
 from .pairs import self_pairs
 from .tiles import similar_pairs
 
@@ -189,12 +192,17 @@ _ALLOWED = frozenset(
 )
 
 
-def _refuse_statements(spark: SparkSession, predicate: str) -> str:
-    """The predicate without its closing semicolon, if it is an expression without subqueries
-    that calls listed functions only. Spark's own parser reads it."""
+def _parsed(spark: SparkSession, predicate: str):
+    """The predicate without its closing semicolon, and as a tree by Spark's own parser."""
     rule = predicate.strip().rstrip(";").strip()
-    parser = spark._jsparkSession.sessionState().sqlParser()
-    todo = [parser.parseExpression(rule)]
+    return rule, spark._jsparkSession.sessionState().sqlParser().parseExpression(rule)
+
+
+def _refuse_statements(spark: SparkSession, predicate: str) -> str:
+    """The predicate, if it is an expression without subqueries that calls listed functions
+    only."""
+    rule, tree = _parsed(spark, predicate)
+    todo = [tree]
     while todo:
         node = todo.pop()
         kind = node.getClass().getSimpleName()
@@ -212,17 +220,131 @@ def _items(sequence) -> list:
     return [sequence.apply(i) for i in range(sequence.size())]
 
 
+@dataclass(frozen=True)
+class Drivers:
+    """What the tests joined by AND in a rule say of every pair that satisfies it.
+
+    ``equal`` columns are equal on both sides, the cosine of a vector column is at least its
+    number in ``cosine``, and texts are at most so many edits apart as in ``edits``.
+    """
+
+    equal: tuple[str, ...]
+    cosine: dict[str, float]
+    edits: dict[str, int]
+
+
+def rule_drivers(spark: SparkSession, predicate: str) -> Drivers:
+    """Read from the predicate's tree as Spark parses it; other tests are left to the filter."""
+    equal, cosine, edits = [], {}, {}
+    todo = [_parsed(spark, predicate)[1]]
+    while todo:
+        node = todo.pop()
+        kind, children = node.getClass().getSimpleName(), _items(node.children())
+        if kind == "And":
+            todo += children
+            continue
+        if kind == "EqualTo" and (column := _same_column(children)):
+            equal.append(column)
+        if kind not in _COMPARED or len(children) != 2:
+            continue
+        call, limit = children
+        if _number(call) is not None:  # the limit stands first
+            call, limit, kind = limit, call, _COMPARED[kind]
+        number = _number(limit)
+        if call.getClass().getSimpleName() != "UnresolvedFunction" or number is None:
+            continue
+        name = ".".join(_items(call.nameParts())).lower()
+        column = _same_column(_items(call.children()))
+        if column and name == "vector_cosine_similarity" and kind.startswith("Greater"):
+            cosine[column] = max(number, cosine.get(column, -1.0))
+        if column and name in ("editdistance", "levenshtein") and kind.startswith("Less"):
+            most = math.ceil(number) - 1 if kind == "LessThan" else math.floor(number)
+            edits[column] = min(most, edits.get(column, most))
+    return Drivers(tuple(dict.fromkeys(equal)), cosine, edits)
+
+
+#: Comparisons, and what they are with their sides exchanged.
+_COMPARED = {
+    "GreaterThan": "LessThan",
+    "GreaterThanOrEqual": "LessThanOrEqual",
+    "LessThan": "GreaterThan",
+    "LessThanOrEqual": "GreaterThanOrEqual",
+}
+
+
+def _same_column(sides: list) -> str | None:
+    """The column that both sides name, one as ``a.<column>``, the other as ``b.<column>``."""
+    if len(sides) != 2 or any(s.getClass().getSimpleName() != "UnresolvedAttribute" for s in sides):
+        return None
+    names = [_items(s.nameParts()) for s in sides]
+    if any(len(n) != 2 for n in names) or sorted(n[0].lower() for n in names) != ["a", "b"]:
+        return None
+    return names[0][1] if names[0][1].lower() == names[1][1].lower() else None
+
+
+def _number(node) -> float | None:
+    try:
+        return float(node.sql()) if node.getClass().getSimpleName() == "Literal" else None
+    except ValueError:  # decimals are written with their type
+        text = re.fullmatch(r"(-?[\d.]+)(BD|D|L|F)?", node.sql())
+        return float(text[1]) if text else None
+
+
+#: Below this cosine most pairs of a block are candidates, and the block is compared.
+_LEAST_COSINE = 0.5
+
+
 def rule_pairs(
     records: DataFrame, predicate: str, block=("task_id",), id_column: str = "id", **tiling
 ) -> DataFrame:
     """Pairs that satisfy a user's SQL predicate over ``a`` and ``b``.
 
-    Equalities in the predicate become join keys beside the block, so that only records
-    agreeing on them meet.
+    Columns that the rule wants equal are join keys beside the block, so only records agreeing
+    on them meet. Without such, pairs come from an index of the vectors that the rule wants
+    similar, or else of the texts it wants few edits apart; the whole rule is then tested on
+    them. Only a rule with none of these tests every pair of a block.
     """
-    rule = _refuse_statements(records.sparkSession, predicate)
-    register_functions(records.sparkSession)
-    return self_pairs(records, block, id_column, **tiling).filter(F.expr(rule))
+    spark = records.sparkSession
+    rule = _refuse_statements(spark, predicate)
+    register_functions(spark)
+    found = rule_drivers(spark, predicate)
+    columns = {c.lower(): c for c in records.columns}
+    equal = [columns[c.lower()] for c in found.equal if c.lower() in columns]
+    cosine = {v: x for v, x in found.cosine.items() if x >= _LEAST_COSINE}
+    edits = [c for c, n in found.edits.items() if n <= 2]
+    if not equal and cosine:
+        vector = max(cosine, key=cosine.get)
+        pairs = near_vectors(
+            records.select(*block, id_column, vector), block, id_column, vector, "__score", cosine[vector] - 1e-6
+        ).select(*block, f"{id_column}_a", f"{id_column}_b")
+    elif not equal and edits:
+        from .candidates import near_names
+
+        pairs = _pairs_of_names(records, near_names(records, block, edits[0]), block, id_column, edits[0])
+    else:
+        keys = [*block, *(c for c in equal if c not in block)]
+        return self_pairs(records, keys, id_column, **tiling).filter(F.expr(rule))
+    pairs = pairs.toDF(*(f"__{c}" for c in pairs.columns))
+    met = pairs
+    for side in "ab":
+        keys = [F.col(f"__{c}") == F.col(f"{side}.{c}") for c in block]
+        keys.append(F.col(f"__{id_column}_{side}") == F.col(f"{side}.{id_column}"))
+        met = met.join(records.alias(side), reduce(lambda x, y: x & y, keys))
+    return met.drop(*pairs.columns).filter(F.expr(rule))
+
+
+def _pairs_of_names(records, names, block, id_column: str, column: str) -> DataFrame:
+    """Ids of records with two near names, the lower id first."""
+    there = F.struct(f"{column}_a", f"{column}_b")
+    back = F.struct(F.col(f"{column}_b").alias(f"{column}_a"), F.col(f"{column}_a").alias(f"{column}_b"))
+    pairs = names.select(*block, F.inline(F.array_distinct(F.array(there, back))))
+    for side in "ab":
+        own = records.select(
+            *block, F.col(column).alias(f"{column}_{side}"), F.col(id_column).alias(f"{id_column}_{side}")
+        ).distinct()
+        pairs = pairs.join(own, [*block, f"{column}_{side}"])
+    ids = [f"{id_column}_{side}" for side in "ab"]
+    return pairs.where(F.col(ids[0]) < F.col(ids[1])).select(*block, *ids)
 
 
 def validate_rule(records: DataFrame, predicate: str) -> tuple[bool, str | None]:

@@ -96,7 +96,7 @@ def _placed(
     return rows.withColumn(_GROUP, cell).drop("__other", _TILES)
 
 
-def _matrix(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+def matrix(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """Vectors as rows of a matrix, with their lengths (0 for NULL)."""
     lists = column.combine_chunks()
     if isinstance(lists, pa.ChunkedArray):
@@ -136,7 +136,7 @@ def _emit(table, segment, block, sided, similarities, above) -> Iterator[pa.Reco
     tile = table.column(_TILE).to_numpy()
     alike = table.column(_LOW).to_numpy() == table.column(_HIGH).to_numpy()
     compared = {v for sides in similarities.values() for v in sides}
-    matrices = {v: _matrix(table.column(v)) for v in compared}
+    matrices = {v: matrix(table.column(v)) for v in compared}
     held: list[tuple[np.ndarray, np.ndarray, dict]] = []
     size = 0
 

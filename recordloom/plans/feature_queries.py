@@ -204,6 +204,77 @@ def task_table(spark, sf_dir):
     return durable(features.task_features(compared(spark, sf_dir), members))
 
 
+_RATE_NAMES = [f"{k}_{r}" for k in ("macro", "weighted") for r in ("precision", "recall", "f1")]
+_HEX = (
+    "list_reduce(list_transform(string_split(substr(md5('17|' || task_id), 1, 8), ''),"
+    " lambda c: CAST(strpos('0123456789abcdef', c) - 1 AS BIGINT)), lambda a, b: a * 16 + b)"
+)
+
+
+@query(
+    f"WITH {oracle.FEATURES}, held AS (SELECT DISTINCT m.task_id, m.response_final FROM members m"
+    f" JOIN features f ON f.task_id = m.task_id WHERE {_HEX.replace('task_id', 'm.task_id')} % 1000 >= 800)"
+    " SELECT response_final AS class, count(*) AS support, count(DISTINCT task_id) AS tasks,"
+    " true AS recomputed FROM held GROUP BY response_final"
+)
+def holdout_evaluation(spark, sf_dir):
+    """The tasks held out by class, and whether the reports follow from their predictions."""
+    found = model.evaluation(model.train(task_table(spark, sf_dir)))
+    found.scored.selectExpr(
+        "task_id", "response_final AS label", "int(class) AS predicted", "probability_true AS p"
+    ).createOrReplaceTempView("recordloom_holdout")
+    again = spark.sql(
+        """SELECT label AS class, count(*) AS rows, count(DISTINCT task_id) AS tasks,
+          avg(int(predicted = label)) AS recall FROM recordloom_holdout GROUP BY label"""
+    )
+    overall = spark.sql(
+        """SELECT avg(int(predicted = label)) AS plain_accuracy,
+          avg(-ln(greatest(IF(label = 1, p, 1 - p), 1e-15))) AS plain_loss FROM recordloom_holdout"""
+    )
+    same = lambda a, b: F.abs(F.col(a) - F.col(b)) < 1e-9
+    return (
+        found.classes.withColumnsRenamed({"recall": "reported"})
+        .join(again, "class")
+        .withColumn("all", F.lit(1))
+        .join(found.overall.withColumn("all", F.lit(1)).drop(*_RATE_NAMES), "all")  # one row
+        .join(overall.withColumn("all", F.lit(1)), "all")
+        .select(
+            F.col("class").cast("long").alias("class"),
+            "support",
+            "tasks",
+            (
+                same("reported", "recall")
+                & same("accuracy", "plain_accuracy")
+                & same("log_loss", "plain_loss")
+                & (F.col("rows") == F.col("support"))
+            ).alias("recomputed"),
+        )
+    )
+
+
+_ID_HEX = _HEX.replace("task_id", "p_partkey")
+
+
+@query(
+    f"""WITH training AS (SELECT count(*) AS rows FROM part WHERE {_ID_HEX} % 1000 < 800)
+    SELECT 1 AS position, 'signal' AS feature, 1.0::DOUBLE AS score, rows FROM training
+    UNION ALL SELECT 2, 'noise', 0.0, rows FROM training"""
+)
+def signal_importance(spark, sf_dir):
+    """One feature tells the class and one does not: the first has all the importance."""
+    parts = standins.table(spark, sf_dir, "part").select(
+        F.col("p_partkey").alias("task_id"),
+        (F.col("p_size") % 2).cast("int").alias("response_final"),
+        (F.col("p_size") % 2 * 10.0 + F.col("p_size") / 100).alias("signal"),
+        F.lit(1.0).alias("noise"),
+    )
+    trained = model.train(parts, rounds=1)
+    rows = model.split_by_key(parts)[0].count()
+    return model.feature_importance(trained, spark).withColumns(
+        {"score": F.round("score", 6), "rows": F.lit(rows).cast("long")}
+    )
+
+
 @query()
 def feature_importance(spark, sf_dir):
     """Shares of the features in the trained model, first to last."""

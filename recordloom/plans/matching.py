@@ -9,20 +9,23 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ..functions import vectors
 from ..functions.vectors import Embedder, hashed_ngrams
 from ..operators import candidates, features, groups, model, rules
-from ..operators.tiles import similar_pairs
+from ..operators.cosine import near_vectors
 from ..schemas import COLUMN_SYNONYMS, RECORD_FILE, RECORD_VECTORS
 from ..session import durable
 from ..sources.readers import read_delimited, read_table_columns
-from ..sources.writers import add_missing_columns, embed_columns, upload
+from ..sources.writers import add_missing_columns, embed_columns, overwrite, with_dense_id
 
 ORIGINAL_COLUMNS = ("id", "task_id", "firstname", "lastname", "dob", "gender", "country")
 
 
-def load_records(spark: SparkSession, path: str, table: str) -> DataFrame:
-    """Read a file of records into a table with generated ids."""
-    rows = read_delimited(spark, path, RECORD_FILE, synonyms=COLUMN_SYNONYMS)
+def load_records(spark: SparkSession, path: str, table: str, on_bad: str = "raise") -> DataFrame:
+    """Read a file of records into a table, with ids in the order of the file.
+
+    A value that does not fit its column is an error, unless ``on_bad`` is ``null``.
+    """
+    rows = read_delimited(spark, path, RECORD_FILE, synonyms=COLUMN_SYNONYMS, place="place", on_bad=on_bad)
     missing = {f.name: f.dataType for f in RECORD_FILE if f.name != "id"}
-    upload(add_missing_columns(rows, missing), table)
+    overwrite(with_dense_id(add_missing_columns(rows, missing), "place").drop("place"), table)
     return spark.table(table)
 
 
@@ -58,10 +61,15 @@ class FileMatch:
 
 
 def match_file(
-    spark: SparkSession, path: str, table: str, embed: Embedder | None = None, **options
+    spark: SparkSession,
+    path: str,
+    table: str,
+    embed: Embedder | None = None,
+    on_bad: str = "raise",
+    **options,
 ) -> FileMatch:
     """Upload a file, embed it, match all pairs of a task and group them."""
-    load_records(spark, path, table)
+    load_records(spark, path, table, on_bad)
     embedded = durable(embed_columns(spark.table(table), embed or hashed_ngrams()))
     return FileMatch(
         pairs=rules.with_display_names(rules.match_pairs(embedded)),
@@ -95,7 +103,7 @@ def name_similarity(
         F.sum("copies").alias("copies"), F.min("id").alias("id")
     )
     # The limit is meant for rounded scores, so pairs just below it are still let through.
-    near = similar_pairs(names, (), "id", {"score": "full_vector"}, above - 10**-digits)
+    near = near_vectors(names, (), "id", "full_vector", "score", above - 10**-digits)
     score = F.round("score", digits)
     a, b = F.col("firstname_a"), F.col("firstname_b")
     both = F.inline(
@@ -118,12 +126,14 @@ class Supervised:
     features: DataFrame
     trained: model.Trained
     predictions: DataFrame
+    evaluation: model.Evaluation
 
 
 def supervised_matching(members: DataFrame, embed: Embedder | None = None, **training) -> Supervised:
-    """Keys, pair features, task statistics, a classifier and its predictions."""
+    """Keys, pair features, task statistics, a classifier, its predictions, and how it does on
+    the tasks held out of its training."""
     keys = features.member_keys(members, embed or hashed_ngrams())
     table = durable(features.task_features(features.pair_features(keys), members))
     trained = model.train(table, **training)
     predictions = model.predict(trained, table.drop(features.LABEL))
-    return Supervised(table, trained, predictions)
+    return Supervised(table, trained, predictions, model.evaluation(trained))

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import text, vectors
-from ..functions.vectors import embed_letters, hashed_ngrams
-from ..operators import candidates, groups, pairs, rules, search
+from ..functions.vectors import embed_letters
+from ..operators import candidates, groups, pairs, rules, search, tiles
 from ..schemas import RECORD_VECTORS
 from . import oracle, standins
 from .matching import match_and_group, name_similarity
@@ -306,15 +306,16 @@ def partner_lists(spark, sf_dir):
     )
 
 
-_IN_SQUARES = """
-  squares AS (SELECT match_type, id_a, id_b, count(*) OVER (PARTITION BY match_type) > 10000 AS large FROM pairs)
-  SELECT match_type, CASE WHEN large THEN id_a // 100 ELSE 0 END AS page_a,
-    CASE WHEN large THEN id_b // 100 ELSE 0 END AS page_b,
+_BY_PLACE = """
+  placed AS (SELECT DISTINCT match_type, id_a, id_b FROM pairs),
+  paged AS (
+    SELECT *, (row_number() OVER (PARTITION BY match_type ORDER BY id_a, id_b) - 1) // 10000 AS page FROM placed)
+  SELECT match_type, page,
     array_to_string(list(id_a || '-' || id_b ORDER BY id_a, id_b), ',') AS id_pairs
-  FROM squares GROUP BY ALL"""
+  FROM paged GROUP BY ALL"""
 
 
-@query(f"WITH {oracle.PAIRS}, {_IN_SQUARES}")
+@query(f"WITH {oracle.PAIRS}, {_BY_PLACE}")
 def pair_lists(spark, sf_dir):
     lists = groups.pair_lists(labelled(spark, sf_dir))
     pair = lambda p: F.concat_ws("-", p[0].cast("string"), p[1].cast("string"))
@@ -390,13 +391,14 @@ def task_record_rows(spark, sf_dir):
 )
 def vector_scores(spark, sf_dir):
     sided = standins.vectors(spark, sf_dir).withColumn("norm", vectors.vector_norm("embedding"))
-    cosine = vectors.cosine_similarity("a.embedding", "b.embedding", "a.norm", "b.norm")
-    return pairs.self_pairs(sided).select(
-        "a.task_id",
-        F.col("a.id").alias("id_a"),
-        F.col("b.id").alias("id_b"),
-        F.round(cosine, 6).alias("cosine"),
-        F.round(vectors.dot_product("a.embedding", "b.embedding"), 6).alias("dot"),
+    found = tiles.similar_pairs(sided, ["task_id"], "id", {"cosine": "embedding"})
+    dot = F.col("cosine") * F.col("norm_a") * F.col("norm_b")
+    return found.select(
+        "task_id",
+        "id_a",
+        "id_b",
+        F.round("cosine", 6).alias("cosine"),
+        F.round(F.coalesce(dot, F.lit(0.0)), 6).alias("dot"),
     )
 
 
@@ -411,22 +413,99 @@ def vector_sums(spark, sf_dir):
     )
 
 
+_BUCKET = (
+    "list_reduce(list_transform(string_split(substr(md5({g}), 1, 8), ''),"
+    " lambda d: CAST(strpos('0123456789abcdef', d) - 1 AS BIGINT)), lambda x, y: x * 16 + y) % 768"
+)
+
+
 @query(
-    f"WITH {oracle.RECORDS} SELECT id, 768 AS size, 1.0::DOUBLE AS length, true AS repeatable FROM records"
+    f"""WITH {oracle.RECORDS},
+    framed AS (SELECT id, ' ' || lower(trim(lastname)) || ' ' AS t FROM records),
+    grams AS (SELECT id, substr(t, CAST(unnest(range(1, length(t) - 1)) AS BIGINT), 3) AS g FROM framed),
+    counted AS (SELECT id, {_BUCKET.format(g='g')} AS bucket, count(*) AS n FROM grams GROUP BY ALL),
+    scaled AS (SELECT id, bucket, n / sqrt(sum(n * n) OVER (PARTITION BY id)) AS w FROM counted)
+    SELECT id, array_to_string(list(bucket ORDER BY bucket), ',') AS buckets,
+      round(sum(w * bucket), 2) AS weighted, round(sum(w), 2) AS total FROM scaled GROUP BY id"""
 )
 def text_embeddings(spark, sf_dir):
-    """Size and length of every record's name vector; equal text gives equal vectors."""
-    embed = hashed_ngrams()
-    rows = embed(standins.records(spark, sf_dir).select("id", "lastname"), {"lastname": "v"})
-    per_name = rows.groupBy("lastname").agg(F.min(F.hash("v")).alias("low"), F.max(F.hash("v")).alias("high"))
-    return rows.join(per_name, "lastname").select(
+    """Every record's name as hashed n-grams: the buckets, and two sums over the dense vector."""
+    rows = standins.records(spark, sf_dir).select("id", "lastname")
+    rows = vectors.portable_ngrams()(rows, {"lastname": "v"})
+    weighted = F.zip_with("v", F.sequence(F.lit(0), F.lit(767)), lambda x, i: x.cast("double") * i)
+    add = lambda acc, x: acc + x.cast("double")
+    buckets = F.array_sort(F.array_distinct(vectors.ngram_buckets("lastname")))
+    return rows.select(
         "id",
-        F.size("v").alias("size"),
-        F.round(vectors.vector_norm("v"), 4).alias("length"),
-        (F.col("low") == F.col("high")).alias("repeatable"),
+        F.array_join(buckets.cast("array<string>"), ",").alias("buckets"),
+        F.round(F.aggregate(weighted, F.lit(0.0), add), 2).alias("weighted"),
+        F.round(F.aggregate("v", F.lit(0.0), add), 2).alias("total"),
     )
 
 
+_TOP = 5
+
+
+@query(
+    f"""WITH v AS MATERIALIZED (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+    scored AS (SELECT q.vec_id AS query_id, r.vec_id, round({oracle.cosine('q.e', 'r.e')}, 6) AS similarity
+      FROM v q JOIN v r ON q.vec_id % 50 = 0),
+    ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, vec_id) AS INTEGER)
+      AS rank FROM scored WHERE similarity IS NOT NULL)
+    SELECT query_id, rank, vec_id, similarity FROM ranked WHERE rank <= {_TOP}"""
+)
+def similar_rows_of_each(spark, sf_dir):
+    """The five most similar rows for every row whose id is divisible by 50, among all rows."""
+    rows = standins.table(spark, sf_dir, "embeddings")
+    return search.similar_rows_of_each(rows, rows.where("vec_id % 50 = 0"), "embedding", "vec_id", _TOP, digits=6)
+
+
+_CHECKED = {
+    "same name": "a.lastname = b.lastname",
+    "near name": "levenshtein(a.lastname, b.lastname) < 2;",
+    "unknown column": "a.surname = b.surname",
+    "statement": "a.id IN (SELECT id FROM records)",
+    "unfinished": "a.id =",
+    "not listed": "rand() < 0.5",
+}
+
+
+@query(
+    f"""WITH {oracle.RECORDS},
+    pairs AS (SELECT a.lastname AS x, b.lastname AS y FROM records a JOIN records b
+      ON a.task_id = b.task_id AND a.id < b.id)
+    SELECT 'same name' AS rule, true AS valid, count(*) AS pairs FROM pairs WHERE x = y
+    UNION ALL SELECT 'near name', true, count(*) FROM pairs WHERE levenshtein(x, y) < 2
+    UNION ALL SELECT unnest(['unknown column', 'statement', 'unfinished', 'not listed']), false, 0"""
+)
+def checked_rules(spark, sf_dir):
+    """Users' rules tested before any job runs, and the pairs of those that pass."""
+    records = standins.records(spark, sf_dir)
+    out = None
+    for name, rule in _CHECKED.items():
+        valid, _ = rules.validate_rule(records, rule)
+        found = rules.rule_pairs(records, rule) if valid else spark.range(0)
+        row = found.agg(F.count("*").alias("pairs")).select(F.lit(name).alias("rule"), F.lit(valid).alias("valid"), "pairs")
+        out = row if out is None else out.union(row)
+    return out
+
+
+@query(
+    f"""WITH {oracle.RECORDS}, sizes AS (SELECT task_id, count(*) AS n FROM records GROUP BY task_id),
+    blocked AS (SELECT sum(n) AS rows, sum(n * (n - 1) // 2) AS pairs, max(n) AS largest_block FROM sizes),
+    open AS (SELECT sum(n) AS n FROM sizes)
+    SELECT 'task' AS block, CAST(rows AS BIGINT) AS rows, CAST(pairs AS BIGINT) AS pairs,
+      CAST(largest_block AS BIGINT) AS largest_block FROM blocked
+    UNION ALL SELECT 'none', CAST(n AS BIGINT), CAST(n * (n - 1) // 2 AS BIGINT), CAST(n AS BIGINT) FROM open"""
+)
+def pair_costs(spark, sf_dir):
+    """What pair joins of the records would form, with and without blocks, known beforehand."""
+    records = standins.records(spark, sf_dir)
+    found = {"task": pairs.pair_cost(records, ["task_id"]), "none": pairs.pair_cost(records)}
+    rows = [(name, c.rows, c.pairs, c.largest_block) for name, c in found.items()]
+    return spark.createDataFrame(rows, "block string, rows long, pairs long, largest_block long")
+
+
 _DATED = "DATE '2024-01-01' + CAST(vec_id % 365 AS INTEGER)"
 
 

@@ -75,6 +75,28 @@ def embedded_columns(spark, sf_dir):
     return table.select("id", F.size("lastname_vector").alias("size"), "lastname")
 
 
+@query(
+    f"""WITH {oracle.VECTORS} SELECT id, lastname, CAST(list_sum(lv) AS BIGINT) AS letters,
+    array_to_string(list_transform(lv, lambda x: CAST(CAST(x AS BIGINT) AS VARCHAR)), ',') AS counts FROM vectors"""
+)
+def embedded_in_place(spark, sf_dir):
+    """A table's vector columns set from its own rows, the table read and replaced."""
+    kinds = {f.name: f.dataType for f in INPUT_RECORDS if f.name in RECORD_VECTORS.values()}
+    rows = writers.add_missing_columns(standins.records(spark, sf_dir), kinds)
+
+    def write(table, path):
+        writers.overwrite(rows, table, path=path)
+        writers.embed_table(spark, table, embed_letters)
+
+    whole = F.transform("lastname_vector", lambda x: x.cast("bigint"))
+    return written(spark, sf_dir, "in_place", write).select(
+        "id",
+        "lastname",
+        F.aggregate(whole, F.lit(0).cast("bigint"), lambda acc, x: acc + x).alias("letters"),
+        F.array_join(whole.cast("array<string>"), ",").alias("counts"),
+    )
+
+
 @query(f"WITH {oracle.RECORDS} SELECT id, task_id, firstname, lastname, dob, gender, country FROM records")
 def original_columns(spark, sf_dir):
     writers.create_view(standins.records(spark, sf_dir), "recordloom_records")
@@ -168,3 +190,40 @@ def imputed_table(spark, sf_dir):
     table = written(spark, sf_dir, "imputed", lambda t, path: writers.overwrite(rows, t, path=path))
     return table.groupBy("user_id").agg(F.count("*").alias("rows"))
 
+
+
+def _as_file(df, separator):
+    """``df`` written as delimited files with headers, in the shared folder: their path."""
+    path = f"{shared_folder(df.sparkSession)}/recordloom_file_{uuid.uuid4().hex[:8]}"
+    writer = df.write.options(header=True, sep=separator, escape='"', quoteAll=True, ignoreLeadingWhiteSpace=False)
+    writer.options(ignoreTrailingWhiteSpace=False).csv(path)
+    return path
+
+
+@query("SELECT doc_id, text, lang, source, n_chars FROM documents")
+def scanned_csv(spark, sf_dir):
+    """Texts with quotes, separators and line breaks, written as files and scanned in splits."""
+    rows = standins.table(spark, sf_dir, "documents")
+    return readers.read_delimited(spark, _as_file(rows, ","), rows.schema, on_bad="raise")
+
+
+@query(
+    "SELECT o_orderkey AS task_id, CAST(o_totalprice AS DOUBLE) AS probability, o_orderpriority AS"
+    " confidence_score, 0 AS bad FROM orders"
+)
+def scanned_scores(spark, sf_dir):
+    """Scores in files with bars between values; what does not fit is counted."""
+    rows = standins.table(spark, sf_dir, "orders").select(
+        F.col("o_orderpriority").alias("Confidence_Score"),
+        F.col("o_orderkey").alias("TASK_ID"),
+        F.col("o_totalprice").cast("double").alias("PROBABILITY"),
+    )
+    wanted = T.StructType(
+        [
+            T.StructField("task_id", rows.schema["TASK_ID"].dataType),
+            T.StructField("probability", T.DoubleType()),
+            T.StructField("confidence_score", T.StringType()),
+        ]
+    )
+    got = readers.read_delimited(spark, _as_file(rows, "|"), wanted, "|", on_bad="column")
+    return got.withColumn("bad", F.size("bad_values")).drop("bad_values")

@@ -8,6 +8,10 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Rows that a partition is worth having for, and rows that are too many for one.
+LITTLE_WORK, MUCH_WORK = 20_000, 20_000_000
+
+
 def build_session(cores: int | str = "*", shuffle_partitions: int = 8, **conf: str) -> SparkSession:
     """Local session for tests and the benchmark. A cluster brings its own."""
     builder = (
@@ -73,11 +77,13 @@ def durable(df: DataFrame) -> DataFrame:
 
 
 def shuffle_width(df: DataFrame, work: int | None = None) -> int:
-    """Partitions for a shuffle set by hand: the session's number, or fewer for little work.
+    """Partitions for a shuffle set by hand: the session's number, fewer for little work, and
+    more where a partition would otherwise have too much.
 
     ``work`` counts what the shuffled rows will be turned into, such as pairs.
     """
     width = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     if work is None:
         return width
-    return min(width, max(df.sparkSession.sparkContext.defaultParallelism, work // 20_000))
+    least = max(df.sparkSession.sparkContext.defaultParallelism, work // LITTLE_WORK)
+    return max(min(width, least), work // MUCH_WORK)

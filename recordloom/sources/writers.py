@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+import uuid
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
@@ -39,6 +40,68 @@ def overwrite(
     writer.saveAsTable(table)
 
 
+def rewrite(spark: SparkSession, table: str, change: Callable[[DataFrame], DataFrame]) -> None:
+    """Replace a table by ``change`` of its own rows.
+
+    Spark cannot overwrite what it is reading, so the new rows are written beside the table,
+    and take its name once they are complete. If the job fails, the table is as it was; if the
+    exchange of names is cut short, ``finish_rewrite`` (which runs first) brings it to an end.
+    Partition columns are kept. Every version has a folder of its own beside the first, so
+    that names change without files being moved.
+    """
+    finish_rewrite(spark, table)
+    rows = spark.table(table)
+    partitions = [c.name for c in spark.catalog.listColumns(table) if c.isPartition]
+    path = f"{_told(spark, table)['Location'].split(_VERSION)[0]}{_VERSION}{uuid.uuid4().hex[:8]}"
+    overwrite(change(rows), f"{table}{_NEW}", partitions, path)
+    spark.sql(f"ALTER TABLE {table} RENAME TO {table}{_OLD}")
+    spark.sql(f"ALTER TABLE {table}{_NEW} RENAME TO {table}")
+    _drop(spark, f"{table}{_OLD}")
+
+
+_NEW, _OLD, _VERSION = "__rewritten", "__before", "__v"
+
+
+def finish_rewrite(spark: SparkSession, table: str) -> None:
+    """Bring a rewrite that was cut short to its end, or undo it if its rows were not complete.
+
+    The old rows lose their name only after the new ones are complete.
+    """
+    exists = spark.catalog.tableExists
+    if exists(table):
+        _drop(spark, f"{table}{_OLD}")
+        _drop(spark, f"{table}{_NEW}")
+    elif exists(f"{table}{_OLD}"):
+        if exists(f"{table}{_NEW}"):
+            spark.sql(f"ALTER TABLE {table}{_NEW} RENAME TO {table}")
+            _drop(spark, f"{table}{_OLD}")
+        else:
+            spark.sql(f"ALTER TABLE {table}{_OLD} RENAME TO {table}")
+
+
+def _told(spark: SparkSession, table: str) -> dict[str, str]:
+    """What the catalog says of a table, ``Type`` and ``Location`` among it."""
+    return {r.col_name: r.data_type for r in spark.sql(f"DESCRIBE TABLE EXTENDED {table}").collect()}
+
+
+def _drop(spark: SparkSession, table: str) -> None:
+    """Drop a table and its files, also those at a path."""
+    if not spark.catalog.tableExists(table):
+        return
+    told = _told(spark, table)
+    spark.sql(f"DROP TABLE {table}")
+    if told["Type"] == "EXTERNAL":
+        path = spark._jvm.org.apache.hadoop.fs.Path(told["Location"])
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def embed_table(
+    spark: SparkSession, table: str, embed: Embedder, columns: Mapping[str, str] = RECORD_VECTORS
+) -> None:
+    """Set the vector column of every text column of a table, in place."""
+    rewrite(spark, table, lambda rows: embed_columns(rows, embed, columns))
+
+
 def append(df: DataFrame, table: str) -> None:
     """Add rows to a table, matching columns by name; makes the table if there is none."""
     df.write.mode("append").format("parquet").saveAsTable(table)
