@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .names import free_names
+from .shipping import received, sent
 from .words import ALNUM, U64, Words, blocks, hash_words, mix, text_bytes
 
 WIDTH = 5
@@ -304,7 +305,8 @@ def contaminated(
 
     Items and documents without words (NULL, empty) match nothing. Repeated rows give
     repeated results; NULL ids are carried along. Empty tables give no rows. Texts are not
-    shuffled: every block of items is sent to the tasks that read documents.
+    shuffled: every block of items is sent to the tasks that read documents. A text of any
+    length is compared whole, in one task.
     """
     kinds = dict(documents.dtypes)[id_column], dict(benchmark.dtypes)[item_column]
     schema = f"{id_column} {kinds[0]}, {item_column} {kinds[1]}, first_word long, similarity double"
@@ -314,10 +316,10 @@ def contaminated(
         index = Index([t for _, t in block], width, least, radius, stride)
         ids = [i for i, _ in block]
         target = _arrow_type(kinds[1])
-        sent = documents.sparkSession.sparkContext.broadcast((index, ids))
+        shipped = sent(documents.sparkSession, (index, ids))
 
-        def run(batches: Iterator[pa.RecordBatch], sent=sent, target=target) -> Iterator[pa.RecordBatch]:
-            index, ids = sent.value
+        def run(batches: Iterator[pa.RecordBatch], shipped=shipped, target=target) -> Iterator[pa.RecordBatch]:
+            index, ids = received(shipped)
             for batch in batches:
                 found = list(index.matches(batch.column(1)))
                 text, item, place, got = zip(*found, strict=True) if found else ((),) * 4

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .names import free_names
+from .shipping import received, sent
 from .words import ALNUM, U64, blocks, hash_words, text_bytes
 
 #: Rows of the embedding table, and numbers in a row.
@@ -23,6 +24,10 @@ PREFIXES = (4, 6)
 #: Labelled texts of each class that are learnt from, at most. Texts are taken whole.
 MAX_TEXTS = 3000
 EPOCHS, BATCH, RATE = 10, 32, 0.01
+#: False alarms that are as bad as a missed text.
+MISSED = 2.0
+#: Texts that a word is learnt from, at least.
+LEAST_TEXTS = 4
 #: Part of the learnt texts that only sets the thresholds.
 CALIBRATION = 5
 FOLDS = 5
@@ -160,56 +165,94 @@ class Adam:
         value[rows] -= self.rate * size
 
 
+def class_weights(truth: np.ndarray, share: float) -> np.ndarray:
+    """What each text counts, so that both classes count alike."""
+    return np.where(truth == 1, 0.5 / share, 0.5 / (1 - share))
+
+
+def log_loss(model: Model, texts: Texts, truth: np.ndarray, share: float) -> float:
+    z = model.logits(texts).astype(np.float64)
+    loss = np.logaddexp(0, z) - truth * z
+    return float((loss * class_weights(truth, share)).mean())
+
+
+def slopes(model: Model, texts: Texts, truth: np.ndarray, share: float) -> dict:
+    """The slopes of ``log_loss`` in every array of the model. Those of the table come with the
+    rows they belong to: only words where a filter responds most have one, by max pooling."""
+    values, where, padded = model.pooled(texts)
+    active = np.maximum(values, 0)
+    probability = 1 / (1 + np.exp(-np.clip(active @ model.out + model.out_bias, -30, 30)))
+    weight = class_weights(truth, share)
+    slope = ((probability - truth) * weight / len(truth)).astype(np.float32)
+    back = slope[:, None] * model.out * (values > 0)
+    found = {"out": active.T @ slope, "out_bias": float(slope.sum()), "bias": back.sum(axis=0)}
+    counts = np.diff(texts.starts)
+    moved_rows, moved = [], []
+    for k, width in enumerate(WIDTHS):
+        own = slice(k * FILTERS, (k + 1) * FILTERS)
+        at, g = where[:, own], back[:, own]
+        for j in range(width):
+            inside = (at + j < texts.starts[1:, None]) & (counts[:, None] > 0) & (g != 0)
+            i, f = np.nonzero(inside)
+            place = at[i, f] + j
+            own_slopes = np.zeros_like(model.filters[k][j])
+            np.add.at(own_slopes.T, f, padded[place] * g[i, f][:, None])
+            moved_rows.append(texts.rows[place])
+            moved.append(g[i, f][:, None] * model.filters[k][j].T[f])
+            found[k, j] = own_slopes
+    rows = np.concatenate(moved_rows)
+    used, inverse = np.unique(rows, return_inverse=True)
+    of_table = np.zeros((len(used), SIZE), np.float32)
+    if len(rows):
+        each = np.repeat(np.concatenate(moved), rows.shape[1], axis=0)
+        np.add.at(of_table, inverse.reshape(-1), each)
+    found["table"] = used, of_table
+    return found
+
+
+def known_rows(parts: list[Texts], least: int) -> np.ndarray:
+    """Whether each row of the table belongs to words of at least ``least`` texts."""
+    seen = np.zeros(ROWS, np.int64)
+    for texts in parts:
+        for a, b in zip(texts.starts[:-1], texts.starts[1:], strict=True):
+            seen[np.unique(texts.rows[a:b])] += 1
+    return seen >= least
+
+
 def train(parts: list[Texts], labels: list[np.ndarray], epochs: int = EPOCHS, seed: int = 3) -> Model:
     """Minimise the log loss, the rarer class weighted up, over batches of texts.
 
-    Through max pooling only the words where a filter responds most have a slope.
+    Words of few texts have no embedding: else the network would know its examples by them,
+    and words it never saw would be noise.
     """
     model, adam = new_model(seed), Adam(RATE)
     model.training = True
+    known = known_rows(parts, LEAST_TEXTS if sum(map(len, labels)) >= 50 * LEAST_TEXTS else 1)
+    model.table[~known] = 0
     share = np.clip(np.concatenate(labels).mean(), 0.01, 0.99)
     order = np.random.default_rng(seed)
     for epoch in range(epochs):
         adam.rate = RATE * (1 - epoch / epochs) + 1e-4
         for p in order.permutation(len(parts)):
-            texts, truth = parts[p], labels[p]
             adam.time += 1
-            values, where, padded = model.pooled(texts)
-            active = np.maximum(values, 0)
-            probability = 1 / (1 + np.exp(-np.clip(active @ model.out + model.out_bias, -30, 30)))
-            weight = np.where(truth == 1, 0.5 / share, 0.5 / (1 - share))
-            slope = ((probability - truth) * weight / len(truth)).astype(np.float32)
-            back = slope[:, None] * model.out * (values > 0)
-            adam.step("out", model.out, active.T @ slope + 1e-4 * model.out)
-            model.out_bias -= adam.rate * float(slope.sum())
-            adam.step("bias", model.bias, back.sum(axis=0))
-            counts = np.diff(texts.starts)
-            moved_rows, moved = [], []
+            found = slopes(model, parts[p], labels[p], share)
+            adam.step("out", model.out, found["out"] + 1e-4 * model.out)
+            model.out_bias -= adam.rate * found["out_bias"]
+            adam.step("bias", model.bias, found["bias"])
             for k, width in enumerate(WIDTHS):
-                own = slice(k * FILTERS, (k + 1) * FILTERS)
-                at, g = where[:, own], back[:, own]
                 for j in range(width):
-                    inside = (at + j < texts.starts[1:, None]) & (counts[:, None] > 0) & (g != 0)
-                    i, f = np.nonzero(inside)
-                    place = at[i, f] + j
-                    slopes = np.zeros_like(model.filters[k][j])
-                    np.add.at(slopes.T, f, padded[place] * g[i, f][:, None])
-                    moved_rows.append(texts.rows[place])
-                    moved.append(g[i, f][:, None] * model.filters[k][j].T[f])
-                    adam.step(f"filter{width}.{j}", model.filters[k][j], slopes)
-            rows = np.concatenate(moved_rows)
-            if len(rows):
-                used, inverse = np.unique(rows, return_inverse=True)
-                slopes = np.zeros((len(used), SIZE), np.float32)
-                each = np.repeat(np.concatenate(moved), rows.shape[1], axis=0)
-                np.add.at(slopes, inverse.reshape(-1), each)
-                adam.step("table", model.table, slopes, used)
+                    adam.step(f"filter{width}.{j}", model.filters[k][j], found[k, j])
+            used, of_table = found["table"]
+            used, of_table = used[known[used]], of_table[known[used]]
+            if len(used):
+                adam.step("table", model.table, of_table, used)
     model.training = False
     return model
 
 
-def even_odds(logits: np.ndarray, truth: np.ndarray) -> float:
-    """The logit at which both classes are equally likely, by Platt's method.
+def even_odds(logits: np.ndarray, truth: np.ndarray, missed: float = 1.0) -> float:
+    """The logit at which both classes are equally likely, by Platt's method; or, if a missed
+    text of class 1 is as bad as ``missed`` false alarms, at which either answer costs the same.
 
     A logistic curve is fitted to smoothed labels by Newton steps, so single odd examples do
     not move it far and classes that do not overlap do no harm.
@@ -228,18 +271,18 @@ def even_odds(logits: np.ndarray, truth: np.ndarray) -> float:
         line -= step * min(1.0, 1.0 / np.abs(step).max())
     if line[0] <= 0:
         return 0.0
-    return float(np.clip(-line[1] / line[0], logits.min(), logits.max()))
+    return float(np.clip(-(line[1] + np.log(missed)) / line[0], logits.min(), logits.max()))
 
 
 def set_thresholds(
     model: Model, logits: np.ndarray, languages: np.ndarray, truth: np.ndarray
 ) -> None:
     """A threshold for each language that has examples of both classes, else the common one."""
-    model.thresholds[:] = even_odds(logits, truth)
+    model.thresholds[:] = even_odds(logits, truth, MISSED)
     for k in range(len(LANGUAGES)):
         own = languages == k
         if min(truth[own].sum(), (1 - truth[own]).sum()) >= 5:
-            model.thresholds[k] = even_odds(logits[own], truth[own])
+            model.thresholds[k] = even_odds(logits[own], truth[own], MISSED)
 
 
 def fit(texts: list[str | None], truth: list[int]) -> Model | None:
@@ -327,14 +370,15 @@ def scored(
     the language that chooses the threshold is told from the words. NULL and empty texts have
     the score of no words. Labels that are NULL are not used, of several labels of a document
     the highest counts. Without labels of both classes every score is 0. Columns of ``docs``
-    with the names of the new ones are replaced.
+    with the names of the new ones are replaced; repeated rows are scored alike, and an empty
+    table stays empty. A text of any length is scored whole, in one task.
     """
     model = trained(examples(docs, labels, id_column, text_column, max_texts))
-    sent = docs.sparkSession.sparkContext.broadcast((model, language_table()))
+    shipped = sent(docs.sparkSession, (model, language_table()))
 
     @F.arrow_udf("double")
     def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        model, table = sent.value
+        model, table = received(shipped)
         for batch in batches:
             out = np.zeros(len(batch))
             data, offsets = text_bytes(batch)
@@ -353,7 +397,10 @@ def scored(
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame, **how) -> DataFrame:
-    """The rows of ``docs`` that are not predicted to be toxic, with all their columns."""
+    """The rows of ``docs`` that are not predicted to be toxic, with all their columns.
+
+    Rows with NULL ids or texts are judged like others; see ``scored``.
+    """
     marks = ["held_out", "score", "predicted"]
     renamed = free_names(docs, *marks)
     own = dict(zip(marks, renamed, strict=True))
