@@ -24,9 +24,11 @@ VOID_TAGS = frozenset(
 )
 #: Elements whose content is no text of the page.
 HIDDEN_TAGS = frozenset(
-    "button canvas head iframe math noscript object script select style svg template textarea"
-    " title".split()
+    "canvas head iframe noscript object script select style svg template textarea title".split()
 )
+#: Elements whose text is hidden unless it stands in the running text of one of the others.
+CONTROL_TAGS = frozenset(["button"])
+TEXT_TAGS = frozenset("blockquote caption dd dt figcaption h1 h2 h3 h4 h5 h6 li p pre td th".split())
 RAW_TAGS = frozenset("script style textarea title noscript iframe".split())
 BOILER_TAGS = frozenset("aside dialog footer form menu nav".split())
 CONTENT_TAGS = frozenset("article main".split())
@@ -40,12 +42,33 @@ CLOSES = {
     "th": {"td", "th"},
     "option": {"option"},
 }
-HINT = re.compile(
-    r"(?:^|[^a-z])(?:ads?|advert\w*|alert|author-?bio|banner|breadcrumbs?|comments?|consent"
-    r"|cookies?|disqus|footer|gdpr|header|login|masthead|menu|modal|nav\w*|newsletter|notice"
-    r"|notifications?|pager|pagination|popup|promo\w*|recommend\w*|related|replies|share|sharing"
-    r"|sidebar|signup|social|sponsor\w*|subscribe|toolbar|widgets?)(?:[^a-z]|$)"
+# Words of class names, ids and roles (fixed values). A name that is one of SIGNS, or ends with
+# one, tells of boilerplate; a name that begins with one of FIRST does so less surely; any other
+# name with one of them in it, or one of DOUBTFUL, leaves doubt.
+SIGNS = frozenset(
+    "ad ads advert adverts advertisement advertising alert alerts banner breadcrumb breadcrumbs"
+    " comment comments consent cookie cookies disqus footer gdpr masthead menu modal nav navbar"
+    " navigation newsletter notice notices notification notifications pager pagination popup promo"
+    " promos promotion recommendations recommended related replies share sharing sidebar signup"
+    " social sponsor sponsored sponsors subscribe toolbar widget widgets".split()
 )
+FIRST = frozenset(
+    "ad ads advert breadcrumb cookie footer nav newsletter pagination popup promo share sidebar"
+    " social sponsor sponsored subscribe widget".split()
+)
+#: Names that begin so are boilerplate whatever follows: readers wrote what is in them.
+READERS = frozenset("comment comments disqus replies".split())
+DOUBTFUL = frozenset("bio header login".split())
+PHRASES = frozenset(
+    "author-bio related-articles related-content related-items related-links related-news"
+    " related-posts related-stories".split()
+)
+CONTENT_NAMES = frozenset(
+    "article article-body article-content body-content content content-body entry entry-content"
+    " main main-content page-content post post-body post-content story story-body text".split()
+)
+PARTS = re.compile(r"[a-z]+")
+CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 ATTRIBUTE = re.compile(
     r"""(?<![\w-])(class|id|role|style|hidden|aria-hidden)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""",
     re.I,
@@ -57,8 +80,12 @@ TOKEN = re.compile(
     r"""|<(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^>"']|["'])*?)>""",
     re.S,
 )
-#: Smoothness between blocks next to each other, and between siblings.
-ADJACENT, SIBLING = 0.5, 1.0
+#: Smoothness between blocks next to each other, and between siblings. All edges of a block
+#: together outweigh a doubtful name or a short text, but no sure sign.
+ADJACENT, SIBLING = 0.75, 1.0
+#: Costs of the classifier, as log-odds that a block is content (see ``scores``).
+SURE, LIKELY, DOUBT = 9.0, 8.0, 1.5
+INSIDE, NAMED, LINKS, TEXT_TAG = 4.0, 2.5, 4.0, 1.0
 
 
 @dataclass
@@ -66,8 +93,9 @@ class Element:
     tag: str
     number: int
     hidden: bool
-    boiler: int
+    signs: float
     content: int
+    named: int
 
 
 @dataclass
@@ -77,26 +105,43 @@ class Block:
     tag: str
     parent: int
     depth: int
-    boiler: int
+    signs: float
     content: int
+    named: int
     pieces: list[str] = field(default_factory=list)
     linked: int = 0
     text: str = ""
 
 
-def _signs(tag: str, attributes: str) -> tuple[bool, int]:
-    """Whether an element is hidden, and how many signs of boilerplate it has."""
-    hidden, boiler = tag in HIDDEN_TAGS, int(tag in BOILER_TAGS)
+def sign_of(name: str) -> float:
+    """How much a class name, id or role tells of boilerplate."""
+    parts = PARTS.findall(CAMEL.sub("-", name).lower())
+    if not parts:
+        return 0.0
+    whole = "-".join(parts)
+    if whole in SIGNS or parts[0] in READERS or whole in PHRASES:
+        return SURE
+    if len(parts) > 1 and (parts[-1] in SIGNS or parts[0] in FIRST):
+        return LIKELY
+    return DOUBT if any(x in SIGNS or x in DOUBTFUL for x in parts) else 0.0
+
+
+def _signs(tag: str, attributes: str) -> tuple[bool, float, bool]:
+    """Whether an element is hidden, its signs of boilerplate, and whether its name tells of
+    content."""
+    hidden, found, named = tag in HIDDEN_TAGS, SURE * (tag in BOILER_TAGS), False
     if attributes and not attributes.isspace():
         for m in ATTRIBUTE.finditer(attributes):
-            name, value = m[1].lower(), (m[2] or "").strip("\"'").lower()
-            if name == "hidden" or name == "aria-hidden" and value == "true":
+            name, value = m[1].lower(), (m[2] or "").strip("\"'")
+            if name == "hidden" or name == "aria-hidden" and value.lower() == "true":
                 hidden = True
             elif name == "style":
-                hidden |= "display:none" in value.replace(" ", "")
-            elif tag not in ("html", "body", "article", "main") and HINT.search(value):
-                boiler += 1
-    return hidden, boiler
+                hidden |= "display:none" in value.lower().replace(" ", "")
+            elif tag not in ("html", "body", "article", "main"):
+                # one element is as much of a sign as its clearest name
+                found = max([found, *map(sign_of, value.split())])
+                named |= any(v.lower() in CONTENT_NAMES for v in value.split())
+    return hidden, found, named
 
 
 def blocks_of(page: str) -> list[Block]:
@@ -126,9 +171,8 @@ def blocks_of(page: str) -> list[Block]:
             own = [e for e in stack if e.tag in BLOCK_TAGS]
             tag = own[-1].tag if own else ""
             holder = own[-2].number if len(own) > 1 else 0
-            current = Block(
-                tag, holder, len(own), top.boiler if top else 0, top.content if top else 0
-            )
+            signs, content, named = (top.signs, top.content, top.named) if top else (0.0, 0, 0)
+            current = Block(tag, holder, len(own), signs, content, named)
         current.pieces.append(text)
         current.linked += len(text) if links else 0
 
@@ -177,7 +221,9 @@ def blocks_of(page: str) -> list[Block]:
             if tag == "br":
                 add(" ")
             continue
-        hidden, boiler = _signs(tag, m[3])
+        hidden, signs, named = _signs(tag, m[3])
+        if tag in CONTROL_TAGS and not any(e.tag in TEXT_TAGS for e in stack):
+            hidden = True
         top = stack[-1] if stack else None
         if tag in RAW_TAGS:
             end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
@@ -186,7 +232,7 @@ def blocks_of(page: str) -> list[Block]:
         number += 1
         content = (top.content if top else 0) + (tag in CONTENT_TAGS)
         if tag == "header" and not content:
-            boiler += 1
+            signs += SURE
         if tag == "a":
             links += 1
         stack.append(
@@ -194,8 +240,9 @@ def blocks_of(page: str) -> list[Block]:
                 tag,
                 number,
                 hidden or bool(top and top.hidden),
-                boiler + (top.boiler if top else 0),
+                signs + (top.signs if top else 0.0),
                 content,
+                named + (top.named if top else 0),
             )
         )
     flush()
@@ -203,20 +250,28 @@ def blocks_of(page: str) -> list[Block]:
 
 
 def scores(blocks: list[Block]) -> list[float]:
-    """Log-odds that a block is content."""
-    marked = any(b.content for b in blocks)
+    """Log-odds that a block is content.
+
+    Signs of boilerplate in the elements around a block count against it, and so do links. Where
+    a page marks its article, being in it decides unless there are such signs; an element named
+    like a content area says less. On a page without marks, long text, a closing full stop and
+    headings speak for a block. What is left in doubt goes with its neighbours.
+    """
+    marked, named = any(b.content for b in blocks), any(b.named for b in blocks)
     out = []
     for b in blocks:
         words = b.text.count(" ") + 1
         density = min(1.0, b.linked / max(1, len(b.text)))
-        score = -8.0 * min(b.boiler, 2) - 3.0 * density
+        score = -min(b.signs, 2 * SURE) - LINKS * density
         if marked:
-            score += 5.0 if b.content else -5.0
+            score += INSIDE if b.content else -INSIDE
         else:
+            if named:
+                score += NAMED if b.named else -NAMED / 2
             score += min(2.0, words / 10) - 1.0
             score += 0.5 if b.text[-1] in ".!?:;\"'" else -0.5
         if re.fullmatch("h[1-6]|p|pre|blockquote", b.tag):
-            score += 1.0
+            score += TEXT_TAG
         out.append(score)
     return out
 
@@ -314,7 +369,8 @@ def extracted(
     """``df`` with the main text of each row's page in ``text_column``.
 
     Every row is treated alone: repeated rows give the same text, NULL and empty pages an
-    empty one, an empty table stays empty. An existing ``text_column`` is replaced.
+    empty one, an empty table stays empty. A page of any length is read in one task, and its
+    blocks are held there. An existing ``text_column`` is replaced.
     """
 
     @F.pandas_udf("string")
