@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from .names import free_names
 
 RATIO = 0.04
-MIN_PAGES = 50
+#: A line on fewer pages of a host is no boilerplate, however few pages the host has.
+MIN_PAGES = 3
 #: Parts into which the lines of one host, and the pages with one line, are dealt.
 SALTS = 32
 
@@ -50,22 +51,21 @@ def common_lines(
 ) -> DataFrame:
     """Lines on more than ``ratio`` of a host's pages: host, key, pages, host_pages, ratio.
 
-    A line that is on at most ``ratio * min_pages`` pages cannot exceed the ratio of any
-    host that counts, so nearly all lines are dropped before hosts are looked up. The few
-    that stay are dealt over ``SALTS`` parts of their host.
+    Lines on fewer than ``min_pages`` pages of a host stay, so nearly all lines are dropped
+    before hosts are looked up. The few that are left are dealt over ``SALTS`` parts of
+    their host.
     """
     counted = (
         page_lines(df, host_column, text_column)
         .groupBy("host", "key")
         .agg(F.count("*").alias("pages"))
-        .where(F.col("pages") > ratio * min_pages)
+        .where(F.col("pages") >= min_pages)
         .withColumn("salt", F.pmod(F.xxhash64("key"), F.lit(SALTS)))
     )
     totals = (
         df.where(F.col(host_column).isNotNull())
         .groupBy(F.col(host_column).alias("host"))
         .agg(F.count("*").alias("host_pages"))
-        .where(F.col("host_pages") >= min_pages)
         .withColumn("salt", every_salt())
     )
     return (
@@ -86,11 +86,12 @@ def without_common_lines(
 ) -> DataFrame:
     """``df`` with a cleaned text, and the columns n_lines and n_dropped.
 
-    Every different line counts once a page. Blank lines stay, and so do all lines of rows
-    without a host and of hosts with fewer than ``min_pages`` pages. NULL text gives an
-    empty text with one (blank) line. Rows with the same id and host are cleaned alike;
-    rows with a NULL id are treated as one id. Columns of ``df`` named n_lines or n_dropped
-    are replaced.
+    Every different line counts once a page, and every row is a page. Blank lines stay, and so
+    do lines on fewer than ``min_pages`` pages and all lines of rows without a host. NULL text
+    gives an empty text with one (blank) line. Rows with the same id and host are cleaned
+    alike; rows with a NULL id are treated as one id. Columns of ``df`` named n_lines or
+    n_dropped are replaced. An empty table gives no rows. A text is split into lines in one
+    task, whatever its length; only the keys of its lines travel.
 
     Only keys of lines travel to find what is common; texts move once, to meet the list of
     their own common lines.
@@ -133,25 +134,27 @@ def without_common_lines(
 
 
 SQL = rf"""
-WITH l AS (
-  SELECT doc_id, source, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, source, text FROM documents
+), l AS (
+  SELECT r, doc_id, source, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
          generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS place
-  FROM documents
+  FROM d
 ), k AS (
   SELECT *, trim(line, chr(32) || chr(9) || chr(11) || chr(12) || chr(13)) AS key FROM l
 ), t AS (
   SELECT source, count(*) AS host_pages FROM documents GROUP BY source
 ), c AS (
   SELECT k.source, k.key FROM k JOIN t USING (source)
-  WHERE k.key <> '' AND t.host_pages >= {MIN_PAGES}
+  WHERE k.key <> ''
   GROUP BY k.source, k.key, t.host_pages
-  HAVING count(DISTINCT k.doc_id) / t.host_pages > {RATIO}
+  HAVING count(DISTINCT k.r) >= {MIN_PAGES} AND count(DISTINCT k.r) / t.host_pages > {RATIO}
 ), m AS (
-  SELECT k.doc_id, k.line, k.place, c.key IS NOT NULL AS gone
+  SELECT k.r, k.doc_id, k.line, k.place, c.key IS NOT NULL AS gone
   FROM k LEFT JOIN c ON k.source = c.source AND k.key = c.key
 )
 SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped,
        sha256(coalesce(string_agg(line, chr(10) ORDER BY place) FILTER (WHERE NOT gone), ''))
          AS text_sha256
-FROM m GROUP BY doc_id
+FROM m GROUP BY r, doc_id
 """
