@@ -5,6 +5,7 @@ from __future__ import annotations
 import heapq
 import json
 import os
+import pickle
 import re
 import sys
 from array import array
@@ -23,8 +24,12 @@ PART = 1 << 15
 LEAF = 128
 #: Distinct pieces of text whose ids a Python worker remembers.
 CACHE = 500_000
-#: Texts whose ids are held and passed on together.
-ROWS = 512
+#: Texts whose ids are held and passed on together, and parts of a text that are.
+ROWS, CUTS = 512, 64
+#: Bytes of a run without white space that are encoded when it is complete.
+SHORT = 1024
+#: Neighbouring parts that are joined in one place in the first round.
+FAN = 64
 
 
 class Merges:
@@ -111,6 +116,48 @@ def added_tokens(definition: str) -> list[str]:
     return [t["content"] for t in json.loads(definition).get("added_tokens", ())]
 
 
+@dataclass
+class Word:
+    """A word as the tokenizer cuts it, its text up to the next word, and its tokens if known."""
+
+    text: str
+    word: str
+    tokens: list[str] | None
+
+    def same(self, other: Word) -> bool:
+        return (self.text, self.word) == (other.text, other.word)
+
+
+@dataclass
+class Run:
+    """Text without white space, and its words, if it is long."""
+
+    raw: bytes
+    words: list[Word] | None
+
+
+@dataclass
+class Part:
+    """A part of a text: its beginning up to white space, ids and decoded text of the middle,
+    its end after white space. A bare part has no white space and is all beginning."""
+
+    head: Run
+    ids: bytes
+    decoded: bytes
+    tail: Run
+    bare: bool
+
+
+def packed_run(run: Run) -> bytes:
+    words = run.words and [(w.text, w.word, w.tokens) for w in run.words]
+    return pickle.dumps((run.raw, words))
+
+
+def unpacked_run(data: bytes) -> Run:
+    raw, words = pickle.loads(data)
+    return Run(raw, words and [Word(*w) for w in words])
+
+
 class Codec:
     """Encodes and decodes as the tokenizer does, without its added special tokens."""
 
@@ -205,55 +252,124 @@ class Codec:
             self.learn(set().union(*block))
             yield from map(self.encode, block)
 
-    def encode_part(self, part: bytes) -> tuple[bytes, bytes, bytes, bytes, bool]:
-        """One part of a text: its beginning up to white space, ids and decoded text of the
-        middle, its end after white space, and whether it has no white space at all."""
+    def words(self, text: str) -> list[Word]:
+        """The words of a text, each with the text up to the next one. A text of characters
+        that the tokenizer drops has one empty word."""
+        plain = self.tokenizer.normalizer.normalize_str(text)
+        found = self.tokenizer.pre_tokenizer.pre_tokenize_str(plain)
+        if not found:
+            return [Word(plain, "", [])]
+        cuts = [0, *(start for _, (start, _) in found[1:]), len(plain)]
+        return [Word(plain[i:j], w, None) for (w, _), i, j in zip(found, cuts, cuts[1:])]
+
+    def tokens_of(self, word: Word) -> list[str]:
+        if word.tokens is None:
+            letters = [*word.word[:-1], word.word[-1] + self.end]
+            word.tokens = self.merges.encode(letters, self.symbols, self.leaf)
+        return word.tokens
+
+    def joined_tokens(self, a: Word, b: Word) -> list[str]:
+        """Tokens of the word that two make together, from the tokens of both.
+
+        All tokens of ``a`` but the last are those of its beginning; the last is encoded again
+        without the mark of a word's end, and windows grow around both joins.
+        """
+        *begin, last = self.tokens_of(a)
+        letters = self.symbols(last.removesuffix(self.end) if self.end else last)
+        whole = self.merges.join(begin, self.merges.merge(letters), self.symbols) if begin else self.merges.merge(letters)
+        return self.merges.join(whole, self.tokens_of(b), self.symbols)
+
+    def join_words(self, a: list[Word], b: list[Word]) -> list[Word]:
+        """The words of two halves of a text put together.
+
+        The window around the join is cut into words again, and grows until its first and its
+        last word are those that the halves have there: from there on, both agree with it.
+        """
+        size = 1
+        while True:
+            left, right = a[-size:], b[:size]
+            window = self.words("".join(w.text for w in (*left, *right)))
+            first = len(left) == len(a) or window and window[0].same(left[0])
+            last = len(right) == len(b) or window and window[-1].same(right[-1])
+            if first and last:
+                break
+            size *= 2
+        known = {w.word: w for w in (*left, *right)}
+        for w in window:
+            if w.word in known:
+                w.tokens = self.tokens_of(known[w.word])
+            elif left and right and w.word == left[-1].word + right[0].word:
+                w.tokens = self.joined_tokens(left[-1], right[0])
+        return [*a[: len(a) - len(left)], *window, *b[len(right) :]]
+
+    def run(self, raw: bytes) -> Run:
+        """A text without white space. Short ones, and those that may spell an added token, are
+        encoded when they are complete."""
+        if len(raw) <= SHORT or b"<|" in raw:
+            return Run(raw, None)
+        words = self.words(raw.decode())
+        for w in words:
+            self.tokens_of(w)
+        return Run(raw, words)
+
+    def join_runs(self, a: Run, b: Run) -> Run:
+        if not a.raw or not b.raw:
+            return a if a.raw else b
+        raw = a.raw + b.raw
+        if len(raw) <= SHORT or b"<|" in raw:
+            return Run(raw, None)
+        sides = [r.words if r.words is not None else self.words(r.raw.decode()) for r in (a, b)]
+        return Run(raw, self.join_words(*sides))
+
+    def close(self, run: Run) -> tuple[bytes, bytes]:
+        """Ids and decoded text of a complete run."""
+        if not run.raw:
+            return b"", b""
+        if run.words is None:
+            self.learn({run.raw})
+            return self.encode([run.raw])
+        ids = array("I", [self.tokenizer.token_to_id(t) for w in run.words for t in self.tokens_of(w)])
+        return ids.tobytes(), self.decode(ids.tobytes())
+
+    def encode_part(self, part: bytes) -> Part:
+        """One part of a text."""
         if not part or not re.search(rb"[\x20\x09-\x0D]", part):
-            return part, b"", b"", b"", True
+            return Part(self.run(part), b"", b"", Run(b"", None), True)
         head = part.split(None, 1)[0] if part[:1].split() else b""
         tail = part.rsplit(None, 1)[-1] if part[-1:].split() else b""
         pieces = pieces_of(part[len(head) : len(part) - len(tail)])
         self.learn(set(pieces))
-        ids, decoded = self.encode(pieces)
-        return head, ids, decoded, tail, False
+        return Part(self.run(head), *self.encode(pieces), self.run(tail), False)
 
-    def join_parts(self, a: tuple, b: tuple) -> tuple:
+    def join_parts(self, a: Part, b: Part) -> Part:
         """Two neighbouring parts as one.
 
-        The window around the join is the end of the left part and the beginning of the right
-        one. While it holds no white space on a side, it grows into the next parts; white
-        space is where both sides agree.
+        White space is where both sides agree at once. The runs that meet at the join are
+        joined word by word; if they hold no white space on a side, they stay open.
         """
-        if a[4] and b[4]:
-            return a[0] + b[0], b"", b"", b"", True
-        if a[4]:
-            return a[0] + b[0], *b[1:]
-        if b[4]:
-            return *a[:3], a[3] + b[0], False
-        window = [w for w in (a[3] + b[0],) if w]
-        self.learn(set(window))
-        ids, decoded = self.encode(window)
-        return (
-            a[0],
-            a[1] + ids + b[1],
-            b" ".join(x for x in (a[2], decoded, b[2]) if x),
-            b[3],
-            False,
-        )
-
-    def join_all(self, parts: list[tuple]) -> tuple[bytes, bytes]:
-        """Join neighbours level by level, then encode what is open at both ends."""
+        if a.bare:
+            return Part(self.join_runs(a.head, b.head), b.ids, b.decoded, b.tail, b.bare)
+        if b.bare:
+            return Part(a.head, a.ids, a.decoded, self.join_runs(a.tail, b.head), False)
+        ids, decoded = self.close(self.join_runs(a.tail, b.head))
+        text = b" ".join(x for x in (a.decoded, decoded, b.decoded) if x)
+        return Part(a.head, a.ids + ids + b.ids, text, b.tail, False)
+
+    def join_all(self, parts: list[Part]) -> Part:
+        """Join neighbours level by level."""
         while len(parts) > 1:
             parts = [
                 self.join_parts(*parts[i : i + 2]) if i + 1 < len(parts) else parts[i]
                 for i in range(0, len(parts), 2)
             ]
-        head, ids, decoded, tail, _ = parts[0]
-        self.learn({x for x in (head, tail) if x})
-        first, last = self.encode([head] if head else []), self.encode([tail] if tail else [])
+        return parts[0]
+
+    def whole(self, part: Part) -> tuple[bytes, bytes]:
+        """Ids and decoded text of all parts of a text joined."""
+        first, last = self.close(part.head), self.close(part.tail)
         return (
-            first[0] + ids + last[0],
-            b" ".join(x for x in (first[1], decoded, last[1]) if x),
+            first[0] + part.ids + last[0],
+            b" ".join(x for x in (first[1], part.decoded, last[1]) if x),
         )
 
 
@@ -283,6 +399,23 @@ def _coded(rows: list[tuple[bytes, bytes]]) -> pa.StructArray:
     )
 
 
+def _columns(parts: list[Part]) -> list[pa.Array]:
+    return [
+        pa.array([packed_run(p.head) for p in parts], pa.binary()),
+        pa.array([p.ids for p in parts], pa.binary()),
+        pa.array([p.decoded for p in parts], pa.binary()),
+        pa.array([packed_run(p.tail) for p in parts], pa.binary()),
+        pa.array([p.bare for p in parts], pa.bool_()),
+    ]
+
+
+def _parts(table: pa.Table) -> list[Part]:
+    return [
+        Part(unpacked_run(r["head"]), r["ids"], r["decoded"], unpacked_run(r["tail"]), r["bare"])
+        for r in table.to_pylist()
+    ]
+
+
 def encoded(
     df: DataFrame,
     path: str,
@@ -296,7 +429,9 @@ def encoded(
     of encoding the whole text without adding special tokens, decoded is the text of these
     ids. Texts of up to ``part`` characters are encoded where they are read. Each longer text
     is encoded once, however many copies it has: its parts are dealt over all tasks, then
-    joined. What one task holds is bounded by one text.
+    joined, ``FAN`` neighbours in one place and then the rest. Parts without white space are
+    encoded alike, and windows of words and tokens around each join are encoded again until
+    both sides agree. What one task holds is bounded by one text.
 
     NULL counts as empty; an empty text has no ids. Repeated rows are encoded alike, an empty
     table stays empty. Columns of ``df`` named ids or decoded are replaced.
@@ -314,28 +449,40 @@ def encoded(
                 texts = batch.slice(first, ROWS).cast(pa.binary()).to_pylist()
                 yield _coded(list(own.encode_texts(texts)))
 
+    def in_cuts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(batch.num_rows):
+                text = batch.column(1)[row].as_py()
+                for first in range(0, len(text), part * CUTS):
+                    cuts = range(first, min(first + part * CUTS, len(text)), part)
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            pa.repeat(batch.column(0)[row], len(cuts)),
+                            pa.array([i // part for i in cuts], pa.int32()),
+                            pa.array([text[i : i + part] for i in cuts], pa.string()),
+                        ],
+                        [key, number, "text"],
+                    )
+
+    names = (key, number, "head", "ids", "decoded", "tail", "bare")
+
     def in_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(sent.value, leaf)
         for batch in batches:
-            parts = batch.column(2).cast(pa.binary()).to_pylist()
-            head, ids, decoded, tail, bare = zip(*map(own.encode_part, parts), strict=True)
-            columns = [
-                pa.array(x, t)
-                for x, t in (
-                    *((x, pa.binary()) for x in (head, ids, decoded, tail)),
-                    (bare, pa.bool_()),
-                )
-            ]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), *columns],
-                [key, number, "head", "ids", "decoded", "tail", "bare"],
-            )
+            texts = batch.column(2).cast(pa.binary()).to_pylist()
+            parts = [own.encode_part(t) for t in texts]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *_columns(parts)], names)
+
+    def neighbours(table: pa.Table) -> pa.Table:
+        own = codec(sent.value, leaf)
+        table = table.sort_by(number)
+        first = [table.column(key)[:1], pa.array([table.column(number)[0].as_py() // FAN], pa.int32())]
+        return pa.table([*first, *_columns([own.join_all(_parts(table))])], names)
 
     def together(table: pa.Table) -> pa.Table:
         own = codec(sent.value, leaf)
-        rows = table.sort_by(number).to_pylist()
-        parts = [(r["head"], r["ids"], r["decoded"], r["tail"], r["bare"]) for r in rows]
-        return pa.table({key: [rows[0][key]], code: _coded([own.join_all(parts)])})
+        joined = own.join_all(_parts(table.sort_by(number)))
+        return pa.table({key: table.column(key)[:1], code: _coded([own.whole(joined)])})
 
     text = F.coalesce(F.col(text_column).cast("string"), F.lit(""))
     long = F.length(text) > part
@@ -343,14 +490,11 @@ def encoded(
     short = df.where(~long).select(*rest, whole(text).alias(code))
     marked = df.where(long).withColumn(key, F.sha2(F.encode(text, "utf-8"), 256))
     distinct = marked.select(key, text.alias("text")).dropDuplicates([key])
-    numbers = F.sequence(F.lit(0), F.ceil(F.length("text") / part).cast("int") - 1)
-    cut = distinct.select(key, "text", F.explode(numbers).alias(number)).select(
-        key, number, F.col("text").substr(F.col(number) * part + 1, F.lit(part)).alias("text")
-    )
-    parts = cut.repartition(key, number).mapInArrow(
-        in_parts,
-        f"{key} string, {number} int, head binary, ids binary, decoded binary, tail binary, bare boolean",
-    )
+    cut = distinct.mapInArrow(in_cuts, f"{key} string, {number} int, text string")
+    part_rows = f"{key} string, {number} int, head binary, ids binary, decoded binary, tail binary, bare boolean"
+    parts = cut.repartition(key, number).mapInArrow(in_parts, part_rows)
+    some = F.floor(F.col(number) / FAN)
+    parts = parts.groupBy(key, some).applyInArrow(neighbours, part_rows)
     joined = parts.groupBy(key).applyInArrow(together, f"{key} string, {code} struct<{CODED}>")
     names = [c for c in df.columns if c not in ("ids", "decoded")]
     both = short.unionByName(marked.join(joined, key).select(*names, code))
