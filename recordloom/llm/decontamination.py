@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .names import free_names
 from .shipping import received, sent
@@ -293,6 +294,7 @@ def contaminated(
     max_words: int = MAX_WORDS,
 ) -> DataFrame:
     """Rows (id, item_id, first_word, similarity): documents with a passage of the benchmark.
+    If both ids have the same name, the item's is called ``item_<name>``.
 
     Words are lower-cased runs of letters and digits. A passage matches an item if the window
     of the item's size there has a weighted shingle similarity of ``least`` or more; the best
@@ -309,13 +311,14 @@ def contaminated(
     length is compared whole, in one task.
     """
     kinds = dict(documents.dtypes)[id_column], dict(benchmark.dtypes)[item_column]
-    schema = f"{id_column} {kinds[0]}, {item_column} {kinds[1]}, first_word long, similarity double"
+    item_name = item_column if item_column.lower() != id_column.lower() else f"item_{item_column}"
+    schema = f"{id_column} {kinds[0]}, {item_name} {kinds[1]}, first_word long, similarity double"
     read = documents.select(id_column, F.col(text_column).cast("string"))
     out = None
     for block in item_blocks(benchmark, item_column, item_text_column, max_words):
         index = Index([t for _, t in block], width, least, radius, stride)
         ids = [i for i, _ in block]
-        target = _arrow_type(kinds[1])
+        target = to_arrow_type(benchmark.schema[item_column].dataType)
         shipped = sent(documents.sparkSession, (index, ids))
 
         def run(batches: Iterator[pa.RecordBatch], shipped=shipped, target=target) -> Iterator[pa.RecordBatch]:
@@ -330,7 +333,7 @@ def contaminated(
                         pa.array(place, pa.int64()),
                         pa.array(got, pa.float64()),
                     ],
-                    [id_column, item_column, "first_word", "similarity"],
+                    [id_column, item_name, "first_word", "similarity"],
                 )
 
         part = read.mapInArrow(run, schema)
@@ -338,10 +341,6 @@ def contaminated(
     return documents.sparkSession.createDataFrame([], schema) if out is None else out
 
 
-def _arrow_type(kind: str) -> pa.DataType:
-    return {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]
-
-
 def without_contaminated(
     documents: DataFrame,
     benchmark: DataFrame,

@@ -21,7 +21,7 @@ def test_pipeline(spark):
     rows = [(r.doc_id, r.text) for r in scored.where("predicted = 0").collect()]
     stay = {c[1] for c in brute_copies(rows)}
     rows = [r for r in rows if r[0] in stay]
-    stay = {r[0] for r in brute_near(rows) if r[3]}
+    stay = {r[0] for r in brute_near(rows, 5, 80) if r[3]}
     plain = lambda t: " ".join(re.findall(r"[^\W_]+", (t or "").lower()))
     items = [plain(r.text) for r in spark.read.parquet(f"{SF_DIR}/benchmark.parquet").collect()]
     rows = [r for r in rows if r[0] in stay and not any(x in plain(r[1]) for x in items)]
