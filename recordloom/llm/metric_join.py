@@ -1,11 +1,12 @@
 """Jaccard similarity join in the metric space of shingle sets, by pivots.
 
 Jaccard distance obeys the triangle inequality. With the radius r of a link, every round
-elects pivots among the points that are left, and measures every point within 2r of one.
-Points within r of a pivot go to the Voronoi region of the nearest and leave. A link of such
-a point leads to a point within 2r of its pivot: these boundary points are copied into the
+elects pivots among the points that are left, and measures every point within 3r of one.
+Points within 2r of a pivot go to the Voronoi region of the nearest and leave. A link of such
+a point leads to a point within 3r of its pivot: these boundary points are copied into the
 region's window, and of them only those are compared whose distances to the pivot differ by
-at most r. What lies beyond all pivots is joined recursively with new ones, until no point is
+at most r. Points of a region are told apart by their differences from the pivot, which are
+small. What lies beyond all pivots is joined recursively with new ones, until no point is
 left. Points that share too few shingles with the others that are left have no link, and go
 before pivots are elected.
 """
@@ -17,7 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import stored
@@ -29,12 +30,13 @@ WIDTH = 3
 SIMILARITY = 90
 #: Elections in a row: a pivot is first among those with its least shingle in every one.
 ELECTIONS = 3
-#: Shells of a region by the distance to its pivot, and points of a cell on either side.
-SHELLS, TILE = 5, 128
+#: Points of a cell on either side.
+TILE = 1024
 #: Shingles whose owners are compared in one place.
 BUCKET = 1 << 20
 
-SETS = "id long, n_shingles long, set_key binary, prefix binary"
+SETS = "id long, n_shingles long, set_key binary"
+DEALT = "bucket long, nodes binary, parts binary"
 
 
 def shingle_sets(column: pa.Array, width: int) -> Iterator[np.ndarray]:
@@ -63,24 +65,18 @@ def least_shared(n: int, similarity: int) -> tuple[int, int]:
     return min(n, n - o + c), c
 
 
-def signed(df: DataFrame, id_column: str, text_column: str, width: int, similarity: int) -> DataFrame:
-    """id, n_shingles, set_key and the first shingles of every row."""
+def signed(df: DataFrame, id_column: str, text_column: str, width: int) -> DataFrame:
+    """id, n_shingles and set_key of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes, keys, prefixes = [], [], []
+            sizes, keys = [], []
             for points in shingle_sets(batch.column(1), width):
                 sizes.append(len(points))
                 keys.append(key_of(points))
-                prefixes.append(points[: least_shared(len(points), similarity)[0]].tobytes())
             yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(0),
-                    pa.array(sizes, pa.int64()),
-                    pa.array(keys, pa.binary()),
-                    pa.array(prefixes, pa.binary()),
-                ],
-                ["id", "n_shingles", "set_key", "prefix"],
+                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary())],
+                ["id", "n_shingles", "set_key"],
             )
 
     read = df.select(
@@ -89,30 +85,55 @@ def signed(df: DataFrame, id_column: str, text_column: str, width: int, similari
     return read.mapInArrow(run, SETS)
 
 
-def shared(prefixes: DataFrame, buckets: int) -> DataFrame:
-    """node, met: how many shingles of its prefix another prefix has.
+def _dealt(owners: list[int], prefixes: list[np.ndarray], buckets: int) -> pa.RecordBatch:
+    """Shingles and who has them, packed by bucket."""
+    owner = np.repeat(np.array(owners, "<i8"), [len(x) for x in prefixes])
+    flat = np.concatenate([np.zeros(0, U64), *prefixes])
+    bucket = (mix(flat) % U64(buckets)).astype(np.int64)
+    order = np.argsort(bucket, kind="stable")
+    numbers, cuts = np.unique(bucket[order], return_index=True)
+    packed = [
+        [x.tobytes() for x in np.split(values, cuts[1:])] if len(numbers) else []
+        for values in (owner[order], (flat[order] >> U64(32)).astype("<u4"))
+    ]
+    return pa.RecordBatch.from_arrays(
+        [pa.array(numbers, pa.int64()), *(pa.array(p, pa.binary()) for p in packed)],
+        ["bucket", "nodes", "parts"],
+    )
+
+
+def _owner(key: bytes) -> int:
+    """64 bits of a set's key: equal sets are one owner."""
+    return int.from_bytes(key[:8], "big", signed=True)
 
-    32 bits tell the shingles of a bucket apart; two that are taken for one only add to ``met``.
-    """
 
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def dealt_texts(df: DataFrame, text_column: str, width: int, similarity: int, buckets: int) -> DataFrame:
+    """The first shingles of every text, dealt to buckets; a set is named by 64 bits of its key."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            nodes = batch.column(0).to_numpy(zero_copy_only=False)
-            found = batch.column(1).to_pylist()
-            owner = np.repeat(nodes, [len(x) // 8 for x in found])
-            flat = np.frombuffer(b"".join(found), U64)
-            bucket = (mix(flat) % U64(buckets)).astype(np.int64)
-            order = np.argsort(bucket, kind="stable")
-            numbers, cuts = np.unique(bucket[order], return_index=True)
-            part = (flat[order] >> U64(32)).astype("<u4")
-            packed = [
-                [x.tobytes() for x in np.split(values, cuts[1:])] if len(numbers) else []
-                for values in (owner[order].astype("<i8"), part)
-            ]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(numbers, pa.int64()), *(pa.array(p, pa.binary()) for p in packed)],
-                ["bucket", "nodes", "parts"],
-            )
+            found = [x for x in shingle_sets(batch.column(0), width) if len(x)]
+            first = [x[: least_shared(len(x), similarity)[0]] for x in found]
+            yield _dealt([_owner(key_of(x)) for x in found], first, buckets)
+
+    return df.select(F.col(text_column).cast("string").alias("text")).mapInArrow(run, DEALT)
+
+
+def dealt_points(points: DataFrame, similarity: int, buckets: int) -> DataFrame:
+    """The first shingles of points (node, shingles), dealt to buckets."""
+
+    def run(batch: pa.RecordBatch, sets: list) -> pa.RecordBatch:
+        first = [x[: least_shared(len(x), similarity)[0]] for x in sets]
+        return _dealt(batch.column("node").to_pylist(), first, buckets)
+
+    return _packed(run, points.select("node", "shingles"), DEALT)
+
+
+def shared(dealt: DataFrame) -> DataFrame:
+    """node, met: how many of its first shingles another one has among its own.
+
+    32 bits tell the shingles of a bucket apart; two that are taken for one only add to ``met``.
+    """
 
     def count(table: pa.Table) -> pa.Table:
         nodes = np.frombuffer(b"".join(table.column("nodes").to_pylist()), "<i8")
@@ -127,7 +148,6 @@ def shared(prefixes: DataFrame, buckets: int) -> DataFrame:
         found, n = np.unique(nodes[same[1:] | same[:-1]], return_counts=True)
         return pa.table({"node": found, "met": n.astype(np.int64)})
 
-    dealt = prefixes.select("node", "prefix").mapInArrow(deal, "bucket long, nodes binary, parts binary")
     counted = dealt.groupBy("bucket").applyInArrow(count, "node long, met long")
     return counted.groupBy("node").agg(F.sum("met").alias("met"))
 
@@ -170,16 +190,6 @@ def _packed(function, points: DataFrame, schema: str) -> DataFrame:
     return points.select(*[F.col(c).alias(c) for c in points.columns]).mapInArrow(run, schema)
 
 
-def first_shingles(points: DataFrame, similarity: int) -> DataFrame:
-    """``points`` with the first shingles of each as ``prefix``: node, prefix."""
-
-    def run(batch: pa.RecordBatch, sets: list) -> pa.RecordBatch:
-        first = [x[: least_shared(len(x), similarity)[0]].tobytes() for x in sets]
-        return pa.RecordBatch.from_arrays([batch.column("node"), pa.array(first, pa.binary())], ["node", "prefix"])
-
-    return _packed(run, points.select("node", "shingles"), "node long, prefix binary")
-
-
 def elected(points: DataFrame, round_: int) -> DataFrame:
     """node of the pivots of a round.
 
@@ -189,7 +199,7 @@ def elected(points: DataFrame, round_: int) -> DataFrame:
     Later rounds elect less strictly, so that dense groups end too.
     """
     elections = max(1, ELECTIONS - round_)
-    several = 1 << max(0, round_ - ELECTIONS + 1)
+    several = 8 ** max(0, round_ - ELECTIONS + 1)
     salts = [mix(np.array([1000 * round_ + e + 1], U64))[0] for e in range(elections)]
 
     def least(batch: pa.RecordBatch, sets: list) -> pa.RecordBatch:
@@ -216,10 +226,13 @@ def elected(points: DataFrame, round_: int) -> DataFrame:
 
 
 def in_reach(points: DataFrame, pivots: DataFrame, reach: int) -> DataFrame:
-    """Points of at least ``reach`` similarity to a pivot: node, pivot, n, m, both.
+    """Points of at least ``reach`` similarity to a pivot: node, pivot, n, m, both, and the
+    shingles that one of the two has alone.
 
-    Both have node, n and shingles. Pairs meet through their first shingles and are measured
-    on full sets.
+    Both have node, n and shingles. Pairs meet through their first shingles. Of the pair, the
+    set whose first shingles end earlier has ``rest`` others; as the shingles are in one order,
+    no more than these can be shared besides the ones that met. Pairs for which that is enough
+    are measured on full sets.
     """
 
     def listed(batch: pa.RecordBatch, sets: list) -> pa.RecordBatch:
@@ -232,23 +245,28 @@ def in_reach(points: DataFrame, pivots: DataFrame, reach: int) -> DataFrame:
                 pa.array(tokens.view(np.int64)),
                 repeat(batch.column("node").to_numpy(zero_copy_only=False)),
                 repeat(batch.column("n").to_numpy(zero_copy_only=False)),
-                repeat([c for _, c in sizes]),
+                repeat([len(x) - k for x, k in zip(sets, lengths, strict=True)]),
+                repeat([int(x[k - 1] >> U64(1)) for x, k in zip(sets, lengths, strict=True)]),
             ],
-            ["token", "node", "n", "c"],
+            ["token", "node", "n", "rest", "last"],
         )
 
-    schema = "token long, node long, n long, c long"
+    schema = "token long, node long, n long, rest long, last long"
     own = _packed(listed, points.select("node", "n", "shingles"), schema)
     other = _packed(listed, pivots, schema).select(
-        "token", F.col("node").alias("pivot"), F.col("n").alias("m"), F.col("c").alias("pc")
+        "token", *(F.col(c).alias(o) for c, o in (("node", "pivot"), ("n", "m"), ("rest", "p_rest"), ("last", "p_last")))
     )
     alike = F.least("n", "m") * 100 >= F.greatest("n", "m") * reach
     met = (
         own.join(other, "token")
         .where((F.col("node") != F.col("pivot")) & alike)
+        .withColumn(
+            "rest",
+            F.expr("CASE WHEN last < p_last THEN rest WHEN last > p_last THEN p_rest ELSE greatest(rest, p_rest) END"),
+        )
         .groupBy("node", "pivot")
-        .agg(F.count("*").alias("met"), F.min(F.least("c", "pc")).alias("need"))
-        .where("met >= need")
+        .agg(F.count("*").alias("met"), *(F.max(c).alias(c) for c in ("n", "m", "rest")))
+        .where(f"(met + rest) * {100 + reach} >= {reach} * (n + m)")
         .select("node", "pivot")
     )
     sides = met.join(points.select("node", "n", "shingles"), "node").join(
@@ -260,100 +278,110 @@ def in_reach(points: DataFrame, pivots: DataFrame, reach: int) -> DataFrame:
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            a, b = (batch.column(c).to_pylist() for c in ("shingles", "others"))
-            both = np.fromiter(
-                (
-                    np.intersect1d(np.frombuffer(x, U64), np.frombuffer(y, U64), assume_unique=True).size
-                    for x, y in zip(a, b, strict=True)
-                ),
-                np.int64,
-                len(a),
-            )
-            n, m = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("n", "m"))
-            near = pa.array(100 * both >= reach * (n + m - both))
-            arrays = [*(batch.column(c) for c in ("node", "pivot", "n", "m")), pa.array(both)]
+            both, apart, near = [], [], []
+            for x, y in zip(*(batch.column(c).to_pylist() for c in ("shingles", "others")), strict=True):
+                x, y = np.frombuffer(x, U64), np.frombuffer(y, U64)
+                one = np.setxor1d(x, y, assume_unique=True)
+                shared_ = (len(x) + len(y) - len(one)) // 2
+                near.append(100 * shared_ >= reach * (shared_ + len(one)))
+                if near[-1]:
+                    both.append(shared_)
+                    apart.append(one.tobytes())
+            mask = pa.array(near, pa.bool_())
+            arrays = [batch.column(c).filter(mask) for c in ("node", "pivot", "n", "m")]
             yield pa.RecordBatch.from_arrays(
-                [x.filter(near) for x in arrays], ["node", "pivot", "n", "m", "both"]
+                [*arrays, pa.array(both, pa.int64()), pa.array(apart, pa.binary())],
+                ["node", "pivot", "n", "m", "both", "apart"],
             )
 
     columns = ("node", "pivot", "n", "m", "shingles", "others")
     return sides.select(*[F.col(c).alias(c) for c in columns]).mapInArrow(
-        measure, "node long, pivot long, n long, m long, both long"
+        measure, "node long, pivot long, n long, m long, both long, apart binary"
     )
 
 
-def window_links(near: DataFrame, labels: DataFrame, points: DataFrame, similarity: int) -> DataFrame:
-    """Links (a, b) from points at the boundary of a region to points inside it.
+def at_least(similarity: int) -> Column:
+    return F.expr(f"100 * both >= {similarity} * (n + m - both)")
+
+
+def window_links(near: DataFrame, labels: DataFrame, similarity: int, home: int) -> DataFrame:
+    """Links (a, b) of points inside a region to points in reach of its pivot.
 
-    Only boundary points whose component is not the region's are compared, and one link of
-    each is enough, as the points of a region are linked with its pivot. ``points`` has node, n
-    and shingles of all points.
+    Both differ little from the pivot, and |x ^ y| = |x ^ p| + |y ^ p| - 2 |(x ^ p) & (y ^ p)|.
+    Points linked with the pivot are one component already, and are compared with others only.
+    Of the links of a point to one component, one is enough. A large region is cut into tiles,
+    and every two of them meet in a cell of their own.
     """
-    radius = (100 - similarity) / 100
-    linked = F.expr(f"100 * both >= {similarity} * (n + m - both)")
-    measured = near.withColumn("d", F.expr("1D - both / (n + m - both)"))
-    home = (
-        measured.where(linked)
-        .groupBy("node")
-        .agg(F.min(F.struct("d", "pivot")).alias("home"))
-        .select("node", "home.pivot", "home.d")
-        .withColumn("shell", F.least(F.floor(F.col("d") / radius * SHELLS), F.lit(SHELLS - 1)).cast("int"))
-    )
     label = lambda c: labels.select(F.col("node").alias(c), F.col("component").alias(f"{c}_in"))
-    boundary = (
-        measured.where(~linked)
+    told = (
+        near.withColumn("d", F.expr("1D - both / (n + m - both)"))
+        .withColumn("at_home", at_least(home))
         .join(label("node"), "node", "left")
         .join(label("pivot"), "pivot", "left")
-        .where("coalesce(node_in, node) <> coalesce(pivot_in, pivot)")
-        # |d(x, pivot) - d(y, pivot)| <= r; a little more for rounding
-        .withColumn(
-            "low", F.greatest(F.floor((F.col("d") - radius - 1e-9) / radius * SHELLS), F.lit(0)).cast("int")
-        )
-        .select("node", "pivot", F.explode(F.expr(f"sequence(least(low, {SHELLS - 1}), {SHELLS - 1})")).alias("shell"))
+        .withColumn("component", F.coalesce("node_in", "node"))
+        .withColumn("joined", (F.col("component") == F.coalesce("pivot_in", "pivot")).cast("int"))
+        .select("node", "pivot", "n", "d", "apart", "component", "joined", "at_home")
     )
-    boundary = stored(boundary)
-    sizes = (
-        home.groupBy("pivot", "shell")
-        .agg(F.ceil(F.count("*") / TILE).alias("rows"))
-        .join(
-            boundary.groupBy("pivot", "shell").agg(F.ceil(F.count("*") / TILE).alias("cols")),
-            ["pivot", "shell"],
-        )
+    told = stored(told)
+    nearest = (
+        told.where("at_home")
+        .groupBy("node")
+        .agg(F.min(F.struct("d", "pivot")).alias("best"))
+        .select("node", "best.pivot", F.lit(1).alias("inside"))
+    )
+    told = told.drop("at_home").join(nearest, ["node", "pivot"], "left").withColumn("inside", F.coalesce("inside", F.lit(0)))
+    count = lambda side, joined: F.ceil(
+        F.sum(F.when(F.col("joined") == joined, F.col("inside") if side == "a" else F.lit(1)).otherwise(0)) / TILE
+    ).alias(f"{side}{joined}")
+    sizes = told.groupBy("pivot").agg(*(count(s, j) for s in "ab" for j in (0, 1))).where("b0 > 0 AND a0 + a1 > 0")
+    tiles = lambda side, joined, when="true": (
+        f"IF({side}{joined} > 0 AND {when}, transform(sequence(0L, {side}{joined} - 1),"
+        f" t -> struct({joined} AS other, t AS other_tile)), array())"
     )
     cells = []
-    for side, own, other in ((home, "rows", "cols"), (boundary, "cols", "rows")):
-        tile = F.pmod(F.xxhash64("node"), F.col(own)).alias(own)
-        every = F.explode(F.sequence(F.lit(0).cast("long"), F.col(other) - 1)).alias(other)
-        dealt = side.join(sizes, ["pivot", "shell"]).select("node", "pivot", "shell", tile, every)
-        full = dealt.join(points.select("node", "shingles"), "node")
-        cells.append(full.select(*[F.col(c).alias(c) for c in full.columns]))
+    for side, other, rows in (("a", "b", told.where("inside = 1")), ("b", "a", told)):
+        own = F.expr(f"pmod(xxhash64(node), greatest(IF(joined = 1, {side}1, {side}0), 1))")
+        # two points that are joined with the pivot are not compared
+        met = F.expr(f"concat({tiles(other, 0)}, {tiles(other, 1, 'joined = 0')})")
+        dealt = rows.join(sizes, "pivot").select(
+            "pivot", "node", "n", "d", "apart", "component", F.col("joined").alias(f"{side}_joined"),
+            own.alias(f"{side}_tile"), F.explode(met).alias("met"),
+        )
+        dealt = dealt.withColumns({f"{other}_joined": F.col("met.other"), f"{other}_tile": F.col("met.other_tile")}).drop("met")
+        cells.append(dealt.select(*[F.col(c).alias(c) for c in dealt.columns]))
+    radius = (100 - similarity) / 100 + 1e-9  # a little more for rounding
 
     def compare(inside: pa.Table, outside: pa.Table) -> pa.Table:
         found = {"a": [], "b": []}
         if inside.num_rows and outside.num_rows:
-            sets = [np.frombuffer(x, U64) for x in inside.column("shingles").to_pylist()]
-            sizes = np.array([len(x) for x in sets])
-            owner = np.repeat(np.arange(len(sets)), sizes)
+            inside = inside.sort_by("d")
+            sets = [np.frombuffer(x, U64) for x in inside.column("apart").to_pylist()]
+            alone = np.array([len(x) for x in sets])
+            owner = np.repeat(np.arange(len(sets)), alone)
             flat = np.concatenate(sets)
             order = np.argsort(flat, kind="stable")
             flat, owner = flat[order], owner[order]
-            nodes = inside.column("node").to_numpy()
-            for node, packed in zip(
-                outside.column("node").to_pylist(), outside.column("shingles").to_pylist(), strict=True
-            ):
+            nodes, sizes_, d, component = (inside.column(c).to_numpy() for c in ("node", "n", "d", "component"))
+            columns = (outside.column(c).to_pylist() for c in ("node", "n", "d", "component", "apart"))
+            for node, n, distance, group, packed in zip(*columns, strict=True):
+                first, last = np.searchsorted(d, distance - radius), np.searchsorted(d, distance + radius, "right")
                 own = np.frombuffer(packed, U64)
                 low, high = (np.searchsorted(flat, own, s) for s in ("left", "right"))
                 lengths = high - low
                 ends = np.cumsum(lengths)
-                at = np.arange(ends[-1]) + np.repeat(low - ends + lengths, lengths)
-                both = np.bincount(owner[at], minlength=len(sets))
-                hit = np.flatnonzero(100 * both >= similarity * (len(own) + sizes - both))
-                if len(hit):
-                    found["a"].append(node)
-                    found["b"].append(int(nodes[hit[0]]))
+                at = np.arange(lengths.sum()) + np.repeat(low - ends + lengths, lengths)
+                common = np.bincount(owner[at], minlength=len(sets))[first:last]
+                whole = n + sizes_[first:last]
+                both = (whole - alone[first:last] - len(own) + 2 * common) // 2
+                hit = (100 * both >= similarity * (whole - both)) & (component[first:last] != group)
+                if hit.any():
+                    _, one = np.unique(component[first:last][hit], return_index=True)
+                    linked = nodes[first:last][hit][one].tolist()
+                    found["a"] += [node] * len(linked)
+                    found["b"] += linked
         return pa.table({c: pa.array(v, pa.int64()) for c, v in found.items()})
 
-    keys = ["pivot", "shell", "rows", "cols"]
+    keys = ["pivot", "a_joined", "a_tile", "b_joined", "b_tile"]
     return cells[0].groupBy(*keys).cogroup(cells[1].groupBy(*keys)).applyInArrow(compare, "a long, b long")
 
 
@@ -367,9 +395,9 @@ def similar_documents(
     """One row per row of ``df``: id, n_shingles, component_id.
 
     Documents are linked if 100 * shared shingles >= similarity * all their shingles; a
-    component is what links reach, named by its smallest id. ``similarity`` is over 50, as
-    windows reach twice as far as links. All links between different sets are covered: those
-    of a pivot and across regions; of links inside a region only those to its pivot are made.
+    component is what links reach, named by its smallest id. Regions reach twice and windows
+    three times as far as links, or once and twice below a similarity of 75, which is over 50.
+    All links between different sets are covered, but of those to one component one is made.
 
     Texts without words (NULL, empty) have no shingles and are linked with nothing. Rows of
     equal sets are one point, whatever their ids. A row with a NULL id joins the component of
@@ -378,19 +406,30 @@ def similar_documents(
     """
     if not 50 < similarity <= 100:
         raise ValueError("similarity must be over 50 and at most 100")
-    reach = max(1, 2 * similarity - 100)
-    rows = stored(signed(df, id_column, text_column, width, similarity))
+    times = 2 if similarity >= 75 else 1
+    home, reach = 100 - times * (100 - similarity), max(1, 100 - (times + 1) * (100 - similarity))
+    rows = stored(signed(df, id_column, text_column, width))
     nodes = stored(
         rows.where("set_key IS NOT NULL AND id IS NOT NULL")
         .groupBy("set_key")
-        .agg(F.min("id").alias("least_id"), F.first("n_shingles").alias("n"), F.first("prefix").alias("prefix"))
+        .agg(F.min("id").alias("least_id"), F.first("n_shingles").alias("n"))
         .withColumn("node", F.monotonically_increasing_id())
     )
-    size = nodes.agg(F.sum(F.octet_length("prefix"))).first()[0] or 0
-    buckets = max(1, size // 8 // BUCKET)
-    kept = nodes.drop("prefix").join(shared(nodes, buckets), "node").where(may_have_links(similarity))
+    shingles = rows.agg(F.sum("n_shingles")).first()[0] or 0
+    buckets = max(1, shingles // BUCKET)
+    met = shared(dealt_texts(df, text_column, width, similarity, buckets))
+    owner = F.conv(F.hex(F.substring("set_key", 1, 8)), 16, -10).cast("long")
+    kept = (
+        nodes.withColumn("owner", owner)
+        .join(met.withColumnRenamed("node", "owner"), "owner")
+        .where(may_have_links(similarity))
+        .drop("owner")
+    )
     texts = df.select(F.col(id_column).cast("long").alias("least_id"), F.col(text_column).cast("string").alias("text"))
-    every = left = stored(points_of(kept.join(texts, "least_id"), width).dropDuplicates(["node"]))
+    texts = kept.join(texts, "least_id").withColumn("content", F.xxhash64("text"))
+    # rows that repeat id and text, where the join has brought them together
+    texts = texts.dropDuplicates(["least_id", "node", "content"])
+    left = stored(points_of(texts, width))
     near = None
     for round_ in range(1 << 30):
         if left.isEmpty():
@@ -399,16 +438,16 @@ def similar_documents(
         pivots = stored(left.select("node", "n", "shingles").join(chosen, "node", "left_semi"))
         found = stored(in_reach(left, pivots, reach))
         near = found if near is None else near.union(found)
-        home = found.where(f"100 * both >= {similarity} * (n + m - both)").select("node")
-        rest = left.drop("met").join(home.union(pivots.select("node")).distinct(), "node", "left_anti")
-        met = shared(first_shingles(rest, similarity), buckets)
+        gone = found.where(at_least(home)).select("node").union(pivots.select("node"))
+        rest = left.drop("met").join(gone.distinct(), "node", "left_anti")
+        met = shared(dealt_points(rest, similarity, buckets))
         left = stored(rest.join(met, "node").where(may_have_links(similarity)))
     if near is None:
         labels = nodes.select("node", F.col("node").alias("component")).limit(0)
     else:
-        links = near.where(f"100 * both >= {similarity} * (n + m - both)")
+        links = near.where(at_least(similarity))
         labels = stored(components(links.select(F.col("node").alias("a"), F.col("pivot").alias("b"))))
-        more = stored(window_links(near, labels, every, similarity))
+        more = stored(window_links(near, labels, similarity, home))
         if not more.isEmpty():
             stars = labels.select(F.col("node").alias("a"), F.col("component").alias("b"))
             labels = components(stars.union(more))
