@@ -32,7 +32,7 @@ _random = np.random.default_rng(7)
 FACTORS = _random.integers(1, 1 << 63, 64, dtype=np.uint64) * U64(2) + U64(1)
 TERMS = _random.integers(1, 1 << 63, 64, dtype=np.uint64)
 
-SIGNATURE = "id long, n_shingles long, set_key binary, tokens array<long>"
+SIGNATURE = "id long, n_shingles long, set_key binary, tokens array<long>, profile array<int>"
 
 
 def shingle_sets(column: pa.Array, width: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -61,7 +61,10 @@ def minima(flat: np.ndarray, starts: np.ndarray, coordinates: int) -> np.ndarray
 def signatures(
     df: DataFrame, id_column: str, text_column: str, width: int, coordinates: int
 ) -> DataFrame:
-    """id, n_shingles, set_key (128 bits of the set) and tokens of every row."""
+    """id, n_shingles, set_key (128 bits of the set), tokens and profile of every row.
+
+    The profile is how many shingles fall into each of ``CLASSES`` classes.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -77,14 +80,21 @@ def signatures(
                 tokens = pa.ListArray.from_arrays(
                     pa.array(ends, pa.int32()), pa.array(rows.reshape(-1))
                 )
+                owner = np.repeat(np.arange(len(sizes)), sizes) * CLASSES
+                place = owner + (flat % U64(CLASSES)).astype(np.int64)
+                counts = np.bincount(place, minlength=len(sizes) * CLASSES).astype(np.int32)
+                profile = pa.ListArray.from_arrays(
+                    pa.array(np.arange(len(sizes) + 1) * CLASSES, pa.int32()), pa.array(counts)
+                )
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).slice(at, len(sizes)),
                         pa.array(sizes, pa.int64()),
                         pa.array(keys, pa.binary()),
                         tokens,
+                        profile,
                     ],
-                    ["id", "n_shingles", "set_key", "tokens"],
+                    ["id", "n_shingles", "set_key", "tokens", "profile"],
                 )
                 at += len(sizes)
 
@@ -95,23 +105,22 @@ def signatures(
 
 
 def postings(sets: DataFrame, coordinates: int, matches: int) -> DataFrame:
-    """Lists of nodes under each token, as rows (node, n, token, length).
+    """The tokens under which each node is posted: node, posted.
 
     Two sets that agree in ``matches`` coordinates share a token even if each is posted only
     under its ``coordinates - matches + 1`` shortest lists: the longest lists are skipped.
     Tokens of a single set need no list but count as the shortest.
     """
-    posted = sets.select("node", "n_shingles", F.explode("tokens").alias("token"))
-    lengths = posted.groupBy("token").agg(F.count("*").alias("length")).where("length > 1")
-    of_node = Window.partitionBy("node", "n_shingles")
-    place = F.row_number().over(of_node.orderBy("length", "token"))
-    alone = coordinates - F.count("*").over(of_node)
-    return (
-        posted.join(lengths, "token")
-        .withColumns({"place": place, "alone": alone})
-        .where(F.col("place") + F.col("alone") <= coordinates - matches + 1)
-        .select("node", "n_shingles", "token", "length")
+    tokens = sets.select("node", F.explode("tokens").alias("token"))
+    lengths = tokens.groupBy("token").agg(F.count("*").alias("length")).where("length > 1")
+    # at most ``coordinates`` tokens for a node
+    listed = tokens.join(lengths, "token").groupBy("node").agg(
+        F.array_sort(F.collect_list(F.struct("length", "token"))).alias("lists")
     )
+    alone = coordinates - F.size("lists")
+    wanted = F.greatest(coordinates - matches + 1 - alone, F.lit(0))
+    shortest = F.transform(F.slice("lists", F.lit(1), wanted), lambda x: x["token"])
+    return listed.select("node", shortest.alias("posted")).where(F.size("posted") > 0)
 
 
 LONE = "node long, lone long"
@@ -171,22 +180,14 @@ def may_link(similarity: int) -> Column:
     return shared * 100 >= whole * similarity
 
 
-def agreeing(pairs: DataFrame, sets: DataFrame, matches: int) -> DataFrame:
-    """Pairs (a, b) whose whole signatures agree enough."""
-    side = lambda c: sets.select(
-        F.col("node").alias(c), F.col("tokens").alias(f"tokens_{c}")
-    )
-    return (
-        pairs.join(side("a"), "a")
-        .join(side("b"), "b")
-        .where(F.size(F.array_intersect("tokens_a", "tokens_b")) >= matches)
-        .select("a", "b")
-        .distinct()
-    )
+def agree(matches: int) -> Column:
+    """Whether the whole signatures of a and b agree enough."""
+    return F.size(F.array_intersect("tokens_a", "tokens_b")) >= matches
 
 
 def confirmed(pairs: DataFrame, texts: DataFrame, width: int, similarity: int) -> DataFrame:
-    """Pairs whose full shingle sets are similar enough."""
+    """Pairs whose full shingle sets are similar enough, with their other columns."""
+    names = pairs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -199,41 +200,20 @@ def confirmed(pairs: DataFrame, texts: DataFrame, width: int, similarity: int) -
                         for flat, starts in shingle_sets(part.column(k), width)
                         for x, y in zip(starts[:-1], starts[1:], strict=True)
                     ]
-                    for k in (2, 3)
+                    for k in ("text_a", "text_b")
                 )
                 for x, y in zip(a, b, strict=True):
                     both = np.intersect1d(x, y, assume_unique=True).size
                     hit.append(100 * both >= similarity * (x.size + y.size - both))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(k).filter(pa.array(hit, pa.bool_())) for k in (0, 1)], ["a", "b"]
+                [batch.column(c).filter(pa.array(hit, pa.bool_())) for c in names], names
             )
 
     side = lambda c: texts.select(
         F.col("node").alias(c), F.col("text").alias(f"text_{c}")
     )
     met = pairs.join(side("a"), "a").join(side("b"), "b")
-    return met.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
-
-
-def profiles(texts: DataFrame, width: int) -> DataFrame:
-    """How many shingles of each node fall into each of ``CLASSES`` classes: node, profile."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            at = 0
-            for flat, starts in shingle_sets(batch.column(1), width):
-                n = len(starts) - 1
-                owner = np.repeat(np.arange(n), np.diff(starts))
-                place = owner * CLASSES + (flat % U64(CLASSES)).astype(np.int64)
-                counts = np.bincount(place, minlength=n * CLASSES).astype(np.int32)
-                ends = pa.array(np.arange(n + 1) * CLASSES, pa.int32())
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(at, n), pa.ListArray.from_arrays(ends, counts)],
-                    ["node", "profile"],
-                )
-                at += n
-
-    return texts.select("node", "text").mapInArrow(run, "node long, profile array<int>")
+    return met.select(*names, "text_a", "text_b").mapInArrow(run, pairs.schema)
 
 
 def profiles_allow(similarity: int) -> Column:
@@ -244,41 +224,74 @@ def profiles_allow(similarity: int) -> Column:
     return shared * 100 >= (F.expr("n_a + n_b") - shared) * similarity
 
 
-def cross_pairs(members: DataFrame, similarity: int) -> DataFrame:
-    """Pairs of one list that are in different components and may be similar.
+def _padded(rows: list[list[int]]) -> np.ndarray:
+    out = np.full((len(rows), max(map(len, rows))), -1, np.int64)
+    for line, row in zip(out, rows, strict=True):
+        line[: len(row)] = row
+    return out
+
+
+def _matrix(table: pa.Table, name: str, kind) -> np.ndarray:
+    flat = table.column(name).combine_chunks().flatten().to_numpy(zero_copy_only=False)
+    return flat.astype(kind).reshape(table.num_rows, -1)
 
-    A long list is cut into tiles, and each pair of tiles is joined in its own place. A pair
-    is formed in the first list that has both.
+
+def cross_pairs(members: DataFrame, similarity: int, matches: int) -> DataFrame:
+    """Pairs of one list that are in different components and may be similar: a, b and their
+    components.
+
+    A long list is cut into tiles, and each pair of tiles is compared in its own place, whole
+    rows of signatures and profiles at a time. A pair is given by the first list that has both.
     """
     tiles = F.ceil(F.col("length") / TILE).cast("long")
     dealt = members.withColumns(
         {"tiles": tiles, "tile": F.pmod(F.xxhash64("node"), F.greatest(tiles, F.lit(1)))}
     )
     every = F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1))
+    keys = ["token", "row", "col"]
     cells = []
-    for side, own, other in (("a", "row", "col"), ("b", "col", "row")):
-        cells.append(
-            dealt.withColumn("other", every).select(
-                "token",
-                F.col("tile").alias(own),
-                F.col("other").alias(other),
-                F.col("node").alias(side),
-                F.col("n_shingles").alias(f"n_{side}"),
-                F.col("lone").alias(f"lone_{side}"),
-                F.col("profile").alias(f"profile_{side}"),
-                F.col("posted").alias(f"posted_{side}"),
-                F.col("component").alias(f"component_{side}"),
-            )
+    for own, other in (("row", "col"), ("col", "row")):
+        side = dealt.withColumn("other", every).select(
+            "token",
+            F.col("tile").alias(own),
+            F.col("other").alias(other),
+            *("node", "n_shingles", "lone", "profile", "tokens", "posted", "component"),
         )
-    different = F.expr("a < b AND component_a <> component_b")
-    once = F.col("token") == F.array_min(F.array_intersect("posted_a", "posted_b"))
-    return (
-        cells[0]
-        .join(cells[1], ["token", "row", "col"])
-        .where(different & may_link(similarity) & once & profiles_allow(similarity))
-        .select("a", "b")
-        .distinct()
-    )
+        side = side.where("row <= col")  # either order of two tiles
+        cells.append(side.select(*[F.col(c).alias(c) for c in side.columns]).groupBy(*keys))
+
+    def compare(a: pa.Table, b: pa.Table) -> pa.Table:
+        names = ("a", "b", "component_a", "component_b")
+        found: list[list[np.ndarray]] = [[np.zeros(0, np.int64)] for _ in names]
+        if a.num_rows and b.num_rows:
+            node_b, n_b, lone_b, in_b = (b.column(c).to_numpy() for c in ("node", "n_shingles", "lone", "component"))
+            tokens_b, profile_b = _matrix(b, "tokens", np.int64), _matrix(b, "profile", np.int32)
+            tokens_a, profile_a = _matrix(a, "tokens", np.int64), _matrix(a, "profile", np.int32)
+            posted_a, posted_b = a.column("posted").to_pylist(), _padded(b.column("posted").to_pylist())
+            token, alike = a.column("token")[0].as_py(), a.column("row")[0].as_py() == a.column("col")[0].as_py()
+            rows = zip(*(a.column(c).to_pylist() for c in ("node", "n_shingles", "lone", "component")), strict=True)
+            for i, (node, n, lone, group) in enumerate(rows):
+                # lone shingles of one are not in the other (see ``may_link``)
+                shared = np.minimum(n - lone, n_b - lone_b)
+                whole = np.maximum(n + lone_b, n_b + lone)
+                other = node_b > node if alike else node_b != node
+                some = np.flatnonzero((in_b != group) & other & (100 * shared >= similarity * whole))
+                some = some[(tokens_b[some] == tokens_a[i]).sum(axis=1) >= matches]
+                shared = np.minimum(profile_b[some], profile_a[i]).sum(axis=1, dtype=np.int64)
+                some = some[100 * shared >= similarity * (n + n_b[some] - shared)]
+                before = [t for t in posted_a[i] if t < token]
+                some = some[~np.isin(posted_b[some], before).any(axis=1)]
+                if len(some):
+                    first = node < node_b[some]
+                    own = (np.full(len(some), node), np.full(len(some), group))
+                    found[0].append(np.where(first, own[0], node_b[some]))
+                    found[1].append(np.where(first, node_b[some], own[0]))
+                    found[2].append(np.where(first, own[1], in_b[some]))
+                    found[3].append(np.where(first, in_b[some], own[1]))
+        return pa.table({c: np.concatenate(x) for c, x in zip(names, found, strict=True)})
+
+    schema = "a long, b long, component_a long, component_b long"
+    return cells[0].cogroup(cells[1]).applyInArrow(compare, schema).distinct()
 
 
 def near_duplicates(
@@ -304,7 +317,7 @@ def near_duplicates(
     Texts without words (NULL, empty) have no shingles and are linked with nothing. Rows with
     the same id count as linked. A row with a NULL id joins the component of equal sets, else
     its component is NULL and it is kept. An empty table gives no rows; only the two columns
-    are read.
+    are read. The set of a text of any length is held whole in a task, 8 bytes a shingle.
     """
     signed = stored(signatures(df, id_column, text_column, width, coordinates))
     sets = stored(
@@ -312,51 +325,41 @@ def near_duplicates(
         .groupBy("set_key")
         .agg(
             F.min("id").alias("node"),
-            F.first("n_shingles").alias("n_shingles"),
-            F.first("tokens").alias("tokens"),
+            *(F.first(c).alias(c) for c in ("n_shingles", "tokens", "profile")),
         )
     )
-    posted = stored(postings(sets, coordinates, matches))
-    met = sets.join(posted.select("node").distinct(), "node", "left_semi")
+    met = stored(sets.drop("set_key").join(postings(sets, coordinates, matches), "node"))
     texts = stored(
         df.select(F.col(id_column).cast("long").alias("node"), F.col(text_column).alias("text"))
-        .join(met, "node", "left_semi")
+        .join(met.select("node"), "node", "left_semi")
     )
     shingles = met.agg(F.sum("n_shingles")).first()[0] or 0
-    lone = stored(lone_shingles(texts, shingles, width))
+    lone = F.coalesce("lone", F.lit(0))
     members = (
-        posted.join(lone, "node", "left")
-        .withColumn("lone", F.coalesce("lone", F.lit(0)))
+        met.join(lone_shingles(texts, shingles, width), "node", "left")
+        .withColumn("lone", lone)
         .where((F.col("n_shingles") - F.col("lone")) * 100 >= F.col("n_shingles") * similarity)
-        .drop("length")
     )
+    members = stored(members).withColumn("token", F.explode("posted"))
     # the member with fewest shingles of its own is most like the others
+    described = F.struct("lone", "node", "n_shingles", "profile", "tokens")
     lengths = members.groupBy("token").agg(
-        F.count("*").alias("length"), F.min(F.struct("lone", "node"))["node"].alias("centre")
+        F.count("*").alias("length"), F.min(described).alias("centre")
     )
     lists = stored(members.join(lengths.where("length > 1"), "token"))
-    of_centre = lists.where("node = centre").select(
-        F.col("token"),
-        F.col("node").alias("b"),
-        F.col("n_shingles").alias("n_b"),
-        F.col("lone").alias("lone_b"),
-    )
+    of_centre = {"b": "node", "n_b": "n_shingles", "lone_b": "lone", "tokens_b": "tokens", "profile_b": "profile"}
     by_centre = (
-        lists.where("node <> centre")
-        .select(
-            "token",
-            F.col("node").alias("a"),
-            F.col("n_shingles").alias("n_a"),
-            F.col("lone").alias("lone_a"),
+        lists.where("node <> centre.node")
+        .withColumnsRenamed(
+            {"node": "a", "n_shingles": "n_a", "lone": "lone_a", "tokens": "tokens_a", "profile": "profile_a"}
         )
-        .join(of_centre, "token")
-        .where(may_link(similarity))
+        .withColumns({new: F.col(f"centre.{old}") for new, old in of_centre.items()})
+        .where(may_link(similarity) & profiles_allow(similarity) & agree(matches))
         .select("a", "b")
         .distinct()
     )
-    links = stored(confirmed(agreeing(by_centre, sets, matches), texts, width, similarity))
-    first = components(links)
-    labelled = lists.join(first, "node", "left").withColumn(
+    first = stored(components(confirmed(by_centre, texts, width, similarity)))
+    labelled = lists.where("node <> centre.node").join(first, "node", "left").withColumn(
         "component", F.coalesce("component", "node")
     )
     split = (
@@ -365,31 +368,17 @@ def near_duplicates(
         .where("low <> high")
         .select("token")
     )
-    rest = stored(labelled.join(split, "token").where("node <> centre").drop("centre"))
-    posted = rest.groupBy("node").agg(F.collect_list("token").alias("posted"))
-    described = rest.join(posted, "node").join(profiles(texts, width), "node")
-    candidates = cross_pairs(described, similarity)
-    more = stored(confirmed(agreeing(candidates, sets, matches), texts, width, similarity))
-    if more.isEmpty():
-        labels = first
-    else:  # components of what the first round has found, joined by the new links
-        named = more
-        for side in ("a", "b"):
-            label = first.select(F.col("node").alias(side), F.col("component").alias("c"))
-            named = named.join(label, side, "left").withColumn(side, F.coalesce("c", side)).drop("c")
-        second = components(named)
-        joined = first.select("node", F.col("component").alias("old")).union(
-            second.select("node", F.col("node").alias("old")).join(
-                first.select("node"), "node", "left_anti"
-            )
-        )
-        labels = joined.join(
-            second.select(F.col("node").alias("old"), "component"), "old", "left"
-        ).select("node", F.coalesce("component", "old").alias("component"))
+    candidates = cross_pairs(labelled.join(split, "token"), similarity, matches)
+    more = confirmed(candidates, texts, width, similarity)
+    # components of what the first round has found, joined by the new links
+    second = components(more.select(F.col("component_a").alias("a"), F.col("component_b").alias("b")))
+    second = second.select(F.col("node").alias("found_first"), F.col("component").alias("found_then"))
     named = (
         sets.select("set_key", "node")
-        .join(labels, "node", "left")
-        .select("set_key", F.coalesce("component", "node").alias("found"))
+        .join(first, "node", "left")
+        .select("set_key", F.coalesce("component", "node").alias("found_first"))
+        .join(second, "found_first", "left")
+        .select("set_key", F.coalesce("found_then", "found_first").alias("found"))
     )
     found = signed.select("id", "n_shingles", "set_key").join(named, "set_key", "left")
     return found.select(
