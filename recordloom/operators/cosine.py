@@ -58,8 +58,9 @@ def _listed(
     """Rows once for each list they are in, and the lists' sizes; None if blocks are cheaper."""
     if above <= 0:
         return None, None
-    rows = rows.where(known([*block, id_column]) & (F.size(vector) > 0))
-    rows = durable(rows)
+    # Written before vectors are looked at: a filter on a vector that is still an expression would
+    # move down to the rows it is made from, below any folding, and make every one's vector there.
+    rows = durable(rows.where(known([*block, id_column]))).where(F.size(vector) > 0)
     listed = durable(postings(rows, vector, above))
     lists, whole = measure(listed, [*block, _LIST]), measure(rows, block)
     return (listed, lists) if lists.pairs < whole.pairs else (None, None)
