@@ -7,12 +7,12 @@ from string import ascii_lowercase
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.ml.feature import HashingTF, Normalizer
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import ArrayType, FloatType, StructField, StructType
 
+from ..session import shuffle_width
 from .text import col
 
 EMBEDDING_SIZE = 768
@@ -88,27 +88,37 @@ def ngram_buckets(text, n: int = 3, size: int = EMBEDDING_SIZE) -> Column:
     """The bucket of every character n-gram of a text, by the gram's MD5: other engines, and
     later versions of Spark, give the same. Words are framed by spaces, so short texts have
     n-grams too; empty text has none, NULL gives NULL."""
-    framed = F.concat(F.lit(" "), F.lower(F.trim(col(text))), F.lit(" "))
-    last = F.greatest(F.length(framed) - (n - 1), F.lit(1))
-    grams = F.transform(F.sequence(F.lit(1), last), lambda i: F.substring(framed, i, F.lit(n)))
     bucket = lambda g: (F.conv(F.substring(F.md5(g), 1, 8), 16, 10).cast("long") % size).cast("int")
-    return F.when(col(text).isNotNull(), F.when(F.length(framed) > 2, F.transform(grams, bucket)).otherwise(F.array()))
+
+    def buckets(framed: Column) -> Column:
+        last = F.greatest(F.length(framed) - (n - 1), F.lit(1))
+        grams = F.transform(F.sequence(F.lit(1), last), lambda i: bucket(F.substring(framed, i, F.lit(n))))
+        return F.when(F.length(framed) > 2, grams).otherwise(F.array())
+
+    framed = F.concat(F.lit(" "), F.lower(F.trim(col(text))), F.lit(" "))
+    return F.when(col(text).isNotNull(), _once(framed, buckets))
 
 
 def sparse_vector(buckets) -> Column:
     """Buckets as a vector of unit length without its zeros: ``indices`` (rising) and
     ``values``."""
-    indices = F.array_sort(F.array_distinct(col(buckets)))
-    counts = F.transform(
-        indices, lambda i: F.size(F.filter(col(buckets), lambda b: b == i)).cast("double")
-    )
-    length = F.sqrt(F.aggregate(counts, F.lit(0.0), lambda acc, x: acc + x * x))
-    return F.when(
-        col(buckets).isNotNull(),
-        F.struct(
-            indices.alias("indices"), F.transform(counts, lambda x: x / length).alias("values")
-        ),
-    )
+    length = lambda counts: F.sqrt(F.aggregate(counts, F.lit(0.0), lambda acc, x: acc + x * x))
+
+    def counted(b: Column) -> Column:
+        indices = F.array_sort(F.array_distinct(b))
+        count = lambda i: F.size(F.filter(b, lambda x: x == i)).cast("double")
+        return F.struct(indices.alias("indices"), F.transform(indices, count).alias("counts"))
+
+    def scaled(s: Column, n: Column) -> Column:
+        return F.struct(s["indices"].alias("indices"), F.transform(s["counts"], lambda x: x / n).alias("values"))
+
+    # Arrays of one hold what is used more than once, so that it is made once and not per bucket.
+    vector = _once(_once(col(buckets), counted), lambda s: _once(length(s["counts"]), lambda n: scaled(s, n)))
+    return F.when(col(buckets).isNotNull(), vector)
+
+
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    return F.transform(F.array(value), use)[0]
 
 
 def sparse_dot_product(a, b) -> Column:
@@ -120,14 +130,19 @@ def sparse_dot_product(a, b) -> Column:
 
 
 def portable_ngrams(n: int = 3, size: int = EMBEDDING_SIZE) -> Embedder:
-    """Embedder like ``hashed_ngrams`` whose vectors any engine can compute again."""
+    """Embedder like ``hashed_ngrams`` whose vectors any engine can compute again.
+
+    Texts are few bytes and their vectors much work, so rows are spread by hand.
+    """
 
-    def dense(sparse: pa.Array) -> pa.Array:
-        known = sparse.is_valid().to_numpy(zero_copy_only=False)
-        indices, values = (pc.struct_field(sparse, c).drop_null() for c in ("indices", "values"))
+    def dense(buckets: pa.Array) -> pa.Array:
+        known = buckets.is_valid().to_numpy(zero_copy_only=False)
         out = np.zeros((int(known.sum()), size), np.float32)
-        row = np.repeat(np.arange(len(out)), indices.value_lengths().to_numpy(zero_copy_only=False))
-        out[row, indices.flatten().to_numpy()] = values.flatten().to_numpy()
+        sizes = buckets.drop_null().value_lengths().to_numpy(zero_copy_only=False)
+        cells = np.repeat(np.arange(len(out)), sizes) * size + buckets.flatten().to_numpy()
+        cells, counts = np.unique(cells, return_counts=True)
+        lengths = np.sqrt(np.bincount(cells // size, counts * counts, minlength=len(out)))
+        out.reshape(-1)[cells] = counts / lengths[cells // size]
         ends = np.concatenate(([0], np.cumsum(known * size)))
         mask = pa.array(~known)
         return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(out.reshape(-1)), mask=mask)
@@ -144,8 +159,9 @@ def portable_ngrams(n: int = 3, size: int = EMBEDDING_SIZE) -> Embedder:
                     [*batch.columns[: len(kept)], *vectors], [*kept, *columns.values()]
                 )
 
-        sparse = [sparse_vector(ngram_buckets(t, n, size)).alias(f"__{v}") for t, v in columns.items()]
-        filled = df.select(*(F.col(f"`{c}`") for c in kept), *sparse).mapInArrow(fill, StructType(fields))
+        spread = df.repartition(shuffle_width(df))
+        buckets = [ngram_buckets(t, n, size).alias(f"__{v}") for t, v in columns.items()]
+        filled = spread.select(*(F.col(f"`{c}`") for c in kept), *buckets).mapInArrow(fill, StructType(fields))
         return filled.select(*df.columns, *(v for v in columns.values() if v not in df.columns))
 
     return embed

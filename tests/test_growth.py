@@ -27,3 +27,11 @@ def test_vectors_are_made_of_folded_records_only(spark):
         (a, b): 500 * 500 for a in same for b in same if a != b
     }
     assert made.value <= 20 * len(names) * len(RECORD_VECTORS)
+
+
+def test_ngrams_are_hashed_once_and_spread(spark):
+    df = spark.createDataFrame([(i, f"name {i}") for i in range(50)], "id long, t string").coalesce(1)
+    embedded = vectors.portable_ngrams()(df, {"t": "v"})
+    assert embedded.rdd.getNumPartitions() > 1
+    assert embedded._jdf.queryExecution().optimizedPlan().toString().count("md5(") == 1
+    assert [len(r.v) for r in embedded.collect()] == [768] * 50
