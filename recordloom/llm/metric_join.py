@@ -2,8 +2,9 @@
 
 Jaccard distance obeys the triangle inequality. With the radius r of a link, every round
 elects pivots among the points that are left, and measures every point within 3r of one.
-Points within 2r of a pivot go to the Voronoi region of the nearest and leave. A link of such
-a point leads to a point within 3r of its pivot: these boundary points are copied into the
+Points within 2r of a pivot go to the Voronoi region of the nearest and leave (from the second
+round on, which finds sparse points, those within r, and 2r are measured). A link of such a
+point leads to a point measured from its pivot: these boundary points are copied into the
 region's window, and of them only those are compared whose distances to the pivot differ by
 at most r. Points of a region are told apart by their differences from the pivot, which are
 small. What lies beyond all pivots is joined recursively with new ones, until no point is
@@ -34,6 +35,10 @@ ELECTIONS = 3
 TILE = 1024
 #: Shingles whose owners are compared in one place.
 BUCKET = 1 << 20
+#: Of so many points one is counted to tell frequent shingles, and so many of them come last.
+COUNTED, FREQUENT = 16, 1 << 16
+#: Rounds whose regions reach twice as far as links; what is left after them is sparse.
+WIDE = 1
 
 SETS = "id long, n_shingles long, set_key binary"
 DEALT = "bucket long, nodes binary, parts binary"
@@ -225,28 +230,55 @@ def elected(points: DataFrame, round_: int) -> DataFrame:
     return left.select("node")
 
 
-def in_reach(points: DataFrame, pivots: DataFrame, reach: int) -> DataFrame:
-    """Points of at least ``reach`` similarity to a pivot: node, pivot, n, m, both, and the
-    shingles that one of the two has alone.
+def frequent(points: DataFrame, round_: int) -> np.ndarray:
+    """The most frequent shingles, the rarer ones first, told from every ``COUNTED``-th point of
+    the first round, and from all of the few that later ones have.
 
-    Both have node, n and shingles. Pairs meet through their first shingles. Of the pair, the
-    set whose first shingles end earlier has ``rest`` others; as the shingles are in one order,
-    no more than these can be shared besides the ones that met. Pairs for which that is enough
-    are measured on full sets.
+    They only say in which order shingles are taken; any order finds the same pairs.
+    """
+    every = max(1, COUNTED >> (2 * round_))
+
+    def tokens(batch: pa.RecordBatch, sets: list) -> pa.RecordBatch:
+        chosen = mix(batch.column("node").to_numpy(zero_copy_only=False).astype(U64)) % U64(every) == 0
+        flat = np.concatenate([np.zeros(0, U64), *(x for x, c in zip(sets, chosen, strict=True) if c)])
+        found, n = np.unique(flat, return_counts=True)
+        return pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(n)], ["token", "times"])
+
+    counts = _packed(tokens, points.select("node", "shingles"), "token long, times long")
+    counts = counts.groupBy("token").agg(F.sum("times").alias("times")).where("times > 2")
+    most = counts.orderBy(F.desc("times"), "token").limit(FREQUENT).collect()
+    return np.array([r.token for r in reversed(most)], np.int64).view(U64)
+
+
+def meetings(points: DataFrame, pivots: DataFrame, reach: int, last: np.ndarray) -> DataFrame:
+    """node, pivot, n, m, rest: a row for every first shingle that a point and a pivot share.
+
+    Shingles come in the order of their hash, those of ``last`` after all others. A passage that
+    many points have is thus among the first shingles of few, and pairs meet by what is rarer.
     """
+    sorted_, rank = np.sort(last), np.argsort(last)
 
     def listed(batch: pa.RecordBatch, sets: list) -> pa.RecordBatch:
-        sizes = [least_shared(len(x), reach) for x in sets]
-        tokens = np.concatenate([np.zeros(0, U64), *(x[:k] for x, (k, _) in zip(sets, sizes, strict=True))])
-        lengths = [k for k, _ in sizes]
+        sizes = np.array([len(x) for x in sets], np.int64)
+        lengths = sizes - -(-reach * sizes // 100) + 1  # any two in reach share one of these
+        flat = np.concatenate([np.zeros(0, U64), *sets])
+        place = (flat >> U64(2)).astype(np.int64)
+        if len(sorted_):
+            at = np.minimum(np.searchsorted(sorted_, flat), len(sorted_) - 1)
+            late = sorted_[at] == flat
+            place[late] = (1 << 62) + rank[at[late]]
+        starts = np.cumsum(sizes) - sizes
+        order = np.lexsort((flat, place, np.repeat(np.arange(len(sets)), sizes)))
+        inside = np.arange(len(flat)) - np.repeat(starts, sizes) < np.repeat(lengths, sizes)
+        kept = order[inside]
         repeat = lambda values: pa.array(np.repeat(np.asarray(values, np.int64), lengths))
         return pa.RecordBatch.from_arrays(
             [
-                pa.array(tokens.view(np.int64)),
+                pa.array(flat[kept].view(np.int64)),
                 repeat(batch.column("node").to_numpy(zero_copy_only=False)),
                 repeat(batch.column("n").to_numpy(zero_copy_only=False)),
-                repeat([len(x) - k for x, k in zip(sets, lengths, strict=True)]),
-                repeat([int(x[k - 1] >> U64(1)) for x, k in zip(sets, lengths, strict=True)]),
+                repeat(sizes - lengths),
+                repeat(place[kept][np.cumsum(lengths) - 1] if len(sets) else []),
             ],
             ["token", "node", "n", "rest", "last"],
         )
@@ -257,13 +289,22 @@ def in_reach(points: DataFrame, pivots: DataFrame, reach: int) -> DataFrame:
         "token", *(F.col(c).alias(o) for c, o in (("node", "pivot"), ("n", "m"), ("rest", "p_rest"), ("last", "p_last")))
     )
     alike = F.least("n", "m") * 100 >= F.greatest("n", "m") * reach
+    rest = "CASE WHEN last < p_last THEN rest WHEN last > p_last THEN p_rest ELSE greatest(rest, p_rest) END"
+    met = own.join(other, "token").where((F.col("node") != F.col("pivot")) & alike)
+    return met.select("node", "pivot", "n", "m", F.expr(rest).alias("rest"))
+
+
+def in_reach(points: DataFrame, pivots: DataFrame, reach: int, round_: int) -> DataFrame:
+    """Points of at least ``reach`` similarity to a pivot: node, pivot, n, m, both, and the
+    shingles that one of the two has alone.
+
+    Both have node, n and shingles. Pairs meet through their first shingles. Of the pair, the
+    set whose first shingles end earlier has ``rest`` others; as the shingles are in one order,
+    no more than these can be shared besides the ones that met. Pairs for which that is enough
+    are measured on full sets.
+    """
     met = (
-        own.join(other, "token")
-        .where((F.col("node") != F.col("pivot")) & alike)
-        .withColumn(
-            "rest",
-            F.expr("CASE WHEN last < p_last THEN rest WHEN last > p_last THEN p_rest ELSE greatest(rest, p_rest) END"),
-        )
+        meetings(points, pivots, reach, frequent(points, round_))
         .groupBy("node", "pivot")
         .agg(F.count("*").alias("met"), *(F.max(c).alias(c) for c in ("n", "m", "rest")))
         .where(f"(met + rest) * {100 + reach} >= {reach} * (n + m)")
@@ -304,7 +345,7 @@ def at_least(similarity: int) -> Column:
     return F.expr(f"100 * both >= {similarity} * (n + m - both)")
 
 
-def window_links(near: DataFrame, labels: DataFrame, similarity: int, home: int) -> DataFrame:
+def window_links(near: DataFrame, labels: DataFrame, similarity: int) -> DataFrame:
     """Links (a, b) of points inside a region to points in reach of its pivot.
 
     Both differ little from the pivot, and |x ^ y| = |x ^ p| + |y ^ p| - 2 |(x ^ p) & (y ^ p)|.
@@ -315,7 +356,6 @@ def window_links(near: DataFrame, labels: DataFrame, similarity: int, home: int)
     label = lambda c: labels.select(F.col("node").alias(c), F.col("component").alias(f"{c}_in"))
     told = (
         near.withColumn("d", F.expr("1D - both / (n + m - both)"))
-        .withColumn("at_home", at_least(home))
         .join(label("node"), "node", "left")
         .join(label("pivot"), "pivot", "left")
         .withColumn("component", F.coalesce("node_in", "node"))
@@ -396,7 +436,8 @@ def similar_documents(
 
     Documents are linked if 100 * shared shingles >= similarity * all their shingles; a
     component is what links reach, named by its smallest id. Regions reach twice and windows
-    three times as far as links, or once and twice below a similarity of 75, which is over 50.
+    three times as far as links, or once and twice in later rounds and below a similarity of 75,
+    which is over 50.
     All links between different sets are covered, but of those to one component one is made.
 
     Texts without words (NULL, empty) have no shingles and are linked with nothing. Rows of
@@ -406,8 +447,6 @@ def similar_documents(
     """
     if not 50 < similarity <= 100:
         raise ValueError("similarity must be over 50 and at most 100")
-    times = 2 if similarity >= 75 else 1
-    home, reach = 100 - times * (100 - similarity), max(1, 100 - (times + 1) * (100 - similarity))
     rows = stored(signed(df, id_column, text_column, width))
     nodes = stored(
         rows.where("set_key IS NOT NULL AND id IS NOT NULL")
@@ -434,11 +473,13 @@ def similar_documents(
     for round_ in range(1 << 30):
         if left.isEmpty():
             break
+        times = 2 if similarity >= 75 and round_ < WIDE else 1
+        home, reach = (max(1, 100 - k * (100 - similarity)) for k in (times, times + 1))
         chosen = elected(left, round_)
         pivots = stored(left.select("node", "n", "shingles").join(chosen, "node", "left_semi"))
-        found = stored(in_reach(left, pivots, reach))
+        found = stored(in_reach(left, pivots, reach, round_).withColumn("at_home", at_least(home)))
         near = found if near is None else near.union(found)
-        gone = found.where(at_least(home)).select("node").union(pivots.select("node"))
+        gone = found.where("at_home").select("node").union(pivots.select("node"))
         rest = left.drop("met").join(gone.distinct(), "node", "left_anti")
         met = shared(dealt_points(rest, similarity, buckets))
         left = stored(rest.join(met, "node").where(may_have_links(similarity)))
@@ -447,7 +488,7 @@ def similar_documents(
     else:
         links = near.where(at_least(similarity))
         labels = stored(components(links.select(F.col("node").alias("a"), F.col("pivot").alias("b"))))
-        more = stored(window_links(near, labels, similarity, home))
+        more = stored(window_links(near, labels, similarity))
         if not more.isEmpty():
             stars = labels.select(F.col("node").alias("a"), F.col("component").alias("b"))
             labels = components(stars.union(more))

@@ -118,3 +118,25 @@ def test_first_shingles_are_shared():
         if len(b) and 100 * both >= 80 * (len(a) + len(b) - both):
             (i, c), (j, d) = (metric_join.least_shared(len(x), 80) for x in (a, b))
             assert np.intersect1d(a[:i], b[:j]).size >= min(c, d)
+
+
+def test_common_passage_is_no_meeting(spark, monkeypatch):
+    """Texts with one passage in common meet by what else they have, and links stay whole."""
+    monkeypatch.setattr(metric_join, "COUNTED", 1)
+    rng = random.Random(8)
+    passage = " ".join(f"p{i}" for i in range(60))
+    own = [" ".join(f"w{rng.randrange(10**6)}" for _ in range(50)) for _ in range(90)]
+    rows = [(i, f"{passage} {text}") for i, text in enumerate(own)]
+    rows += [(100 + i, f"{passage} {text} end") for i, text in enumerate(own[:30])]
+    made = []
+    plain = metric_join.meetings
+
+    def counted(*args):
+        out = plain(*args)
+        made.append(out.select("node", "pivot").distinct().count())
+        return out
+
+    monkeypatch.setattr(metric_join, "meetings", counted)
+    want, linked = brute(rows, 90)
+    assert found(spark.createDataFrame(rows, DOCS)) == want and linked == 30
+    assert sum(made) < 10 * len(rows)
