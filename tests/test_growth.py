@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from recordloom.functions import vectors
+from recordloom.operators import pairs, tiles
 from recordloom.plans.matching import name_similarity
 from recordloom.schemas import RECORD_VECTORS
 
@@ -35,3 +36,31 @@ def test_ngrams_are_hashed_once_and_spread(spark):
     assert embedded.rdd.getNumPartitions() > 1
     assert embedded._jdf.queryExecution().optimizedPlan().toString().count("md5(") == 1
     assert [len(r.v) for r in embedded.collect()] == [768] * 50
+
+
+def test_rows_of_large_blocks_are_not_brought_together(spark):
+    rows = [(i % 2, i, [1.0, float(i)]) for i in range(40)]
+    frame = spark.createDataFrame(rows, "task_id long, id long, v array<double>")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as if the tables were large
+    try:
+        found = tiles.similar_pairs(frame, ["task_id"], "id", {"s": "v"}, tile_rows=5)
+        joined = pairs.self_pairs(frame, tile_rows=5)
+        plans = [df._jdf.queryExecution().executedPlan().toString() for df in (found, joined)]
+        counts = found.count(), joined.count()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert counts == (2 * 190, 2 * 190)
+    assert [plan.count("BroadcastHashJoin") for plan in plans] == [1, 2]
+    assert "SortMergeJoin" not in plans[0]
+
+
+def test_rows_of_one_id_are_dealt_to_tiles(spark):
+    data = [(7, 0 if i % 2 else i, [1.0, float(i)]) for i in range(400)]
+    frame = spark.createDataFrame(data, "task_id long, id long, v array<double>").repartition(4)
+    found = pairs.measure(frame, ["task_id"])
+    placed = tiles._placed(frame, ["task_id"], "id", ["v"], 40, found, 4)
+    largest = max(r["count"] for r in placed.where("__low = __high").groupBy("__low").count().collect())
+    assert largest < 80
+    got = tiles.similar_pairs(frame, ["task_id"], "id", {"s": "v"}, tile_rows=40)
+    want = sorted((min(a, b), max(a, b)) for k, (_, a, _) in enumerate(data) for _, b, _ in data[:k] if a != b)
+    assert sorted((r.id_a, r.id_b) for r in got.select("id_a", "id_b").collect()) == want
