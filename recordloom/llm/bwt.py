@@ -1,4 +1,4 @@
-"""Burrows-Wheeler transforms of sets of strings, and merging them without sorting again."""
+"""Burrows-Wheeler transforms of sets of strings, and merging them without comparing strings."""
 
 from __future__ import annotations
 
@@ -8,15 +8,19 @@ import numpy as np
 
 #: Added to bytes, so that 0 is free for the ends of strings. Byte 255 is not in UTF-8.
 END = np.uint8(0)
+#: Symbols up to which the strings of several shards are transformed together.
+TOGETHER = 1 << 16
 
 
 @dataclass
 class Transform:
-    """The transform of a shard: symbol before each suffix, in sorted order of suffixes, and
-    the place of each suffix in the shard's text. Ends of strings sort first, by string."""
+    """The transform of a shard: symbol before each suffix, in sorted order of suffixes, the place
+    of each suffix in the shard's text, and its symbols before the end. Ends of strings sort first,
+    by string."""
 
     symbols: np.ndarray
     places: np.ndarray
+    left: np.ndarray
     strings: int
 
 
@@ -31,42 +35,84 @@ def joined(strings: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return text, starts
 
 
+def _order(values: np.ndarray) -> np.ndarray:
+    """Stable order of values from 0 on, by 16 bits at a time: such sorts are linear."""
+    order = np.argsort(values.astype(np.uint16), kind="stable")
+    most = int(values.max(initial=0)) >> 16
+    while most:
+        values = values >> 16
+        order = order[np.argsort(values.astype(np.uint16)[order], kind="stable")]
+        most >>= 16
+    return order
+
+
+def _parted(head: np.ndarray, following: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Part intervals by the intervals of what follows.
+
+    ``head`` is the place where each suffix's interval begins, and does not fall. Gives the order
+    of suffixes, the heads in this order, and which suffixes are alone in their interval.
+    """
+    n = len(head)
+    outer = np.ones(n, bool)
+    outer[1:] = head[1:] != head[:-1]
+    interval = np.cumsum(outer) - 1
+    order = _order(following)
+    order = order[_order(interval[order])]
+    following = following[order]
+    apart = outer.copy()
+    apart[1:] |= following[1:] != following[:-1]
+    count = np.arange(n, dtype=np.int32)
+    begin, first = (np.maximum.accumulate(np.where(x, count, 0)) for x in (apart, outer))
+    alone = apart.copy()
+    alone[:-1] &= apart[1:]
+    return order, head + begin - first, alone
+
+
 def transform(strings: list[bytes]) -> Transform:
-    """Sort the suffixes of one shard by doubling the length of the compared prefix."""
+    """Sort the suffixes of one shard by doubling the length of the compared prefix.
+
+    Only suffixes that share their prefix with another are sorted again.
+    """
     text, starts = joined(strings)
     n = len(text)
-    owner = np.repeat(np.arange(len(strings)), np.diff(starts))
-    left = starts[1:][owner] - np.arange(n)  # symbols up to the end, which counts
-    key = np.zeros(n, np.uint64)
-    for j in range(8):
-        shifted = np.zeros(n, np.uint64)
-        shifted[: max(0, n - j)] = text[j:]
-        shifted[left <= j] = 0
-        key = (key << np.uint64(8)) | shifted
-    order = np.argsort(key, kind="stable")
+    sizes = np.diff(starts)
+    left = np.repeat(starts[1:], sizes) - np.arange(n)  # symbols up to the end, which counts
+    pairs = text.astype(np.uint16) << 8
+    pairs[:-1] |= text[1:]
+    pairs[left == 1] = 0
+    order, key = np.arange(n), np.zeros(n, np.uint64)
+    for j in (6, 4, 2, 0):
+        code = np.zeros(n, np.uint16)
+        code[: max(0, n - j)] = pairs[j:]
+        code[left <= j] = 0
+        key |= code.astype(np.uint64) << np.uint64(48 - 8 * j)
+        order = order[np.argsort(code[order], kind="stable")]
     width = 8
-    while True:
-        sorted_key = key[order]
-        new = np.concatenate(([True], sorted_key[1:] != sorted_key[:-1])) if n else np.zeros(0, bool)
-        rank = np.empty(n, np.int64)
-        rank[order] = np.cumsum(new) - 1
-        if new.all():
-            break
-        after = np.zeros(n, np.int64)
-        after[: max(0, n - width)] = rank[width:] + len(strings)
-        over = left <= width
-        after[over] = owner[over]
-        key = (rank.astype(np.uint64) << np.uint64(32)) | after.astype(np.uint64)
-        order = np.argsort(key, kind="stable")
+    key = key[order]
+    new = left[order] <= width  # an end is like no other
+    new[:1] = True
+    new[1:] |= key[1:] != key[:-1]
+    head = np.maximum.accumulate(np.where(new, np.arange(n), 0)).astype(np.int32)
+    rank = np.empty(n, np.int32)
+    rank[order] = head
+    alone = new.copy()
+    alone[:-1] &= new[1:]
+    places = np.flatnonzero(~alone)
+    while len(places):
+        some = order[places]
+        now, heads, alone = _parted(rank[some], rank[some + width])
+        some = some[now]
+        order[places], rank[some] = some, heads
+        places = places[~alone]
         width *= 2
     before = np.concatenate((text[-1:], text[:-1]))  # an end before each string's beginning
-    return Transform(before[order], order, len(strings))
+    return Transform(before[order], order, left[order] - 1, len(strings))
 
 
 @dataclass
 class Merged:
-    """Suffixes in merged order, as numbers that count through the shards, and where intervals
-    begin whose suffixes share their first ``depth`` symbols."""
+    """Suffixes of at least ``depth`` symbols in merged order, as numbers that count through the
+    shards, and where intervals begin whose suffixes share their first ``depth`` symbols."""
 
     suffix: np.ndarray
     begins: np.ndarray
@@ -75,69 +121,67 @@ class Merged:
 def merge(shards: list[Transform], depth: int) -> Merged:
     """Interleave the transforms until suffixes are in order of their first ``depth`` symbols.
 
-    At first the shards follow each other. A round takes the suffixes in the present order,
-    stably by the symbol before them: so the suffixes that begin with these symbols are in
-    order of one symbol more. Two neighbours of an interval then part if the suffixes after
-    their first symbols were apart already: so the common prefixes grow along, and nothing is
-    compared or sorted again. A suffix that is alone in its interval has its final place, so
-    a round is only about the others. Ends of strings differ from each other and stay first.
-    When two symbols are in order, no suffix that is left has its end among them, and a round
-    takes the two symbols before each suffix at once.
+    At first the shards follow each other, and suffixes are taken stably by their first symbols,
+    which the transforms have without the texts. When suffixes are in order of ``known`` symbols,
+    a round takes them by the intervals of the suffixes ``known`` symbols on: so they are in order
+    of twice as many, and nothing is compared. Two neighbours of an interval part if what follows
+    was apart already. A suffix that is alone in its interval has its final place, and one with
+    an end among the symbols of a round is like no other: a round is only about the others.
     """
-    symbols = np.concatenate([s.symbols for s in shards])
-    n = len(symbols)
-    lengths = np.array([len(s.symbols) for s in shards])
-    base = np.concatenate(([0], np.cumsum(lengths)))
-    is_end = np.zeros(n, bool)
-    for s, first in zip(shards, base[:-1], strict=True):
-        is_end[first : first + s.strings] = True
-    # the suffix after the first symbol of each, and the other way round
-    after, longer = np.zeros(n, np.int32), np.zeros(n, np.int32)
-    for s, first in zip(shards, base[:-1], strict=True):
-        order = np.argsort(s.symbols, kind="stable")[s.strings :] + first
-        places = np.arange(first + s.strings, first + len(s.symbols))
-        after[places], longer[order] = order, places
-    order = np.argsort(symbols, kind="stable")
-    ends = np.flatnonzero(is_end)
-    order = order[len(ends) :]
-    suffix = np.concatenate((ends, longer[order])).astype(np.int32)
-    place = np.empty(n, np.int32)
-    place[suffix] = np.arange(n, dtype=np.int32)
-    begins = np.ones(n + 1, bool)
-    first = symbols[order]
-    begins[len(ends) + 1 : n] = first[1:] != first[:-1]
-    head = np.maximum.accumulate(np.where(begins[:n], np.arange(n), 0)).astype(np.int32)
-    taken = np.zeros(n, bool)
-    open_places = np.flatnonzero(~(begins[:n] & begins[1:])).astype(np.int32)
-    # by the number of symbols of a round: what follows, what precedes, and these symbols
-    steps = {1: (after, longer, symbols)}
-    if depth > 3 and len(open_places):
-        pair = (symbols[longer].astype(np.uint16) << 8) | symbols
-        steps[2] = (after[after], longer[longer], pair)
-    known = 1
-    while known < depth and len(open_places):
-        step = 2 if known > 1 and depth - known > 1 else 1
-        behind, ahead, codes = steps[step]
+    base = np.concatenate(([0], np.cumsum([len(s.symbols) for s in shards])))
+    n = base[-1]
+    first = np.zeros(n, np.uint8)
+    after = np.zeros(n, np.int32)  # the suffix after the first symbol of each
+    for s, low, high in zip(shards, base[:-1], base[1:], strict=True):
+        order = np.argsort(s.symbols, kind="stable")
+        first[low:high] = s.symbols[order]
+        after[low + s.strings : high] = order[s.strings :] + low
+    left = np.concatenate([s.left for s in shards])
+    known = min(4, depth)
+    some = np.flatnonzero(left >= known)
+    code, at = np.zeros(len(some), np.uint32), some
+    for _ in range(known):
+        code = (code << np.uint32(8)) | first[at]
+        at = after[at]
+    order = _order(code)
+    some, code = some[order], code[order]
+    new = np.ones(len(some) + 1, bool)
+    new[1:-1] = code[1:] != code[:-1]
+    head = np.maximum.accumulate(np.where(new[:-1], np.arange(len(some)), 0)).astype(np.int32)
+    rank = np.zeros(n, np.int32)
+    rank[some] = head
+    some = some[~(new[:-1] & new[1:])]
+    steps = [after]  # 1, 2, 4 ... symbols on
+    while known < depth and len(some):
+        step = min(known, depth - known)
+        some = some[left[some] >= known + step]
+        following = some
+        for k in range(step.bit_length()):
+            if k == len(steps):
+                steps.append(steps[-1][steps[-1]])
+            if step >> k & 1:
+                following = steps[k][following]
+        order, heads, alone = _parted(rank[some], rank[following])
+        some = some[order]
+        rank[some] = heads
+        some = some[~alone]
         known += step
-        old = suffix[open_places]
-        following = place[behind[old]]
-        taken[following] = True
-        following = np.flatnonzero(taken)
-        taken[following] = False
-        now = suffix[following]
-        order = np.argsort(codes[now], kind="stable")
-        new, heads = ahead[now[order]], head[following[order]]
-        fresh = begins[open_places]
-        apart = fresh.copy()
-        apart[1:] |= heads[1:] != heads[:-1]
-        suffix[open_places] = new
-        place[new] = open_places
-        begins[open_places] = apart
-        start = np.maximum.accumulate(np.where(apart, np.arange(len(apart)), 0))
-        head[open_places] = open_places[start]
-        alone = apart & begins[open_places + 1]
-        open_places = open_places[~alone]
-    return Merged(suffix, begins[:n])
+    suffix = np.flatnonzero(left >= depth)
+    suffix = suffix[_order(rank[suffix])]
+    begins = np.ones(len(suffix), bool)
+    begins[1:] = rank[suffix[1:]] != rank[suffix[:-1]]
+    return Merged(suffix, begins)
+
+
+def _together(lengths: np.ndarray, shard_sizes: list[int]) -> list[int]:
+    """Where the strings of neighbouring shards are cut: at ``TOGETHER`` symbols, or one shard."""
+    symbols = np.concatenate(([0], np.cumsum(lengths + 1)))
+    cuts, at = [0], 0
+    for size in shard_sizes:
+        if at > cuts[-1] and symbols[at + size] - symbols[cuts[-1]] > TOGETHER:
+            cuts.append(at)
+        at += size
+    return [*cuts, at]
 
 
 def least_owners(
@@ -147,26 +191,25 @@ def least_owners(
     string that has the substring: all in one array, and where each string's begin.
 
     ``shard_sizes`` says how many strings, in order, make a shard. Each shard is transformed
-    alone, and the transforms are merged; the intervals of the merged order are the repeated
-    substrings.
+    alone, or with its neighbours if they are small, and the transforms are merged; the
+    intervals of the merged order are the repeated substrings.
     """
     lengths = np.fromiter(map(len, strings), np.int64, len(strings))
     ends = np.concatenate(([0], np.cumsum(np.maximum(0, lengths - depth + 1))))
     shards, string, offset = [], [], []
-    cuts = np.concatenate(([0], np.cumsum(shard_sizes))).tolist()
+    cuts = _together(lengths, shard_sizes)
     for first, last in zip(cuts[:-1], cuts[1:], strict=True):
         one = transform(strings[first:last])
-        starts = np.concatenate(([0], np.cumsum(lengths[first:last] + 1)))[:-1]
-        inside = np.searchsorted(starts, one.places, "right") - 1
+        starts = np.concatenate(([0], np.cumsum(lengths[first:last] + 1)))
+        inside = np.repeat(np.arange(last - first), np.diff(starts))[one.places]
         shards.append(one)
         string.append(inside + first)
         offset.append(one.places - starts[inside])
     merged = merge(shards, depth)
     string = np.concatenate(string)[merged.suffix]
     offset = np.concatenate(offset)[merged.suffix]
-    least = np.minimum.reduceat(owners[string], np.flatnonzero(merged.begins))
-    each = least[np.cumsum(merged.begins) - 1]
-    full = lengths[string] - offset >= depth
     out = np.empty(ends[-1], owners.dtype)
-    out[ends[string[full]] + offset[full]] = each[full]
+    if len(string):
+        least = np.minimum.reduceat(owners[string], np.flatnonzero(merged.begins))
+        out[ends[string] + offset] = least[np.cumsum(merged.begins) - 1]
     return out, ends

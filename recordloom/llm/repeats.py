@@ -10,6 +10,8 @@ many documents use, the strings themselves are dealt by their hashes, so no task
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -26,11 +28,16 @@ LENGTH, ANCHOR = 50, 24
 BLOCK = 1 << 17
 #: Bytes of text in a shard of documents, and for each bucket of anchors.
 SHARD_BYTES, BUCKET_BYTES = 4 << 20, 4 << 20
+#: Shards from which on shards and buckets grow with the root of the input, and how far: entries
+#: are shards times buckets, which else would grow with the square of the input.
+MANY_SHARDS, GROWN = 256, 4
 #: Different runs with one anchor, in all shards, beyond which the anchor's strings are dealt by
 #: hash; a shard with more than ``SHARD_CROWD`` of them says so instead of listing them.
 CROWD, SHARD_CROWD = 4096, 64
 #: Strings that are hashed together.
 HASHED = 1 << 16
+#: Stands for the part where a bucket is not dealt in parts.
+WHOLE = -1
 
 
 class Runs:
@@ -222,7 +229,7 @@ def _see(table: pa.Table, flags: pa.Table, buckets: int, how: tuple) -> pa.Table
     whether a larger id has it too. An anchor with a crowd of runs is one entry, with the number
     of its strings; that of the others is 0."""
     if not table.num_rows or not flags.num_rows:
-        return pa.table({n: [] for n in _names(SEEN)}).cast(_arrow(SEEN))
+        return _arrow(SEEN).empty_table()
     shard = Shard(table, buckets, how)
     hit, _ = _found(shard.key[shard.usable], np.sort(_keys(flags)))
     use = shard.usable[hit]
@@ -293,19 +300,13 @@ class Seen:
         self.mixed = (runs_of_anchor[anchor] > 1) & ~self.dealt
 
 
-TOLD = (
-    "shard long, bucket long, keys binary, least binary, wanted binary, contents binary,"
-    " dealt binary, folds binary"
-)
+TOLD = "shard long, bucket long, wanted binary, contents binary, dealt binary, folds binary"
 
 
 def _tell(table: pa.Table, how: tuple, part_strings: int) -> pa.Table:
-    """To each shard the least ids of runs that are alike wherever their anchor is, the runs
-    whose strings it has to send, as it has their least id, and the anchors whose strings it has
-    to deal, with the number of parts."""
+    """To each shard the runs whose strings it has to send, as it has their least id, and the
+    anchors whose strings it has to deal, with the number of parts."""
     seen = Seen(table, how)
-    least = seen.ids[seen.first][seen.run]
-    alike = np.flatnonzero(~seen.mixed & ~seen.dealt & ((least < seen.ids) | seen.more))
     send = seen.first[seen.mixed[seen.first]]
     new = np.ones(len(seen.key), bool)  # one entry for each shard and anchor
     by_shard = np.lexsort((seen.shard, seen.key))
@@ -314,15 +315,15 @@ def _tell(table: pa.Table, how: tuple, part_strings: int) -> pa.Table:
     )
     folds = -(-seen.strings // part_strings)
     rows: dict[int, list] = {}
-    for k, chosen in enumerate((alike, send, np.flatnonzero(seen.dealt & new))):
+    for k, chosen in enumerate((send, np.flatnonzero(seen.dealt & new))):
         chosen = chosen[np.argsort(seen.shard[chosen], kind="stable")]
         found, cuts = np.unique(seen.shard[chosen], return_index=True)
         for s, own in zip(found.tolist(), np.split(chosen, cuts[1:]), strict=True) if len(found) else ():
-            rows.setdefault(s, [b""] * 6)[2 * k : 2 * k + 2] = (
+            rows.setdefault(s, [b""] * 4)[2 * k : 2 * k + 2] = (
                 seen.key[own].tobytes(),
-                (least, seen.content, folds)[k][own].tobytes(),
+                (seen.content, folds)[k][own].tobytes(),
             )
-    columns = list(zip(*rows.values(), strict=True)) if rows else [()] * 6
+    columns = list(zip(*rows.values(), strict=True)) if rows else [()] * 4
     return pa.table(
         {
             "shard": pa.array(list(rows), pa.int64()),
@@ -332,15 +333,14 @@ def _tell(table: pa.Table, how: tuple, part_strings: int) -> pa.Table:
     )
 
 
-STRINGS = "bucket long, shard long, keys binary, contents binary, sizes binary, strings binary"
+STRINGS = (
+    "bucket long, part long, shard long, keys binary, contents binary, sizes binary, strings binary"
+)
 
 
-def _send(table: pa.Table, told: pa.Table, buckets: int, how: tuple) -> pa.Table:
+def _send(table: pa.Table, told: pa.Table, shard: Shard, how: tuple) -> pa.Table:
     """The strings of the runs that a shard has been asked for."""
-    if not table.num_rows or not told.num_rows:
-        return pa.table({n: [] for n in _names(STRINGS)}).cast(_arrow(STRINGS))
     length = how[2]
-    shard = Shard(table, buckets, how)
     wanted = _keys(told, "wanted")
     contents = _array(told.column("contents").to_pylist(), "<u8")
     order = np.lexsort((contents, wanted))
@@ -365,6 +365,7 @@ def _send(table: pa.Table, told: pa.Table, buckets: int, how: tuple) -> pa.Table
     return pa.table(
         {
             "bucket": found,
+            "part": np.full(len(found), WHOLE),
             "shard": np.full(len(found), table.column("shard")[0].as_py()),
             "keys": pa.array(_split(key.astype("<u4"), cuts), pa.binary()),
             "contents": pa.array(_split(shard.runs.content[use], cuts), pa.binary()),
@@ -374,19 +375,38 @@ def _send(table: pa.Table, told: pa.Table, buckets: int, how: tuple) -> pa.Table
     )
 
 
+ALIKE = "shard long, bucket long, keys binary, least binary"
+
+
+def _alike(seen: Seen, bucket: int) -> pa.Table:
+    """To each shard the least ids of runs that are alike wherever their anchor is."""
+    least = seen.ids[seen.first][seen.run]
+    use = np.flatnonzero(~seen.mixed & ~seen.dealt & ((least < seen.ids) | seen.more))
+    use = use[np.argsort(seen.shard[use], kind="stable")]
+    found, cuts = np.unique(seen.shard[use], return_index=True)
+    return pa.table(
+        {
+            "shard": found,
+            "bucket": np.full(len(found), bucket),
+            "keys": pa.array(_split(seen.key[use], cuts), pa.binary()),
+            "least": pa.array(_split(least[use], cuts), pa.binary()),
+        }
+    )
+
+
 ANSWERS = "shard long, bucket long, keys binary, contents binary, parts binary, sizes binary, values binary"
 
 
-def _answer(strings: pa.Table, table: pa.Table, how: tuple) -> pa.Table:
+def _answer(strings: pa.Table, seen: Seen, bucket: int, how: tuple) -> pa.Table:
     """To each shard, for the runs that differ, the least id of each of their strings, as
     stretches of equal ids.
 
-    The strings that one shard has sent are transformed together, then the transforms of all
-    shards are merged.
+    The strings that one shard has sent are transformed together, with those of its neighbours
+    if they are few, then the transforms of all shards are merged.
     """
     if not strings.num_rows:
-        return pa.table({n: [] for n in _names(ANSWERS)}).cast(_arrow(ANSWERS))
-    length, seen = how[2], Seen(table, how)
+        return _arrow(ANSWERS).empty_table()
+    length = how[2]
     rows = strings.sort_by("shard").to_pylist()
     key = _array([r["keys"] for r in rows], "<u4")
     content = _array([r["contents"] for r in rows], "<u8")
@@ -425,7 +445,7 @@ def _answer(strings: pa.Table, table: pa.Table, how: tuple) -> pa.Table:
     return pa.table(
         {
             "shard": found,
-            "bucket": np.full(len(found), table.column("bucket")[0].as_py()),
+            "bucket": np.full(len(found), bucket),
             "keys": pa.array(_split(seen.key[use], cuts), pa.binary()),
             "contents": pa.array(_split(seen.content[use], cuts), pa.binary()),
             "parts": pa.array(_split(parts[run].astype("<u4"), cuts), pa.binary()),
@@ -435,7 +455,7 @@ def _answer(strings: pa.Table, table: pa.Table, how: tuple) -> pa.Table:
     )
 
 
-PIECES = "anchor long, part long, shard long, hashes binary, ids binary, more binary, strings binary"
+PIECES = "bucket long, part long, shard long, hashes binary, ids binary, more binary, strings binary"
 
 
 def _strings(shard: Shard, use: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -453,15 +473,17 @@ def _strings(shard: Shard, use: np.ndarray, length: int) -> tuple[np.ndarray, np
     return run, begin, mix(hashes)
 
 
-def _deal(table: pa.Table, told: pa.Table, buckets: int, how: tuple) -> pa.Table:
+def _deal(
+    table: pa.Table, told: pa.Table, buckets: int, how: tuple, shard: Shard | None = None
+) -> pa.Table:
     """The different strings of a shard whose anchor has a crowd of runs, in parts by hash, with
-    the least id that has each and whether a larger id has it too."""
-    keys = _keys(told, "dealt") if told.num_rows else np.zeros(0, np.int64)
-    if not table.num_rows or not len(keys):
-        return pa.table({n: [] for n in _names(PIECES)}).cast(_arrow(PIECES))
+    the least id that has each and whether a larger id has it too. Their bucket is the anchor."""
+    keys = _keys(told, "dealt")
+    if not len(keys):
+        return _arrow(PIECES).empty_table()
     order = np.argsort(keys)
     folds = _array(told.column("folds").to_pylist(), "<i8")[order]
-    shard = Shard(table, buckets, how)
+    shard = shard or Shard(table, buckets, how)
     hit, place = _found(shard.key[shard.usable], keys[order])
     use = shard.usable[hit]
     run, begin, hashes = _strings(shard, use, how[2])
@@ -477,7 +499,7 @@ def _deal(table: pa.Table, told: pa.Table, buckets: int, how: tuple) -> pa.Table
     cuts = np.flatnonzero(new)
     return pa.table(
         {
-            "anchor": key[cuts],
+            "bucket": key[cuts],
             "part": part[cuts],
             "shard": np.full(len(cuts), table.column("shard")[0].as_py()),
             "hashes": pa.array(_split(hashes, cuts), pa.binary()),
@@ -488,22 +510,32 @@ def _deal(table: pa.Table, told: pa.Table, buckets: int, how: tuple) -> pa.Table
     )
 
 
-SETTLED = "shard long, anchor long, hashes binary, values binary"
+SENT = (
+    "bucket long, part long, shard long, keys binary, contents binary, sizes binary,"
+    " hashes binary, ids binary, more binary, strings binary"
+)
+
 
+def _pass_on(table: pa.Table, told: pa.Table, buckets: int, how: tuple) -> pa.Table:
+    """The strings of a shard that it has been asked for, and those that it has to deal."""
+    if not table.num_rows or not told.num_rows:
+        return _arrow(SENT).empty_table()
+    shard = Shard(table, buckets, how)
+    both = _send(table, told, shard, how), _deal(table, told, buckets, how, shard)
+    return pa.concat_tables([_filled(t, SENT) for t in both])
 
-def _settle(table: pa.Table, length: int, part_strings: int) -> pa.Table:
-    """To each shard the least ids of the strings of one part that it does not know.
 
-    Strings of shards are transformed together as far as they are few.
-    """
+SETTLED = "shard long, anchor long, hashes binary, values binary"
+
+
+def _settle(table: pa.Table, length: int) -> pa.Table:
+    """To each shard the least ids of the strings of one part that it does not know."""
     rows = table.sort_by("shard").to_pylist()
     sizes = [len(r["hashes"]) // 8 for r in rows]
     flat = b"".join(r["strings"] for r in rows)
     bodies = [flat[i : i + length] for i in range(0, len(flat), length)]
     ids = _array([r["ids"] for r in rows], "<i8")
-    step = max(1, part_strings // 4)
-    together = [min(step, len(bodies) - i) for i in range(0, len(bodies), step)]
-    least, _ = least_owners(bodies, ids, length, together)
+    least, _ = least_owners(bodies, ids, length, sizes)
     news = (least < ids) | (_array([r["more"] for r in rows], "u1") > 0)
     hashes = _array([r["hashes"] for r in rows], "<u8")
     cuts = np.concatenate(([0], np.cumsum(sizes)))
@@ -511,13 +543,37 @@ def _settle(table: pa.Table, length: int, part_strings: int) -> pa.Table:
     for r, low, high in zip(rows, cuts[:-1], cuts[1:], strict=True):
         some = low + np.flatnonzero(news[low:high])
         if len(some):
-            out.append((r["shard"], r["anchor"], hashes[some].tobytes(), least[some].tobytes()))
+            out.append((r["shard"], r["bucket"], hashes[some].tobytes(), least[some].tobytes()))
     columns = zip(*out, strict=True) if out else [()] * 4
     return pa.table(
         {f.name: pa.array(c, f.type) for f, c in zip(_arrow(SETTLED), columns, strict=True)}
     )
 
 
+NEWS = (
+    "shard long, bucket long, keys binary, least binary, contents binary, parts binary,"
+    " sizes binary, values binary, anchor long, hashes binary"
+)
+
+
+def _judge(sent: pa.Table, table: pa.Table, how: tuple) -> pa.Table:
+    """To each shard what it does not know of a bucket's runs, or of one part of dealt strings."""
+    if not table.num_rows:
+        return _filled(_settle(sent, how[2]), NEWS)
+    seen, bucket = Seen(table, how), table.column("bucket")[0].as_py()
+    both = _alike(seen, bucket), _answer(sent, seen, bucket, how)
+    return pa.concat_tables([_filled(t, NEWS) for t in both])
+
+
+def _filled(table: pa.Table, schema: str) -> pa.Table:
+    """``table`` with NULL for the columns of ``schema`` that it lacks."""
+    fields = _arrow(schema)
+    return pa.table(
+        [table[f.name] if f.name in table.column_names else pa.nulls(len(table), f.type) for f in fields],
+        schema=fields,
+    )
+
+
 def _arrow(schema: str) -> pa.Schema:
     kinds = {"long": pa.int64(), "binary": pa.binary()}
     return pa.schema([(c.split()[0], kinds[c.split()[1]]) for c in schema.split(", ")])
@@ -627,6 +683,12 @@ def merged_spans(spans: np.ndarray) -> np.ndarray:
     return np.stack([begin[first], end[np.concatenate((first[1:] - 1, [len(end) - 1]))]], axis=1)
 
 
+def _number(total: int, each: int) -> int:
+    """Shards or buckets for ``total`` bytes of text, of ``each`` bytes or up to ``GROWN`` times."""
+    grown = min(GROWN, max(1.0, math.sqrt(total / (each * MANY_SHARDS))))
+    return max(1, int(total / (each * grown)))
+
+
 def without_repeats(
     df: DataFrame,
     id_column: str = "doc_id",
@@ -658,7 +720,7 @@ def without_repeats(
     new = "kept binary, n_bytes long, n_removed long, spans array<struct<begin:long,end:long>>"
     names = [c for c in df.columns if c.lower() not in {*_names(new), "shard"}]
     total = df.agg(F.sum(F.octet_length(F.col(text_column).cast("string")))).first()[0] or 0
-    shards, buckets = max(1, total // shard_bytes), max(1, total // bucket_bytes)
+    shards, buckets = _number(total, shard_bytes), _number(total, bucket_bytes)
     how = (id_column, text_column, length, anchor, shard_crowd, crowd)
     part_strings = max(1, bucket_bytes // (length + 1))
     dealt = F.pmod(F.xxhash64(id_column, text_column), F.lit(shards).cast("long"))
@@ -670,24 +732,14 @@ def without_repeats(
 
     asked = texts.groupBy("shard").applyInArrow(lambda t: _ask(t, buckets, how), ASKED)
     flags = asked.groupBy("bucket").applyInArrow(_flag, FLAGGED)
-    seen = on_shard(flags, _see, SEEN)
-    told = seen.groupBy("bucket").applyInArrow(
-        lambda t: _tell(t, how, part_strings), TOLD
-    )
-    strings = on_shard(told, _send, STRINGS)
-    answers = (
-        strings.groupBy("bucket")
-        .cogroup(seen.groupBy("bucket"))
-        .applyInArrow(lambda a, b: _answer(a, b, how), ANSWERS)
-    )
-    pieces = on_shard(told, _deal, PIECES)
-    settled = pieces.groupBy("anchor", "part").applyInArrow(
-        lambda t: _settle(t, length, part_strings), SETTLED
-    )
+    seen = on_shard(flags, _see, SEEN).withColumn("part", F.lit(WHOLE).cast("long"))
+    by_bucket = seen.groupBy("bucket", "part")
+    told = by_bucket.applyInArrow(lambda t: _tell(t, how, part_strings), TOLD)
+    sent = on_shard(told, _pass_on, SENT)
     news = (
-        told.select("shard", "bucket", "keys", "least")
-        .unionByName(answers, allowMissingColumns=True)
-        .unionByName(settled, allowMissingColumns=True)
+        sent.groupBy("bucket", "part")
+        .cogroup(by_bucket)
+        .applyInArrow(lambda a, b: _judge(a, b, how), NEWS)
     )
     schema = T.StructType([f for f in texts.schema if f.name != "shard"])
     for field in T._parse_datatype_string(new):
